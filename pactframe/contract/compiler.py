@@ -237,17 +237,18 @@ def _record(contract: M.Contract, values: list[Column], errors: list[Column], pl
 
 def json_scalar(kind: M.Scalar, v: Column) -> Column:
     """The typed value of a VARIANT, null where it is not of the kind or does not convert."""
-    k = variant_kind(v)
-    text = F.when(k == "str", F.try_variant_get(v, "$", "string"))
+    s = F.schema_of_variant(v)
+    text = F.when(s == "STRING", F.try_variant_get(v, "$", "string"))
+    number = (s == "BIGINT") | s.startswith("D")
     if kind.kind == "int":
-        return F.when(k == "int", F.try_variant_get(v, "$", "bigint"))
+        return F.when(s == "BIGINT", F.try_variant_get(v, "$", "bigint"))
     if kind.kind == "float":
-        d = F.when(k.isin("int", "float"), F.try_variant_get(v, "$", "double"))
+        d = F.when(number, F.try_variant_get(v, "$", "double"))
         return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
     if kind.kind == "bool":
-        return F.when(k == "bool", F.try_variant_get(v, "$", "boolean"))
+        return F.when(s == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
     if kind.kind == "Decimal":
-        token = F.when(k.isin("int", "float", "str"), F.try_variant_get(v, "$", "string"))
+        token = F.when(number | (s == "STRING"), F.try_variant_get(v, "$", "string"))
         return scalars.text_decimal(token, kind.precision, kind.scale)
     makers = {
         "str": lambda t: t, "bytes": scalars.strict_base64, "date": scalars.iso_date, "datetime": lambda t: scalars.iso_datetime(t, kind.aware), "time": scalars.iso_time,

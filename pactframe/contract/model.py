@@ -119,7 +119,11 @@ class Union:
 
     def ordered(self) -> list[Any]:
         first = ["int", "float", "str", "bool", "bytes", "None"]
-        rank = lambda o: (first.index(o.kind) if isinstance(o, Scalar) and o.kind in first else 6 if isinstance(o, (Scalar, Literal)) else 10, o.describe())
+
+        def rank(option: Any) -> tuple[int, str]:
+            base = option.base if isinstance(option, Constrained) else option
+            return (first.index(base.kind) if isinstance(base, Scalar) and base.kind in first else 6 if isinstance(base, (Scalar, Literal)) else 8 if isinstance(base, Tagged) else 10, option.describe())
+
         return sorted(self.options, key=rank)
 
     def describe(self) -> str:

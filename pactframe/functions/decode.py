@@ -8,8 +8,9 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-VERDICT = "code string, line int, col int, position int, key string"
+VERDICT = T.StructType([T.StructField("code", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("line", "col", "position")], T.StructField("key", T.StringType())])
 
 
 class _Refused(ValueError):
@@ -63,7 +64,7 @@ def strict_json(texts: pd.Series) -> pd.DataFrame:
     return out.astype({"line": "Int32", "col": "Int32", "position": "Int32"})
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def json_depth(texts: pd.Series) -> pd.Series:
     """Depth of strict JSON texts; null for others."""
     def one(t):

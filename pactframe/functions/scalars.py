@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = r"^\d{4}-\d{2}-\d{2}$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
@@ -63,7 +64,7 @@ def iso_time(c: Column) -> Column:
 
 def duration_micros(c: Column) -> Column:
     """Microseconds of an ISO duration of days, hours, minutes and seconds; at least one part."""
-    part = lambda k: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(c, DURATION, k), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0))
+    part = lambda k: F.coalesce(F.regexp_extract(c, DURATION, k).try_cast("bigint"), F.lit(0))
     fraction = F.rpad(F.regexp_extract(c, DURATION, 7), 6, "0").try_cast("bigint")
     seconds = ((part(2) * 24 + part(4)) * 60 + part(5)) * 60 + part(6)
     sign = F.when(F.regexp_extract(c, DURATION, 1) == "-", -1).otherwise(1)
@@ -104,7 +105,7 @@ def path_text(c: Column) -> Column:
     return normal_path(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_path(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: str(pathlib.PurePosixPath(t)), na_action="ignore")
 
@@ -122,7 +123,7 @@ def canonical_ip(kind: str):
         except ValueError:
             return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def convert(texts: pd.Series) -> pd.Series:
         return texts.map(one, na_action="ignore")
 
@@ -142,7 +143,7 @@ def any_iso(kind: str):
         except ValueError:
             return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def convert(texts: pd.Series) -> pd.Series:
         return texts.map(one, na_action="ignore")
 
@@ -153,7 +154,7 @@ def python_pattern(pattern: str, flags: int = 0):
     """A column function: whether a Python regular expression is found; for syntax that Java lacks."""
     found = re.compile(pattern, flags)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def search(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: found.search(t) is not None, na_action="ignore").astype("boolean")
 

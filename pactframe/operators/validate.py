@@ -63,8 +63,8 @@ def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_error
     code = F.col("verdict.code")
     shape = "list" if isinstance(contract, Contract) and contract.shape == "positional" else "dict"
     kind = C.variant_kind(F.col("raw"))
-    invalid = error("json_invalid", Place(), context={})
-    duplicate = error("json_duplicate", Place(), context={})
+    invalid = error("json_invalid", Place()).withField("context", F.create_map(F.lit("reason"), code))
+    duplicate = error("json_duplicate", Place()).withField("context", F.create_map(F.lit("key"), F.col("verdict.key")))
     wrong = error("type", Place(), expected=contract.describe(), received=kind, value=F.try_variant_get(F.col("raw"), "$", "string"))
     root = (F.when(code == "duplicate_key", F.array(duplicate)).when(code.isNotNull(), F.array(invalid))
             .when(kind != shape, F.array(wrong)).otherwise(record.errors))

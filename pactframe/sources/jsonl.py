@@ -70,7 +70,7 @@ def read_jsonl(spark: SparkSession, path: str, contract, max_errors: int = 100)
 
 def classified(done: DataFrame) -> DataFrame:
     """Moves decoding failures from errors to `framing`."""
-    first = F.get(F.col("errors"), F.lit(0))["code"]
-    framing = F.coalesce("_framing", F.when(first == "json_duplicate", "duplicate_key").when(first == "json_invalid", "invalid_json"))
-    return done.select("item_index", (F.col("item_index") + 1).alias("line"), framing.alias("framing"), "value",
+    first = F.get(F.col("errors"), F.lit(0))
+    framing = F.coalesce("_framing", F.when(first["code"] == "json_duplicate", "duplicate_key").when(first["code"] == "json_invalid", first["context"]["reason"]))
+    return done.select("item_index", (F.col("item_index") + 1).alias("line"), framing.alias("framing"), F.when(framing.isNull(), F.col("value")).alias("value"),
                        F.when(framing.isNull(), F.col("errors")).otherwise(F.array().cast(done.schema["errors"].dataType)).alias("errors"), "truncated")
