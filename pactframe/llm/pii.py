@@ -161,7 +161,7 @@ def _signs(r: Rewritten) -> Rewritten:
 
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """(plain, added): added spans come from the normalised text and overlap no plain span of their kind.
+    """(plain, added): added spans come from the normalised text and lie in no plain span of their kind, though one may be part of them.
 
     The transducers run one after the other: look-alike characters and
     invisible ones, spelled digits, then at/dot words.  Each keeps the source
@@ -181,7 +181,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
                 begin, end = r.source(*span)
                 while k < len(taken) and taken[k][1] <= begin:
                     k += 1
-                if k == len(taken) or taken[k][0] >= end:
+                if k == len(taken) or not (taken[k][0] <= begin and end <= taken[k][1]):
                     added[kind].append((begin, end))
     return plain, added
 
