@@ -23,35 +23,38 @@ def _draw(*cols: Column | str) -> Column:
 def propagate(linked: DataFrame, shards: int, quota: list[int], rounds: int = 4) -> DataFrame:
     """Moves linked documents towards their neighbours' shards: `linked` (row, group, shard) with new shards.
 
-    Documents of a group are neighbours.  In each round a group's documents
-    want the shard, of those with room, in which most of their neighbours are
-    (ties: by a hash of the group, so that groups spread).  A shard takes no
-    more than its quota has room for: where more want in, whole groups are
-    drawn by hash; a group that is larger than the room sends a share of its
-    documents.  Only shard totals (one row a shard) reach the driver.
+    Documents of a group are neighbours.  In each round a group wants the
+    shards, of those with room, in which most of its documents are (ties: by a
+    hash of the group, so that groups spread): one, or, where its documents
+    don't fit, as many as these need.  Its other documents move there.  A
+    shard takes no more than it has room for: where more want in, groups are
+    drawn by hash, and documents of groups that want several shards.  Only
+    shard totals, one row a shard, reach the driver.
     """
     for k in range(rounds):
         held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
         room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
         if not held or not any(room):
             break
-        rooms = F.array(*[F.lit(r) for r in room])
+        rooms = F.array(*[F.lit(r).cast("bigint") for r in room])
         there = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        best = (there.where(F.get(rooms, F.col("shard")) > 0).groupBy("group")
-                .agg(F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("best")))
-        wish = there.join(best, "group").groupBy("group", "best").agg(
-            F.sum(F.when(F.col("shard") == F.col("best"), 0).otherwise(F.col("n"))).alias("movers")).where("movers > 0")
-        wish = wish.withColumn("allowed", F.least(F.col("movers"), F.get(rooms, F.col("best"))))
-        wish = checkpointed(wish)
-        wanted = {r["best"]: r["w"] for r in wish.groupBy("best").agg(F.sum("allowed").alias("w")).collect()}
+        ranked = there.groupBy("group").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")), asc=False).alias("by"))
+        start = F.struct(F.lit(0).cast("bigint").alias("space"), F.lit(0).cast("bigint").alias("there"), F.array().cast("array<int>").alias("to"))
+        fill = F.aggregate(F.filter("by", lambda x: F.get(rooms, x["shard"]) > 0), start, lambda acc, x: F.when(acc["space"] >= F.col("size"), acc).otherwise(
+            F.struct((acc["space"] + x["n"] + F.get(rooms, x["shard"])).alias("space"), (acc["there"] + x["n"]).alias("there"), F.array_append(acc["to"], x["shard"]).alias("to"))))
+        wish = ranked.withColumn("f", fill).select("group", F.col("f.to").alias("to"), (F.col("size") - F.col("f.there")).alias("movers"), (F.col("f.space") - F.col("f.there")).alias("space"))
+        wish = checkpointed(wish.where((F.size("to") > 0) & (F.col("movers") > 0)))
+        each = F.least("movers", "space") / F.size("to")
+        wanted = {r["s"]: r["w"] for r in wish.select(F.explode("to").alias("s"), each.alias("w")).groupBy("s").agg(F.sum("w").alias("w")).collect()}
         if not wanted:
             break
         rate = F.array(*[F.lit(min(1.0, room[s] / wanted[s]) if s in wanted else 0.0) for s in range(shards)])
-        go = (wish.where(_draw("group", F.lit(k), F.lit("group")) < F.get(rate, F.col("best")))
-              .select(F.col("group").alias("_group"), "best", (F.col("allowed") / F.col("movers")).alias("share")))
-        moved = F.col("best").isNotNull() & (_draw("row", F.lit(k), F.lit("row")) < F.col("share"))
-        linked = checkpointed(linked.join(go, F.col("group") == F.col("_group"), "left")
-                              .select("row", "group", F.when(moved, F.col("best")).otherwise(F.col("shard")).alias("shard")))
+        go = wish.select(F.col("group").alias("_group"), "to", F.least(F.lit(1.0), F.col("space") / F.col("movers")).alias("share"))
+        aim = F.get("to", F.pmod(F.xxhash64("row", F.lit(k), F.lit("aim")), F.size("to")).cast("int"))
+        drawn = F.when(F.size("to") == 1, _draw("group", F.lit(k), F.lit("group"))).otherwise(_draw("row", F.lit(k), F.lit("rate")))
+        met = linked.join(go, F.col("group") == F.col("_group"), "left").withColumn("_aim", aim)
+        moved = F.col("to").isNotNull() & ~F.array_contains("to", F.col("shard")) & (drawn < F.get(rate, F.col("_aim"))) & (_draw("row", F.lit(k), F.lit("row")) < F.col("share"))
+        linked = checkpointed(met.select("row", "group", F.when(moved, F.col("_aim")).otherwise(F.col("shard")).alias("shard")))
     return linked
 
 
