@@ -10,34 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactframe.llm import mixing, packing, queries, secrets, simhash, toxicity
-from pactframe.llm.common import written
+from pactframe.llm.common import set_aside, written
+
+
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score 0.7 or more, the threshold of the toxicity query."""
+    """Without the documents that score 0.7 or more, the threshold of the toxicity query.
+
+    Null and empty texts stay; rows with equal ids are judged one by one.
+    """
+    docs, restored = set_aside(docs, KNOWN)
     model = toxicity.fit(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.7").select(*docs.columns)
+    return restored(toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.7"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the smallest id."""
-    classes = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One document of each class of near-duplicates: that of the smallest id.
+
+    Of rows with that same id one stays.  Documents without an id stay, as
+    they can't be told apart.
+    """
+    docs, restored = set_aside(docs, KNOWN)
+    named = docs.where("doc_id is not null")
+    classes = written(simhash.near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "pipeline-kept")
+    kept = named.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi")
+    if not classes.groupBy("_kept").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return restored(kept.union(docs.where("doc_id is null")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
+    docs, restored = set_aside(docs, KNOWN)
     names = docs.columns
     model = secrets.fit(queries.table(spark, sf_dir, "documents"))
     found = secrets.scan(docs, model, keep=tuple(names), redact="[SECRET]")
     changed = F.size("findings") > 0
-    return found.select(*[F.when(changed, F.col("clean")).otherwise(F.col("text")).alias("text") if c == "text" else
-                          F.when(changed, F.length("clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in names])
+    new = {"text": F.when(changed, F.col("clean")).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(changed, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return restored(found.withColumns(new))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources meet their water-filled targets."""
-    return mixing.repeat_documents(docs)
+    docs, restored = set_aside(docs, KNOWN)
+    return restored(mixing.repeat_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_aside(df: DataFrame, known: tuple[str, ...]):
+    """(`df` with its other columns under names that clash with nothing, a function that restores the names)."""
+    names = df.columns
+    inner = [n if n in known else f"_aside_{k}" for k, n in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null ids are in no fold (null)."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)

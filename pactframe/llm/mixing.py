@@ -83,19 +83,20 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents repeated as `mix` says, with the columns of `docs`.
 
     A repetition that is a fraction keeps the leading words of the text, as
-    many as are taken; texts without a word are left out, as nothing of them
-    is taken.  Documents are matched by doc_id: it must be unique and not null
-    (rows of which the id is null are left out).
+    many as are taken; texts of which nothing is taken are left out.  Rows
+    with equal id, source and size are repeated alike, and none is lost.
     """
-    taken = mix(docs, **options).where("taken > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), "size", "taken")
-    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
-                         lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))
+    taken = (mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
+             .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken"))
+    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int")),
+                         lambda k: F.least(F.col("_size"), F.col("taken") - (k - 1) * F.col("_size")))
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    out = docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_words", F.explode(copies))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(lead)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
+    out = docs.join(taken, same).withColumn("_words", F.explode(copies))
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(lead)
     fixed = {"text": text}
     if "n_chars" in docs.columns:
-        fixed["n_chars"] = F.when(F.col("_words") == F.col("size"), F.col("n_chars")).otherwise(F.length(lead)).cast(docs.schema["n_chars"].dataType)
+        fixed["n_chars"] = F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(lead)).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(fixed).select(*docs.columns)
 
 
