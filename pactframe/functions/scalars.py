@@ -87,7 +87,7 @@ def format_duration(micros: Column) -> Column:
     part = lambda value, unit: F.when(value > 0, F.concat(value.cast("string"), F.lit(unit))).otherwise(F.lit(""))
     clock = F.concat(part(hours, "H"), part(minutes, "M"), F.when((seconds > 0) | (fraction > 0), F.concat(shown, F.lit("S"))).otherwise(F.lit("")))
     text = F.concat(F.when(micros < 0, F.lit("-")).otherwise(F.lit("")), F.lit("P"), part(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(F.lit("")))
-    return F.when(n == 0, F.lit("PT0S")).otherwise(text)
+    return F.when(n == 0, F.lit("PT0S")).when(n > 0, text)
 
 
 def canonical_uuid(c: Column) -> Column:

@@ -27,7 +27,8 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders")
 
 
-K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
 
 
 def t_int(spark, sf_dir):
@@ -42,7 +43,7 @@ def t_float(spark, sf_dir):
 
 def t_bool(spark, sf_dir):
     t = F.expr("case o_orderkey % 4 when 0 then 'true' when 1 then 'false' when 2 then 'True' else '1' end")
-    return _orders(spark, sf_dir).select("o_orderkey", scalars.text_bool(t).alias("b"), scalars.text_null(F.when(K % 2 == 0, "null").otherwise("None")).alias("is_null"))
+    return _orders(spark, sf_dir).select("o_orderkey", scalars.text_bool(t).alias("b"), scalars.text_null(F.when(_k() % 2 == 0, "null").otherwise("None")).alias("is_null"))
 
 
 def c_date(spark, sf_dir):
@@ -67,8 +68,8 @@ def c_duration(spark, sf_dir):
 
 
 def c_uuid(spark, sf_dir):
-    h = F.md5(K.cast("string"))
-    t = F.when(K % 5 == 0, h).when(K % 5 == 1, F.concat(F.lit("{"), h, F.lit("}"))).when(K % 5 == 2, F.concat(F.lit("urn:uuid:"), F.upper(h))).when(K % 5 == 3, F.substring(h, 1, 31)).otherwise(
+    h = F.md5(_k().cast("string"))
+    t = F.when(_k() % 5 == 0, h).when(_k() % 5 == 1, F.concat(F.lit("{"), h, F.lit("}"))).when(_k() % 5 == 2, F.concat(F.lit("urn:uuid:"), F.upper(h))).when(_k() % 5 == 3, F.substring(h, 1, 31)).otherwise(
         F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
     return _orders(spark, sf_dir).select("o_orderkey", scalars.canonical_uuid(t).alias("u"))
 
@@ -89,12 +90,12 @@ def c_float(spark, sf_dir):
 
 
 def c_ip(spark, sf_dir):
-    t = F.when(K % 4 == 0, F.concat(F.lit("2001:0db8::"), F.hex(K))).when(K % 4 == 1, F.concat_ws(".", K % 300, K % 256, F.lit("0"), F.lit("1"))).when(K % 4 == 2, F.lit("::1")).otherwise(F.lit("10.0.0.0/8"))
+    t = F.when(_k() % 4 == 0, F.concat(F.lit("2001:0db8::"), F.hex(_k()))).when(_k() % 4 == 1, F.concat_ws(".", _k() % 300, _k() % 256, F.lit("0"), F.lit("1"))).when(_k() % 4 == 2, F.lit("::1")).otherwise(F.lit("10.0.0.0/8"))
     return _orders(spark, sf_dir).select("o_orderkey", scalars.canonical_ip("IPv6Address")(t).alias("v6"), scalars.canonical_ip("IPv4Address")(t).alias("v4"), scalars.canonical_ip("IPv4Network")(t).alias("net"))
 
 
 def c_path(spark, sf_dir):
-    t = F.concat(F.lit("a//b/./c"), (K % 3).cast("string"), F.when(K % 2 == 0, "/").otherwise(""))
+    t = F.concat(F.lit("a//b/./c"), (_k() % 3).cast("string"), F.when(_k() % 2 == 0, "/").otherwise(""))
     return _orders(spark, sf_dir).select("o_orderkey", scalars.path_text(t).alias("path"))
 
 
@@ -190,15 +191,15 @@ def o_scalars(spark, sf_dir):
     """Decimals exact, ISO times, base64, durations, as JSON writes them."""
     c = Contract("Out", (Field("amount", M.decimal(12, 2)), Field("at", M.NAIVE_DATETIME), Field("day", M.DATE), Field("raw", M.BYTES), Field("took", M.DURATION)))
     rows = _orders(spark, sf_dir).select("o_orderkey", F.struct(
-        (K % 1000 / 10).cast("decimal(12,2)").alias("amount"), F.col("o_orderdate").alias("at"), F.to_date("o_orderdate").alias("day"), F.encode(F.substring("o_orderpriority", 1, 2), "UTF-8").alias("raw"),
-        F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (K % 100000).cast("decimal(18,6)")).alias("took")).alias("v"))
+        (_k() % 1000 / 10).cast("decimal(12,2)").alias("amount"), F.col("o_orderdate").alias("at"), F.to_date("o_orderdate").alias("day"), F.encode(F.substring("o_orderpriority", 1, 2), "UTF-8").alias("raw"),
+        F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (_k() % 100000).cast("decimal(18,6)")).alias("took")).alias("v"))
     return rows.select("o_orderkey", to_json(c, F.col("v")).alias("text"))
 
 
 def o_non_finite(spark, sf_dir):
     c = Contract("N", (Field("x", M.FLOAT), Field("xs", M.Many(M.FLOAT))))
-    x = F.when(K % 3 == 0, float("nan")).otherwise(1.0)
-    return _orders(spark, sf_dir).select("o_orderkey", non_finite(c, F.struct(x.alias("x"), F.array(F.lit(1.0), F.when(K % 5 == 0, float("inf")).otherwise(2.0)).alias("xs"))).alias("bad"))
+    x = F.when(_k() % 3 == 0, float("nan")).otherwise(1.0)
+    return _orders(spark, sf_dir).select("o_orderkey", non_finite(c, F.struct(x.alias("x"), F.array(F.lit(1.0), F.when(_k() % 5 == 0, float("inf")).otherwise(2.0)).alias("xs"))).alias("bad"))
 
 
 def _layers(spark, sf_dir):
