@@ -38,11 +38,14 @@ def python_kind(dtype: T.DataType) -> str:
     return {T.ArrayType: "list", T.MapType: "dict", T.StructType: "dict"}.get(type(dtype), dtype.simpleString())
 
 
+#: First word of a VARIANT's schema, and the kind as contracts name it.
+_VARIANT_KINDS = {"BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType", "ARRAY": "list", "OBJECT": "dict"}
+
+
 def variant_kind(v: Column) -> Column:
-    """The kind of a VARIANT as a contract names it."""
-    s = F.schema_of_variant(v)
-    return (F.when(s == "BIGINT", "int").when(s.startswith("DECIMAL") | (s == "DOUBLE") | (s == "FLOAT"), "float").when(s == "STRING", "str").when(s == "BOOLEAN", "bool")
-            .when(s == "VOID", "NoneType").when(s.startswith("ARRAY"), "list").when(s.startswith("OBJECT"), "dict").otherwise(s))
+    """The kind of a VARIANT as a contract names it; null if it is absent."""
+    kinds = F.create_map(*[F.lit(x) for pair in _VARIANT_KINDS.items() for x in pair])
+    return F.element_at(kinds, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
 
 
 def bound_holds(bound: M.Bound, kind: object, v: Column) -> Column:
@@ -93,6 +96,8 @@ def rows(kind, raw: Column, dtype: T.DataType, place: Place) -> Compiled:
         inner = rows(kind.base, raw, dtype, place)
         first = isinstance(kind.base, (M.Many, M.Mapping))
         bounds = bound_errors(kind, inner.value, place, python_kind(dtype))
+        if isinstance(kind.base, M.Scalar) and isinstance(dtype, _ACCEPTED.get(kind.base.kind, ())):
+            return Compiled(inner.value, F.when(raw.isNull(), _type_error(kind.base, place, "NoneType", F.lit("None"))).otherwise(bounds))
         if first:  # lengths come before items
             return Compiled(inner.value, F.when(raw.isNull(), inner.errors).when(F.size(bounds) > 0, bounds).otherwise(inner.errors))
         return Compiled(inner.value, F.when(F.size(inner.errors) > 0, inner.errors).otherwise(bounds))
@@ -268,6 +273,8 @@ def json_value(kind, v: Column, place: Place) -> Compiled:
         inner = json_value(kind.base, v, place)
         received = "list" if isinstance(kind.base, M.Many) else "dict" if isinstance(kind.base, M.Mapping) else kind.base.describe()
         bounds = bound_errors(kind, inner.value, place, received)
+        if isinstance(kind.base, M.Scalar):
+            return Compiled(inner.value, F.when(inner.value.isNull(), _type_error(kind.base, place, k, shown)).otherwise(bounds))
         if isinstance(kind.base, (M.Many, M.Mapping)):
             return Compiled(inner.value, F.when(k.isin("list", "dict") & (F.size(bounds) > 0), bounds).otherwise(inner.errors))
         return Compiled(inner.value, F.when(F.size(inner.errors) > 0, inner.errors).otherwise(bounds))
@@ -311,12 +318,12 @@ def member(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f'$["{name}"]', "variant")
 
 
-def json_record(contract: M.Contract, v: Column, place: Place, keys: Column | None = None, ignored: tuple[str, ...] = ()) -> Compiled:
-    """A JSON object; `keys` are its keys in text order where these are known."""
+def json_record(contract: M.Contract, v: Column, place: Place, keys: Column | None = None, ignored: tuple[str, ...] = (), get=None) -> Compiled:
+    """A JSON object; `keys` are its keys in text order where these are known, `get` gives members that are columns already."""
     values, errors = [], []
     for f in contract.fields:
         at = _at(f, place)
-        raws = [member(v, n) for n in f.names]
+        raws = [get(n) if get else member(v, n) for n in f.names]
         there = [r.isNotNull() for r in raws]
         present = functools.reduce(lambda a, b: a | b, there)
         raw = F.coalesce(*raws)
@@ -354,9 +361,9 @@ def json_positional(contract: M.Contract, v: Column, place: Place) -> Compiled:
     return Compiled(F.struct(*values), found)
 
 
-def json_tagged(kind: M.Tagged, v: Column, place: Place, keys: Column | None = None) -> Compiled:
+def json_tagged(kind: M.Tagged, v: Column, place: Place, keys: Column | None = None, get=None) -> Compiled:
     """Only the fields of the branch that the tag picks are read."""
-    tag = member(v, kind.tag)
+    tag = get(kind.tag) if get else member(v, kind.tag)
     base = M.Literal(tuple(t for t, _ in kind.branches)).base()
     value = json_scalar(base, tag)
     hidden = place.sensitive() if any(f.sensitive for _, c in kind.branches for f in c.fields) else place
@@ -368,11 +375,18 @@ def json_tagged(kind: M.Tagged, v: Column, place: Place, keys: Column | None = N
               .when(~value.isin(*[t for t, _ in kind.branches]), F.array(error("discriminator_unknown", at, received=base.describe(), value=value.cast("string"), discriminator=kind.tag, tags=tags))))
     fields = [value.alias(kind.tag)]
     for t, contract in kind.branches:
-        own = json_record(contract, v, place, keys, ignored=(kind.tag,))
+        own = json_record(contract, v, place, keys, (kind.tag,), get)
         errors = errors.when(value == t, own.errors)
         fields.append(F.when(value == t, own.value).alias(contract.name))
     return Compiled(F.struct(*fields), errors.otherwise(no_errors()))
 
 
+def member_names(contract: M.Contract | M.Tagged) -> list[str]:
+    """The names under which a JSON object may hold members of the contract."""
+    fields = [f for _, c in contract.branches for f in c.fields] if isinstance(contract, M.Tagged) else contract.fields
+    tag = [contract.tag] if isinstance(contract, M.Tagged) else []
+    return list(dict.fromkeys([*tag, *[n for f in fields for n in f.names]]))
+
+
 def first_error_only(c: Compiled) -> Compiled:
     return Compiled(c.value, first_of(c.errors))

@@ -38,6 +38,20 @@ def text_null(c: Column) -> Column:
     return c == "null"
 
 
+def text_optional(c: Column, convert) -> Column:
+    """A struct (value, ok): `null` is None, other texts go through `convert`."""
+    value = convert(c)
+    return F.struct(F.when(c != "null", value).alias("value"), ((c == "null") | value.isNotNull()).alias("ok"))
+
+
+def text_literal(c: Column, values: tuple) -> Column:
+    """The text of the constant that a text means, by exact type: as JSON if it is such, else as it stands."""
+    import json
+
+    known = {json.dumps(v): json.dumps(v) for v in values} | {v: json.dumps(v) for v in values if isinstance(v, str)}
+    return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), c)
+
+
 def text_decimal(c: Column, precision: int = 38, scale: int = 18) -> Column:
     """Exact: null if the text has more digits than the type."""
     digits = F.length(F.regexp_replace(F.regexp_extract(c, r"\.([0-9]+)", 1), "0+$", ""))

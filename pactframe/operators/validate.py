@@ -54,12 +54,14 @@ def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_error
     kept = df.columns if keep is None else keep
     staged = decode_json_strict(df, column)
     keys = F.json_object_keys(F.col(column))
-    if isinstance(contract, Tagged):
-        record, fields = C.json_tagged(contract, F.col("raw"), Place(), keys), ()
-    elif contract.shape == "positional":
-        record, fields = C.json_positional(contract, F.col("raw"), Place()), contract.fields
-    else:
-        record, fields = C.json_record(contract, F.col("raw"), Place(), keys), contract.fields
+    fields = () if isinstance(contract, Tagged) else contract.fields
+    if not isinstance(contract, Tagged) and contract.shape == "positional":
+        record = C.json_positional(contract, F.col("raw"), Place())
+    else:  # each member becomes a column, so that it is looked up once
+        names = {n: f"_m{k}" for k, n in enumerate(C.member_names(contract))}
+        staged = staged.select("*", *[C.member(F.col("raw"), n).alias(c) for n, c in names.items()], keys.alias("_keys"))
+        read = C.json_tagged if isinstance(contract, Tagged) else C.json_record
+        record = read(contract, F.col("raw"), Place(), F.col("_keys"), get=lambda n: F.col(names[n]))
     code = F.col("verdict.code")
     shape = "list" if isinstance(contract, Contract) and contract.shape == "positional" else "dict"
     kind = C.variant_kind(F.col("raw"))
@@ -68,7 +70,8 @@ def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_error
     wrong = error("type", Place(), expected=contract.describe(), received=kind, value=F.try_variant_get(F.col("raw"), "$", "string"))
     root = (F.when(code == "duplicate_key", F.array(duplicate)).when(code.isNotNull(), F.array(invalid))
             .when(kind != shape, F.array(wrong)).otherwise(record.errors))
-    present = F.filter(F.array(*[F.when(C.member(F.col("raw"), n).isNotNull(), F.lit(f.name)) for f in fields for n in f.names]) if fields else F.array().cast("array<string>"), lambda n: n.isNotNull())
+    held = (lambda n: F.col(names[n])) if not isinstance(contract, Tagged) and contract.shape != "positional" else (lambda n: C.member(F.col("raw"), n))
+    present = F.filter(F.array(*[F.when(held(n).isNotNull(), F.lit(f.name)) for f in fields for n in f.names]) if fields else F.array().cast("array<string>"), lambda n: n.isNotNull())
     staged = staged.select(*kept, record.value.alias("_value"), F.coalesce(root, no_errors()).alias("_errors"), present.alias("_present"))
     return staged.select(*kept, F.when(F.size("_errors") == 0, F.col("_value")).alias("value"), F.slice("_errors", 1, max_errors).alias("errors"),
                          (F.size("_errors") >= max_errors).alias("truncated"), F.array_distinct("_present").alias("present"))

@@ -55,6 +55,11 @@ def line_size(value: Column, limit: int = MAX_LINE_BYTES, terminated: bool = Fal
     return F.when(line_bytes(value, terminated) > limit, "jsonl_line_size")
 
 
+def input_size(value: Column, limit: int) -> Column:
+    """input_size where a whole document has more bytes than the limit, else null; tested before decoding."""
+    return F.when(F.octet_length(value) > limit, "input_size")
+
+
 def read_jsonl(spark: SparkSession, path: str, contract, max_errors: int = 100) -> DataFrame:
     """Records of JSON Lines files against a contract: item_index, line, framing, value, errors.
 
