@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
             found = [_word_marks(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_sketch(t) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(1), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["sketch", "toxic", "marks"])
 
-    single = rows.select("text", "toxic").mapInArrow(marks, "sketch long, toxic long, marks array<string>").groupBy("sketch", "toxic").agg(F.first("marks").alias("marks")).cache()
+    single = rows.select("text", "toxic").mapInArrow(marks, "sketch long, toxic long, marks array<string>").groupBy("sketch", "toxic").agg(F.min("marks").alias("marks")).cache()
     totals = {r["toxic"]: r["count"] for r in single.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
