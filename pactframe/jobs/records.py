@@ -289,6 +289,12 @@ ORACLE_SQL = {
     "c_base64": "select o_orderkey, case o_orderkey % 4 when 1 then 'a' when 2 then 'ab' end as b from orders",
     "c_decimal": "select o_orderkey, case o_orderkey % 5 when 1 then '10.50' when 4 then o_orderkey || '.25' end as d from orders",
     "c_float": "select o_orderkey, case o_orderkey % 5 when 0 then 1.0::double when 1 then 2.5::double when 4 then -100.0::double end as x from orders",
+    "c_ip": """select o_orderkey, case when o_orderkey % 4 = 0 and o_orderkey <= 65535 then case when o_orderkey = 0 then '2001:db8::' else '2001:db8::' || printf('%x', o_orderkey) end when o_orderkey % 4 = 2 then '::1' end as v6,
+        case when o_orderkey % 4 = 1 and o_orderkey % 300 <= 255 then (o_orderkey % 300) || '.' || (o_orderkey % 256) || '.0.1' end as v4,
+        case when o_orderkey % 4 = 1 and o_orderkey % 300 <= 255 then (o_orderkey % 300) || '.' || (o_orderkey % 256) || '.0.1/32' when o_orderkey % 4 = 3 then '10.0.0.0/8' end as net from orders""",
+    "c_path": "select o_orderkey, 'a/b/c' || (o_orderkey % 3) as path from orders",
+    "c_iso_any": "select o_orderkey, case o_orderkey % 4 when 0 then '2025-12-29' when 1 then '2026-01-02' when 2 then '2026-01-02' end as d from orders",
+    "k_pattern_python": "select p_partkey, len(list_filter(range(1, length(p_type)), lambda i: p_type[i] = p_type[i + 1] and p_type[i] between 'A' and 'Z')) > 0 as doubled from part",
     "d_patch_errors": errors_sql("(select o_orderkey as seq from orders)", ["seq"], [("displayName", "case when seq % 6 = 5 then 'min_length' end")]),
     "d_patch_fold": f"""{_FOLD} select key, concat_ws(',', case when n is not null then 'name' end, case when a is not null then 'nation' end, case when s is not null then 'segment' end, case when e is not null then 'enabled' end) as present,
         {_NAME} as name, a % 25 as nation, case when s % 6 = 4 then 'S' end as segment from f""",
