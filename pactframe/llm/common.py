@@ -62,8 +62,11 @@ def as_map(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """`mapInArrow` with a function from a pyarrow RecordBatch to one or more."""
 
     def over(batches):
+        import pyarrow
+
         for batch in batches:
             yield from fn(batch)
+        pyarrow.default_memory_pool().release_unused()
 
     return df.mapInArrow(over, schema)
 

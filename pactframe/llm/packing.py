@@ -20,7 +20,7 @@ LONG_WORD = 500
 #: The tokenizer's own splitting.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of which a worker remembers the ids.
-REMEMBERED = 350_000
+REMEMBERED = 150_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 

@@ -130,9 +130,9 @@ def trie_components(values: np.ndarray, nodes: tuple[np.ndarray, ...], bit: int,
 
 
 #: Pairs of leaves below which two nodes are compared directly, and those that are held at once.
-LEAVES, LEAF_PAIRS = 64, 1 << 20
+LEAVES, LEAF_PAIRS = 128, 1 << 18
 #: Values that a task holds, beside the two nodes it is at.
-HELD = 1 << 15
+HELD = 1 << 13
 #: Bits by which a large node is split in a round.
 LEVELS = 3
 

@@ -134,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
 
     def marks(batches):
         for batch in batches:
-            toxic = batch.column(1).to_pylist()
-            found = [_word_marks(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_sketch(t) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(1), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["sketch", "toxic", "marks"])
+            for at in range(0, batch.num_rows, 100):  # marks take more room than texts
+                part = batch.slice(at, 100)
+                texts = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([_sketch(t) for t in texts], pa.int64()), part.column(1), pa.array([sorted(_word_marks(t)) for t in texts], pa.list_(pa.string()))], names=["sketch", "toxic", "marks"])
 
     single = rows.select("text", "toxic").mapInArrow(marks, "sketch long, toxic long, marks array<string>").groupBy("sketch", "toxic").agg(F.min("marks").alias("marks")).cache()
     totals = {r["toxic"]: r["count"] for r in single.groupBy("toxic").count().collect()}
