@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactframe.llm import mixing, packing, queries, secrets, simhash, similar, toxicity
+from pactframe.llm import mixing, packing, queries, secrets, similar, toxicity
 from pactframe.llm.common import set_aside, written
 
 
@@ -29,16 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id.
 
-    The trie self-join first leaves one document of each class of fingerprints
-    within 3 bits, over five-word shingles; of these, documents whose long
-    signatures show a similarity of 0.8 or more are then grouped in turn.
+    Documents whose sets of five-word shingles have an exact Jaccard similarity
+    of 0.8 or more are linked, and groups are what links connect; the trie
+    self-join of fingerprints offers pairs, but doesn't decide.
     Of rows with that same id one stays.  Documents without an id stay, as
     they can't be told apart.
     """
     docs, restored = set_aside(docs, KNOWN)
     named = docs.where("doc_id is not null")
-    nearly_equal = simhash.near_duplicates(named, words=5).where("doc_id = component_id").select("doc_id")
-    groups = similar.similar_documents(named, words=5, similarity=0.8, among=written(nearly_equal, "pipeline-distinct"))
+    groups = similar.similar_documents(named, words=5, similarity=0.8)
     classes = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "pipeline-kept")
     kept = named.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi")
     if not classes.groupBy("_kept").count().where("count > 1").isEmpty():

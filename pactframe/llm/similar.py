@@ -1,7 +1,7 @@
-"""Groups of documents with similar word shingles, from long SimHash signatures.
+"""Groups of documents with similar word shingles: an exact Jaccard self-join, and long SimHash signatures.
 
-A signature of 256 bits says how similar two texts are to a few hundredths;
-64 bits with a budget of 3, as in `simhash`, find only nearly equal ones.
+`similar_documents` links by the sets of shingles themselves.  A signature of 256 bits says how
+similar two texts are to a few hundredths; `similar_links` groups by these alone.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pactframe.llm.common import as_map, written
-from pactframe.llm.simhash import components, shingle_hashes, simhash
+from pactframe.llm.simhash import components, shingle_hashes, simhash, trie_links
 
 PARTS = 4
 #: Bands of 16 bits begin at every eighth bit of a part.
@@ -139,22 +141,139 @@ def similar_links(classes: DataFrame, most: int, hot: int = 4096, salts: int = 6
     return out.distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, among: DataFrame | None = None) -> DataFrame:
+#: Longs of 64 parities by which a set of shingles is told from others before the sets themselves are compared.
+PARITIES = 8
+SKETCH = [f"p{k}" for k in range(PARITIES)]
+#: Bounds of what the order of shingles is learnt from; it decides the costs, not the links.
+ORDER_DOCS, ORDER_SHINGLES = 10_000, 65_536
+
+
+def frequent_shingles(docs: DataFrame, words: int, seed: int = 42, text: str = "text") -> np.ndarray:
+    """Hashes of shingles that at least three of about ORDER_DOCS documents hold, rarest first; at most ORDER_SHINGLES."""
+    total = docs.count()
+    draw = F.pmod(F.xxhash64(F.col(text), F.lit("order")), F.lit(1_000_000)) / 1e6
+
+    def over(batch):
+        found = [np.unique(shingle_hashes(t, words, seed)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    sample = docs.where(F.col(text).isNotNull() & (draw < min(1.0, ORDER_DOCS / max(1, total)))).select(text)
+    counts = as_map(sample, over, "h long").groupBy("h").count().where("count >= 3")
+    top = counts.orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def shingle_sets(docs: DataFrame, words: int, similarity: float, keep: tuple[str, ...], seed: int = 42, text: str = "text") -> DataFrame:
+    """`keep` and, of each whole text's set of shingles: node (its hash), n (its size), fp (SimHash), sketch and prefix.
+
+    `prefix` holds the set's n - ceil(similarity * n) + 1 first shingles, frequent ones last: two sets
+    of at least that similarity share one of them.  Null and wordless texts have the empty set.
+    """
+    frequent = frequent_shingles(docs, words, seed, text)
+    by_hash = np.argsort(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash + 1))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()),
+                           *[T.StructField(p, T.LongType()) for p in SKETCH], T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+    def over(batch):
+        known, places = shared.value
+        rows, prefixes = [], []
+        for t in batch.column(len(keep)).to_pylist():
+            hashes = np.unique(shingle_hashes(t or "", words, seed))
+            n = len(hashes)
+            rank = np.zeros(n, np.int64)
+            if len(known) and n:
+                at = np.searchsorted(known, hashes).clip(max=len(known) - 1)
+                rank = np.where(known[at] == hashes, places[at], 0)
+            first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+            prefixes.append(hashes[np.argsort(rank, kind="stable")[:first]].view(np.int64))
+            odd = (np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+            node = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), seed)
+            rows.append(np.array([node, n, simhash(hashes), *np.packbits(odd, bitorder="little").view("<u8")], np.uint64))
+        table = np.stack(rows).view(np.int64) if rows else np.zeros((0, 3 + PARITIES), np.int64)
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes or [np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(table.shape[1])], lists], names=schema.names)
+
+    return as_map(docs.select(*keep, text), over, schema)
+
+
+def _may_be(similarity: float, a: str, b: str) -> Column:
+    """False only where the sizes or the parities of sets `a` and `b` show a smaller similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in SKETCH), F.lit(0))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, seed: int = 42, text: str = "text") -> DataFrame:
+    """The pairs (a > b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`.
+
+    `classes` names by its columns `on` a row of `docs` for each node; only texts of pairs that sizes
+    and parities leave are read again.
+    """
+    narrow = classes.select("node", "n", *SKETCH)
+    left, right = narrow.alias("x"), narrow.alias("y")
+    pairs = pairs.alias("q").join(left, F.col("q.a") == F.col("x.node")).join(right, F.col("q.b") == F.col("y.node"))
+    pairs = written(pairs.where(_may_be(similarity, "x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", *on), "node")
+    match = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in on]
+    texts = docs.join(wanted.select("node", *[F.col(k).alias(f"_w_{k}") for k in on]), match).dropDuplicates(["node"]).select("node", text)
+
+    def over(batch):
+        sets = [np.unique(shingle_hashes(t or "", words, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = written(as_map(texts, over, "node long, shingles array<long>"), "similar-sets")
+    both = (pairs.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
+            .withColumn("common", F.size(F.array_intersect("_sa", "_sb"))))
+    return both.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity - 1e-6).select("a", "b")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float) -> DataFrame:
+    """Links (a > b) with the same components as all pairs of nodes of at least `similarity`; each link is such a pair.
+
+    Sets that share a shingle of their prefixes meet.  First each meets only the least node of its shingle
+    and of its fingerprints' class in the trie join, which connects large groups of copies.  Then all
+    sets that share a shingle and aren't connected yet are compared in pairs.
+    """
+    keyed = classes.select("node", F.explode("prefix").alias("key"))
+    of_key = Window.partitionBy("key")
+    keyed = keyed.withColumns({"least": F.min("node").over(of_key), "m": F.count("*").over(of_key)}).where("m > 1")
+    keyed = written(keyed, "similar-keys")
+    near = components(trie_links(classes.select("fp")))
+    tried = classes.select("node", "fp").join(near.toDF("_fp", "_root"), F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("_root", "fp").alias("root"))
+    tried = tried.join(tried.groupBy("root").agg(F.min("node").alias("least")), "root")
+    stars = keyed.select("node", "least").union(tried.select("node", "least")).where("node <> least").select(*_pair("node", "least")).distinct()
+    first = components(exact_links(stars, classes, docs, on, words, similarity))
+    rows = keyed.join(first.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
+    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = rows.join(open_, "key").join(classes.select("node", "n", *SKETCH), "node")
+    rows = written(rows, "similar-open")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node")).distinct()
+    second = exact_links(pairs, classes, docs, on, words, similarity)
+    return first.toDF("a", "b").union(second)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of each group of documents linked by similarity.
 
-    Texts whose sets of `words`-word shingles have a Jaccard similarity of
-    `similarity` or more are linked as far as signatures tell: pairs of 0.9
-    and above nearly always, at 0.8 mostly (figures in the README).  Equal signatures are one
-    node.  `among` (one column of ids) leaves only these documents, without
-    moving texts.  Wordless texts are equal to each other.  A null id is never the
-    smallest; an empty table gives no row.
+    Two texts are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
+    `similarity`, each such pair and no other.  Equal sets are one node.  Wordless texts are equal
+    to each other.  A null id is never the smallest; an empty table gives no row.
     """
-    signed = written(signatures(docs, words), "signatures").withColumn("node", F.xxhash64(*SIGNATURE))
-    if among is not None:
-        signed = signed.join(among.toDF("_among"), F.col("doc_id") == F.col("_among"), "left_semi")
-    classes = signed.groupBy("node", *SIGNATURE).agg(F.min("doc_id").alias("least"))
-    found = components(similar_links(classes, bits_apart(similarity)))
-    rooted = classes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    signed = written(shingle_sets(docs, words, similarity, ("doc_id", "_text")), "shingles")
+    one = [c for c in signed.columns if c not in ("doc_id", "_text", "node")]
+    classes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_text")).alias("row"), *[F.first(c).alias(c) for c in one])
+    classes = written(classes.select("node", "least", "row.*", *one), "similar-classes")
+    found = components(jaccard_links(classes, docs, ["doc_id", "_text"], words, similarity))
+    rooted = classes.select("node", "least").join(found.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select(F.col("node").alias("_node"), "component_id")
-    return signed.join(named, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    return signed.select("doc_id", "node").join(named, F.col("node") == F.col("_node")).select("doc_id", "component_id")

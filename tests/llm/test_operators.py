@@ -349,6 +349,34 @@ def test_similar_documents(spark, odd, empty):
     assert similar.similar_documents(empty).count() == 0
 
 
+def _brute_components(texts: dict[int, str], similarity: float) -> dict[int, int]:
+    """The least id of each component of pairs of at least that exact similarity, by all pairs."""
+    sets = {k: {tuple(w[j:j + 5]) for w in [t.split()] for j in range(max(1, len(w) - 4))} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_similar_documents_equal_brute_force(spark):
+    """Isolated pairs around the threshold, short and long: none is lost, none linked below it."""
+    rng = random.Random(31)
+    texts = {}
+    for k in range(300):
+        n = rng.choice([8, 9, 30, 60, 200, 600])
+        words = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+        texts[2 * k] = " ".join(words)
+        cut = rng.uniform(0.05, 0.3)
+        texts[2 * k + 1] = " ".join(words[:max(5, round(n * (1 - cut)))] + [f"v{rng.randrange(100_000)}" for _ in range(rng.randrange(3))])
+    want = _brute_components(texts, 0.8)
+    assert 60 < sum(want[k] != k for k in texts) < 240
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_leaders_are_within_the_bits():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, (5, 4)).astype(np.uint64)
