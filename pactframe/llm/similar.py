@@ -233,12 +233,14 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float) -> DataFrame:
+def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, block: int = 1024) -> DataFrame:
     """Links (a > b) with the same components as all pairs of nodes of at least `similarity`; each link is such a pair.
 
     Sets that share a shingle of their prefixes meet.  First each meets only the least node of its shingle
     and of its fingerprints' class in the trie join, which connects large groups of copies.  Then all
-    sets that share a shingle and aren't connected yet are compared in pairs.
+    sets that share a shingle and aren't connected yet are compared in pairs.  The sets of a shingle
+    are dealt into blocks of about `block`, and each pair of blocks is a key of the join, so none is left out
+    and no key has more than two blocks, however many sets share a shingle.
     """
     keyed = classes.select("node", F.explode("prefix").alias("key"))
     of_key = Window.partitionBy("key")
@@ -249,12 +251,16 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
     tried = tried.join(tried.groupBy("root").agg(F.min("node").alias("least")), "root")
     stars = keyed.select("node", "least").union(tried.select("node", "least")).where("node <> least").select(*_pair("node", "least")).distinct()
     first = components(exact_links(stars, classes, docs, on, words, similarity))
-    rows = keyed.join(first.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
+    rows = keyed.join(first.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("key", "node", "m", F.coalesce("_root", "node").alias("root"))
     open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rows = rows.join(open_, "key").join(classes.select("node", "n", *SKETCH), "node")
     rows = written(rows, "similar-open")
-    x, y = rows.alias("x"), rows.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    blocks = F.ceil(F.col("m") / block).cast("long")
+    rows = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)})
+    x = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
+    y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    met = met & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node")).distinct()
     second = exact_links(pairs, classes, docs, on, words, similarity)
     return first.toDF("a", "b").union(second)

@@ -377,6 +377,29 @@ def test_similar_documents_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_crowded_shingles_lose_no_link(spark, block):
+    """All sets share a key; chains in which x is near y, and neither near the least, stay whole."""
+    rng = random.Random(32)
+    texts = {}
+    for k in range(30):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(45)]
+        for j in range(4):
+            texts[10 * k + j] = " ".join(words[2 * j:2 * j + 36])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("_text", F.xxhash64("text"))
+    sets = similar.shingle_sets(df, 5, 0.8, ("doc_id", "_text")).withColumn("prefix", F.concat("prefix", F.array(F.lit(1).cast("long"))))
+    links = similar.components(similar.jaccard_links(sets, df, ["doc_id", "_text"], 5, 0.8, block=block)).collect()
+    root = {r["node"]: r["root"] for r in links}
+    found: dict[int, set[int]] = {}
+    for r in sets.select("doc_id", "node").collect():
+        found.setdefault(root.get(r["node"], r["node"]), set()).add(r["doc_id"])
+    want: dict[int, set[int]] = {}
+    for k, c in _brute_components(texts, 0.8).items():
+        want.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert any(len(g) > 1 for g in want.values())
+
+
 def test_leaders_are_within_the_bits():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, (5, 4)).astype(np.uint64)
