@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import as_map
+from pactframe.llm.common import as_map, written
 
 #: A candidate has a digit or mixed case in a run of 12 or more, or is what a secret's name is set to.
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~@:-]{12,}")
@@ -169,32 +169,41 @@ def lookalikes(words: list[str], each: int = 150, seed: int = 5) -> list[tuple[s
     return out
 
 
-def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "text") -> SecretModel:
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word and n, the number of rows of the one column of `texts` that hold it."""
+
+    def over(batch):
+        own: Counter[str] = Counter()
+        for t in batch.column(0).to_pylist():
+            own.update(set(_WORD.findall(t.lower())))
+            if len(own) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
+                own = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
+
+    return as_map(texts, over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "text", share: float = 5e-5) -> SecretModel:
     """Trains dictionary, letter transitions and forest on findings labelled by their form.
 
-    They come from about `most` documents, chosen by a hash of the text, at
-    most `findings` of them, and from seeded look-alikes: these bounds hold at
-    every corpus size.  The forest sees none of the forms, only FEATURES.
+    Words and letter pairs are counted over all distinct texts.  The dictionary
+    has the words of at least two texts and a `share` of them: a text adds one
+    to each of its words, so it has at most 1 / share times the mean number of
+    words of a text, at every corpus size.  Letter pairs are those of all words
+    of two texts.  Only labelled findings come from about `most` documents,
+    chosen by a hash of the text, at most `findings` of them, and from seeded
+    look-alikes.  The forest sees none of the forms, only FEATURES.
     """
     total = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(text), F.lit("secrets")), F.lit(1_000_000)) / 1e6
-    sample = docs.where(F.col(text).isNotNull() & (draw < min(1.0, most / max(1, total)))).select(F.col(text).alias("text")).distinct()
-
-    def words_of(batches):
-        for batch in batches:
-            own: Counter[str] = Counter()
-            for t in batch.column(0).to_pylist():
-                own.update(set(_WORD.findall(t.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
-
-    counted = sample.mapInArrow(words_of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
-    top = counted.orderBy(F.desc("n"), "word").limit(20_000).collect()
-    words = frozenset(r["word"] for r in top)
-    pairs: Counter[str] = Counter()
-    for r in top:
-        w = r["word"]
-        for k in range(len(w) - 1):
-            pairs[w[k:k + 2]] += r["n"]
+    present = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    sample = present.where(F.pmod(F.xxhash64("text", F.lit("secrets")), F.lit(1_000_000)) / 1e6 < min(1.0, most / max(1, total))).distinct()
+    distinct = present.distinct()
+    counted = written(word_counts(distinct).where("n >= 2"), "secret-words")
+    least = share * present.select(F.count_distinct(F.xxhash64("text"))).first()[0]
+    words = frozenset(r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator())
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.col("word").substr(k, F.lit(2))))
+    pairs = {r["pair"]: r["n"] for r in counted.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     every = sum(pairs.values()) or 1
     model = SecretModel(words, {p: math.log(n / every) for p, n in pairs.items()}, [])
 

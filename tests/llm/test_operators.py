@@ -420,6 +420,13 @@ def test_language_held_out_accuracy(spark, docs, odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, language.fit(empty)).collect()} == {"und"}
 
 
+def test_secrets_dictionary_counts_all_documents(spark):
+    """A word of 8 in 400 documents is known though only about 20 documents are drawn for labelled findings."""
+    rows = [(k, f"common words number{k} stand here " + ("quokkaword" if k % 50 == 0 else "")) for k in range(400)]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"), most=20)
+    assert {"common", "quokkaword"} <= model.words and "kk" in model.pairs
+
+
 def test_kernel_is_the_shared_ngrams():
     flags = np.zeros(language.GRAMS, np.uint8)
     sets = []
