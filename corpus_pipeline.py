@@ -27,21 +27,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id.
+    """One document of each group of near-duplicates: the row of the smallest id, then of the smallest hash.
 
     Documents whose sets of five-word shingles have an exact Jaccard similarity
     of 0.8 or more are linked, and groups are what links connect; the trie
     self-join of fingerprints offers pairs, but doesn't decide.
-    Of rows with that same id one stays.  Documents without an id stay, as
-    they can't be told apart.
+    Rows decide, not ids: unlike texts of one id both stay, and of rows equal
+    in id and text one does.  Documents without an id stay, as they can't be
+    told apart.
     """
     docs, restored = set_aside(docs, KNOWN)
     named = docs.where("doc_id is not null")
-    groups = similar.similar_documents(named, words=5, similarity=0.8)
-    classes = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "pipeline-kept")
-    kept = named.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not classes.groupBy("_kept").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    row = F.xxhash64(*[F.struct(c) for c in docs.columns if c in KNOWN], *[F.isnull(c) for c in docs.columns if c in KNOWN])
+    groups = similar.similar_rows(named, words=5, similarity=0.8, row=row)
+    first = groups.where("doc_id = component_id and row_id = component_row").select(F.col("doc_id").alias("_kept"), F.col("row_id").alias("_kept_row"))
+    classes = written(first, "pipeline-kept")
+    named = named.withColumn("_row", row)
+    kept = named.join(classes, (F.col("doc_id") == F.col("_kept")) & (F.col("_row") == F.col("_kept_row")), "left_semi")
+    if not classes.groupBy("_kept", "_kept_row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_row"])
+    kept = kept.drop("_row")
     return restored(kept.union(docs.where("doc_id is null")))
 
 

@@ -266,20 +266,29 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
     return first.toDF("a", "b").union(second)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of each group of documents linked by similarity.
-
-    Two texts are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
-    `similarity`, each such pair and no other.  Equal sets are one node.  Wordless texts are equal
-    to each other.  A null id is never the smallest; an empty table gives no row.
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, row: Column | None = None) -> DataFrame:
+    """doc_id, row_id, component_id and component_row of every document: its group's row of the smallest (doc_id, row_id).
+
+    `row` tells rows of one id apart, a hash of the text if not given.  Two
+    texts are linked if their sets of `words`-word shingles have a Jaccard
+    similarity of at least `similarity`, each such pair and no other.  Equal
+    sets are one node.  Wordless texts are equal to each other.  A null id is
+    never the smallest; an empty table gives no row.
     """
-    docs = docs.withColumn("_text", F.xxhash64("text"))
-    signed = written(shingle_sets(docs, words, similarity, ("doc_id", "_text")), "shingles")
-    one = [c for c in signed.columns if c not in ("doc_id", "_text", "node")]
-    classes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_text")).alias("row"), *[F.first(c).alias(c) for c in one])
+    docs = docs.select("doc_id", "text", (F.xxhash64("text") if row is None else row).alias("row_id"))
+    signed = written(shingle_sets(docs, words, similarity, ("doc_id", "row_id")), "shingles")
+    one = [c for c in signed.columns if c not in ("doc_id", "row_id", "node")]
+    own = F.struct("doc_id", "row_id")
+    classes = signed.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("least"), F.min(own).alias("row"), *[F.first(c).alias(c) for c in one])
     classes = written(classes.select("node", "least", "row.*", *one), "similar-classes")
-    found = components(jaccard_links(classes, docs, ["doc_id", "_text"], words, similarity))
+    found = components(jaccard_links(classes, docs, ["doc_id", "row_id"], words, similarity))
     rooted = classes.select("node", "least").join(found.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("node").alias("_node"), "component_id")
-    return signed.select("doc_id", "node").join(named, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(smallest, "root").select(F.col("node").alias("_node"), "first")
+    return signed.select("doc_id", "row_id", "node").join(named, F.col("node") == F.col("_node")).select(
+        "doc_id", "row_id", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of each group of `similar_rows`."""
+    return similar_rows(docs, words, similarity).select("doc_id", "component_id")

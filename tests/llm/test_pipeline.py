@@ -41,5 +41,12 @@ def test_empty_and_null_rows(spark, docs):
     assert corpus_pipeline.mix_sources(spark, nameless, DATA).count() >= 3
 
 
+def test_repeated_ids_are_told_apart(spark, docs):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b + " end", "en", "s", 1), (3, a, "en", "s", 1), (4, "p q r s t", "en", "s", 1), (4, a + " end", "en", "s", 1)], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, rows, DATA).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (1, b), (4, "p q r s t")]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0 and corpus_pipeline.ORACLE_SQL is None
