@@ -187,6 +187,17 @@ def o_include_nested(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("id"), value.alias("value")).select("id", text.alias("text"))
 
 
+def o_include_lists(spark, sf_dir):
+    """As o_include_nested, over all lines: several members an order, and the least line of each flag."""
+    line = F.struct(F.col("l_linenumber").cast("bigint").alias("number"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("m"))
+    flags = F.array_sort(F.array_distinct(F.transform("m", lambda x: x["flag"])))
+    by_flag = F.map_from_arrays(flags, F.transform(flags, lambda f: F.filter("m", lambda x: x["flag"] == f)[0]))
+    value = F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("m").alias("members"), by_flag.alias("by_flag"), F.lit(None).cast("string").alias("note"))
+    text = to_json(ACCOUNT, F.col("value"), include={"o_orderkey": True, "members": {"number": True}, "by_flag": {"quantity": True, "flag": True}}, exclude={"by_flag": {"quantity": True}})
+    return rows.select(F.col("l_orderkey").alias("id"), value.alias("value")).select("id", text.alias("text"))
+
+
 def o_scalars(spark, sf_dir):
     """Decimals exact, ISO times, base64, durations, as JSON writes them."""
     c = Contract("Out", (Field("amount", M.decimal(12, 2)), Field("at", M.NAIVE_DATETIME), Field("day", M.DATE), Field("raw", M.BYTES), Field("took", M.DURATION)))
@@ -270,7 +281,7 @@ def x_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     t_int, t_float, t_bool, c_date, c_datetime, c_time, c_duration, c_uuid, c_base64, c_decimal, c_float, c_ip, c_path, c_iso_any, k_pattern_python, d_patch_errors, d_patch_fold, d_patch, d_pick, d_direction, d_replace,
-    o_json, o_exclude_none, o_partial_json, o_include_nested, o_scalars, o_non_finite, l_layers, l_provenance, l_conflict, l_names, h_udf, p_recursive, x_stream)}
+    o_json, o_exclude_none, o_partial_json, o_include_nested, o_include_lists, o_scalars, o_non_finite, l_layers, l_provenance, l_conflict, l_names, h_udf, p_recursive, x_stream)}
 
 _PATCH_VALUES = """p as (select o_custkey as key, o_orderkey as seq, o_orderkey % 6 as r from orders where o_orderkey % 6 <> 5)"""
 _FOLD = f"""with {_PATCH_VALUES}, f as (select key, max(case when r in (2, 3) then seq end) as n, max(case when r = 4 then seq end) as a, max(case when r in (1, 4) then seq end) as s, max(case when r = 3 then seq end) as e from p group by key)"""
@@ -311,6 +322,9 @@ ORACLE_SQL = {
         else '{"nation":' || (o_orderkey % 25) || ',"segment":"S"}' end as text from orders where o_orderkey % 6 <> 5""",
     "o_include_nested": """with x as (select l_orderkey as id, min((l_linenumber, l_quantity, l_returnflag)) as m from lineitem where l_linenumber = 1 group by 1)
         select id, '{"id":' || id || ',"members":[{"no":1}],"by_flag":{"' || m[3] || '":{"flag":"' || m[3] || '"}}}' as text from x""",
+    "o_include_lists": """with f as (select distinct l_orderkey as k, l_returnflag as flag from lineitem), g as (select k, string_agg('"' || flag || '":{"flag":"' || flag || '"}', ',' order by flag) as by_flag from f group by 1),
+        x as (select l_orderkey as id, string_agg('{"no":' || l_linenumber || '}', ',' order by l_linenumber) as members from lineitem group by 1)
+        select id, '{"id":' || id || ',"members":[' || members || '],"by_flag":{' || by_flag || '}}' as text from x join g on k = id""",
     "o_scalars": """with x as (select o_orderkey, o_orderdate, o_orderkey % 100000 as s, o_orderpriority[1:2] as p from orders)
         select o_orderkey, '{"amount":"' || cast(cast(o_orderkey % 1000 as decimal(12,2)) / 10 as decimal(12,2)) || '","at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || case when microsecond(o_orderdate) % 1000000 > 0 then '.' || lpad((microsecond(o_orderdate) % 1000000)::varchar, 6, '0') else '' end
           || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","raw":"' || to_base64(encode(p)) || '","took":"' || case when s = 0 then 'PT0S' else 'P' || case when s >= 86400 then (s // 86400) || 'D' else '' end
