@@ -205,17 +205,24 @@ def _may_be(similarity: float, a: str, b: str) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, seed: int = 42, text: str = "text") -> DataFrame:
-    """The pairs (a > b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`.
+def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, seed: int = 42, text: str = "text",
+                known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Those pairs (a > b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`, the pairs compared and their sets.
 
-    `classes` names by its columns `on` a row of `docs` for each node; only texts of pairs that sizes
-    and parities leave are read again.
+    `common` says how many shingles of their prefixes the two share.  Beyond the prefixes two sets can share
+    no more than the rest of one of them, so sizes, parities and `common` rule out most pairs.  `classes` names by its
+    columns `on` a row of `docs` for each node; only texts of the pairs left are read again, but for sets in `known`.
     """
-    narrow = classes.select("node", "n", *SKETCH)
+    narrow = classes.select("node", "n", F.size("prefix").alias("first"), *SKETCH)
     left, right = narrow.alias("x"), narrow.alias("y")
     pairs = pairs.alias("q").join(left, F.col("q.a") == F.col("x.node")).join(right, F.col("q.b") == F.col("y.node"))
-    pairs = written(pairs.where(_may_be(similarity, "x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", *on), "node")
+    n, m = F.col("x.n"), F.col("y.n")
+    shared = F.col("q.common") + F.greatest(n - F.col("x.first"), m - F.col("y.first")) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
+    pairs = written(pairs.where(_may_be(similarity, "x", "y") & shared).select("a", "b", n.alias("na"), m.alias("nb")), "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("node"), "node", "left_anti")
+    wanted = wanted.join(classes.select("node", *on), "node")
     match = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in on]
     texts = docs.join(wanted.select("node", *[F.col(k).alias(f"_w_{k}") for k in on]), match).dropDuplicates(["node"]).select("node", text)
 
@@ -224,9 +231,11 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = written(as_map(texts, over, "node long, shingles array<long>"), "similar-sets")
+    sets = sets if known is None else known.union(sets)
     both = (pairs.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
             .withColumn("common", F.size(F.array_intersect("_sa", "_sb"))))
-    return both.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity - 1e-6).select("a", "b")
+    links = both.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity - 1e-6).select("a", "b")
+    return links, pairs.select("a", "b"), sets
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -249,8 +258,10 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
     near = components(trie_links(classes.select("fp")))
     tried = classes.select("node", "fp").join(near.toDF("_fp", "_root"), F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("_root", "fp").alias("root"))
     tried = tried.join(tried.groupBy("root").agg(F.min("node").alias("least")), "root")
-    stars = keyed.select("node", "least").union(tried.select("node", "least")).where("node <> least").select(*_pair("node", "least")).distinct()
-    first = components(exact_links(stars, classes, docs, on, words, similarity))
+    met = keyed.select("node", "least", F.lit(1).alias("c")).union(tried.select("node", "least", F.lit(2**30)))
+    stars = met.where("node <> least").select(*_pair("node", "least"), "c").groupBy("a", "b").agg(F.sum("c").alias("common"))
+    links, compared, sets = exact_links(stars, classes, docs, on, words, similarity)
+    first = components(links)
     rows = keyed.join(first.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("key", "node", "m", F.coalesce("_root", "node").alias("root"))
     open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rows = rows.join(open_, "key").join(classes.select("node", "n", *SKETCH), "node")
@@ -261,8 +272,9 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
     y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     met = met & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node")).distinct()
-    second = exact_links(pairs, classes, docs, on, words, similarity)
+    pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common")).join(compared, ["a", "b"], "left_anti")
+    second, _, _ = exact_links(pairs, classes, docs, on, words, similarity, known=sets)
     return first.toDF("a", "b").union(second)
 
 
