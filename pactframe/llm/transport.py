@@ -62,9 +62,16 @@ def _section_packet(pid: int, table: int, ident: int, body: bytes) -> bytes:
     return (bytes([SYNC]) + (0x4000 | pid).to_bytes(2, "big") + b"\x10\0" + section).ljust(PACKET, b"\xff")
 
 
-_TABLES = (_section_packet(PAT_PID, 0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
-           + _section_packet(PMT_PID, 2, 1, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\0"
-                             + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\0"))
+_TABLES = np.stack([np.frombuffer(t, np.uint8) for t in (
+    _section_packet(PAT_PID, 0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")),
+    _section_packet(PMT_PID, 2, 1, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\0"))])
+
+
+def _tables(point: int) -> bytes:
+    """Both program tables as they go before the random-access point of that number."""
+    out = _TABLES.copy()
+    out[:, 3] |= point % 16
+    return out.tobytes()
 
 
 def _units(data: np.ndarray, first: int, counter: int) -> np.ndarray:
@@ -110,52 +117,80 @@ def _units(data: np.ndarray, first: int, counter: int) -> np.ndarray:
 
 
 def write_stream(payload: bytes) -> bytes:
-    """A transport stream that carries `payload` in timestamped units of 4096 bytes."""
+    """A transport stream that carries `payload` in timestamped units of 4096 bytes.
+
+    The program tables go before each random-access point, so that a reader
+    can begin at any of them.
+    """
     data = np.frombuffer(payload, np.uint8)
     whole = len(data) // UNIT
-    parts = [_TABLES]
-    sent = 0
-    if whole:
-        packets = _units(data[:whole * UNIT].reshape(whole, UNIT), 0, 0)
-        sent = packets.shape[0] * packets.shape[1]
-        parts.append(packets.tobytes())
-    if len(data) % UNIT or not whole:
-        parts.append(_units(data[whole * UNIT:].reshape(1, -1), whole, sent).tobytes())
+    rest = len(data) % UNIT or not whole
+    packets = _units(data[:whole * UNIT].reshape(whole, UNIT), 0, 0) if whole else np.zeros((0, 1, PACKET), np.uint8)
+    parts = []
+    for first in range(0, whole, UNITS_PER_POINT):
+        parts += [_tables(first // UNITS_PER_POINT), packets[first:first + UNITS_PER_POINT].tobytes()]
+    if rest:
+        if whole % UNITS_PER_POINT == 0:
+            parts.append(_tables(whole // UNITS_PER_POINT))
+        parts.append(_units(data[whole * UNIT:].reshape(1, -1), whole, packets.shape[0] * packets.shape[1]).tobytes())
     return b"".join(parts)
 
 
 def _sections(packets: np.ndarray, pid: np.ndarray, wanted: int, table: int) -> list[bytes]:
-    """Bodies of the sound sections of one table that fit their first packet or run on."""
-    found, held = [], b""
+    """Bodies of the sound sections of one table, which may run over packets; equal ones once, in order."""
+    found: dict[bytes, None] = {}
+    held, last = b"", b""
     for p in packets[pid == wanted]:
         raw = p.tobytes()
         start = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[3] & 0x10 or start >= PACKET:
+        if not raw[3] & 0x10 or start >= PACKET or raw == last:
             continue
-        if raw[1] & 0x40:
-            held = raw[start + 1 + raw[start]:]
-        else:
-            held += raw[start:]
-        if len(held) >= 3 and held[0] == table:
-            need = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
-            if len(held) >= need and need >= 12 and section_crc(held[:need]) == 0:
-                found.append(held[8:need - 4])
-                held = b""
-    return found
+        last = raw
+        parts = [held + raw[start:]]
+        if raw[1] & 0x40:  # the pointer says where the first new section begins; what is before it ends an old one
+            begin = start + 1 + raw[start]
+            parts = [held + raw[start + 1:begin], raw[begin:]] if held else [raw[begin:]]
+        for rest in parts:
+            held = b""
+            while len(rest) >= 3 and rest[0] != 0xFF:
+                need = 3 + (int.from_bytes(rest[1:3], "big") & 0x0FFF)
+                if len(rest) < need:
+                    held = rest
+                    break
+                body = rest[:need]
+                if rest[0] == table and need >= 12 and body not in found and section_crc(body) == 0:
+                    found[body] = None
+                rest = rest[need:]
+            else:
+                held = rest if 0 < len(rest) < 3 and rest[0] != 0xFF else b""
+    return [body[8:-4] for body in found]
 
 
 def _programs(packets: np.ndarray, pid: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(program, map pid, stream pid, stream type) as the program tables say."""
-    out = []
-    for body in _sections(packets, pid, PAT_PID, 0)[:1]:
+    """(program, map pid, stream pid, stream type) of all that the program tables ever say, in that order."""
+    out: dict[tuple[int, int, int, int], None] = {}
+    for body in _sections(packets, pid, PAT_PID, 0):
         for k in range(0, len(body) - 3, 4):
             program, map_pid = int.from_bytes(body[k:k + 2], "big"), int.from_bytes(body[k + 2:k + 4], "big") & 0x1FFF
-            for map_body in _sections(packets, pid, map_pid, 2)[:1] if program else []:
+            for map_body in _sections(packets, pid, map_pid, 2) if program else []:
                 at = 4 + (int.from_bytes(map_body[2:4], "big") & 0x0FFF)
                 while at + 5 <= len(map_body):
-                    out.append((program, map_pid, int.from_bytes(map_body[at + 1:at + 3], "big") & 0x1FFF, map_body[at]))
+                    out[program, map_pid, int.from_bytes(map_body[at + 1:at + 3], "big") & 0x1FFF, map_body[at]] = None
                     at += 5 + (int.from_bytes(map_body[at + 3:at + 5], "big") & 0x0FFF)
-    return out
+    return list(out)
+
+
+def _duplicates(own: np.ndarray) -> np.ndarray:
+    """Which packets repeat the one before them: the same counter and the same bytes, but for the clock reference."""
+    same = np.zeros(len(own), bool)
+    near = 1 + np.flatnonzero(own[1:, 3] == own[:-1, 3])
+    if len(near):
+        a, b = own[near].copy(), own[near - 1].copy()
+        for x in (a, b):
+            clock = (x[:, 3] & 0x20 > 0) & (x[:, 4] >= 7) & (x[:, 5] & 0x10 > 0)
+            x[clock, 6:12] = 0
+        same[near] = (a == b).all(1)
+    return same
 
 
 def parse_stream(media: bytes) -> dict:
@@ -165,7 +200,8 @@ def parse_stream(media: bytes) -> dict:
     bytes after the last whole packet count as one) and, for each elementary
     stream of the program tables: program, map_pid, pid, stream_type, data
     (the joined PES payloads), units (PES packets), continuity_errors (gaps of
-    the counter; exact duplicates are dropped, not counted), pts (ticks, -1
+    the counter; a packet that repeats the one before it is dropped and not
+    counted, another one with the same counter follows a gap), pts (ticks, -1
     where a unit has none), offsets (of each unit in data) and random_access
     (its random-access indicator).
     """
@@ -178,11 +214,8 @@ def parse_stream(media: bytes) -> dict:
     streams = []
     for program, map_pid, stream_pid, kind in _programs(packets, pid):
         own = packets[(pid == stream_pid) & (packets[:, 3] & 0x10 > 0) & (packets[:, 1] & 0x80 == 0)]
-        counter = own[:, 3] & 0x0F
-        step = np.diff(counter.astype(np.int16)) % 16
-        keep = np.concatenate([[True], step != 0])[:len(own)]
-        gaps = int(((step != 0) & (step != 1)).sum())
-        own = own[keep]
+        own = own[~_duplicates(own)]
+        gaps = int((np.diff((own[:, 3] & 0x0F).astype(np.int16)) % 16 != 1).sum())
         start = np.where(own[:, 3] & 0x20, 5 + own[:, 4].astype(np.int32), 4).clip(4, PACKET)
         size = PACKET - start
         begins = np.flatnonzero(own[:, 1] & 0x40)
