@@ -87,20 +87,35 @@ for _zero in (0x0660, 0x06F0, 0x0966):
 _INVISIBLE = "​‌‍⁠﻿­"
 _ODD = re.compile(f"[{re.escape(''.join(_LOOKALIKES))}{_INVISIBLE}]")
 
-# Digits spelled out, and words for the signs of an address.
-_NAMES = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_DIGIT_WORD = "|".join(_NAMES)
+# Digits spelled out in English, German, French and Spanish, and words for the signs of an address.
+_NAMES = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_AT = ("at", "arroba", "arobase", "klammeraffe")
+_DOT = ("dot", "punkt", "punto", "point")
+_PLUS = ("plus", "más")
+_DIGIT_WORD = "|".join(sorted(_NAMES, key=len, reverse=True))
+_AT_WORD, _DOT_WORD, _PLUS_WORD = "|".join(_AT), "|".join(_DOT), "|".join(_PLUS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-#: Runs of four or more digits of which some are spelled, with at most a space or hyphen between.
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(?:{_DIGIT_WORD}|[0-9])(?:(?:[ -]|(?<=[A-Za-z])\.)?(?={_DIGIT_WORD}|[0-9])|(?![A-Za-z]))){{4,}}")
-_DIGIT = re.compile(rf"(?i){_DIGIT_WORD}|[0-9]")
-#: In brackets the words stand alone; bare, they need each other.
-_BRACKETED = re.compile(rf"(?i)[ ]?{_OPEN}[ ]?(at|dot|punkt|punto|point|arroba)[ ]?{_CLOSE}[ ]?")
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]{1,64})([ ]+(?:at|arroba)[ ]+|[ ]?@[ ]?)((?:[A-Za-z0-9-]{1,63})(?:(?:[ ]+(?:dot|punkt|punto|point)[ ]+|[ ]?\.[ ]?)[A-Za-z0-9-]{1,63}){1,6})(?![A-Za-z0-9-])")
-_BARE_IP = re.compile(r"(?i)(?<![A-Za-z0-9.])[0-9]{1,3}(?:[ ]+(?:dot|punkt|punto|point)[ ]+[0-9]{1,3}){3}(?![0-9])")
-_DOT_WORD = re.compile(r"(?i)[ ]+(?:dot|punkt|punto|point)[ ]+|[ ]?\.[ ]?")
-_HINT = re.compile(rf"(?i)[ \])}}>](?:dot|punkt|punto|point)[ \])}}>]|{_OPEN}[ ]?(?:at|dot|arroba)|[ ]@|@[ ]")
-_SPELL_HINT = re.compile(rf"(?i)(?:{_DIGIT_WORD})[ -]?(?:{_DIGIT_WORD}|[0-9])|[0-9][ -]?(?:{_DIGIT_WORD})")
+#: White space between words, line ends too.
+_GAP = r"[ \t\r\n]"
+_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![^\W_])", r"(?![^\W_])"
+#: Runs of four or more digits of which some are spelled, with white space or a hyphen or, after a word, a dot between.
+_SPELLED = re.compile(rf"(?i){_NO_WORD_BEFORE}(?:(?P<plus>{_PLUS_WORD}){_GAP}++)?(?P<run>(?:(?:{_DIGIT_WORD}|[0-9])(?:(?:{_GAP}++|-|(?<=[^\W\d_])\.)?(?={_DIGIT_WORD}|[0-9])|{_NO_WORD_AFTER})){{4,}})")
+_DIGIT = re.compile(rf"(?i){_DIGIT_WORD}|[0-9]|(?P<gap>{_GAP}+)")
+#: In brackets the words stand alone; bare, an `at` needs a dot of its own: worded, or plain with a letter top-level label.
+_BRACKETED = re.compile(rf"(?i){_GAP}*{_OPEN}{_GAP}*({_AT_WORD}|{_DOT_WORD}){_GAP}*{_CLOSE}{_GAP}*")
+_BARE_DOT = rf"{_GAP}++(?:{_DOT_WORD}){_GAP}++|{_GAP}\.{_GAP}|\."
+_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]++)({_GAP}++(?:{_AT_WORD}){_GAP}++|{_GAP}?@{_GAP}?)([A-Za-z0-9-]++(?:(?:{_BARE_DOT})[A-Za-z0-9-]++)++)")
+_BARE_IP = re.compile(rf"(?i)(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_GAP}+(?:{_DOT_WORD}){_GAP}+[0-9]{{1,3}}){{3}}(?![0-9])")
+_ANY_DOT = re.compile(rf"(?i){_BARE_DOT}")
+_WORDED_DOT = re.compile(rf"(?i){_GAP}(?:{_DOT_WORD}){_GAP}")
+#: Every rewriting of signs needs one of these, every one of digits a word of a digit beside another digit.
+_SIGN_HINT = re.compile(rf"(?i){_GAP}(?:{_DOT_WORD}){_GAP}|{_OPEN}{_GAP}*(?:{_AT_WORD}|{_DOT_WORD}){_GAP}*{_CLOSE}|{_GAP}@|@{_GAP}|{_GAP}(?:{_AT_WORD}){_GAP}++[A-Za-z0-9-]++\.[A-Za-z0-9]")
+_SPELL_HINT = re.compile(rf"(?i)(?:{_DIGIT_WORD})(?:{_GAP}++|[-.])?(?:{_DIGIT_WORD}|[0-9])|[0-9](?:{_GAP}++|-)?(?:{_DIGIT_WORD})")
 
 
 class Rewritten:
@@ -137,26 +152,33 @@ def _spelled(r: Rewritten) -> Rewritten:
     edits = []
     if _SPELL_HINT.search(r.text):
         for run in _SPELLED.finditer(r.text):
-            edits += [(run.start() + d.start(), run.start() + d.end(), _NAMES[d.group().lower()]) for d in _DIGIT.finditer(run.group()) if len(d.group()) > 1]
+            own = list(_DIGIT.finditer(run.group("run")))
+            if all(len(d.group()) == 1 for d in own):
+                continue
+            if run.group("plus"):
+                edits.append((run.start("plus"), run.start("run"), "+"))
+            at = run.start("run")
+            edits += [(at + d.start(), at + d.end(), " " if d.group("gap") else _NAMES[d.group().lower()]) for d in own if len(d.group()) > 1 or d.group() in "\t\r\n"]
     return r.replaced(edits)
 
 
 def _signs(r: Rewritten) -> Rewritten:
-    if not _HINT.search(r.text):
+    if not _SIGN_HINT.search(r.text):
         return r
-    edits = [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba") else ".") for m in _BRACKETED.finditer(r.text)]
-    r = r.replaced(edits)
-    edits = [(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(r.text) for d in _DOT_WORD.finditer(m.group())]
-    r = r.replaced(edits)
+    r = r.replaced([(m.start(), m.end(), "@" if m.group(1).lower() in _AT else ".") for m in _BRACKETED.finditer(r.text)])
+    r = r.replaced([(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(r.text) for d in _ANY_DOT.finditer(m.group())])
     edits = []
     for m in _BARE.finditer(r.text):
-        worded = re.search(r"(?i)[ ](?:dot|punkt|punto|point)[ ]", m.group(3))
-        if m.group(2) == "@" and not worded or "@" not in m.group(2) and not worded:
-            continue
-        if "@" in m.group(2) and not worded and not re.search(r"\.[A-Za-z]{2,}\Z", m.group(3)):
-            continue
-        edits.append((m.start(2), m.end(2), "@"))
-        edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _DOT_WORD.finditer(m.group(3))]
+        worded, named = _WORDED_DOT.search(m.group(3)), re.search(r"\.[ \t\r\n]?[A-Za-z]{2,}\Z", m.group(3))
+        if m.group(2) == "@":
+            wanted = worded
+        elif "@" in m.group(2):
+            wanted = worded or named
+        else:  # prose has `look at example.com`, so that a plain dot needs a local part that is no word
+            wanted = worded or named and not m.group(1).isalpha()
+        if wanted:
+            edits.append((m.start(2), m.end(2), "@"))
+            edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _ANY_DOT.finditer(m.group(3))]
     return r.replaced([e for e in edits if r.text[e[0]:e[1]] != e[2]])
 
 
@@ -164,8 +186,10 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     """(plain, added): added spans come from the normalised text and lie in no plain span of their kind, though one may be part of them.
 
     The transducers run one after the other: look-alike characters and
-    invisible ones, spelled digits, then at/dot words.  Each keeps the source
-    span of what it writes.
+    invisible ones, spelled digits (four languages), then at/dot words.  Each
+    keeps the source span of what it writes.  No length of a part or number of
+    labels is capped; all patterns are possessive, so that long texts take
+    linear time.
     """
     plain = plain_spans(text)
     r = Rewritten(text)
