@@ -51,6 +51,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
         F.when(F.col("_clamped") | F.col("_level").isNull(), F.col("cap").cast("double")).otherwise(rest).alias("target"))
 
 
+def _taken(rows: DataFrame, sizes: DataFrame, seed: str, weights: tuple[int, ...], share: tuple[int, int], epochs: int, tie: Column | None = None) -> DataFrame:
+    """`rows` (doc_id, source, size and more) with source_size, target and taken."""
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(per_source, weights, share, epochs).select(F.col("source").alias("_source"), "source_size", "target")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    within = [F.col("_order"), F.col("doc_id"), F.col("size")] + ([] if tie is None else [tie])
+    ranked = ordered_prefix(rows.withColumn("_order", order), ["source"], within, F.substring("_order", 1, BUCKET_DIGITS), F.col("size"), "before")
+    whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
+    extra = F.floor(F.col("target") + 0.5).cast("bigint") - F.col("whole") * F.col("source_size")
+    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra - F.col("before")))
+    return (ranked.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("whole", whole)
+            .select(*rows.columns, "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken")))
+
+
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2),
         epochs: int = 2) -> DataFrame:
     """How many words of each document a mix takes: doc_id, source, size, source_size, target, taken.
@@ -60,44 +75,38 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
     these fit the target, and the one at the edge a fraction of it.  A source
     so meets its target to the word and no document exceeds `epochs` times its
     size.  Null texts and texts without a word have size 0 and are taken 0
-    times; null sources are one source, the last; rows with equal ids are
-    separate rows; other columns are ignored.  Reruns agree: nothing depends
-    on partitions.
+    times; very long texts are only counted; null sources are one source, the
+    last; rows with equal ids are separate rows; other columns are ignored,
+    whatever their names; an empty table gives no row.  Reruns agree: nothing
+    depends on partitions.  The targets' windows run over one row a source, in
+    one task: sources are taken to be few.
     """
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(per_source, weights, share, epochs).select(
-        F.col("source").alias("_source"), "source_size", "target")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    ranked = ordered_prefix(sizes.withColumn("_order", order), ["source"], [F.col("_order"), F.col("doc_id"), F.col("size")],
-                            F.substring("_order", 1, BUCKET_DIGITS), F.col("size"), "before")
-    whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
-    extra = F.floor(F.col("target") + 0.5).cast("bigint") - F.col("whole") * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra - F.col("before")))
-    return (ranked.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("whole", whole)
-            .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken")))
+    return _taken(sizes, sizes, seed, weights, share, epochs)
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), epochs: int = 2) -> DataFrame:
     """The mix itself: documents repeated as `mix` says, with the columns of `docs`.
 
-    A repetition that is a fraction keeps the leading words of the text, as
-    many as are taken; texts of which nothing is taken are left out.  Rows
-    with equal id, source and size are repeated alike, and none is lost.
+    A repetition that is a fraction is the prefix of the text up to its last
+    word that is taken, white space and all; texts of which nothing is taken
+    are left out, so null and empty ones.  Each row carries its own number, so
+    that rows with equal ids, sources and sizes are told apart and none is
+    lost.  Columns travel in a struct: their names can't clash.
     """
-    taken = (mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-             .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken"))
-    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int")),
-                         lambda k: F.least(F.col("_size"), F.col("taken") - (k - 1) * F.col("_size")))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    out = docs.join(taken, same).withColumn("_words", F.explode(copies))
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(lead)
-    fixed = {"text": text}
+    sizes = docs.select("source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    taken = _taken(rows, sizes, seed, weights, share, epochs, F.xxhash64("_row.text")).where("taken > 0")
+    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
+                         lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))
+    out = taken.select("_row", "size", F.explode(copies).alias("_words"))
+    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
+    whole = F.col("_words") == F.col("size")
+    out = out.withColumn("_text", F.when(whole, F.col("_row.text")).otherwise(lead))
+    fixed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        fixed["n_chars"] = F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(lead)).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(fixed).select(*docs.columns)
+        fixed["n_chars"] = F.when(whole, F.col("_row.n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fixed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 MIX_SQL = r"""
