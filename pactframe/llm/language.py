@@ -12,35 +12,32 @@ from pyspark.sql import types as T
 
 from pactframe.llm.common import as_map, fold
 
-#: Classes of characters: 0 for what is no letter, 1 to 26 for a to z, the others share the rest.
-CLASSES = 64
-#: n-grams of 1, 2 and 3 characters have the numbers below this.
-GRAMS = CLASSES + CLASSES**2 + CLASSES**3
+#: n-grams of 1, 2 and 3 characters are hashed into so many slots; letters themselves are exact code points.
+GRAMS = 1 << 19
+_FIRST, _SECOND, _THIRD = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def character_classes(text: str) -> np.ndarray:
-    """One class per character of the lower-cased text; runs of non-letters are one 0."""
+def letters(text: str) -> np.ndarray:
+    """The code points of the lower-cased text's letters; each run of other characters is one 0."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where((points >= 97) & (points <= 122), points - 96, 0).astype(np.int32)
+    out = np.where((points >= 97) & (points <= 122), points, 0).astype(np.uint64)
     wide = np.flatnonzero(points > 127)
     if len(wide):
-        kinds = {p: 27 + p * 7 % (CLASSES - 27) for p in set(points[wide].tolist()) if chr(p).isalpha()}
-        if kinds:
-            known = np.array(sorted(kinds), np.uint32)
-            values = np.array([kinds[p] for p in known.tolist()], np.int32)
-            at = np.searchsorted(known, points[wide]).clip(max=len(known) - 1)
-            out[wide] = np.where(known[at] == points[wide], values[at], 0)
+        kinds, at = np.unique(points[wide], return_inverse=True)
+        alpha = np.array([chr(p).isalpha() for p in kinds.tolist()])
+        out[wide] = np.where(alpha, kinds, 0)[at]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] > 0) | (out[:-1] > 0)
     return out[keep]
 
 
 def presence(text: str, flags: np.ndarray) -> np.ndarray:
-    """Marks the text's n-grams in `flags` (all zero before) and gives their numbers; repeated ones repeat."""
-    c = character_classes(f" {text} ")
-    two = c[:-1] * CLASSES + c[1:]
-    three = two[:-1] * CLASSES + c[2:]
-    grams = np.concatenate([c, two + CLASSES, three + CLASSES + CLASSES**2])
+    """Marks the text's n-grams in `flags` (all zero before) and gives their slots; repeated ones repeat."""
+    one = (letters(f" {text} ") + np.uint64(1)) * _FIRST
+    two = (one[:-1] ^ one[:-1] >> np.uint64(29)) * _SECOND + one[1:]
+    three = (two[:-1] ^ two[:-1] >> np.uint64(31)) * _THIRD + one[2:]
+    grams = np.concatenate([one, two, three])
+    grams = ((grams ^ grams >> np.uint64(32)) * _SECOND >> np.uint64(64 - 19)).astype(np.int64)
     flags[grams] = 1
     return grams
 
@@ -76,16 +73,18 @@ def fit(docs: DataFrame, folds: int = 5, left_out: int = 0, per_lang: int = 500,
     of 1 to 3 characters that both have, over the geometric mean of what each
     has.  `landmarks` texts a language span the feature space of the Nystroem
     approximation; ridge regression there gives one weight vector a language.
-    Without a labelled document the model has no language.
+    Without a labelled document the model has no language.  Ids may be of any
+    type; other columns are ignored; repeated rows count as often as they
+    stand.
     """
-    usable = docs.where((fold(F.col("doc_id"), folds) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.select("doc_id", "lang", "text").where((fold(F.col("doc_id"), folds) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / counts[k])))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    sample = usable.where(draw < share).select("doc_id", "lang", "text")
+    sample = usable.where(draw < share).select(F.xxhash64("doc_id", F.lit("order")).alias("draw"), "lang", "text")
 
     def over(batch):
         flags, out = np.zeros(GRAMS, np.uint8), []
@@ -93,10 +92,10 @@ def fit(docs: DataFrame, folds: int = 5, left_out: int = 0, per_lang: int = 500,
             grams = presence(t, flags)
             out.append(np.flatnonzero(flags).astype(np.int32))
             flags[grams] = 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "lang", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["draw", "lang", "grams"])
 
-    rows = as_map(sample, over, "doc_id long, lang string, grams array<int>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], len(r["grams"])))
+    rows = as_map(sample, over, "draw long, lang string, grams array<int>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["lang"], r["draw"], r["grams"]))
     by_lang: dict[str, list[np.ndarray]] = {}
     for r in rows:
         by_lang.setdefault(r["lang"], []).append(np.array(r["grams"]))
@@ -128,6 +127,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     `und` with score 0 stands for null texts, texts without a letter, and all
     texts if the model knows no language.  The score is the winner's share of
     the positive regression outputs; ties go to the language first by name.
+    Very long texts cost their length; equal texts get equal rows; an empty
+    table gives no row; other columns are ignored.
     """
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL("lang_pred string, score double").fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
