@@ -18,8 +18,10 @@ from pactframe.llm.common import as_map, bounded_sample, fold
 
 # Starting words of the grammar's classes, in the four languages of the corpus.
 INSULTS = "idiot moron loser scum trash stupid pathetic disgusting worthless clown dumb imbecile filth vermin idioten dummkopf abschaum trottel imbécile crétin ordure débile imbécil estúpido basura escoria".split()
-THREATS = "kill hurt destroy beat burn shoot stab hang töten vernichten schlagen tuer détruire frapper matar destruir golpear".split()
-TARGETS = "you your yours u he him she her they them those people du dich dir euch ihr sie vous toi eux tú usted ustedes ellos".split()
+THREATS = "kill hurt destroy beat burn shoot stab hang töten umbringen vernichten schlagen abstechen tuer détruire frapper matar destruir golpear".split()
+TARGETS = "you your yours u he him she her they them those people du dir ihr sie toi tu eux leur tú usted ustedes ellos".split()
+# Object pronouns that may stand before their verb.
+OBJECTS = "dich euch vous te os".split()
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote called calls claimed quoted reported sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 
@@ -29,23 +31,31 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 STEMS = (4, 5, 6)
 
 # The transducers: each rewrites a clause of one letter per word, and they are applied in turn.
-# I insult, T threat, Y target, N negation, R report, w other; the results are
+# I insult, T threat, Y target, O object before its verb, N negation, R report, w other; the results are
 # i negated, q reported, A insult with a target, H threat with a target, t threat alone.
 TRANSDUCERS = (
-    ("reported", re.compile(r"R[wYN]{0,6}?([IT])"), {"I": "q", "T": "q"}),
-    ("negated", re.compile(r"N[wY]{0,2}([IT])"), {"I": "i", "T": "i"}),
-    ("targeted before", re.compile(r"Y[wN]{0,3}([I])"), {"I": "A"}),
-    ("targeted after", re.compile(r"([I])[wN]{0,2}Y"), {"I": "A"}),
-    ("threatened", re.compile(r"([T])[wN]{0,3}Y"), {"T": "H"}),
+    ("reported", re.compile(r"R[wYON]{0,6}?([IT])"), {"I": "q", "T": "q"}),
+    ("negated", re.compile(r"N[wYO]{0,2}([IT])"), {"I": "i", "T": "i"}),
+    ("targeted before", re.compile(r"[YO][wN]{0,3}([I])"), {"I": "A"}),
+    ("targeted after", re.compile(r"([I])[wN]{0,2}[YO]"), {"I": "A"}),
+    ("threatened", re.compile(r"([T])[wN]{0,3}[YO]"), {"T": "H"}),
+    ("threatened before", re.compile(r"O[w]{0,2}([T])"), {"T": "H"}),
 )
 OUTCOMES = "IAiqHT"
+#: Outcomes in which the clause means what its word says.
+DIRECT = frozenset("IAH")
 
 
-def clause_outcomes(tags: str) -> str:
-    """The composed transducers' output over one clause of tags, as the matched outcomes alone."""
+def transduced(tags: str) -> str:
+    """The composed transducers' output over one clause of tags, one letter a word as before."""
     for _, pattern, rewrite in TRANSDUCERS:
         tags = pattern.sub(lambda m, rewrite=rewrite: m.group(0)[: m.start(1) - m.start()] + rewrite[m.group(1)] + m.group(0)[m.end(1) - m.start():], tags)
-    return "".join(t for t in tags if t in OUTCOMES)
+    return tags
+
+
+def clause_outcomes(tags: str) -> str:
+    """The matched outcomes of a clause alone."""
+    return "".join(t for t in transduced(tags) if t in OUTCOMES)
 
 
 @dataclass
@@ -71,14 +81,18 @@ class Matcher:
             if s not in stems and s + " " not in stems:
                 self.machine.add_word(s, s + "\0")
         self.machine.make_automaton()
-        self.small = {w: t for words, t in ((TARGETS, "Y"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "T")) for w in words}
+        self.small = {w: t for words, t in ((TARGETS, "Y"), (OBJECTS, "O"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "T")) for w in words}
 
     def tag(self, word: str) -> tuple[str, float]:
         found = [self.stems[w] for w in (word + " ", *(word[:n] for n in STEMS if len(word) >= n)) if w in self.stems]
         return ("I", max(found)) if found else (self.small.get(word, "w"), 0.0)
 
     def features(self, text: str) -> list[float]:
-        """Logs of the counts of each outcome, of the matched stems' weights and of distinct stems, and their density."""
+        """Logs of the counts of each outcome, of the weights and the number of distinct stems that clauses let stand, and their density.
+
+        A negated or reported insult adds to its own outcome's count alone:
+        weights, stems and density are summed over direct outcomes.
+        """
         low = text.lower()
         counts = dict.fromkeys(OUTCOMES, 0)
         weight, stems, clauses = 0.0, set(), {}
@@ -91,15 +105,15 @@ class Matcher:
                 right = _CLAUSE_END.search(low, end)
                 clauses[left] = low[left:right.start() if right else len(low)]
         for clause in clauses.values():
-            tagged = [self.tag(w) for w in _TOKEN.findall(clause)]
-            for o in clause_outcomes("".join(t for t, _ in tagged)):
-                counts[o] += 1
-            for w, (t, x) in zip(_TOKEN.findall(clause), tagged, strict=True):
-                if t == "I":
+            words = _TOKEN.findall(clause)
+            tagged = [self.tag(w) for w in words]
+            for w, o, (_, x) in zip(words, transduced("".join(t for t, _ in tagged)), tagged, strict=True):
+                if o in counts:
+                    counts[o] += 1
+                if o in DIRECT:
                     weight += x
                     stems.add(w)
-        hits = sum(counts.values())
-        density = 100 * hits / (1 + low.count(" "))
+        density = 100 * sum(counts[o] for o in DIRECT) / (1 + low.count(" "))
         return [1.0, *(math.log1p(counts[o]) for o in OUTCOMES), math.log1p(weight), math.log1p(len(stems)), math.log1p(density)]
 
 
@@ -123,14 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
     that were tried, less than one would be so by chance; copies count once.
     The starting words have a weight before anything is learnt.  The clause
     outcomes' weights are fitted by logistic regression.  Without labels of
-    both kinds the starting words alone decide.
+    both kinds the starting words alone decide.  Ids may be of any type; other
+    columns are ignored, whatever their names; null texts are left out.
     """
     prior = {f"{w} ": 2.0 for w in INSULTS}
     # Order: bias, OUTCOMES, weight, stems, density.
     model = ToxicityModel(prior, [-2.0, 1.5, 2.5, 0.3, 0.3, 3.0, 0.0, 0.5, 0.5, 0.5])
     known = labels.where((fold(F.col("doc_id"), folds) != left_out) & F.col("toxic").isNotNull())
     known = bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), F.col("doc_id"), most)
-    rows = docs.where("text is not null").join(F.broadcast(known.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("draw"), "text", F.col("_toxic").alias("toxic"))
 
     def marks(batches):
         for batch in batches:
@@ -162,10 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
         matcher = model.matcher()
         for batch in batches:
             x = [matcher.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["draw", "toxic", "x"])
 
-    fitted = rows.mapInArrow(vectors, "doc_id long, toxic long, x array<double>").toArrow()
-    order = np.argsort(fitted["doc_id"].to_numpy(), kind="stable")
+    fitted = rows.mapInArrow(vectors, "draw long, toxic long, x array<double>").toArrow()
+    order = np.argsort(fitted["draw"].to_numpy(), kind="stable")
     x, y = np.array(fitted["x"].to_pylist())[order], (fitted["toxic"].to_numpy() > 0).astype(float)[order]
     model.coefficients = _logistic(x, y).tolist()
     return model
@@ -188,7 +205,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
     """`keep`, score (0 to 1, higher: likelier toxic) and outcomes of every whole text.
 
     `outcomes` are the counts of OUTCOMES in matched clauses.  Null and empty
-    texts match nothing and get the score of such a text.
+    texts match nothing and get the score of such a text.  Very long texts cost
+    their length; equal texts get equal scores; other columns are ignored.
     """
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL("score double, outcomes array<int>").fields)
 
