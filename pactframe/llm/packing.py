@@ -171,14 +171,15 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = 1024,
-         block: int = 8192, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+         block: int = 8192, block_ids: int = 1 << 22, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Packs whole texts, each followed by `end_id`, into sequences of at most `window` ids.
 
     One row per piece: `keep`, start (ids of the document before it), length,
     ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, sequence_id,
     offset, and the ids if asked for.  Full windows of a long document are
     sequences of their own; its tail joins others by `plan`, over blocks of
-    `block` documents.  A block is bounded, lives in one task and leaves at
+    `block` documents, fewer where these have `block_ids` ids (and the last
+    document's, however long).  A block is bounded, lives in one task and leaves at
     most one sequence below the window, so no shuffle is needed and a lost
     task is simply run again with the same result.  Null and empty texts are
     the end id alone; an empty table gives no row; rows with equal ids are
@@ -221,12 +222,19 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
             keys.clear(), ids.clear(), rows.clear()
             return out
 
+        held = 0
         for batch in batches:
-            keys.append(batch.select(range(len(keep))))
-            for t in batch.column(len(keep)).to_pylist():
-                ids.append(np.append(enc.encode(t or ""), np.uint16(end_id)))
-            if len(ids) >= block:
-                yield from flush()
+            begin, names = 0, batch.select(range(len(keep)))
+            for k in range(batch.num_rows):
+                own = np.append(enc.encode(batch.column(len(keep))[k].as_py() or ""), np.uint16(end_id))
+                ids.append(own)
+                held += len(own)
+                if len(ids) >= block or held >= block_ids:
+                    keys.append(names.slice(begin, k + 1 - begin))
+                    yield from flush()
+                    begin, held = k + 1, 0
+            if begin < batch.num_rows:
+                keys.append(names.slice(begin))
         if ids:
             yield from flush()
 
