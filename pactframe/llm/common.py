@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,31 +12,68 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _LOCAL_SHARED: dict[str, str] = {}
+#: Open scratch scopes, innermost last; each lists the tables that `written` made in it.
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what `spark.checkpoint.dir` names.
 
-    It is what `spark.checkpoint.dir` names; only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place on one machine
+    (a local master, as in tests); on a cluster this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _LOCAL_SHARED:
         _LOCAL_SHARED["dir"] = tempfile.mkdtemp(prefix="spark-")
     return _LOCAL_SHARED["dir"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again.
-
-    Cuts the lineage and survives lost executors.
-    """
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written once as Parquet in the shared folder and read again, and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` by way of a table of the shared folder.
+
+    Cuts the lineage and survives lost executors.  Within `scratch` the table
+    is deleted at the end of the scope; elsewhere it stays for the reader of
+    the result, and whoever runs the cluster clears the folder.
+    """
+    out, path = stored(df, name)
+    registered(path)
+    return out
+
+
+def registered(path: str) -> None:
+    """Makes a table part of the open scratch scope, if there is one."""
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope whose written tables are deleted at its end: what it returns must not read them any more."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_table(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

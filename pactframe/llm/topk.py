@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pactframe.llm.common import written
+
 #: Vectors of an index block and queries of a query block, at most.
 BLOCK, QUERIES = 65_536, 512
 
@@ -152,50 +154,57 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     `vectors` and `queries` are as `quantised` gives them.  Ties go to the
     smaller vec_id; a query is not compared with rows of its own id, nor with
     vectors of another length.  Rows without an id take no part; repeated
-    rows each count.  Blocks of queries meet blocks of the index by an equal
-    join on the block; a block of results holds at most k rows a query, and
-    the last ranking is per query.
+    rows each count; other columns are gone; an empty table gives no row.
+    Index blocks stay put: each goes once to the partition of its number, and
+    chunks of queries, much smaller than blocks, are sent to all blocks of
+    their length.  There a task holds one block and one chunk at a time.  Each
+    partition keeps at most k rows a query before the last ranking.
     """
-    blocks = index(vectors.where("vec_id is not null")).cache()
-    ids = blocks.select("block", F.col("dims").alias("_dims"))
+    blocks = written(index(vectors.where("vec_id is not null")), "topk-index")
     asked = queries.where("vec_id is not null").select("vec_id", "q", F.size("q").cast("long").alias("dims"))
 
     def group(batches):
         part, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list] = {}
+
+        def chunk(dims: int):
+            nonlocal made
+            own = held.pop(dims)
+            made += 1
+            return pa.RecordBatch.from_arrays([
+                pa.array([(part << 32) + made]), pa.array([dims]), pa.array([np.array([i for i, _ in own], "<i8").tobytes()]),
+                pa.array([np.array([q for _, q in own], "<i8").tobytes()])], names=["chunk", "dims", "query_ids", "queries"])
+
         for batch in batches:
-            table = batch.to_pylist()
-            by: dict[int, list] = {}
-            for row in table:
-                by.setdefault(row["dims"], []).append(row)
-            for dims, rows in by.items():
-                for at in range(0, len(rows), QUERIES):
-                    own = rows[at:at + QUERIES]
-                    made += 1
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([(part << 32) + made]), pa.array([dims]), pa.array([np.array([r["vec_id"] for r in own], "<i8").tobytes()]),
-                        pa.array([np.array([r["q"] for r in own], "<i8").tobytes()])], names=["chunk", "dims", "query_ids", "queries"])
-
-    chunks = asked.mapInArrow(group, "chunk long, dims long, query_ids binary, queries binary")
-    pairs = (chunks.join(ids, F.col("dims") == F.col("_dims")).drop("dims", "_dims")
-             .join(blocks, "block").repartition(F.col("chunk"), F.col("block")))
-
-    def over(batch):
-        for r in batch.to_pylist():
-            slices = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1)
-            own_ids, values = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(r["rows"], r["dims"])
-            query_ids, q = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["queries"], "<i8").reshape(-1, r["dims"])
-            best = [block_top(slices, r["low"], own_ids, values, q[j], query_ids[j], k) for j in range(len(query_ids))]
-            n = [len(i) for i, _ in best]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(query_ids, n)), pa.array(np.repeat(r["chunk"] * QUERIES + np.arange(len(n)), n)),
-                pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "query", "vec_id", "score"])
-
-    def one_by_one(batches):
+            for row in batch.to_pylist():
+                held.setdefault(row["dims"], []).append((row["vec_id"], row["q"]))
+                if len(held[row["dims"]]) == QUERIES:
+                    yield chunk(row["dims"])
+        for dims in list(held):
+            yield chunk(dims)
+
+    chunks = written(asked.mapInArrow(group, "chunk long, dims long, query_ids binary, queries binary"), "topk-chunks")
+    names = ["block", "chunk", "dims", "bits", "low", "rows", "ids", "slices", "values"]
+    sent = chunks.join(blocks.select("block", "dims"), "dims").select("block", "chunk", "dims", *[F.lit(0).cast("long").alias(c) for c in names[3:6]], F.col("query_ids").alias("ids"), F.lit(None).cast("binary").alias("slices"), F.col("queries").alias("values"))
+    met = blocks.withColumn("chunk", F.lit(-1).cast("long")).select(*names).union(sent).repartition("block").sortWithinPartitions("block", "chunk")
+
+    def over(batches):
+        at: dict = {}
         for batch in batches:
             for j in range(batch.num_rows):
-                yield from over(batch.slice(j, 1))
-
-    partial = pairs.mapInArrow(one_by_one, "query_id long, query long, vec_id long, score long")
+                r = batch.slice(j, 1).to_pylist()[0]
+                if r["chunk"] < 0:
+                    at = {"block": r["block"], "low": r["low"], "slices": np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1),
+                          "ids": np.frombuffer(r["ids"], "<i8"), "values": np.frombuffer(r["values"], "<i8").reshape(r["rows"], r["dims"])}
+                    continue
+                query_ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, r["dims"])
+                best = [block_top(at["slices"], at["low"], at["ids"], at["values"], q[i], query_ids[i], k) for i in range(len(query_ids))]
+                n = [len(i) for i, _ in best]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(query_ids, n)), pa.array(np.repeat(r["chunk"] * QUERIES + np.arange(len(n)), n)),
+                    pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "query", "vec_id", "score"])
+
+    partial = met.mapInArrow(over, "query_id long, query long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
