@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 
 from pactframe.llm.common import as_map, written
 
-#: A candidate has a digit or mixed case in a run of 12 or more, or is what a secret's name is set to.
+#: A candidate has a digit or mixed case in a run of 12 or more, or is what a secret's name is set to, or a URL's password.
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~@:-]{12,}")
 _SET = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?[ ]?[:=]+[ ]?[\"']?([^\s\"',;]{6,})")
+_URL_PASSWORD = re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@")
 _WORD = re.compile(r"[a-z]{3,}")
 _CLASS = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "9" for c in range(48, 58)}})
 # Neighbouring words that speak for a secret or against it.
@@ -33,6 +34,8 @@ FEATURES = ("length", "letters", "digits", "entropy", "class_changes", "transiti
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, in order, not overlapping; what a secret's name is set to comes first."""
     found = [m.span(1) for m in _SET.finditer(text)] if ("=" in text or ":" in text) else []
+    found += [m.span(1) for m in _URL_PASSWORD.finditer(text)] if "://" in text else []
+    first = set(found)
     for m in _RUN.finditer(text):
         begin, end = m.span()
         named = re.match(r"[A-Za-z_.-]*[:=]+", m.group())
@@ -44,6 +47,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
             found.append((begin, end))
     out: list[tuple[int, int]] = []
     for span in sorted(found, key=lambda s: (s[0], -s[1])):
+        if out and span[0] < out[-1][1] and span in first and out[-1] not in first:
+            out.pop()
         if not out or span[0] >= out[-1][1]:
             out.append(span)
     return out

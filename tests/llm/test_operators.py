@@ -342,8 +342,6 @@ def test_similar_documents(spark, odd, empty):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
     assert got == {k: k // 10 * 10 for k in texts}
-    salted = similar.similar_links(similar.signatures(df).withColumn("node", F.xxhash64(*similar.SIGNATURE)), similar.bits_apart(0.8), hot=1, salts=2)
-    assert len({r["root"] for r in simhash.components(salted).collect()}) == 60
     rows = sorted((r["doc_id"] or 0, r["component_id"]) for r in similar.similar_documents(odd).collect())
     assert rows == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (5, 1), (6, 6), (7, 7)]
     assert similar.similar_documents(empty).count() == 0
@@ -400,14 +398,6 @@ def test_crowded_shingles_lose_no_link(spark, block):
     assert any(len(g) > 1 for g in want.values())
 
 
-def test_leaders_are_within_the_bits():
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**63, (5, 4)).astype(np.uint64)
-    values = np.concatenate([base, base ^ np.uint64(7), base ^ np.uint64(1 << 40)])
-    leader = similar.lead(values, 12)
-    assert leader.tolist() == [0, 1, 2, 3, 4] * 3
-
-
 # Language, toxicity, secrets.
 
 def test_language_held_out_accuracy(spark, docs, odd, empty):
