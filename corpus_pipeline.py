@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactframe.llm import mixing, packing, queries, secrets, similar, toxicity
-from pactframe.llm.common import set_aside, written
+from pactframe.llm.common import delete_table, scratch, set_aside, stored, written
 
 
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -51,7 +51,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret.
+
+    Null and empty texts have none and stay; equal rows are marked alike; very
+    long texts are scanned whole.
+    """
     docs, restored = set_aside(docs, KNOWN)
     names = docs.columns
     model = secrets.fit(queries.table(spark, sf_dir, "documents"))
@@ -64,13 +68,22 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources meet their water-filled targets."""
+    """Documents repeated so that sources meet their water-filled targets.
+
+    Of null, empty and wordless texts nothing is taken, so they go; null
+    sources are one source; repeated rows are told apart.
+    """
     docs, restored = set_aside(docs, KNOWN)
     return restored(mixing.repeat_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens.
+
+    A null or empty text is the end id alone; repeated rows are separate
+    documents; a very long text fills windows of its own.  Columns of `docs`
+    other than id and text are not part of a piece.
+    """
     return packing.pack(docs, queries.tokenizer_path())
 
 
@@ -80,7 +93,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage wrote for itself, and its input, are deleted once its output is written."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            delete_table(spark, before)
+        before = path
     return docs
