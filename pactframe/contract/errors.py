@@ -40,6 +40,7 @@ MESSAGES = {
     "json_invalid": "Invalid JSON input",
     "json_duplicate": "Duplicate JSON object key",
     "discriminator_missing": "Required discriminator {discriminator} is missing",
+    "depth": "Input is nested deeper than {limit} levels",
     "discriminator_unknown": "Unknown discriminator {discriminator}; expected one of {tags}",
 }
 
@@ -107,10 +108,11 @@ class Place:
 
 
 def safe_text(text: Column) -> Column:
-    """Line ends, tabs and other control characters as escapes."""
-    for raw, shown in (("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")):
-        text = F.regexp_replace(text, raw, shown)
-    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "?")
+    """Line ends, tabs and all other control, format, private and unassigned characters as escapes."""
+    code = lambda c: F.lower(F.hex(F.ascii(c)))
+    escaped = lambda c: F.when(F.ascii(c) < 0x100, F.concat(F.lit("\\x"), F.lpad(code(c), 2, "0"))).when(F.ascii(c) < 0x10000, F.concat(F.lit("\\u"), F.lpad(code(c), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(code(c), 8, "0")))
+    shown = lambda c: F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c.rlike(r"^\p{C}"), escaped(c)).otherwise(c)
+    return F.when(text.rlike(r"\p{C}"), F.array_join(F.transform(F.split(text, ""), shown), "")).otherwise(text)
 
 
 def bounded_input(value: Column) -> Column:
@@ -155,9 +157,5 @@ def no_errors() -> Column:
     return F.array().cast(ERRORS)
 
 
-def one_if(condition: Column, err: Column) -> Column:
-    return F.when(condition, F.array(err)).otherwise(no_errors())
-
-
 def first_of(errors: Column) -> Column:
     return F.slice(errors, 1, 1)

@@ -5,9 +5,8 @@ Everything here is plain data on the driver; `compiler` turns it into columns.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column
@@ -139,6 +138,34 @@ def optional(kind: Any) -> Union:
     return Union((kind, NONE))
 
 
+@dataclass(frozen=True)
+class Deep:
+    """Where a recursive contract ends: every value is deeper than its `limit` levels."""
+
+    limit: int
+    name: str
+
+    def describe(self) -> str:
+        return self.name
+
+    def spark(self) -> T.DataType:
+        return T.StringType()
+
+
+def recursive(build: Callable[[Any], Contract], depth: int = 8) -> Contract:
+    """A contract that contains itself, unrolled: `build` gets what stands for the contract inside its fields.
+
+    A record may hold `depth` levels of records below the root; deeper ones
+    fail with code `depth`, not as unexpected.  The expression grows with the
+    depth, so that it is a bound of the declaration; see `max_depth` of
+    `from_json` for that of the text.
+    """
+    out: Any = Deep(depth, build(STR).name)
+    for _ in range(depth + 1):
+        out = build(out)
+    return out
+
+
 @dataclass(frozen=True)
 class Bound:
     """gt, ge, lt, le, multiple_of, min_length, max_length or pattern, with its limit."""
@@ -211,7 +238,11 @@ class Field:
     """A field of a record: its type, names, default and metadata.
 
     `transforms` are (name, column -> column) and give null where they reject;
-    `load` and `dump` are a representation: (external type, column -> column).
+    of JSON values they take those of kind `raw`, the others go on as they
+    are.  A `factory` gives a column; null, where the type has no null, is a
+    failure.  `load` is a representation, (external type, column -> column),
+    `dump` the way out, and `output` what its result is declared to be: it is
+    checked and projected as such, and without it the result is a leaf.
     """
 
     name: str
@@ -225,6 +256,8 @@ class Field:
     checks: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
     load: tuple[Any, Callable[[Column], Column]] | None = None
     dump: Callable[[Column], Column] | None = None
+    output: Any = None
+    raw: Scalar = Scalar("str")
     sensitive: bool = False
     read_only: bool = False
     write_only: bool = False
@@ -315,11 +348,3 @@ def derive(contract: Contract, include: tuple[str, ...] | None = None, exclude:
     names = {f.name for f in kept}
     checks = () if partial else tuple(c for c in contract.checks if set(c.fields) <= names)
     return replace(contract, fields=tuple(kept), checks=checks, partial=partial or contract.partial, origin=contract.origin or contract.name, mode=mode or contract.mode)
-
-
-def segment(name: str) -> str:
-    """A static location segment as a JSON scalar."""
-    return json.dumps(name, ensure_ascii=False)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Any", "Callable", "Column", "T", "dataclass", "field", "json", "replace")]

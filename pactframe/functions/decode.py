@@ -6,7 +6,7 @@ import json
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,12 +56,21 @@ def verdict(text: str) -> tuple:
     return None, None, None, None, None
 
 
+def _verdicts(texts: pd.Series, absent: tuple) -> pd.DataFrame:
+    rows = [verdict(t) if isinstance(t, str) else absent for t in texts]
+    return pd.DataFrame(rows, columns=["code", "line", "col", "position", "key"]).astype({"line": "Int32", "col": "Int32", "position": "Int32"})
+
+
 @F.pandas_udf(VERDICT)
 def strict_json(texts: pd.Series) -> pd.DataFrame:
     """`verdict` of each text; null texts are invalid."""
-    rows = [verdict(t) if isinstance(t, str) else ("invalid_json", None, None, None, None) for t in texts]
-    out = pd.DataFrame(rows, columns=["code", "line", "col", "position", "key"])
-    return out.astype({"line": "Int32", "col": "Int32", "position": "Int32"})
+    return _verdicts(texts, ("invalid_json", None, None, None, None))
+
+
+@F.pandas_udf(VERDICT)
+def verdict_of_rest(texts: pd.Series) -> pd.DataFrame:
+    """As `strict_json`, but nulls are texts that were found sound before."""
+    return _verdicts(texts, (None,) * 5)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -76,6 +85,29 @@ def json_depth(texts: pd.Series) -> pd.Series:
     return texts.map(one).astype("Int32")
 
 
-def decoded(text: Column, checked: Column) -> Column:
-    """The VARIANT of a text that `strict_json` passed, null for others."""
-    return F.when(checked["code"].isNull(), F.try_parse_json(text))
+def depth_over(text: Column, limit: int) -> Column:
+    """The depth of a JSON text that is nested deeper than `limit`, else null; only texts with more opening signs than that are looked into."""
+    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    depth = json_depth(F.when(opened > limit, text))
+    return F.when(depth > limit, depth)
+
+
+def decoded(df: DataFrame, column: str, verdict: str = "verdict", raw: str = "raw") -> DataFrame:
+    """Adds `verdict` (code, line, col, position, key; code null for strict JSON) and the VARIANT `raw`.
+
+    The engine's parser refuses what strict JSON does, but reads on no further
+    than the first value.  A text is that value alone if it still parses as
+    the only item of an array and, where a `]` of its own could end that
+    array, as the member of an object: what follows a value would have to
+    satisfy both.  Only texts that fail go to the Arrow helper, for their
+    place and reason.
+    """
+    text = F.col(column)
+    staged = df.withColumn("_pf_list", F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]"))))
+    staged = staged.withColumn("_pf_first", F.try_variant_get("_pf_list", "$[0]", "variant"))
+    again = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("\n}")))
+    alone = F.col("_pf_first").isNotNull() & F.try_variant_get("_pf_list", "$[1]", "variant").isNull() & (~text.contains("]") | again.isNotNull())
+    staged = staged.withColumn("_pf_sound", F.coalesce(alone, F.lit(False)))
+    staged = staged.withColumn(verdict, verdict_of_rest(F.when(~F.col("_pf_sound"), F.coalesce(text, F.lit("")))))
+    unread = F.when(~F.col("_pf_sound"), F.coalesce(F.col(verdict)["code"], F.lit("invalid_json")))
+    return staged.withColumn(verdict, F.col(verdict).withField("code", unread)).withColumn(raw, F.when(F.col("_pf_sound"), F.col("_pf_first"))).drop("_pf_list", "_pf_first", "_pf_sound")

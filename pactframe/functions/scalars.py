@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import ipaddress
-import pathlib
 import re
 
 import pandas as pd
@@ -12,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The forms of scalars as text.
 DAY = r"^\d{4}-\d{2}-\d{2}$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
 CLOCK = r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$"
@@ -58,22 +56,94 @@ def text_decimal(c: Column, precision: int = 38, scale: int = 18) -> Column:
     return F.when(c.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$") & (digits <= scale), c.try_cast(f"decimal({precision},{scale})"))
 
 
+#: A decimal number, with an exponent or without; white space around it and underscores are gone.
+DECIMAL = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,4}))?$"
+
+
+def _bare_number(c: Column) -> Column:
+    return F.translate(F.regexp_replace(c, r"^\s+|\s+$", ""), "_", "")
+
+
+def json_decimal(c: Column, precision: int = 38, scale: int = 18) -> Column:
+    """Exact, with exponents: null if the value has more digits than the type, and for what is no finite number."""
+    bare = _bare_number(c)
+    whole, part = F.regexp_extract(bare, DECIMAL, 2), F.regexp_extract(bare, DECIMAL, 3)
+    power = F.coalesce(F.regexp_extract(bare, DECIMAL, 4).try_cast("int"), F.lit(0))
+    digits = F.regexp_replace(F.concat(whole, part), "0+$", "")
+    last = F.length(digits) - F.length(whole) - power  # places after the point that the value needs
+    exact = bare.rlike(DECIMAL) & bare.rlike("[0-9]") & ~bare.rlike("^[+-]?[.]?[eE]") & ((digits == "") | (last <= scale))
+    return F.when(c.rlike(r"^-?[0-9]{1,9}$"), c.try_cast(f"decimal({precision},{scale})")).when(exact, bare.try_cast(f"decimal({precision},{scale})"))
+
+
+def non_finite_decimal(c: Column) -> Column:
+    """Whether a text means an infinity or no number at all."""
+    return _bare_number(c).rlike(r"(?i)^[+-]?(inf(inity)?|s?nan[0-9]*)$")
+
+
+#: Dates: calendar and week, with hyphens and without.
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{4}-W[0-9]{2}(?:-[0-9])?|[0-9]{4}W[0-9]{2}[0-9]?"
+#: Times: hours, minutes, seconds and a fraction of any length, with colons and without.
+_TIME = r"(?:[0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)?|[0-9]{4}(?:[0-9]{2}(?:[.,][0-9]+)?)?)"
+_OFFSET = r"Z|[+-][0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?|[0-9]{2}(?:[0-9]{2})?)?"
+ANY_DATE = f"^(?:{_DATE})$"
+ANY_TIME = f"^T?({_TIME})({_OFFSET})?$"
+ANY_INSTANT = f"^({_DATE})(?:[^0-9]({_TIME})({_OFFSET})?)?$"
+
+
 def iso_date(c: Column) -> Column:
-    return F.when(c.rlike(DAY), F.try_to_date(c, "yyyy-MM-dd") if hasattr(F, "try_to_date") else c.try_cast("date"))
+    """Calendar dates with hyphens and without, and week dates."""
+    digits = F.regexp_replace(c, "-", "")
+    year = F.substring(digits, 1, 4).try_cast("int")
+    plain = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
+    week, day = F.regexp_extract(c, "W([0-9]{2})", 1).try_cast("int"), F.coalesce(F.regexp_extract(c, "W[0-9]{2}-?([0-9])$", 1).try_cast("int"), F.lit(1))
+    fourth = F.concat(F.substring(digits, 1, 4), F.lit("-01-04")).try_cast("date")
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    found = F.date_add(monday, (week - 1) * 7 + day - 1)
+    by_week = F.when(day.between(1, 7) & week.between(1, 53) & (F.weekofyear(F.date_add(monday, (week - 1) * 7)) == week), found)
+    return F.when(c.rlike(DAY), F.when(year > 0, c.try_cast("date"))).when(c.rlike(ANY_DATE) & (year > 0), F.when(c.contains("W"), by_week).otherwise(plain))
+
+
+def _clock(t: Column) -> Column:
+    """Microseconds of a time of day in one of the forms of _TIME; null out of range."""
+    bare = F.regexp_replace(F.regexp_replace(t, "[.,].*$", ""), ":", "")
+    part = lambda k: F.when(F.length(bare) >= k + 1, F.substring(bare, k, 2)).otherwise(F.lit("00")).try_cast("bigint")
+    hour, minute, second = part(1), part(3), part(5)
+    micros = F.rpad(F.substring(F.regexp_extract(t, "[.,]([0-9]+)$", 1), 1, 6), 6, "0").try_cast("bigint")
+    return F.when((hour < 24) & (minute < 60) & (second < 60), ((hour * 60 + minute) * 60 + second) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+
+
+def _shift(offset: Column) -> Column:
+    """Microseconds east of UTC; 0 without an offset, null from a day on."""
+    micros = _clock(F.substring(offset, F.lit(2), F.length(offset)))
+    return F.when(F.coalesce(offset, F.lit("")).isin("", "Z"), F.lit(0).cast("bigint")).otherwise(F.when(offset.startswith("-"), -micros).otherwise(micros))
 
 
 def iso_datetime(c: Column, aware: bool = True) -> Column:
-    """An instant, in UTC where the text has no offset; a wall clock if not `aware`, offsets then being refused."""
+    """An instant, in UTC where the text has no offset; a wall clock if not `aware`, offsets then being refused.
+
+    All forms of `iso_date` and of times, with any one character but a digit between; a date alone is its midnight.
+    """
+    date, time, offset = (F.regexp_extract(c, ANY_INSTANT, k) for k in (1, 2, 3))
+    day = F.datediff(iso_date(date), F.lit("1970-01-01").cast("date")).cast("bigint")
+    micros = day * 86_400_000_000 + F.when(time == "", F.lit(0).cast("bigint")).otherwise(_clock(time)) - _shift(offset)
     if aware:
-        return F.when(c.rlike(INSTANT), F.regexp_replace(c, "Z$", "+00:00").try_cast("timestamp"))
-    return F.when(c.rlike(INSTANT) & ~c.rlike(r"(Z|[+-]\d{2}:\d{2})$"), c.try_cast("timestamp_ntz"))
+        fast = F.when(c.rlike(r"[+-]\d{2}:\d{2}$"), c.try_cast("timestamp"))
+        return F.when(c.rlike(INSTANT) & fast.isNotNull(), fast).when(c.rlike(ANY_INSTANT), F.timestamp_micros(micros))
+    fast = F.when(~c.rlike(r"(Z|[+-]\d{2}:\d{2})$"), c.try_cast("timestamp_ntz"))
+    wall = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.when(c.rlike(INSTANT), fast).when(c.rlike(ANY_INSTANT) & (offset == ""), wall)
 
 
 def iso_time(c: Column) -> Column:
-    """The canonical text of a time of day."""
-    whole = F.when(F.length(c) == 5, F.concat(c, F.lit(":00"))).otherwise(c)
-    part = F.rpad(F.regexp_extract(whole, r"\.(\d+)$", 1), 6, "0")
-    return F.when(c.rlike(CLOCK), F.when(whole.contains(".") & (part != "000000"), F.concat(F.substring(whole, 1, 8), F.lit("."), part)).otherwise(F.substring(whole, 1, 8)))
+    """The canonical text of a time of day, with its offset if it has one."""
+    time, offset = F.regexp_extract(c, ANY_TIME, 1), F.regexp_extract(c, ANY_TIME, 2)
+    micros, east = _clock(time), _shift(offset)
+    two = lambda n: F.lpad(n.cast("bigint").cast("string"), 2, "0")
+    clock = lambda n: F.concat_ws(":", two(F.floor(n / 3_600_000_000)), two(F.floor(n / 60_000_000) % 60), two(F.floor(n / 1_000_000) % 60))
+    part = lambda n: F.when(n % 1_000_000 > 0, F.concat(F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))).otherwise(F.lit(""))
+    size = F.abs(east)
+    zone = F.concat(F.when(east < 0, "-").otherwise("+"), F.substring(clock(size), 1, 5), F.when(size % 60_000_000 > 0, F.concat(F.lit(":"), two(F.floor(size / 1_000_000) % 60))).otherwise(F.lit("")), part(size))
+    return F.when(c.rlike(ANY_TIME) & micros.isNotNull() & east.isNotNull(), F.concat(clock(micros), part(micros), F.when(offset == "", F.lit("")).otherwise(zone)))
 
 
 def duration_micros(c: Column) -> Column:
@@ -115,53 +185,110 @@ def strict_base64(c: Column) -> Column:
 
 
 def path_text(c: Column) -> Column:
-    """Paths in normal form: no empty or `.` parts."""
-    return normal_path(c)
+    """Paths in normal form: no empty or `.` parts; two leading slashes stay two, more are one."""
+    root = F.when(c.rlike("^//([^/]|$)"), "//").when(c.startswith("/"), "/").otherwise("")
+    text = F.concat(root, F.array_join(F.filter(F.split(c, "/"), lambda p: ~p.isin("", ".")), "/"))
+    return F.when(text == "", ".").otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def normal_path(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: str(pathlib.PurePosixPath(t)), na_action="ignore")
+IP_KINDS = ("IPv4Address", "IPv6Address", "IPv4Network", "IPv6Network", "IPv4Interface", "IPv6Interface")
+_V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
-_IP_KINDS = {k: getattr(ipaddress, k) for k in ("IPv4Address", "IPv6Address", "IPv4Network", "IPv6Network", "IPv4Interface", "IPv6Interface")}
+def _dotted(n: int) -> str:
+    return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
 
 
-def canonical_ip(kind: str):
-    """A column function: canonical text of an address, network or interface; null if the text is none."""
-    build = _IP_KINDS[kind]
+#: Masks as texts and the prefixes that they mean: net masks, then the host masks that aren't net masks too.
+_MASKS = {_dotted(2**(32 - p) - 1): p for p in range(32, -1, -1)} | {_dotted(2**32 - 2**(32 - p)): p for p in range(33)}
 
-    def one(text: str) -> str | None:
-        try:
-            return str(build(text))
-        except ValueError:
-            return None
 
-    @F.pandas_udf(T.StringType())
-    def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+def _v4_number(c: Column) -> Column:
+    parts = F.split(c, r"\.")
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p.try_cast("bigint"))
 
-    return convert
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-_PARSERS = {"date": dt.date.fromisoformat, "datetime": dt.datetime.fromisoformat, "time": dt.time.fromisoformat}
 
+def _v6_groups(c: Column) -> Column:
+    """The eight groups of an IPv6 address as hexadecimal texts without leading zeros; null if it is none."""
+    groups = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+    hexed = lambda n: F.concat_ws(":", F.lower(F.hex(F.floor(n / 65536))), F.lower(F.hex(n % 65536)))
+    whole = lambda tail: F.when(tail == "", c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(tail)), hexed(_v4_number(tail))))
+    halves = _let(F.regexp_extract(c, rf":({_V4})$", 1), lambda tail: F.transform(F.split(whole(tail), "::"), groups))
 
-def any_iso(kind: str):
-    """A column function for every ISO form (week dates, basic forms): the canonical text, or null."""
-    parse = _PARSERS[kind]
+    def spread(h: Column) -> Column:
+        left, right = F.get(h, F.lit(0)), F.get(h, F.lit(1))
+        gap = 8 - F.size(left) - F.size(right)
+        return F.when((F.size(h) == 2) & (gap >= 1), F.concat(left, F.array_repeat(F.lit("0"), gap), right)).when((F.size(h) == 1) & (F.size(left) == 8), left)
+
+    sound = lambda all_: F.when(F.forall(all_, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), F.transform(all_, lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")))
+    return _let(_let(halves, spread), sound)
 
-    def one(text: str) -> str | None:
-        try:
-            return parse(text).isoformat()
-        except ValueError:
-            return None
 
-    @F.pandas_udf(T.StringType())
-    def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+def _v6_text(groups: Column) -> Column:
+    """Canonical text of eight groups: the first of the longest runs of zeros, of two at least, is left out."""
+    def shortened(joined: Column) -> Column:
+        out = F.when(joined.startswith("0:0:0:0:0:ffff:"), _let(F.split(joined, ":"), mapped))
+        for k in range(8, 1, -1):
+            run = rf"^(.*?)(?:^|:)0(?::0){{{k - 1}}}(?::|$)(.*)$"
+            out = out.when(joined.rlike(run), F.regexp_replace(joined, run, "$1::$2"))
+        return out.otherwise(joined)
 
-    return convert
+    byte = lambda n: F.concat_ws(".", F.floor(n / 256).cast("string"), (n % 256).cast("string"))
+    mapped = lambda g: F.concat(F.lit("::ffff:"), byte(F.conv(g[6], 16, 10).cast("int")), F.lit("."), byte(F.conv(g[7], 16, 10).cast("int")))
+    return _let(F.array_join(groups, ":"), shortened)
+
+
+def canonical_ip(kind: str):
+    """A column function: canonical text of an address, network or interface; null if the text is none.
+
+    Networks refuse host bits; masks may be prefixes or, of version 4, dotted.
+    """
+    four, form = kind.startswith("IPv4"), kind[4:]
+
+    def address(c: Column) -> Column:
+        if four:
+            return F.when(c.rlike(f"^{_V4}$"), c)
+        zone = F.regexp_extract(c, "(%[^%/]+)$", 1)
+        bare = F.when(c.contains("%"), F.substring(c, F.lit(1), F.length(c) - F.length(zone))).otherwise(c)
+        groups = _let(bare, _v6_groups)
+        return F.when(c.contains(":"), F.concat(_let(groups, lambda g: F.when(g.isNotNull(), _v6_text(g))), zone))
+
+    if form == "Address":
+        return address
+
+    def with_mask(c: Column) -> Column:
+        parts = F.split(c, "/")
+        host, mask = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        bits = 32 if four else 128
+        number = F.when(mask.rlike("^[0-9]{1,9}$"), mask.try_cast("int"))
+        if four:
+            number = F.coalesce(number, F.element_at(F.create_map(*[F.lit(x) for kv in _MASKS.items() for x in kv]), mask))
+        prefix = F.when(F.size(parts) == 1, F.lit(bits)).when((F.size(parts) == 2) & number.between(0, bits), number)
+        text = F.concat(address(host), F.lit("/"), prefix.cast("string"))
+        if form == "Interface":
+            return text
+        if four:
+            bare = F.pmod(_v4_number(host), F.pow(F.lit(2), 32 - prefix).cast("bigint")) == 0
+        else:
+            free = lambda k: F.least(F.lit(16), F.greatest(F.lit(0), 16 * (k + 1) - prefix))
+            bare = F.forall(F.transform(_let(F.regexp_replace(host, "%[^%/]+$", ""), _v6_groups), lambda g, k: F.conv(g, 16, 10).cast("bigint") % F.pow(F.lit(2), free(k)).cast("bigint") == 0), lambda b: b)
+        return F.when(bare, text)
+
+    return with_mask
+
+
+def any_iso(kind: str):
+    """A column function for every ISO form: the canonical text, or null."""
+    if kind == "date":
+        return lambda c: F.date_format(iso_date(c), "yyyy-MM-dd")
+    if kind == "time":
+        return iso_time
+    return lambda c: F.date_format(iso_datetime(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def python_pattern(pattern: str, flags: int = 0):

@@ -222,7 +222,7 @@ def o_tagged(spark, sf_dir):
     """A selection that keeps the discriminator."""
     good = _tagged(spark, sf_dir).where("value is not null")
     out = projected(TAGGED, F.col("value"), include={"type": True, "user": True})
-    return good.select("event_id", out["type"].alias("type"), F.coalesce(*[out[c.name]["user"] for _, c in TAGGED.branches]).alias("user"))
+    return good.select("event_id", out["type"].alias("type"), out["user"].alias("user"))
 
 
 QUERIES = {f.__name__: f for f in (

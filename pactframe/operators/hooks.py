@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactframe.contract import compiler as C
-from pactframe.contract.errors import Place
+from pactframe.contract.errors import Place, no_errors
 
 
-def validated_udf(df: DataFrame, fn, params: list[tuple[str, object]], returns, arguments: list[str]) -> DataFrame:
+def validated_udf(df: DataFrame, fn, params: list[tuple], returns, arguments: list[str], rest: tuple[str, object] | None = None) -> DataFrame:
     """Adds value and errors of `fn` (a column function or UDF) over checked arguments.
 
-    Each argument is checked strictly at its parameter's name, the result at
-    `return`; the function sees nulls in place of arguments that failed, and
-    its result counts only where all passed.
+    `params` are (name, type) or (name, type, default); `arguments` are
+    columns, and where there are fewer than parameters, defaults stand for the
+    others.  Arguments beyond the parameters are those of `rest`, (name, type),
+    and are located at that name and their place.  Each argument is checked
+    strictly at its parameter's name, the result at `return`; the function
+    sees nulls in place of all arguments where one failed, and its result
+    counts only where all passed.
     """
-    errors = []
-    for (name, kind), column in zip(params, arguments, strict=True):
-        errors.append(C.rows(kind, F.col(column), df.schema[column].dataType, Place().field(name)).errors)
-    staged = df.withColumn("_errors", F.flatten(F.array(*errors)))
-    good = F.size("_errors") == 0
-    staged = staged.withColumn("_result", fn(*[F.when(good, F.col(c)) for c in arguments]))
-    result = C.rows(returns, F.col("_result"), staged.schema["_result"].dataType, Place().field("return"))
-    staged = staged.withColumn("errors", F.when(~good, F.col("_errors")).otherwise(result.errors))
-    return staged.withColumn("value", F.when(F.size("errors") == 0, F.col("_result"))).drop("_errors", "_result")
+    ctx = C.Ctx(stages=C.Stages())
+    if len(arguments) > len(params) and rest is None or len(arguments) < sum(len(p) == 2 for p in params):
+        raise ValueError(f"{len(arguments)} arguments for {len(params)} parameters")
+    checked = [C.rows(p[1], F.col(f"`{a}`"), df.schema[a].dataType, Place().field(p[0]), ctx) for p, a in zip(params, arguments, strict=False)]
+    checked += [C.rows(rest[1], F.col(f"`{a}`"), df.schema[a].dataType, Place().field(rest[0]).index(F.lit(k)), ctx) for k, a in enumerate(arguments[len(params):])]
+    staged = [ctx.stage(c.ok, c.level) for c in checked]
+    good, level = ctx.stage(C._all([ok for ok, _ in staged]), max([0, *[n for _, n in staged]]))
+    given = [F.when(good, F.col(f"`{a}`")) for a in arguments] + [F.lit(p[2]) for p in params[len(arguments):]]
+    done = ctx.stages.applied(df).withColumn("_result", fn(*given))
+    result = C.rows(returns, F.col("_result"), done.schema["_result"].dataType, Place().field("return"))
+    failed = F.flatten(F.array(*[F.when(~ok, c.errors).otherwise(no_errors()) for (ok, _), c in zip(staged, checked, strict=True)])) if checked else no_errors()
+    errors = F.when(~good, failed).when(result.ok, no_errors()).otherwise(result.errors)
+    return done.select(*df.columns, F.when(good & result.ok, F.col("_result")).alias("value"), errors.alias("errors"))
 
 
 def dump_checked(kind, value: Column, fn, dtype) -> C.Compiled:
-    """A field serialised by `fn`, its result checked against the declared output."""
-    return C.rows(kind, fn(value), dtype, Place().field("output"))
+    """A field serialised by `fn`, its result checked against the declared output; errors are empty where it is sound."""
+    c = C.rows(kind, fn(value), dtype, Place().field("output"))
+    return C.Compiled(c.value, c.ok, F.when(c.ok, no_errors()).otherwise(c.errors), c.truncated, c.level)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactframe.contract import compiler as C
-from pactframe.contract.errors import Place
+from pactframe.contract.errors import Place, no_errors
 from pactframe.contract.model import Contract
 
 
@@ -44,19 +44,25 @@ def apply_patch(base: DataFrame, patches: DataFrame, key: str, contract: Contrac
     return recheck(staged, contract, [key]).withColumn("changed", F.col("_changed") > 0).drop("_changed")
 
 
-def recheck(df: DataFrame, contract: Contract, keys: list[str]) -> DataFrame:
-    """Adds value and errors of a table whose columns are the contract's fields by canonical name."""
-    plain = replace(contract, fields=tuple(replace(f, transforms=(), load=None, alias=None, legacy=()) for f in contract.fields))
+def recheck(df: DataFrame, contract: Contract, keys: list[str], changed: frozenset[str] = frozenset()) -> DataFrame:
+    """Adds value and errors of a table whose columns are the contract's fields by canonical name.
+
+    Values are native, so representations don't run; transforms run on the
+    `changed` fields alone.
+    """
+    plain = replace(contract, fields=tuple(replace(f, transforms=f.transforms if f.name in changed else (), load=None, alias=None, legacy=()) for f in contract.fields))
     own = type(df.schema)([f for f in df.schema if f.name in {x.name for x in contract.fields}])
-    c = C.rows_record(plain, own, lambda n: F.col(f"`{n}`"), Place())
+    ctx = C.Ctx(stages=C.Stages())
+    c = C.rows_record(plain, own, lambda n: F.col(f"`{n}`"), Place(), ctx)
     rest = [n for n in df.columns if n not in keys and n.startswith("_")]
-    staged = df.select(*keys, *rest, c.value.alias("_v"), c.errors.alias("errors"))
-    return staged.select(*keys, *rest, F.when(F.size("errors") == 0, F.col("_v")).alias("value"), "errors")
+    ok, _ = ctx.stage(c.ok, c.level)
+    ok = ok & (F.spark_partition_id() >= 0)  # see validate._staged
+    return ctx.stages.applied(df).select(*keys, *rest, F.when(ok, c.value).alias("value"), F.when(ok, no_errors()).otherwise(c.errors).alias("errors"))
 
 
 def replace_fields(df: DataFrame, contract: Contract, keys: list[str], **changes) -> DataFrame:
-    """Rows with some fields replaced by columns; types, bounds and checks run on the result."""
+    """Rows with some fields replaced by columns: transforms of these, then types, bounds and checks of the result."""
     unknown = set(changes) - {f.name for f in contract.fields}
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
-    return recheck(df.withColumns(changes), contract, keys)
+    return recheck(df.withColumns(changes), contract, keys, frozenset(changes))
