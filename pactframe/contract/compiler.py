@@ -403,18 +403,20 @@ def _entries(parts: list[Compiled], extra: list[Column], unknown: Column | None)
     return out if unknown is None else F.concat(out, F.transform(unknown, lambda e: F.struct(F.array(e).alias("e"), F.lit(False).alias("t"))))
 
 
-def _budgeted(parts: list[Compiled], extra: list[Column], unknown: Column | None, limit: int, ctx: Ctx) -> tuple[Column, Column | None]:
-    """Errors of a record's parts and whether they stop early.
+def _budgeted(parts: list[Compiled], extra: list[Column], unknown: Column | None, limit: int) -> tuple[Column, bool]:
+    """Errors of a record's parts, or, if they may stop early (then the second is true), a struct of them and of whether they do (errors, cut).
 
     Each part counts once, however many errors it has; a part that stopped
     early ends the record with its own errors; reaching the limit counts as
     stopping.
     """
     if unknown is None and len(parts) + len(extra) < limit and all(c.truncated is None for c in parts):
-        return F.flatten(F.array(*[F.when(~c.ok, c.errors).otherwise(no_errors()) for c in parts], *([F.array(*extra)] if extra else []))), None
-    entries = F.transform(F.array(_entries(parts, extra, unknown)), lambda all_: F.struct(F.slice(all_, 1, limit).alias("l"), (F.size(all_) >= limit).alias("full")))
-    ended = F.transform(entries, lambda x: F.struct(x["l"].alias("l"), x["full"].alias("full"), F.get(F.filter(x["l"], lambda y: y["t"]), F.lit(0)).alias("end")))[0]
-    return F.when(ended["end"].isNotNull(), ended["end"]["e"]).otherwise(F.flatten(F.transform(ended["l"], lambda y: y["e"]))), ended["end"].isNotNull() | ended["full"]
+        return F.flatten(F.array(*[F.when(~c.ok, c.errors).otherwise(no_errors()) for c in parts], *([F.array(*extra)] if extra else []))), False
+    def ended(found: Column) -> Column:
+        cut = F.get(F.filter(found["l"], lambda y: y["t"]), F.lit(0))
+        return F.struct(F.when(cut.isNotNull(), cut["e"]).otherwise(F.flatten(F.transform(found["l"], lambda y: y["e"]))).alias("errors"), (cut.isNotNull() | found["full"]).alias("cut"))
+
+    return _let(_let(_entries(parts, extra, unknown), lambda all_: F.struct(F.slice(all_, 1, limit).alias("l"), (F.size(all_) >= limit).alias("full"))), ended), True
 
 
 def _record(contract: M.Contract, parts: list[tuple[M.Field, Compiled | None]], later: list, extra: list[Column], unknown: tuple[Column, Column] | None, place: Place, ctx: Ctx, level: int) -> Compiled:
@@ -437,7 +439,14 @@ def _record(contract: M.Contract, parts: list[tuple[M.Field, Compiled | None]],
         cut = [(~c.ok, F.lit(False) if c.truncated is None else F.coalesce(c.truncated, F.lit(False))) for c in staged]
         errors, truncated = first, _chain(cut, F.lit(False)) if any(c.truncated is not None for c in staged) else None
     else:
-        errors, truncated = _budgeted(staged, extra, None if unknown is None else unknown[1], ctx.max_errors, ctx)
+        found, counted = _budgeted(staged, extra, None if unknown is None else unknown[1], ctx.max_errors)
+        if counted and ctx.stages is None and not later and not contract.checks:
+            values_ = F.struct(*[values[f.name].alias(f.name) for f in contract.fields])
+            return _unpack(_let(F.struct(ok.alias("ok"), F.when(~ok, found).alias("found")), lambda p: F.struct(p["ok"].alias("ok"), values_.alias("value"), p["found"]["errors"].alias("errors"), F.coalesce(p["found"]["cut"], F.lit(False)).alias("cut"))), ctx, level)
+        errors, truncated = found, None
+        if counted:
+            found, level = ctx.stage(F.when(~ok, found), level)
+            errors, truncated = found["errors"], F.coalesce(found["cut"], F.lit(False))
     if later:
         fields_ok, level = ctx.stage(ok, level)
         made: list[Compiled] = []
@@ -451,7 +460,9 @@ def _record(contract: M.Contract, parts: list[tuple[M.Field, Compiled | None]],
             level = max(level, n)
             made.append(Compiled(c.value, own, F.when(none, F.array(error("factory", at, context={"field": f.external}))).otherwise(c.errors), c.truncated, n))
             values[f.name] = c.value if held is None else F.when(absent, c.value).otherwise(held)
-        late, stopped = _budgeted(made, [], None, ctx.max_errors, ctx)
+        late, counted = _budgeted(made, [], None, ctx.max_errors)
+        stopped = late["cut"] if counted else None
+        late = late["errors"] if counted else late
         ok = _all([fields_ok, *[c.ok for c in made]])
         errors = F.when(~fields_ok, errors).otherwise(late)
         if truncated is not None or stopped is not None:
@@ -678,37 +689,37 @@ def json_tagged(kind: M.Tagged, cell: Cell, place: Place, ctx: Ctx, keys: Column
 
 # Schema visits, for budgets.
 
-def row_nodes(kind, raw: Column, dtype: T.DataType) -> Column:
-    """How many values a contract visits in a typed value: itself and all inside, an option of a union for each that is tried."""
+def row_nodes(kind, raw: Column, dtype: T.DataType, tried: bool = False) -> Column:
+    """How many values a contract visits in a typed value: itself and all inside; of a union, itself and each option that is tried, up to its first unsound item."""
     one = F.lit(1).cast("bigint")
     if isinstance(kind, M.Constrained):
-        return row_nodes(kind.base, raw, dtype)
+        return row_nodes(kind.base, raw, dtype, tried)
     if isinstance(kind, M.Union):
-        return _tried(kind, lambda o: (row_nodes(o, raw, dtype), rows(o, raw, dtype, Place()).ok), raw.isNull())
+        return _tried(kind, lambda o: (row_nodes(o, raw, dtype, True), rows(o, raw, dtype, Place()).ok), raw.isNull())
     if isinstance(kind, M.Many) and isinstance(dtype, T.ArrayType):
-        return one + _visited(raw, lambda x: row_nodes(kind.item, x, dtype.elementType), lambda x: rows(kind.item, x, dtype.elementType, Place()).ok)
+        return one + _visited(raw, lambda x: row_nodes(kind.item, x, dtype.elementType, tried), lambda x: rows(kind.item, x, dtype.elementType, Place()).ok, tried)
     if isinstance(kind, M.Mapping) and isinstance(dtype, T.MapType):
-        return one + _visited(F.map_entries(raw), lambda e: one + row_nodes(kind.value, e["value"], dtype.valueType), lambda e: rows(kind.value, e["value"], dtype.valueType, Place()).ok)
+        return one + _visited(F.map_entries(raw), lambda e: one + row_nodes(kind.value, e["value"], dtype.valueType, tried), lambda e: rows(kind.value, e["value"], dtype.valueType, Place()).ok, tried)
     if isinstance(kind, M.Contract) and isinstance(dtype, T.StructType):
-        inside = [row_nodes(f.type, raw[n], dtype[n].dataType) for f in kind.fields for n in f.names if n in dtype.names]
+        inside = [row_nodes(f.type, raw[n], dtype[n].dataType, tried) for f in kind.fields for n in f.names if n in dtype.names]
         return F.when(raw.isNull(), one).otherwise(functools.reduce(lambda a, b: a + b, inside, one))
     if isinstance(kind, M.Fixed) and isinstance(dtype, T.ArrayType):
         return functools.reduce(lambda a, b: a + b, [F.when(F.size(raw) == len(kind.items), row_nodes(t, F.get(raw, F.lit(k)), dtype.elementType)).otherwise(0) for k, t in enumerate(kind.items)], one)
     return one
 
 
-def json_nodes(kind, v: Column) -> Column:
+def json_nodes(kind, v: Column, tried: bool = False) -> Column:
     """As `row_nodes`, of a VARIANT; of a tagged union only the branch that its tag picks."""
     one = F.lit(1).cast("bigint")
     add = lambda parts: functools.reduce(lambda a, b: a + b, parts, one)
     if isinstance(kind, M.Constrained):
-        return json_nodes(kind.base, v)
+        return json_nodes(kind.base, v, tried)
     if isinstance(kind, M.Union):
-        return _tried(kind, lambda o: (json_nodes(o, v), json_value(o, v, Place()).ok), F.is_variant_null(v))
+        return _tried(kind, lambda o: (json_nodes(o, v, True), json_value(o, v, Place()).ok), F.is_variant_null(v))
     if isinstance(kind, M.Many):
-        return one + _visited(F.try_variant_get(v, "$", "array<variant>"), lambda x: json_nodes(kind.item, x), lambda x: json_value(kind.item, x, Place()).ok)
+        return one + _visited(F.try_variant_get(v, "$", "array<variant>"), lambda x: json_nodes(kind.item, x, tried), lambda x: json_value(kind.item, x, Place()).ok, tried)
     if isinstance(kind, M.Mapping):
-        return one + _visited(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: one + json_nodes(kind.value, e["value"]), lambda e: json_value(kind.value, e["value"], Place()).ok)
+        return one + _visited(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: one + json_nodes(kind.value, e["value"], tried), lambda e: json_value(kind.value, e["value"], Place()).ok, tried)
     if isinstance(kind, M.Fixed) or isinstance(kind, M.Contract) and kind.shape == "positional":
         types = kind.items if isinstance(kind, M.Fixed) else [f.type for f in kind.fields]
         items = F.try_variant_get(v, "$", "array<variant>")
@@ -717,15 +728,17 @@ def json_nodes(kind, v: Column) -> Column:
         tag = json_scalar(M.Literal(tuple(t for t, _ in kind.branches)).base(), member(v, kind.tag))
         return one + F.coalesce(*[F.when(tag == t, json_nodes(c, v) + 1) for t, c in kind.branches], F.lit(0))
     if isinstance(kind, M.Contract):
-        return add([F.when(member(v, n).isNotNull(), json_nodes(f.type, member(v, n))).otherwise(0) for f in kind.fields for n in f.names])
+        return add([F.when(member(v, n).isNotNull(), json_nodes(f.type, member(v, n), tried)).otherwise(0) for f in kind.fields for n in f.names])
     return one
 
 
-def _visited(items: Column, nodes, ok) -> Column:
-    """Visits of items up to the first that isn't sound."""
-    seen = F.coalesce(F.nullif(F.array_position(F.transform(items, ok), F.lit(False)), F.lit(0)), F.size(items).cast("bigint"))
-    counted = F.aggregate(F.slice(items, F.lit(1), F.greatest(seen, F.lit(0)).cast("int")), F.lit(0).cast("bigint"), lambda acc, x: acc + nodes(x))
-    return F.coalesce(counted, F.lit(0).cast("bigint"))
+def _visited(items: Column, nodes, ok, tried: bool) -> Column:
+    """Visits of items; of an option that is `tried`, of those up to the first that isn't sound."""
+    zero = F.lit(0).cast("bigint")
+    if tried:
+        seen = F.coalesce(F.nullif(F.array_position(F.transform(items, ok), F.lit(False)), F.lit(0)), F.size(items).cast("bigint"))
+        items = F.slice(items, F.lit(1), F.greatest(seen, F.lit(0)).cast("int"))
+    return F.coalesce(F.aggregate(items, zero, lambda acc, x: acc + nodes(x)), zero)
 
 
 def _tried(kind: M.Union, option, null: Column) -> Column:

@@ -3,31 +3,24 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from pactframe.contract import model as M
 from pactframe.contract.model import Contract, Field, constrained, derive, optional
 from pactframe.functions import scalars
-from pactframe.jobs.common import table
+from pactframe.jobs.common import shared_folder, table
 from pactframe.jobs.raw import TAGGED
 from pactframe.operators.hooks import dump_checked
 from pactframe.operators.output import to_json, to_rows
 from pactframe.operators.validate import flat_errors, from_json, from_rows
 from pactframe.sources import jsonl
-from pactframe.streaming.stream import patch_stream
-
-
-def _folder(spark, name):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from pactframe.streaming.stream import patch_stream, patched
 
 
 def s_read_jsonl(spark, sf_dir):
     """Events written as JSON Lines files and read back strictly, each record by its own id."""
-    path = _folder(spark, "jsonl")
+    path = shared_folder(spark, "jsonl")
     text = F.expr("""case event_id % 6 when 0 then '' when 1 then '{"id":' || event_id || ',"id":1}' when 2 then '{"id":"x"}' else '{"id":' || event_id || '}' end""")
     table(spark, sf_dir, "events").select(text.alias("value")).write.text(path)
     done = jsonl.read_jsonl(spark, path, Contract("R", (Field("id", M.INT),)))
@@ -83,14 +76,14 @@ def x_patch(spark, sf_dir):
     """Patches of orders' customers as a stream onto the customer table."""
     c = Contract("Cust", (Field("key", M.INT, read_only=True), Field("name", M.STR), Field("nation", constrained(M.INT, lt=25))))
     patch = derive(c, mode="input", partial=True)
-    root = _folder(spark, "patch")
+    root = shared_folder(spark, "patch")
     table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("bigint").alias("nation")).write.parquet(f"{root}/base")
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     source = spark.readStream.schema(schema).parquet(re.sub(r"/$", "", sf_dir) + "/order[s].parquet")
     rows = source.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.concat(F.lit('{"nation":'), (F.col("o_orderkey") % 25).cast("string"), F.lit("}")).alias("text"))
     done = from_json(rows, "text", patch, keep=["key", "seq"])
     patch_stream(done, f"{root}/base", f"{root}/out", "key", "seq", c, patch, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out/batch=0").select("key", "name", "nation")
+    return patched(spark, f"{root}/out").select("key", "name", "nation")
 
 
 QUERIES = {f.__name__: f for f in (s_read_jsonl, f_input_size, o_alias, t_optional, t_literal, t_structured, h_serialize, u_optional_tagged, x_patch)}

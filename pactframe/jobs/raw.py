@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pactframe.contract import model as M
 from pactframe.contract.model import Contract, Field, Tagged, constrained, optional
 from pactframe.functions.decode import strict_json
-from pactframe.jobs.common import errors_sql, table
+from pactframe.jobs.common import errors_sql, shared_folder, table
 from pactframe.operators import budgets
 from pactframe.operators.output import projected, to_json
 from pactframe.operators.routing import route
@@ -163,7 +163,9 @@ def u_missing(spark, sf_dir):
 
 
 def u_route(spark, sf_dir):
-    branches = route(_tagged(spark, sf_dir), TAGGED, ["event_id"])
+    path = shared_folder(spark, "routed")
+    _tagged(spark, sf_dir).select("event_id", "value").write.parquet(path)
+    branches = route(spark.read.parquet(path), TAGGED, ["event_id"])
     out = None
     for name, df in branches.items():
         part = df.select(F.lit(name).alias("branch"), "event_id", F.col("value.user").alias("user"))

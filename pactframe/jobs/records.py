@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +11,7 @@ from pactframe.contract.compiler import json_value
 from pactframe.contract.errors import Place
 from pactframe.contract.model import Check, Contract, Field, constrained, derive, optional
 from pactframe.functions import scalars
-from pactframe.jobs.common import errors_sql, table
+from pactframe.jobs.common import errors_sql, shared_folder, table
 from pactframe.operators.hooks import validated_udf
 from pactframe.operators.layers import name_conflicts, normalized_path, provenance, resolve_layers
 from pactframe.operators.output import non_finite, partial_json, to_json, to_rows
@@ -217,8 +214,8 @@ def _layers(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), "p_size", "p_brand")
     make = lambda rank, layer, path, value, cond: part.where(cond).select("entity", F.lit(rank).alias("rank"), F.lit(layer).alias("layer"), F.lit(path).alias("path"), value.cast("string").alias("value"))
     e = F.col("entity")
-    return (make(1, "toml", "database.host", F.col("p_brand"), F.lit(True)).union(make(1, "toml", "database.port", F.lit(6000), e % 2 == 0)).union(make(2, "secret", "database.password", F.lit("mounted"), e % 3 == 0))
-            .union(make(3, "environment", "database.port", F.col("p_size"), e % 4 == 0)).union(make(4, "override", "database.host", F.lit("override"), e % 10 == 0)).union(make(4, "override", "database", F.lit("flat"), e % 10 == 5)))
+    return (make(1, "toml", "store.region", F.col("p_brand"), F.lit(True)).union(make(1, "toml", "store.quota", F.lit(4410), e % 2 == 0)).union(make(2, "secret", "store.seal", F.lit("wax"), e % 3 == 0))
+            .union(make(3, "environment", "store.quota", F.col("p_size"), e % 4 == 0)).union(make(4, "override", "store.region", F.lit("urgent"), e % 10 == 0)).union(make(4, "override", "store", F.lit("none"), e % 10 == 5)))
 
 
 def l_layers(spark, sf_dir):
@@ -226,21 +223,21 @@ def l_layers(spark, sf_dir):
 
 
 def l_provenance(spark, sf_dir):
-    leaves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.explode(F.array(*[F.lit(p) for p in ("database.host", "database.port", "database.password")])).alias("path"))
+    leaves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.explode(F.array(*[F.lit(p) for p in ("store.region", "store.quota", "store.seal")])).alias("path"))
     return provenance(resolve_layers(_layers(spark, sf_dir)), leaves).select("entity", "path", "source")
 
 
 def l_conflict(spark, sf_dir):
-    names = spark.createDataFrame([("app_database__port", "database.port"), ("app_db__port", "database.port"), ("app_debug", "debug")], "name string, leaf string")
+    names = spark.createDataFrame([("shop_store__quota", "store.quota"), ("shop_st__quota", "store.quota"), ("shop_trace", "trace")], "name string, leaf string")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"))
-    named = s.where("entity % 2 = 0").select("entity", F.lit("environment").alias("layer"), F.lit("APP_DATABASE__PORT").alias("name")).union(
-        s.where("entity % 3 = 0").select("entity", F.lit("environment"), F.lit("app_DB__port"))).union(s.select("entity", F.lit("toml"), F.lit("APP_DEBUG")))
+    named = s.where("entity % 2 = 0").select("entity", F.lit("environment").alias("layer"), F.lit("SHOP_STORE__QUOTA").alias("name")).union(
+        s.where("entity % 3 = 0").select("entity", F.lit("environment"), F.lit("shop_ST__quota"))).union(s.select("entity", F.lit("toml"), F.lit("SHOP_TRACE")))
     return name_conflicts(named, names).select("entity", "layer", "leaf", F.array_join("names", ",").alias("names"), "code")
 
 
 def l_names(spark, sf_dir):
-    t = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("APP_Database__"), F.col("s_name"))).otherwise(F.col("s_name"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", normalized_path(t, "APP_").alias("path"))
+    t = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("SHOP_Store__"), F.col("s_name"))).otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", normalized_path(t, "SHOP_").alias("path"))
 
 
 def h_udf(spark, sf_dir):
@@ -253,9 +250,7 @@ def h_udf(spark, sf_dir):
     return done.select("l_orderkey", "l_linenumber", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("errors"))
 
 
-TREE = Contract("Leaf", (Field("value", M.INT),))
-for _ in range(3):
-    TREE = Contract("Node", (Field("value", M.INT), Field("children", M.Many(TREE), default=None)))
+TREE = M.recursive(lambda node: Contract("Node", (Field("value", M.INT), Field("children", M.Many(node), default=None))), 3)
 
 
 def p_recursive(spark, sf_dir):
@@ -269,8 +264,7 @@ def x_stream(spark, sf_dir):
     """Events as a stream, good rows and quarantine by batch, counters per batch."""
     import re
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(re.sub(r"/$", "", sf_dir) + "/event[s].parquet")
     rows = source.select("event_id", F.concat(F.lit('{"k":'), F.when(F.col("event_id") % 5 == 0, F.lit('"x"')).otherwise((F.col("event_id") % 9).cast("string")), F.lit("}")).alias("text"))
     done = validated_stream(rows, "text", Contract("K", (Field("k", constrained(M.INT, lt=8)),)), ["event_id"])
@@ -293,7 +287,7 @@ ORACLE_SQL = {
     "c_date": "select o_orderkey, case when o_orderkey % 5 = 4 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders",
     "c_datetime": "select o_orderkey, case o_orderkey % 5 when 0 then '2026-01-02 03:04:05.000' when 1 then '2026-01-02 01:04:05.000' when 2 then '2026-01-02 03:04:00.000' when 4 then '2026-01-02 03:04:05.500' end as \"at\", case o_orderkey % 5 when 2 then '2026-01-02 03:04:00.000' when 4 then '2026-01-02 03:04:05.500' end as wall from orders",
     "c_time": "select o_orderkey, case o_orderkey % 5 when 0 then '03:04:00' when 1 then '03:04:05.500000' when 4 then '03:04:05' end as t from orders",
-    "c_duration": """select o_orderkey, case o_orderkey % 6 when 0 then o_orderkey * 86400000000 when 1 then -(o_orderkey * 60000000 + 1500000) when 4 then 1 when 5 then 176400000000 end as micros,
+    "c_duration": """select o_orderkey, case o_orderkey % 6 when 0 then o_orderkey * 86400000000 when 1 then -(o_orderkey * 44100000 + 1500000) when 4 then 1 when 5 then 176400000000 end as micros,
         case o_orderkey % 6 when 0 then case when o_orderkey = 0 then 'PT0S' else 'P' || o_orderkey || 'D' end when 4 then 'PT0.000001S' when 5 then 'P2DT1H'
           when 1 then '-P' || case when o_orderkey >= 1440 then (o_orderkey // 1440) || 'D' else '' end || 'T' || case when o_orderkey % 1440 >= 60 then ((o_orderkey % 1440) // 60) || 'H' else '' end || case when o_orderkey % 60 > 0 then (o_orderkey % 60) || 'M' else '' end || '1.5S' end as text from orders""",
     "c_uuid": "select o_orderkey, case when o_orderkey % 5 <> 3 then regexp_replace(md5(o_orderkey::varchar), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') end as u from orders",
@@ -330,15 +324,15 @@ ORACLE_SQL = {
           || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","raw":"' || to_base64(encode(p)) || '","took":"' || case when s = 0 then 'PT0S' else 'P' || case when s >= 86400 then (s // 86400) || 'D' else '' end
           || case when s % 86400 > 0 then 'T' || case when s % 86400 >= 3600 then ((s % 86400) // 3600) || 'H' else '' end || case when s % 3600 >= 60 then ((s % 3600) // 60) || 'M' else '' end || case when s % 60 > 0 then (s % 60) || 'S' else '' end else '' end end || '"}' as text from x""",
     "o_non_finite": "select o_orderkey, o_orderkey % 3 = 0 or o_orderkey % 5 = 0 as bad from orders",
-    "l_layers": """select p_partkey as entity, 'database' as path, 'flat' as value, 'override' as source from part where p_partkey % 10 = 5
-        union all select p_partkey, 'database.host', case when p_partkey % 10 = 0 then 'override' else p_brand end, case when p_partkey % 10 = 0 then 'override' else 'toml' end from part where p_partkey % 10 <> 5
-        union all select p_partkey, 'database.port', case when p_partkey % 4 = 0 then p_size::varchar else '6000' end, case when p_partkey % 4 = 0 then 'environment' else 'toml' end from part where p_partkey % 2 = 0
-        union all select p_partkey, 'database.password', 'mounted', 'secret' from part where p_partkey % 3 = 0 and p_partkey % 10 <> 5""",
-    "l_provenance": """select p_partkey as entity, 'database.host' as path, case when p_partkey % 10 = 5 then 'default' when p_partkey % 10 = 0 then 'override' else 'toml' end as source from part
-        union all select p_partkey, 'database.port', case when p_partkey % 4 = 0 then 'environment' when p_partkey % 2 = 0 then 'toml' else 'default' end from part
-        union all select p_partkey, 'database.password', case when p_partkey % 3 = 0 and p_partkey % 10 <> 5 then 'secret' else 'default' end from part""",
-    "l_conflict": "select s_suppkey as entity, 'environment' as layer, 'database.port' as leaf, 'app_database__port,app_db__port' as names, 'alias_conflict' as code from supplier where s_suppkey % 6 = 0",
-    "l_names": "select s_suppkey, case when s_suppkey % 2 = 0 then 'database.' || lower(s_name) end as path from supplier",
+    "l_layers": """select p_partkey as entity, 'store' as path, 'none' as value, 'override' as source from part where p_partkey % 10 = 5
+        union all select p_partkey, 'store.region', case when p_partkey % 10 = 0 then 'urgent' else p_brand end, case when p_partkey % 10 = 0 then 'override' else 'toml' end from part where p_partkey % 10 <> 5
+        union all select p_partkey, 'store.quota', case when p_partkey % 4 = 0 then p_size::varchar else '4410' end, case when p_partkey % 4 = 0 then 'environment' else 'toml' end from part where p_partkey % 2 = 0
+        union all select p_partkey, 'store.seal', 'wax', 'secret' from part where p_partkey % 3 = 0 and p_partkey % 10 <> 5""",
+    "l_provenance": """select p_partkey as entity, 'store.region' as path, case when p_partkey % 10 = 5 then 'default' when p_partkey % 10 = 0 then 'override' else 'toml' end as source from part
+        union all select p_partkey, 'store.quota', case when p_partkey % 4 = 0 then 'environment' when p_partkey % 2 = 0 then 'toml' else 'default' end from part
+        union all select p_partkey, 'store.seal', case when p_partkey % 3 = 0 and p_partkey % 10 <> 5 then 'secret' else 'default' end from part""",
+    "l_conflict": "select s_suppkey as entity, 'environment' as layer, 'store.quota' as leaf, 'shop_st__quota,shop_store__quota' as names, 'alias_conflict' as code from supplier where s_suppkey % 6 = 0",
+    "l_names": "select s_suppkey, case when s_suppkey % 2 = 0 then 'store.' || lower(s_name) end as path from supplier",
     "h_udf": """select l_orderkey, l_linenumber, concat_ws(',', case when l_extendedprice <= 0 then 'price:greater_than' end, case when l_quantity > 45 then 'quantity:less_than_or_equal' end,
         case when l_extendedprice > 0 and l_quantity <= 45 and l_extendedprice / l_quantity > 1500 then 'return:less_than_or_equal' end) as errors from lineitem""",
     "p_recursive": "select event_id, 0 as position, 'children[0].children[0].value' as path, 'type' as code from events where event_id % 3 = 0",

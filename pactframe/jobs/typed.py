@@ -107,7 +107,8 @@ def e_tree(spark, sf_dir):
 
 
 def b_nodes(spark, sf_dir):
-    return _orders(spark, sf_dir).select("o_orderkey", nodes(4, [(F.col("lines"), 4)]).alias("nodes"))
+    rows = _orders(spark, sf_dir)
+    return rows.select("o_orderkey", nodes(ORDER, rows).alias("nodes"))
 
 
 EMBEDDING = Contract("Embedding", (Field("vec_id", M.INT), Field("embedding", constrained(M.Many(constrained(M.FLOAT, ge=-0.35, le=0.35)), min_length=64, max_length=64)), Field("label", M.INT)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pactframe.contract import compiler as C
+
 MAX_ITEMS, MAX_INVALID, MAX_DEPTH, MAX_NODES, MAX_ERRORS = 1_000_000, 100, 64, 100_000, 100
 MAX_LINE_BYTES = 8 * 1024 * 1024
 
@@ -40,18 +42,24 @@ class Verdict:
         return df.where(F.col(index) < self.cut) if self.exceeded else df
 
 
-def running(df: DataFrame, order: str, value: Column, name: str, blocks: int = 256) -> DataFrame:
+#: Rows that a block of `running` should have; their number grows with the table.
+BLOCK_ROWS = 100_000
+
+
+def running(df: DataFrame, order: str, value: Column, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows up to this one in the order of the numeric key `order`.
 
-    A prefix sum in two passes: rows are cut into blocks of even key ranges,
-    whose sums are few and are accumulated apart; a window then runs inside
-    each block.  No task gets all rows.
+    A prefix sum in two passes: rows are cut into blocks at approximate
+    quantiles of the key, as many as give about `block_rows` each, so that a
+    few outlying keys don't put all rows into one block.  Sums of blocks, one
+    row each, are accumulated apart; a window then runs inside each block.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // blocks))
-    with_block = df.withColumn("_block", F.floor((F.col(order) - low) / width)).withColumn("_n", value)
+    total = df.count()
+    blocks = max(1, min(10_000, -(-total // block_rows)))
+    cuts = df.select(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] if blocks > 1 else []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else None
+    block = F.lit(0) if bounds is None else F.when(F.col(order) > F.element_at(bounds, -1), F.size(bounds)).otherwise(_place(bounds, F.col(order)))
+    with_block = df.withColumn("_block", block).withColumn("_n", value)
     sums = with_block.groupBy("_block").agg(F.sum("_n").alias("_sum"))
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
@@ -59,6 +67,11 @@ def running(df: DataFrame, order: str, value: Column, name: str, blocks: int = 2
     return with_block.join(F.broadcast(base), "_block").withColumn(name, F.sum("_n").over(inside) + F.col("_base")).drop("_block", "_n", "_base")
 
 
+def _place(bounds: Column, key: Column) -> Column:
+    """How many of the sorted bounds lie below the key."""
+    return F.size(F.filter(bounds, lambda c: c < key))
+
+
 def item_index(df: DataFrame, order: str) -> DataFrame:
     """Adds item_index, the zero-based place in the order of a unique numeric key."""
     return running(df, order, F.lit(1).cast("bigint"), "_place").withColumn("item_index", F.col("_place") - 1).drop("_place")
@@ -93,9 +106,17 @@ def total_bytes(df: DataFrame, size: Column, limit: int, order: str) -> DataFram
     return running(df, order, size.cast("bigint"), "total_bytes").withColumn("within", F.col("total_bytes") <= limit)
 
 
-def nodes(fixed: int, containers: list[tuple[Column, int]]) -> Column:
-    """Schema visits of a record: a fixed number and, for each container, its size times an item's number."""
-    total = F.lit(fixed).cast("bigint")
-    for column, each in containers:
-        total = total + F.coalesce(F.size(column), F.lit(0)).cast("bigint") * each
+def nodes(contract, df: DataFrame) -> Column:
+    """Values that a contract visits in a row of typed columns: the record, each field, and all that is inside."""
+    total = F.lit(1).cast("bigint")
+    for f in contract.fields:
+        for n in f.names:
+            if n in df.columns:
+                total = total + C.row_nodes(f.type, F.col(f"`{n}`"), df.schema[n].dataType)
     return total
+
+
+def max_nodes(df: DataFrame, contract, limit: int = MAX_NODES) -> DataFrame:
+    """Adds nodes; a row over the limit ends the job when the action runs."""
+    counted = nodes(contract, df)
+    return df.withColumn("nodes", F.when(counted > limit, F.raise_error(F.concat(F.lit(f"nodes limit {limit} observed "), counted.cast("string"))).cast("bigint")).otherwise(counted))

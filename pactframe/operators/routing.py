@@ -9,8 +9,8 @@ from pactframe.contract.model import Tagged
 
 
 def route(result: DataFrame, kind: Tagged, keys: list[str]) -> dict[str, DataFrame]:
-    """A typed DataFrame per branch of validated tagged records, which are kept so that they are checked once."""
-    good = result.where(F.size("errors") == 0).select(*keys, "value").persist()
+    """A typed DataFrame per branch of validated tagged records; each reads `result` for itself, so give a written or persisted one."""
+    good = result.where(F.col("value").isNotNull()).select(*keys, "value")
     return {c.name: good.where(F.col("value")[kind.tag] == F.lit(t)).select(*keys, F.col("value")[c.name].alias("value")) for t, c in kind.branches}
 
 

@@ -14,21 +14,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines end at LF only; the default would also split at a lone CR.
     """
     return spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("m"))
 
 
 def indexed(lines: DataFrame) -> DataFrame:
-    """Adds item_index, the zero-based place by file, then by place in the file.
+    """Adds item_index, the zero-based place by file, then by place in the file, and headed, whether the record begins with a file's byte order mark.
 
     Two passes: counts per file block (one small row each) give offsets, which
-    are joined back.  Both passes read with the same splits.
+    are joined back.  Both passes read with the same splits.  The text source
+    drops a byte order mark at the head of a file; it shows in the bytes that
+    the file has beyond its records.
     """
     from pyspark.sql.window import Window
 
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("m").alias("_low"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("m").alias("_low"), F.sum(F.octet_length("value") + 1).alias("_bytes"), F.first("file_size").alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("file", "block", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return lines.join(offsets, ["file", "block"]).withColumn("item_index", F.col("m") - F.col("_low") + F.col("_base")).drop("_low", "_base")
+    of_file = Window.partitionBy("file")
+    offsets = blocks.select("file", "block", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), ((F.col("_size") - F.sum("_bytes").over(of_file) >= 2) & (F.col("block") == 0)).alias("_marked"))
+    return (lines.join(offsets, ["file", "block"]).withColumn("item_index", F.col("m") - F.col("_low") + F.col("_base"))
+            .withColumn("headed", F.col("_marked") & (F.col("m") == F.col("_low"))).drop("_low", "_base", "_marked"))
 
 
 def unterminated(value: Column) -> Column:
@@ -68,7 +72,7 @@ def read_jsonl(spark: SparkSession, path: str, contract, max_errors: int = 100)
     """
     from pactframe.operators.validate import from_json
 
-    lines = indexed(read_lines(spark, path)).withColumn("_framing", frame(F.col("value"))).withColumn("_text", F.when(F.col("_framing").isNull(), unterminated(F.col("value"))))
+    lines = indexed(read_lines(spark, path)).withColumn("_framing", F.when(F.col("headed"), "bom").otherwise(frame(F.col("value")))).withColumn("_text", F.when(F.col("_framing").isNull(), unterminated(F.col("value"))))
     done = from_json(lines.select("item_index", "_framing", "_text"), "_text", contract, max_errors)
     return classified(done)
 

@@ -17,40 +17,77 @@ def validated_stream(lines: DataFrame, column: str, contract, keep: list[str]) -
     return from_json(lines, column, contract, keep=keep)
 
 
-def continued(stream: DataFrame, keys: list[str], good_path: str, bad_path: str, checkpoint: str, max_items: int | None = None, max_invalid: int | None = None, state_path: str | None = None) -> StreamingQuery:
+COUNTERS = ("items", "invalid_items", "total_bytes")
+
+
+def continued(stream: DataFrame, keys: list[str], good_path: str, bad_path: str, checkpoint: str, max_items: int | None = None, max_invalid: int | None = None, state_path: str | None = None,
+              max_total_bytes: int | None = None, size: str | None = None) -> StreamingQuery:
     """Writes good rows and quarantine of each batch; a budget that is exceeded fails the query.
 
-    Counters are one row a batch in `state_path`, written after the batch's
-    data and keyed by batch, so a batch that runs again replaces its own row.
+    Running totals (items, invalid items and, if `size` names a column of
+    byte counts, bytes) are one row a batch in `state_path`: a batch adds its
+    own to the row of the batch before it, and one that runs again replaces
+    its own row.  Totals are looked at before the batch's data are written,
+    so that nothing of a batch over a budget is delivered.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
+            if state_path is not None:
+                own = batch.agg(F.count("*").alias("items"), F.count(F.when(F.size("errors") > 0, 1)).alias("invalid_items"), (F.coalesce(F.sum(size), F.lit(0)) if size else F.lit(0)).cast("bigint").alias("total_bytes"))
+                if number:
+                    own = own.union(spark.read.parquet(f"{state_path}/batch={number - 1}").select(*COUNTERS)).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+                own.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+                seen = spark.read.parquet(f"{state_path}/batch={number}").first()
+                for code, limit in zip(COUNTERS, (max_items, max_invalid, max_total_bytes), strict=True):
+                    if limit is not None and seen[code] > limit:
+                        raise BudgetError(code, limit, seen[code])
             good, bad = split(batch, keys)
             good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
             bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-            if state_path is None:
-                return
-            row = batch.agg(F.count("*").alias("items"), F.count(F.when(F.size("errors") > 0, 1)).alias("invalid"))
-            row.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-            seen = spark.read.parquet(state_path).agg(F.sum("items"), F.sum("invalid")).first()
-            for code, limit, observed in (("items", max_items, seen[0]), ("invalid_items", max_invalid, seen[1])):
-                if limit is not None and observed > limit:
-                    raise BudgetError(code, limit, observed)
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def patch_stream(patches: DataFrame, base_path: str, out_path: str, key: str, order: str, contract: Contract, patch_contract: Contract, checkpoint: str) -> StreamingQuery:
-    """Folds each batch's patches by key and applies them to the base table; one output table a batch."""
+def patch_stream(patches: DataFrame, base_path: str, out_path: str, key: str, order: str, contract: Contract, patch_contract: Contract, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Folds each batch's patches by key and applies them to the base table, which is kept in `parts` by a hash of the key.
+
+    A batch rewrites the parts that its patches touch, under its own number;
+    `patched` reads the newest of each part.  A batch that runs again
+    replaces what it wrote.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+
     def write(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        base = spark.read.parquet(base_path if number == 0 else f"{out_path}/batch={number - 1}")
-        done = apply_patch(base, fold_patches(batch, patch_contract, key, order), key, contract, patch_contract)
-        kept = done.join(base, key).select(key, *[F.when(F.size("errors") == 0, F.col("value")[f.name]).otherwise(F.col(f.name)).alias(f.name) for f in contract.fields if f.name != key])
-        kept.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        if number == 0:
+            base = spark.read.parquet(base_path)
+            base.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{out_path}/batch=-1")
+        folded = fold_patches(batch, patch_contract, key, order).persist()
+        try:
+            touched = [r["part"] for r in folded.select(part).distinct().collect()]  # at most `parts` numbers
+            if not touched:
+                return
+            base = patched(spark, out_path, number).where(F.col("part").isin(touched)).drop("part")
+            done = apply_patch(base, folded, key, contract, patch_contract)
+            kept = done.join(base, key).select(key, *[F.when(F.size("errors") == 0, F.col("value")[f.name]).otherwise(F.col(f.name)).alias(f.name) for f in contract.fields if f.name != key], part)
+            kept.write.mode("overwrite").partitionBy("part").parquet(f"{out_path}/batch={number}")
+        finally:
+            folded.unpersist()
 
     return patches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def patched(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame:
+    """The table as the batches left it, or as it was before one: of each part, what the newest batch wrote."""
+    table = spark.read.parquet(out_path)
+    table = table if before is None else table.where(F.col("batch") < before)
+    newest = table.select("part", "batch").distinct().groupBy("part").agg(F.max("batch").alias("batch"))
+    chosen = {r["part"]: r["batch"] for r in newest.collect()}  # one row a part
+    if not chosen:
+        return table.drop("batch")
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]), F.col("part"))
+    return table.where(F.col("batch") == wanted).drop("batch")
