@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +22,31 @@ def _draw(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def propagate(linked: DataFrame, shards: int, quota: list[int], rounds: int = 4) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, quota: list[int], rounds: int = 4, slack: float = 0.5) -> DataFrame:
     """Moves linked documents towards their neighbours' shards: `linked` (row, group, shard) with new shards.
 
     Documents of a group are neighbours.  In each round a group wants the
     shards, of those with room, in which most of its documents are (ties: by a
     hash of the group, so that groups spread): one, or, where its documents
     don't fit, as many as these need.  Its other documents move there.  A
-    shard takes no more than it has room for: where more want in, groups are
+    shard takes no more than it has room for, its quota and a share `slack` of
+    it for groups that fit a shard (full shards could move nothing; what is over
+    a quota in the end leaves by whole groups): where more want in, groups are
     drawn by hash, and documents of groups that want several shards.  Only
     shard totals, one row a shard, reach the driver.
     """
     for k in range(rounds):
         held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
-        room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
+        room = [max(0, math.ceil(quota[s] * (1 + slack)) - held.get(s, 0)) for s in range(shards)]
         if not held or not any(room):
             break
-        rooms = F.array(*[F.lit(r).cast("bigint") for r in room])
+        rooms, exact = (F.array(*[F.lit(r).cast("bigint") for r in each]) for each in (room, [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]))
+        free = lambda s: F.when(F.col("size") > min(quota), F.get(exact, s)).otherwise(F.get(rooms, s))
         there = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
         ranked = there.groupBy("group").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")), asc=False).alias("by"))
         start = F.struct(F.lit(0).cast("bigint").alias("space"), F.lit(0).cast("bigint").alias("there"), F.array().cast("array<int>").alias("to"))
-        fill = F.aggregate(F.filter("by", lambda x: F.get(rooms, x["shard"]) > 0), start, lambda acc, x: F.when(acc["space"] >= F.col("size"), acc).otherwise(
-            F.struct((acc["space"] + x["n"] + F.get(rooms, x["shard"])).alias("space"), (acc["there"] + x["n"]).alias("there"), F.array_append(acc["to"], x["shard"]).alias("to"))))
+        fill = F.aggregate(F.filter("by", lambda x: free(x["shard"]) > 0), start, lambda acc, x: F.when(acc["space"] >= F.col("size"), acc).otherwise(
+            F.struct((acc["space"] + x["n"] + free(x["shard"])).alias("space"), (acc["there"] + x["n"]).alias("there"), F.array_append(acc["to"], x["shard"]).alias("to"))))
         wish = ranked.withColumn("f", fill).select("group", F.col("f.to").alias("to"), (F.col("size") - F.col("f.there")).alias("movers"), (F.col("f.space") - F.col("f.there")).alias("space"))
         wish = checkpointed(wish.where((F.size("to") > 0) & (F.col("movers") > 0)))
         each = F.least("movers", "space") / F.size("to")
