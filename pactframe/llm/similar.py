@@ -1,8 +1,4 @@
-"""Groups of documents with similar word shingles: an exact Jaccard self-join, and long SimHash signatures.
-
-`similar_documents` links by the sets of shingles themselves.  A signature of 256 bits says how
-similar two texts are to a few hundredths; `similar_links` groups by these alone.
-"""
+"""Groups of documents with similar word shingles: an exact Jaccard self-join of sets, helped by SimHash tries."""
 
 from __future__ import annotations
 
@@ -14,136 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from pactframe.llm.common import as_map, written
+from pactframe.llm.common import as_map, registered, scratch, stored, written
 from pactframe.llm.simhash import components, shingle_hashes, simhash, trie_links
 
-PARTS = 4
-#: Bands of 16 bits begin at every eighth bit of a part.
-BAND, STRIDE = 16, 8
-SIGNATURE = [f"s{k}" for k in range(PARTS)]
-
-
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th family of hashes, from the first by a bijective finaliser."""
-    if not k:
-        return hashes
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
-
-
-def signature(text: str, words: int, seed: int = 42) -> list[int]:
-    hashes = np.unique(shingle_hashes(text, words, seed))
-    return [simhash(_mixed(hashes, k)) for k in range(PARTS)]
-
-
-def signatures(docs: DataFrame, words: int = 5, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` and the signature of each whole text's set of shingles, as signed longs; null and wordless texts have zeros."""
-    schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(s, T.LongType()) for s in SIGNATURE])
-
-    def over(batch):
-        rows = np.array([signature(t or "", words) for t in batch.column(len(keep)).to_pylist()], np.uint64).reshape(-1, PARTS)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *[pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(PARTS)]], names=schema.names)
-
-    return as_map(docs.select(*keep, text), over, schema)
-
-
-def bits_apart(similarity: float, slack: float = 0.5) -> int:
-    """Differing bits of signatures at a Jaccard similarity of equally large sets: the mean, and `slack` deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * PARTS
-    return int(n * share + slack * math.sqrt(n * share * (1 - share)))
-
-
-def lead(values: np.ndarray, most: int) -> np.ndarray:
-    """For each row the place of its leader: the first earlier leader within `most` bits, or itself."""
-    leaders: list[int] = []
-    out = np.arange(len(values))
-    held = np.zeros((64, values.shape[1]), np.uint64)
-    for k in range(len(values)):
-        if leaders:
-            near = np.bitwise_count(held[:len(leaders)] ^ values[k]).sum(1, dtype=np.int64) <= most
-            if near.any():
-                out[k] = leaders[int(near.argmax())]
-                continue
-        if len(leaders) == len(held):
-            held = np.concatenate([held, np.zeros_like(held)])
-        held[len(leaders)] = values[k]
-        leaders.append(k)
-    return out
-
-
-def _led(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """keys[:2], node, signature and leader of rows, clustered within their keys."""
-    columns = [*keys[:2], "node", *SIGNATURE]
-    schema = T.StructType([*rows.select(*columns).schema.fields, T.StructField("leader", T.LongType())])
-
-    def over(batches):
-        held: list[np.ndarray] = []
-
-        def cluster(block: np.ndarray):
-            order = np.lexsort((block[:, len(keys)], *[block[:, k] for k in reversed(range(len(keys)))]))
-            block = block[order]
-            edges = np.flatnonzero(np.concatenate([[True], (np.diff(block[:, :len(keys)], axis=0) != 0).any(1), [True]]))
-            leader = np.arange(len(block))
-            sign = np.ascontiguousarray(block[:, len(keys) + 1:]).view(np.uint64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1:
-                    leader[a:b] = a + lead(sign[a:b], most)
-            parts = [*[block[:, k] for k in (0, 1)], *[block[:, k] for k in range(len(keys), block.shape[1])], block[leader, len(keys)]]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in parts], names=schema.names)
-
-        for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
-            if sum(map(len, held)) > 50_000:
-                block = np.concatenate(held)
-                change = np.flatnonzero((np.diff(block[:, :len(keys)], axis=0) != 0).any(1))
-                held = [block]
-                if len(change):
-                    cut = change[-1] + 1
-                    held = [block[cut:]]
-                    yield cluster(block[:cut])
-        if held and sum(map(len, held)):
-            yield cluster(np.concatenate(held))
-
-    ordered = rows.select(*[F.col(k).cast("long") for k in keys], "node", *SIGNATURE).repartition(*keys).sortWithinPartitions(*keys)
-    out = ordered.mapInArrow(over, T.StructType([T.StructField(n, T.LongType()) for n in schema.names]))
-    return out
-
-
-def similar_links(classes: DataFrame, most: int, hot: int = 4096, salts: int = 64) -> DataFrame:
-    """Links (a > b) between nodes of `classes` (node, signature) that are within `most` bits.
-
-    Signatures that agree in one of 28 overlapping bands of 16 bits meet.  In a band
-    each one links to the first leader within `most` bits, so a group of n
-    gives n links at most.  Bands' buckets of over `hot` signatures are first
-    clustered in salted parts, and only the parts' leaders meet.
-    """
-    bands = F.array(*[F.struct(F.lit(64 * k + at).cast("long").alias("band"), F.shiftrightunsigned(s, at).bitwiseAND(F.lit(2**BAND - 1)).alias("key"))
-                      for k, s in enumerate(SIGNATURE) for at in range(0, 64 - BAND + 1, STRIDE)])
-    rows = classes.select("node", *SIGNATURE, F.inline(bands))
-    crowded = written(rows.groupBy("band", "key").count().where(F.col("count") > hot).select("band", "key"), "similar-hot")
-    links = []
-    if not crowded.isEmpty():
-        part = rows.join(crowded, ["band", "key"], "left_semi").withColumn("salt", F.pmod("node", F.lit(salts)))
-        first = written(_led(part, ["band", "key", "salt"], most), "similar-salted")
-        links.append(first)
-        rows = rows.join(crowded, ["band", "key"], "left_anti").select("band", "key", "node", *SIGNATURE).union(
-            first.where("node = leader").select("band", "key", "node", *SIGNATURE))
-    links.append(_led(rows, ["band", "key"], most))
-    out = None
-    for df in links:
-        df = df.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-        out = df if out is None else out.union(df)
-    return out.distinct()
-
-
 #: Longs of 64 parities by which a set of shingles is told from others before the sets themselves are compared.
 PARITIES = 8
 SKETCH = [f"p{k}" for k in range(PARITIES)]
+#: Texts whose sets a task holds at once.
+SLICE = 64
+#: Hash buckets by which texts are picked out, and how many of them are listed at most.
+BUCKETS, MARKED = 1 << 20, 1 << 15
 #: Bounds of what the order of shingles is learnt from; it decides the costs, not the links.
 ORDER_DOCS, ORDER_SHINGLES = 10_000, 65_536
 
@@ -176,6 +53,10 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, keep: tuple[str
                            *[T.StructField(p, T.LongType()) for p in SKETCH], T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def over(batch):
+        for at in range(0, batch.num_rows, 16 * SLICE):
+            yield from part(batch.slice(at, 16 * SLICE))
+
+    def part(batch):
         known, places = shared.value
         rows, prefixes = [], []
         for t in batch.column(len(keep)).to_pylist():
@@ -209,7 +90,7 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[
                 known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Those pairs (a > b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`, the pairs compared and their sets.
 
-    `common` says how many shingles of their prefixes the two share.  Beyond the prefixes two sets can share
+    `common` bounds how many shingles of their prefixes the two share.  Beyond the prefixes two sets can share
     no more than the rest of one of them, so sizes, parities and `common` rule out most pairs.  `classes` names by its
     columns `on` a row of `docs` for each node; only texts of the pairs left are read again, but for sets in `known`.
     """
@@ -222,60 +103,118 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("node"), "node", "left_anti")
-    wanted = wanted.join(classes.select("node", *on), "node")
+    wanted = written(wanted.join(classes.select("node", *on), "node"), "similar-wanted")
     match = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in on]
+    bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
+    if wanted.count() <= MARKED:  # few texts: the others are left out before anything is shuffled
+        marked = [r[0] for r in wanted.select(bucket.alias("b")).distinct().collect()]
+        docs = docs.where(bucket.isin(marked))
     texts = docs.join(wanted.select("node", *[F.col(k).alias(f"_w_{k}") for k in on]), match).dropDuplicates(["node"]).select("node", text)
 
     def over(batch):
-        sets = [np.unique(shingle_hashes(t or "", words, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        for at in range(0, batch.num_rows, SLICE):  # sets take more room than texts
+            part = batch.slice(at, SLICE)
+            sets = [np.unique(shingle_hashes(t.as_py() or "", words, seed)).view(np.int64) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = written(as_map(texts, over, "node long, shingles array<long>"), "similar-sets")
     sets = sets if known is None else known.union(sets)
     both = (pairs.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
             .withColumn("common", F.size(F.array_intersect("_sa", "_sb"))))
     links = both.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity - 1e-6).select("a", "b")
-    return links, pairs.select("a", "b"), sets
+    return written(links, "similar-links"), pairs.select("a", "b"), sets
 
 
 def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, block: int = 1024) -> DataFrame:
+#: Rounds in which the sets of a shingle meet one of them, at most, before those still apart meet in pairs.
+ROUNDS = 4
+#: The share of the open rows that a round must have closed for another one.
+WORTH = 0.05
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Those rows of `keyed` (key, node, first) whose key another row has: one pass over sorted rows, which holds one of them."""
+
+    def over(batches):
+        held = None
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            if held is not None:
+                table = np.concatenate([held[0], table])
+            if not len(table):
+                continue
+            same = table[1:, 0] == table[:-1, 0]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if held is not None:
+                shared[0] |= held[1]
+            out = table[:-1][shared[:-1]]
+            held = (table[-1:], bool(shared[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)], names=["key", "node", "first"])
+        if held is not None and held[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[0][:, k])) for k in range(3)], names=["key", "node", "first"])
+
+    return keyed.select("key", "node", F.col("first").cast("long")).repartition("key").sortWithinPartitions("key").mapInArrow(over, "key long, node long, first long")
+
+
+def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, block: int = 1024, rounds: int = ROUNDS) -> DataFrame:
     """Links (a > b) with the same components as all pairs of nodes of at least `similarity`; each link is such a pair.
 
-    Sets that share a shingle of their prefixes meet.  First each meets only the least node of its shingle
-    and of its fingerprints' class in the trie join, which connects large groups of copies.  Then all
-    sets that share a shingle and aren't connected yet are compared in pairs.  The sets of a shingle
-    are dealt into blocks of about `block`, and each pair of blocks is a key of the join, so none is left out
-    and no key has more than two blocks, however many sets share a shingle.
+    Sets that share a shingle of their prefixes meet.  At first each meets only one set of its shingle that
+    isn't connected with it yet, the one whose own prefix is shared most, in a component drawn by a hash, and the least of
+    its fingerprints' class in the trie join.  In large groups of near copies that joins most sets in a few
+    rounds of as many comparisons as there are sets.  Then all sets that share a shingle and are still apart are compared in
+    pairs, so that no link is lost: those outside a shingle's largest component with all others.
+    The others are dealt into blocks of about `block` and the first into blocks of 64 times that; each pair of blocks is
+    a key of the join, so no key has more, however many sets share a shingle.
     """
-    keyed = classes.select("node", F.explode("prefix").alias("key"))
-    of_key = Window.partitionBy("key")
-    keyed = keyed.withColumns({"least": F.min("node").over(of_key), "m": F.count("*").over(of_key)}).where("m > 1")
-    keyed = written(keyed, "similar-keys")
+    rows = written(shared_keys(classes.select("node", F.size("prefix").alias("first"), F.explode("prefix").alias("key"))), "similar-keys")
+    weights = rows.groupBy("node").agg((F.count("*") / F.first("first")).alias("w"))
+    rows = rows.join(weights, "node").select("key", "node", F.col("node").alias("root"), "w")
     near = components(trie_links(classes.select("fp")))
-    tried = classes.select("node", "fp").join(near.toDF("_fp", "_root"), F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("_root", "fp").alias("root"))
-    tried = tried.join(tried.groupBy("root").agg(F.min("node").alias("least")), "root")
-    met = keyed.select("node", "least", F.lit(1).alias("c")).union(tried.select("node", "least", F.lit(2**30)))
-    stars = met.where("node <> least").select(*_pair("node", "least"), "c").groupBy("a", "b").agg(F.sum("c").alias("common"))
-    links, compared, sets = exact_links(stars, classes, docs, on, words, similarity)
-    first = components(links)
-    rows = keyed.join(first.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("key", "node", "m", F.coalesce("_root", "node").alias("root"))
-    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = rows.join(open_, "key").join(classes.select("node", "n", *SKETCH), "node")
-    rows = written(rows, "similar-open")
-    blocks = F.ceil(F.col("m") / block).cast("long")
-    rows = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)})
-    x = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
-    y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).alias("y")
+    tried = classes.select("node", "fp").join(near.toDF("_fp", "_root"), F.col("fp") == F.col("_fp")).select("node", "_root")
+    tried = tried.join(tried.groupBy("_root").agg(F.min("node").alias("center")), "_root").where("node <> center").select(*_pair("node", "center"), F.lit(2**30).alias("common"))
+    links = compared = sets = roots = None
+    before = None
+    for k in range(rounds + 1):
+        if roots is not None:
+            rows = written(_open(rows, roots), "similar-open")
+            now = rows.count()
+            if k == rounds or not now or before is not None and now > before * (1 - WORTH):
+                break
+            before = now
+        drawn = F.struct(F.xxhash64("root", F.lit(k)) if roots is not None else F.lit(0), "w", "node")
+        centers = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), drawn).alias("c"))
+        stars = rows.join(centers, "key").where(F.col("root") != F.col("c.root")).select(*_pair("node", "c.node")).groupBy("a", "b").agg(F.count("*").alias("common"))
+        if compared is None:
+            stars = stars.union(tried).groupBy("a", "b").agg(F.sum("common").alias("common"))
+        else:
+            stars = stars.join(compared, ["a", "b"], "left_anti")
+        found, met, sets = exact_links(stars, classes, docs, on, words, similarity, known=sets)
+        links = found if links is None else links.union(found)
+        compared = met if compared is None else compared.union(met)
+        roots = written(components(links).toDF("_node", "_root"), "similar-roots")
+    rows = rows.drop("w").join(classes.select("node", "n", *SKETCH), "node")
+    by_root = rows.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("m"), F.max_by("root", F.struct("count", "root")).alias("most"), F.max("count").alias("c"))
+    by_root = by_root.select("key", "most", F.ceil(F.col("m") / block).cast("long").alias("js"), F.ceil((F.col("m") - F.col("c")) / (64 * block)).cast("long").alias("is"))
+    rows = written(rows.join(by_root, "key"), "similar-rest")
+    x = rows.where("root <> most").withColumn("i", F.pmod(F.xxhash64("node"), F.col("is"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1))).alias("x")
+    y = rows.withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("js"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1))).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    met = met & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.root") != F.col("y.root"))
+    met = met & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common")).join(compared, ["a", "b"], "left_anti")
-    second, _, _ = exact_links(pairs, classes, docs, on, words, similarity, known=sets)
-    return first.toDF("a", "b").union(second)
+    last, _, _ = exact_links(pairs, classes, docs, on, words, similarity, known=sets)
+    return roots.toDF("a", "b").union(last)
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root, w of the shingles whose sets aren't all connected."""
+    rows = rows.drop("root").join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "node").alias("root"), "w")
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(apart, "key", "left_semi")
 
 
 def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, row: Column | None = None) -> DataFrame:
@@ -284,21 +223,28 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, row:
     `row` tells rows of one id apart, a hash of the text if not given.  Two
     texts are linked if their sets of `words`-word shingles have a Jaccard
     similarity of at least `similarity`, each such pair and no other.  Equal
-    sets are one node.  Wordless texts are equal to each other.  A null id is
-    never the smallest; an empty table gives no row.
+    sets are one node.  Null, empty and wordless texts are equal to each other.
+    A null id is never the smallest; an empty table gives no row; other columns
+    are ignored, whatever their names; very long texts count whole.  What is
+    written on the way is deleted once the result is.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.xxhash64("text") if row is None else row).alias("row_id"))
-    signed = written(shingle_sets(docs, words, similarity, ("doc_id", "row_id")), "shingles")
-    one = [c for c in signed.columns if c not in ("doc_id", "row_id", "node")]
-    own = F.struct("doc_id", "row_id")
-    classes = signed.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("least"), F.min(own).alias("row"), *[F.first(c).alias(c) for c in one])
-    classes = written(classes.select("node", "least", "row.*", *one), "similar-classes")
-    found = components(jaccard_links(classes, docs, ["doc_id", "row_id"], words, similarity))
-    rooted = classes.select("node", "least").join(found.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = rooted.join(smallest, "root").select(F.col("node").alias("_node"), "first")
-    return signed.select("doc_id", "row_id", "node").join(named, F.col("node") == F.col("_node")).select(
-        "doc_id", "row_id", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
+    with scratch(spark):
+        signed = written(shingle_sets(docs, words, similarity, ("doc_id", "row_id")), "shingles")
+        one = [c for c in signed.columns if c not in ("doc_id", "row_id", "node")]
+        own = F.struct("doc_id", "row_id")
+        classes = signed.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("least"), F.min(own).alias("row"), *[F.first(c).alias(c) for c in one])
+        classes = written(classes.select("node", "least", "row.*", *one), "similar-classes")
+        found = components(jaccard_links(classes, docs, ["doc_id", "row_id"], words, similarity))
+        rooted = classes.select("node", "least").join(found.toDF("_node", "_root"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
+        named = rooted.join(smallest, "root").select(F.col("node").alias("_node"), "first")
+        groups = signed.select("doc_id", "row_id", "node").join(named, F.col("node") == F.col("_node")).select(
+            "doc_id", "row_id", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("component_row"))
+        out, path = stored(groups, "similar-groups")
+    registered(path)
+    return out
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
