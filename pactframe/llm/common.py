@@ -96,15 +96,25 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the system: workers live on, and what one task freed would stay with them."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def as_map(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """`mapInArrow` with a function from a pyarrow RecordBatch to one or more."""
 
     def over(batches):
-        import pyarrow
-
         for batch in batches:
             yield from fn(batch)
-        pyarrow.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(over, schema)
 

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pactframe.llm.common import release
+
 #: White space but for spaces and line ends; texts with it, with white space beside a space, or with a longer word
 #: than LONG_WORD, are encoded whole.
 _ODD = re.compile(r"[^\S \n]")
@@ -20,7 +22,7 @@ LONG_WORD = 500
 #: The tokenizer's own splitting.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of which a worker remembers the ids.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -237,5 +239,6 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
                 keys.append(names.slice(begin))
         if ids:
             yield from flush()
+        release()
 
     return docs.select(*keep, text).mapInArrow(over, schema)

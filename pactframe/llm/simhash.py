@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import as_map, checkpointed, written
+from pactframe.llm.common import as_map, checkpointed, release, written
 
 BITS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -239,6 +239,7 @@ def _walked(rows: DataFrame, bit: int, budget: int, step: int) -> DataFrame:
                     held = [block]
         if held and sum(map(len, held)):
             yield from walk(np.concatenate(held))
+        release()
 
     ordered = (rows.select("fp", F.col("turn").cast("long"), "p", "q", F.col("side").cast("long"))
                .repartition("turn", "p", "q").sortWithinPartitions("turn", "p", "q"))
