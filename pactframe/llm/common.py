@@ -108,12 +108,24 @@ def release() -> None:
         trim(0)
 
 
+#: Rows and bytes that a function on batches gets at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+
+
+def slices(batch):
+    """Consecutive parts of a pyarrow RecordBatch of at most SLICE_ROWS rows and, for rows of even size, SLICE_BYTES."""
+    step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(at, step)
+
+
 def as_map(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
-    """`mapInArrow` with a function from a pyarrow RecordBatch to one or more."""
+    """`mapInArrow` with a function from a pyarrow RecordBatch to one or more; Python objects of a few rows live at once."""
 
     def over(batches):
         for batch in batches:
-            yield from fn(batch)
+            for part in slices(batch):
+                yield from fn(part)
         release()
 
     return df.mapInArrow(over, schema)

@@ -9,10 +9,11 @@ import random
 import re
 import uuid
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,14 +55,34 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class HashedWords:
+    """A dictionary by sorted 64-bit hashes: eight bytes a word in each worker."""
+
+    def __init__(self, words: frozenset[str]):
+        self.hashes = np.sort(np.fromiter(map(self._hash, words), np.uint64, len(words)))
+
+    @staticmethod
+    def _hash(word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+    def __contains__(self, word: str) -> bool:
+        own = np.uint64(self._hash(word))
+        at = int(np.searchsorted(self.hashes, own))
+        return at < len(self.hashes) and self.hashes[at] == own
+
+
 @dataclass
 class SecretModel:
     """words: the dictionary; pairs: log probability of a letter pair; trees: (feature, cut, left, right, share) arrays."""
 
-    words: frozenset[str]
+    words: frozenset[str] | HashedWords
     pairs: dict[str, float]
     trees: list[tuple[np.ndarray, ...]]
 
+    def packed(self) -> SecretModel:
+        """The same model in the form that tasks get."""
+        return replace(self, words=HashedWords(self.words)) if isinstance(self.words, frozenset) else self
+
     def vector(self, text: str, begin: int, end: int) -> list[float]:
         token = text[begin:end]
         low = token.lower()
@@ -211,6 +232,7 @@ def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "
     pairs = {r["pair"]: r["n"] for r in counted.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     every = sum(pairs.values()) or 1
     model = SecretModel(words, {p: math.log(n / every) for p, n in pairs.items()}, [])
+    light = model.packed()
 
     def found(batches):
         for batch in batches:
@@ -219,7 +241,7 @@ def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "
                 for begin, end in candidates(t):
                     label = labelled_finding(t[begin:end], t[max(0, begin - 48):begin])
                     if label is not None:
-                        x.append(model.vector(t, begin, end))
+                        x.append(light.vector(t, begin, end))
                         y.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -242,7 +264,7 @@ def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, text: str
     extra = "n_candidates int, findings array<struct<start:long,end:long,score:double>>" + (", clean string" if redact is not None else "")
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL(extra).fields)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def over(batch):
         m = shared.value

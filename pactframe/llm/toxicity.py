@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import bounded_sample, fold, release
+from pactframe.llm.common import bounded_sample, fold, release, slices
 
 # Starting words of the grammar's classes, in the four languages of the corpus.
 INSULTS = "idiot moron loser scum trash stupid pathetic disgusting worthless clown dumb imbecile filth vermin idioten dummkopf abschaum trottel imbécile crétin ordure débile imbécil estúpido basura escoria".split()
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
     def over(batches):
         matcher, w = model.matcher(), np.array(model.coefficients)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = np.array([matcher.features(t or "") for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-(x * w).sum(1)))
             counts = np.expm1(x[:, 1:1 + len(OUTCOMES)]).round().astype(np.int32)
