@@ -158,3 +158,75 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[Column], bucket:
 def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     """At most `most` rows, picked by a hash of `key`; the same rows on every run."""
     return df.orderBy(F.xxhash64(key, F.lit("sample")), key).limit(most)
+
+
+#: Bytes of query vectors that are broadcast at once.
+ROUND_BYTES = 32 << 20
+
+
+def searched(queries: DataFrame, blocks: DataFrame, search, schema: T.StructType, k: int, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best (ties to smaller vec_id) that `search` finds in all `blocks` for each row (vec_id, q) of `queries`.
+
+    Blocks stay where they are and are not shuffled: queries go to them in
+    rounds, each a broadcast of at most `round_bytes` of vectors, however
+    many queries there are.  `search(asked, batch)` gets a round's queries
+    by length, as (numbers, ids, matrix), and yields batches of query, query_id,
+    vec_id, score, with at most k rows a query and block; these alone are
+    shuffled.  `query` numbers the rows of `queries`, of which several may
+    have one id.
+    """
+    spark = queries.sparkSession
+    queries = written(queries.select("vec_id", "q", F.size("q").cast("long").alias("_dims")), "asked")
+    rounds = -(-8 * (queries.agg(F.sum("_dims")).first()[0] or 0) // round_bytes)
+    if rounds > 1:
+        queries = written(queries.repartition(rounds).withColumn("_round", F.spark_partition_id()), "asked-rounds")
+    found = []
+    for k_round in range(rounds):
+        own = queries if rounds == 1 else queries.where(F.col("_round") == k_round)
+        rows = own.select("vec_id", "q").toArrow()  # at most round_bytes, and what rounding leaves
+        asked = spark.sparkContext.broadcast(_by_length(rows, k_round))
+
+        def over(batches, asked=asked):
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    yield from search(asked.value, batch.slice(j, 1))
+            release()
+
+        part = blocks.mapInArrow(over, schema)
+        if rounds > 1:
+            part = written(part, "found")
+            asked.unpersist()
+        found.append(part)
+    if not found:
+        return blocks.mapInArrow(lambda batches: iter(()), schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    partial = found[0]
+    for part in found[1:]:
+        partial = partial.union(part)
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_length(rows, k_round: int) -> dict:
+    """{length: (numbers, ids, matrix)} of an Arrow table of ids and vectors."""
+    import numpy as np
+
+    out: dict[int, list] = {}
+    at = k_round << 40
+    for batch in rows.to_batches():
+        for ids, matrix in vectors_by_length(batch):
+            out.setdefault(matrix.shape[1], []).append((at + np.arange(len(ids)), ids, matrix))
+            at += len(ids)
+    return {d: (np.concatenate([n for n, _, _ in x]), [i for _, ids, _ in x for i in ids], np.concatenate([m for _, _, m in x])) for d, x in out.items()}
+
+
+def vectors_by_length(batch):
+    """(ids, matrix) for each length of the vectors (second column; none null) in a pyarrow RecordBatch."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = batch.column(1)
+    offsets = lists.offsets.to_numpy()
+    sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)
+    for dims in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == dims)
+        yield batch.column(0).take(pa.array(own)).to_pylist(), flat[offsets[own][:, None] + np.arange(dims)]

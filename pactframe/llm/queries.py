@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactframe.llm import language, mixing, packing, pii, secrets, sharding, simhash, topk, toxicity, transport
+from pactframe.llm import audit, conversations, graph, language, mixing, packing, pii, secrets, sharding, simhash, topk, toxicity, transport
 from pactframe.llm.common import fold
 
 
@@ -86,6 +86,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = graph.sound(table(spark, sf_dir, "embeddings"))
+    return graph.nearest(graph.stored_index(vectors), vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.combinations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_toxicity, op3_transport, op4_mixing, op5_packing, op6_pii, op7_topk, op8_simhash, op9_language, op10_sharding)}
-ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op7_topk": topk.TOPK_SQL}
+    f.__name__: f for f in (op1_secrets, op2_toxicity, op3_transport, op4_mixing, op5_packing, op6_pii, op7_topk, op8_simhash, op9_language, op10_sharding, op11_graph, op12_audit, op13_repair)}
+ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op7_topk": topk.TOPK_SQL, "op12_audit": audit.AUDIT_SQL, "op13_repair": conversations.REPAIR_SQL}

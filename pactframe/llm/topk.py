@@ -8,12 +8,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from pactframe.llm.common import written
+from pactframe.llm.common import release, searched, vectors_by_length, written
 
-#: Vectors of an index block and queries of a query block, at most.
-BLOCK, QUERIES = 65_536, 512
+#: Vectors of an index block and bytes of their values, at most; queries whose results are put out at once.
+BLOCK, BLOCK_BYTES, QUERIES = 65_536, 32 << 20, 512
 
 
 def quantised(vectors: DataFrame, scale: int = 64, column: str = "embedding") -> DataFrame:
@@ -38,43 +37,51 @@ def _slices(values: np.ndarray) -> np.ndarray:
 
 
 def index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of the index over `quantised` vectors: block, dims, bits, low, rows, ids, slices, values.
+    """Blocks of the index over `quantised` vectors: block, dims, bits, low, ids, slices, values.
 
     Each attribute is stored as slices of what it is above the block's lowest
-    component `low`; `values` keeps the rows for exact scores.  Blocks hold
-    vectors of one length and are made where the vectors lie, without a shuffle.
+    component `low`; `values` keeps the rows for exact scores.  Blocks hold at
+    most `block` vectors of one length and BLOCK_BYTES of them, in the order
+    of their ids, and are made where the vectors lie, without a shuffle.
     """
+    kind = vectors.schema["vec_id"].dataType
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("block", "dims", "bits", "low")), T.StructField("ids", T.ArrayType(kind)),
+                           T.StructField("slices", T.BinaryType()), T.StructField("values", T.BinaryType())])
+
     def over(batches):
         part, made = TaskContext.get().partitionId(), 0
         held: dict[int, list] = {}
 
         def flush(dims):
             nonlocal made
-            ids, q = (np.concatenate(x) for x in zip(*held.pop(dims), strict=True))
+            own = held.pop(dims)
+            ids = [i for x, _ in own for i in x]
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            q = np.concatenate([m for _, m in own])[order]
             low = int(q.min())
             sliced = _slices(q - low)
             made += 1
-            row = [(part << 32) + made, dims, sliced.shape[1], low, len(ids), ids.astype("<i8").tobytes(), sliced.tobytes(), q.astype("<i8").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+            row = [(part << 32) + made, dims, sliced.shape[1], low, [ids[k] for k in order], sliced.tobytes(), q.astype("<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [*[pa.int64()] * 4, pa.list_(id_type), pa.binary(), pa.binary()], strict=True)], names=schema.names)
 
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), object)
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.values.to_numpy()[lists.offsets[0].as_py():]
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            for dims in np.unique(sizes).tolist():
-                own = np.flatnonzero((sizes == dims) & (ids != None))  # noqa: E711
-                if len(own):
-                    held.setdefault(dims, []).append((ids[own].astype(np.int64), np.stack([flat[at[k]:at[k] + dims] for k in own])))
-                    if sum(len(i) for i, _ in held[dims]) >= block:
+            id_type = batch.schema.field(0).type
+            for ids, matrix in vectors_by_length(batch):
+                dims = matrix.shape[1]
+                most = max(1, min(block, BLOCK_BYTES // (8 * dims)))
+                while len(ids):
+                    room = most - sum(len(x) for x, _ in held.get(dims, ()))
+                    held.setdefault(dims, []).append((ids[:room], matrix[:room].copy()))
+                    if len(ids) >= room:
                         yield flush(dims)
+                    ids, matrix = ids[room:], matrix[room:]
+            while sum(m.nbytes for x in held.values() for _, m in x) > 2 * BLOCK_BYTES:  # many lengths
+                yield flush(max(held, key=lambda d: sum(m.nbytes for _, m in held[d])))
         for dims in list(held):
             yield flush(dims)
+        release()
 
-    schema = T.StructType.fromDDL("block long, dims long, bits long, low long, rows long, ids binary, slices binary, values binary")
-    names = schema.names
-    return vectors.mapInArrow(over, schema)
+    return vectors.where("vec_id is not null").select("vec_id", "q").mapInArrow(over, schema)
 
 
 def _add(levels: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
@@ -124,8 +131,8 @@ def _select(digits: list[np.ndarray], k: int, rows: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits((taken | alive).view(np.uint8), bitorder="little"))
 
 
-def block_top(slices: np.ndarray, low: int, ids: np.ndarray, values: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows of a block, without those of id `own`; ties to smaller ids.
+def block_top(slices: np.ndarray, values: np.ndarray, query: np.ndarray, own: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k best rows of a block, without the places `own`; ties to smaller places.
 
     The score of a row is a sum of attributes times query components.  Each
     component's binary digits add the attribute's slices, shifted, or, for a
@@ -140,12 +147,12 @@ def block_top(slices: np.ndarray, low: int, ids: np.ndarray, values: np.ndarray,
             if int(size[d]) >> shift & 1:
                 for b in range(bits):
                     levels[shift + b].append(~slices[d, b] if query[d] < 0 else slices[d, b])
-    rows = len(ids)
-    found = _select(_add(levels, words), k + int((ids == own).sum()), rows)
-    found = found[ids[found] != own]
+    found = _select(_add(levels, words), k + len(own), len(values))
+    if own:
+        found = found[~np.isin(found, own)]
     scores = values[found] @ query
-    order = np.lexsort((ids[found], -scores))[:k]
-    return ids[found][order], scores[order]
+    order = np.lexsort((found, -scores))[:k]
+    return found[order], scores[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -153,61 +160,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     `vectors` and `queries` are as `quantised` gives them.  Ties go to the
     smaller vec_id; a query is not compared with rows of its own id, nor with
-    vectors of another length.  Rows without an id take no part; repeated
-    rows each count; other columns are gone; an empty table gives no row.
-    Index blocks stay put: each goes once to the partition of its number, and
-    chunks of queries, much smaller than blocks, are sent to all blocks of
-    their length.  There a task holds one block and one chunk at a time.  Each
-    partition keeps at most k rows a query before the last ranking.
+    vectors of another length.  Ids may be of any type that has an order.
+    Rows without an id take no part; repeated rows each count; other columns
+    are gone; an empty table gives no row.  Queries are broadcast in rounds
+    of bounded size to the blocks of the index, which is written once; only
+    the best k of a query and block are shuffled.
     """
-    blocks = written(index(vectors.where("vec_id is not null")), "topk-index")
-    asked = queries.where("vec_id is not null").select("vec_id", "q", F.size("q").cast("long").alias("dims"))
-
-    def group(batches):
-        part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list] = {}
-
-        def chunk(dims: int):
-            nonlocal made
-            own = held.pop(dims)
-            made += 1
-            return pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) + made]), pa.array([dims]), pa.array([np.array([i for i, _ in own], "<i8").tobytes()]),
-                pa.array([np.array([q for _, q in own], "<i8").tobytes()])], names=["chunk", "dims", "query_ids", "queries"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["dims"], []).append((row["vec_id"], row["q"]))
-                if len(held[row["dims"]]) == QUERIES:
-                    yield chunk(row["dims"])
-        for dims in list(held):
-            yield chunk(dims)
-
-    chunks = written(asked.mapInArrow(group, "chunk long, dims long, query_ids binary, queries binary"), "topk-chunks")
-    names = ["block", "chunk", "dims", "bits", "low", "rows", "ids", "slices", "values"]
-    sent = chunks.join(blocks.select("block", "dims"), "dims").select("block", "chunk", "dims", *[F.lit(0).cast("long").alias(c) for c in names[3:6]], F.col("query_ids").alias("ids"), F.lit(None).cast("binary").alias("slices"), F.col("queries").alias("values"))
-    met = blocks.withColumn("chunk", F.lit(-1).cast("long")).select(*names).union(sent).repartition("block").sortWithinPartitions("block", "chunk")
-
-    def over(batches):
-        at: dict = {}
-        for batch in batches:
-            for j in range(batch.num_rows):
-                r = batch.slice(j, 1).to_pylist()[0]
-                if r["chunk"] < 0:
-                    at = {"block": r["block"], "low": r["low"], "slices": np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1),
-                          "ids": np.frombuffer(r["ids"], "<i8"), "values": np.frombuffer(r["values"], "<i8").reshape(r["rows"], r["dims"])}
-                    continue
-                query_ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, r["dims"])
-                best = [block_top(at["slices"], at["low"], at["ids"], at["values"], q[i], query_ids[i], k) for i in range(len(query_ids))]
-                n = [len(i) for i, _ in best]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(query_ids, n)), pa.array(np.repeat(r["chunk"] * QUERIES + np.arange(len(n)), n)),
-                    pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "query", "vec_id", "score"])
-
-    partial = met.mapInArrow(over, "query_id long, query long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return (partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    kind = vectors.schema["vec_id"].dataType
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", kind), T.StructField("vec_id", kind), T.StructField("score", T.LongType())])
+
+    def over(asked, block):
+        row = {c: block.column(c)[0] for c in block.schema.names}
+        dims, bits, ids = row["dims"].as_py(), row["bits"].as_py(), row["ids"].as_py()
+        if dims not in asked:
+            return
+        slices = np.frombuffer(row["slices"].as_buffer(), np.uint64).reshape(dims, bits, -1)
+        values = np.frombuffer(row["values"].as_buffer(), "<i8").reshape(-1, dims)
+        numbers, asking, matrix = asked[dims]
+        wanted = set(asking)
+        places: dict = {}
+        for place, i in enumerate(ids):
+            if i in wanted:
+                places.setdefault(i, []).append(place)
+        id_type = block.schema.field("ids").type.value_type
+        for at in range(0, len(asking), QUERIES):
+            best = [block_top(slices, values, matrix[j], places.get(asking[j], []), k) for j in range(at, min(at + QUERIES, len(asking)))]
+            n = [len(p) for p, _ in best]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(numbers[at:at + QUERIES], n)), pa.array([asking[at + j] for j, m in enumerate(n) for _ in range(m)], id_type),
+                pa.array([ids[p] for own, _ in best for p in own], id_type), pa.array(np.concatenate([s for _, s in best]))], names=schema.names)
+
+    return searched(queries.where("vec_id is not null"), written(index(vectors), "topk-index"), over, schema, k)
 
 
 TOPK_SQL = """
