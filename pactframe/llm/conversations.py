@@ -259,12 +259,10 @@ with recursive crc as (
 ), changed as (
   select conv_id, turn, case when draw = 4 then 'user' else role end as role, case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
     unnest(case draw when 0 then []::int[] when 3 then [0, 1] else [0] end) as copy from damage
+), numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from changed
 ), faults as (
-  select *, case when not regexp_matches(text, '[^ 	-
-]') then 1 when row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 then 2
-    when not regexp_matches(text, '[.!?][ 	-
-]*\z') then 3 else 0 end as fault,
-    row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from changed
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 3 else 0 end as fault from numbered
 ), rows_ as (select *, case when fault = 3 then {TRUNCATED} else 0 end as extra, lag(role[1]) over (partition by conv_id order by i) || role[1] as two from faults
 ), all_ids as (select distinct conv_id from conversations
 ), states as (
