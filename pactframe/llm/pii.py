@@ -97,25 +97,36 @@ _NAMES = {
 _AT = ("at", "arroba", "arobase", "klammeraffe")
 _DOT = ("dot", "punkt", "punto", "point")
 _PLUS = ("plus", "más")
-_DIGIT_WORD = "|".join(sorted(_NAMES, key=len, reverse=True))
+
+
+def _either(words) -> str:
+    """A pattern for any of some words, as a tree of their letters: a position is refused after a look at one letter."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + (_either(t) + ("?" if "" in t else "") if any(t) else "") for c, t in tails.items()) + ")"
+
+
+_DIGIT_WORD = _either(_NAMES)
 _AT_WORD, _DOT_WORD, _PLUS_WORD = "|".join(_AT), "|".join(_DOT), "|".join(_PLUS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 #: White space between words, line ends too.
 _GAP = r"[ \t\r\n]"
-_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![^\W_])", r"(?![^\W_])"
-#: Runs of four or more digits of which some are spelled, with white space or a hyphen or, after a word, a dot between.
-_SPELLED = re.compile(rf"(?i){_NO_WORD_BEFORE}(?:(?P<plus>{_PLUS_WORD}){_GAP}++)?(?P<run>(?:(?:{_DIGIT_WORD}|[0-9])(?:(?:{_GAP}++|-|(?<=[^\W\d_])\.)?(?={_DIGIT_WORD}|[0-9])|{_NO_WORD_AFTER})){{4,}})")
+_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?:\b|(?<=_))", r"(?![^\W_])"
+#: Runs of four or more digits of which some are spelled, with white space or a hyphen or, after a word, a dot between; in small letters.
+_SPELLED = re.compile(rf"{_NO_WORD_BEFORE}(?:(?P<plus>{_PLUS_WORD}){_GAP}++)?(?P<run>(?:(?:{_DIGIT_WORD}|[0-9])(?:(?:{_GAP}++|-|(?<=[^\W\d_])\.)?(?={_DIGIT_WORD}|[0-9])|{_NO_WORD_AFTER})){{4,}})")
 _DIGIT = re.compile(rf"(?i){_DIGIT_WORD}|[0-9]|(?P<gap>{_GAP}+)")
 #: In brackets the words stand alone; bare, an `at` needs a dot of its own: worded, or plain with a letter top-level label.
-_BRACKETED = re.compile(rf"(?i){_GAP}*{_OPEN}{_GAP}*({_AT_WORD}|{_DOT_WORD}){_GAP}*{_CLOSE}{_GAP}*")
+_BRACKETED = re.compile(rf"(?i){_OPEN}{_GAP}*+({_AT_WORD}|{_DOT_WORD}){_GAP}*+{_CLOSE}{_GAP}*+")
 _BARE_DOT = rf"{_GAP}++(?:{_DOT_WORD}){_GAP}++|{_GAP}\.{_GAP}|\."
 _BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]++)({_GAP}++(?:{_AT_WORD}){_GAP}++|{_GAP}?@{_GAP}?)([A-Za-z0-9-]++(?:(?:{_BARE_DOT})[A-Za-z0-9-]++)++)")
 _BARE_IP = re.compile(rf"(?i)(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_GAP}+(?:{_DOT_WORD}){_GAP}+[0-9]{{1,3}}){{3}}(?![0-9])")
 _ANY_DOT = re.compile(rf"(?i){_BARE_DOT}")
 _WORDED_DOT = re.compile(rf"(?i){_GAP}(?:{_DOT_WORD}){_GAP}")
-#: Every rewriting of signs needs one of these, every one of digits a word of a digit beside another digit.
-_SIGN_HINT = re.compile(rf"(?i){_GAP}(?:{_DOT_WORD}){_GAP}|{_OPEN}{_GAP}*(?:{_AT_WORD}|{_DOT_WORD}){_GAP}*{_CLOSE}|{_GAP}@|@{_GAP}|{_GAP}(?:{_AT_WORD}){_GAP}++[A-Za-z0-9-]++\.[A-Za-z0-9]")
-_SPELL_HINT = re.compile(rf"(?i)(?:{_DIGIT_WORD})(?:{_GAP}++|[-.])?(?:{_DIGIT_WORD}|[0-9])|[0-9](?:{_GAP}++|-)?(?:{_DIGIT_WORD})")
+#: Every rewriting of signs needs one of these, every one of digits a word of a digit beside another digit; in small letters.
+_SIGN_HINT = re.compile(rf"{_GAP}(?:{_DOT_WORD}){_GAP}|{_OPEN}{_GAP}*+(?:{_AT_WORD}|{_DOT_WORD}){_GAP}*+{_CLOSE}|{_GAP}@|@{_GAP}|{_GAP}(?:{_AT_WORD}){_GAP}++[A-Za-z0-9-]++\.[A-Za-z0-9]")
+_SPELL_HINT = re.compile(rf"{_NO_WORD_BEFORE}{_DIGIT_WORD}(?:{_GAP}++|[-.])?(?:{_DIGIT_WORD}|[0-9])|[0-9](?:{_GAP}++|-)?{_DIGIT_WORD}")
 
 
 class Rewritten:
@@ -148,10 +159,18 @@ def _lookalikes(r: Rewritten) -> Rewritten:
     return r.replaced([(m.start(), m.end(), _LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(r.text)])
 
 
+def _small(text: str) -> str:
+    """The text in small letters, character for character."""
+    small = text.lower()
+    if len(small) != len(text):
+        small = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    return small.replace("ſ", "s")
+
+
 def _spelled(r: Rewritten) -> Rewritten:
-    edits = []
-    if _SPELL_HINT.search(r.text):
-        for run in _SPELLED.finditer(r.text):
+    edits, small = [], _small(r.text)
+    if _SPELL_HINT.search(small):
+        for run in _SPELLED.finditer(small):
             own = list(_DIGIT.finditer(run.group("run")))
             if all(len(d.group()) == 1 for d in own):
                 continue
@@ -163,9 +182,14 @@ def _spelled(r: Rewritten) -> Rewritten:
 
 
 def _signs(r: Rewritten) -> Rewritten:
-    if not _SIGN_HINT.search(r.text):
+    if not _SIGN_HINT.search(_small(r.text)):
         return r
-    r = r.replaced([(m.start(), m.end(), "@" if m.group(1).lower() in _AT else ".") for m in _BRACKETED.finditer(r.text)])
+    edits, last = [], 0
+    for m in _BRACKETED.finditer(r.text):
+        begin = last + len(r.text[last:m.start()].rstrip(" \t\r\n"))
+        last = m.end()
+        edits.append((begin, last, "@" if m.group(1).lower() in _AT else "."))
+    r = r.replaced(edits)
     r = r.replaced([(m.start() + d.start(), m.start() + d.end(), ".") for m in _BARE_IP.finditer(r.text) for d in _ANY_DOT.finditer(m.group())])
     edits = []
     for m in _BARE.finditer(r.text):
@@ -217,7 +241,9 @@ def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     """`keep` and found: every span of a whole text, by kind as in KINDS, then start.
 
     `disguised` marks the spans that only the normalised text shows.  Null and
-    empty texts have none; equal rows give equal rows.
+    empty texts have none; equal rows give equal rows; texts of any length,
+    with runs of any length in them, take linear time; columns that are not
+    in `keep` are not read, and an empty table gives no row.
     """
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL(f"found array<{SPANS}>").fields)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disguised", pa.bool_())]))
