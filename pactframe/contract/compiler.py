@@ -529,6 +529,8 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
         return _pick(kind, [(o, json_value(o, cell, place, ctx)) for o in real], place, schema_kind(s), shown_json(v), null, ctx)
     if isinstance(kind, M.Deep):
         return Compiled(F.lit(None).cast(kind.spark()), F.lit(False), F.array(error("depth", place, context={"limit": kind.limit})), None, level)
+    if isinstance(kind, M.Ref):
+        return Compiled(v, F.lit(True), no_errors(), None, level)
     wrong = _type_error(kind, place, schema_kind(s), shown_json(v))
     if isinstance(kind, M.Literal):
         value, level = ctx.stage(json_scalar(kind.base(), cell), level)

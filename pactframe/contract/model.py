@@ -152,6 +152,19 @@ class Deep:
         return T.StringType()
 
 
+@dataclass(frozen=True)
+class Ref:
+    """A kind by its name, for records that are checked a level at a time (`operators.levels`); here its value is taken as it is."""
+
+    name: str
+
+    def describe(self) -> str:
+        return self.name
+
+    def spark(self) -> T.DataType:
+        return T.VariantType()
+
+
 def recursive(build: Callable[[Any], Contract], depth: int = 8) -> Contract:
     """A contract that contains itself, unrolled: `build` gets what stands for the contract inside its fields.
 
