@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 
 from pactframe.llm.common import release, searched, vectors_by_length, written
 
-#: Vectors of an index block and bytes of their values, at most; queries whose results are put out at once.
-BLOCK, BLOCK_BYTES, QUERIES = 65_536, 32 << 20, 512
+#: Vectors of an index block and bytes of their values, at most; queries that are answered at once, and words of their bitmaps.
+BLOCK, BLOCK_BYTES, QUERIES, TOGETHER = 65_536, 32 << 20, 128, 1 << 13
 
 
 def quantised(vectors: DataFrame, scale: int = 64, column: str = "embedding") -> DataFrame:
@@ -84,28 +86,41 @@ def index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return vectors.where("vec_id is not null").select("vec_id", "q").mapInArrow(over, schema)
 
 
-def _add(levels: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
-    """Carry-save addition of bitmaps by weight: one bitmap per binary digit of every row's sum."""
-    out = []
-    k = 0
-    while k < len(levels) or k == 0:
-        own = levels[k] if k < len(levels) else []
-        while len(own) > 1:
-            if k + 1 == len(levels):
-                levels.append([])
-            a = own.pop()
-            b = own.pop()
-            if own:
-                c = own.pop()
-                x = a ^ b
-                own.insert(0, x ^ c)
-                levels[k + 1].append((a & b) | (x & c))
+def _sums(slices: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
+    """Binary digits, lowest first, of each row's sum for each query: bitmaps, queries x words.
+
+    Each binary digit of a query's component adds the attribute's slices,
+    shifted, or, for a negative component, their complement: that differs
+    from the score by the same amount in all rows.  Slices of one weight are
+    added three to two, for all queries at once, and what carries goes to
+    the next weight.
+    """
+    dims, bits, words = slices.shape
+    size, negative = np.abs(queries), np.where(queries < 0, ~np.uint64(0), np.uint64(0))
+    width = int(size.max()).bit_length()
+    chosen = [np.where(size >> shift & 1 > 0, ~np.uint64(0), np.uint64(0)) for shift in range(width)]
+    used = [np.flatnonzero(c.any(0)).tolist() for c in chosen]
+    digits, carried = [], []
+    weight = 0
+    while weight < bits + width - 1 or carried:
+        own, carried = iter(carried), []
+        new = ((slices[d, weight - shift] ^ negative[:, d, None]) & chosen[shift][:, d, None] for shift in range(max(0, weight - bits + 1), min(width, weight + 1)) for d in used[shift])
+        operands = chain(own, new)
+        held = next(operands, None)
+        if held is None:
+            held = np.zeros((len(queries), words), np.uint64)
+        for a in operands:
+            b = next(operands, None)
+            if b is None:
+                carried.append(held & a)
+                held = held ^ a
             else:
-                own.append(a ^ b)
-                levels[k + 1].append(a & b)
-        out.append(own[0] if own else np.zeros(most, np.uint64))
-        k += 1
-    return out
+                x = a ^ b
+                carried.append((a & b) | (x & held))
+                held = x ^ held
+        digits.append(held)
+        weight += 1
+    return digits
 
 
 def _select(digits: list[np.ndarray], k: int, rows: int) -> np.ndarray:
@@ -131,28 +146,18 @@ def _select(digits: list[np.ndarray], k: int, rows: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits((taken | alive).view(np.uint8), bitorder="little"))
 
 
-def block_top(slices: np.ndarray, values: np.ndarray, query: np.ndarray, own: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k best rows of a block, without the places `own`; ties to smaller places.
-
-    The score of a row is a sum of attributes times query components.  Each
-    component's binary digits add the attribute's slices, shifted, or, for a
-    negative component, their complement: that differs from the score by the
-    same amount in all rows.
-    """
-    dims, bits, words = slices.shape
-    size = np.abs(query)
-    levels: list[list[np.ndarray]] = [[] for _ in range(bits + int(size.max()).bit_length())]
-    for d in np.flatnonzero(size).tolist():
-        for shift in range(int(size[d]).bit_length()):
-            if int(size[d]) >> shift & 1:
-                for b in range(bits):
-                    levels[shift + b].append(~slices[d, b] if query[d] < 0 else slices[d, b])
-    found = _select(_add(levels, words), k + len(own), len(values))
-    if own:
-        found = found[~np.isin(found, own)]
-    scores = values[found] @ query
-    order = np.lexsort((found, -scores))[:k]
-    return found[order], scores[order]
+def block_top(slices: np.ndarray, values: np.ndarray, queries: np.ndarray, own: list[list[int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (places, scores) of the k best rows of a block, without the places `own`; ties to smaller places."""
+    out = []
+    digits = _sums(slices, queries)
+    for j, query in enumerate(queries):
+        found = _select([d[j] for d in digits], k + len(own[j]), len(values))
+        if own[j]:
+            found = found[~np.isin(found, own[j])]
+        scores = values[found] @ query
+        order = np.lexsort((found, -scores))[:k]
+        out.append((found[order], scores[order]))
+    return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -183,11 +188,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             if i in wanted:
                 places.setdefault(i, []).append(place)
         id_type = block.schema.field("ids").type.value_type
-        for at in range(0, len(asking), QUERIES):
-            best = [block_top(slices, values, matrix[j], places.get(asking[j], []), k) for j in range(at, min(at + QUERIES, len(asking)))]
+        step = max(1, min(QUERIES, TOGETHER // slices.shape[2]))
+        for at in range(0, len(asking), step):
+            best = block_top(slices, values, matrix[at:at + step], [places.get(i, []) for i in asking[at:at + step]], k)
             n = [len(p) for p, _ in best]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(numbers[at:at + QUERIES], n)), pa.array([asking[at + j] for j, m in enumerate(n) for _ in range(m)], id_type),
+                pa.array(np.repeat(numbers[at:at + step], n)), pa.array([asking[at + j] for j, m in enumerate(n) for _ in range(m)], id_type),
                 pa.array([ids[p] for own, _ in best for p in own], id_type), pa.array(np.concatenate([s for _, s in best]))], names=schema.names)
 
     return searched(queries.where("vec_id is not null"), written(index(vectors), "topk-index"), over, schema, k)
