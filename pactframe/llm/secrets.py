@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import as_map, written
+from pactframe.llm.common import as_map, release, slices, written
 
 #: A candidate has a digit or mixed case in a run of 12 or more, or is what a secret's name is set to, or a URL's password.
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~@:-]{12,}")
 _SET = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?[ ]?[:=]+[ ]?[\"']?([^\s\"',;]{6,})")
 _URL_PASSWORD = re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@")
-_WORD = re.compile(r"[a-z]{3,}")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _CLASS = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "9" for c in range(48, 58)}})
 # Neighbouring words that speak for a secret or against it.
 SECRET_WORDS = "password passwd pwd secret token key apikey api_key access credential auth bearer login private aws".split()
@@ -196,18 +196,29 @@ def lookalikes(words: list[str], each: int = 150, seed: int = 5) -> list[tuple[s
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word and n, the number of rows of the one column of `texts` that hold it."""
+    """word and n, the number of distinct texts of the one column of `texts` that hold it; of the empty word, the number of distinct texts.
 
-    def over(batch):
-        own: Counter[str] = Counter()
-        for t in batch.column(0).to_pylist():
-            own.update(set(_WORD.findall(t.lower())))
-            if len(own) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
-                own = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
+    What moves is one row a distinct text and task: its 64-bit hash and its
+    words, each once, not the text.
+    """
 
-    return as_map(texts, over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def over(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                hashes, words = [], []
+                for t in part.column(0).to_pylist():
+                    h = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    if h not in seen:
+                        seen.add(h)
+                        hashes.append(h)
+                        words.append(" ".join(sorted(set(_WORD.findall(t.lower())))))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["h", "words"])
+        release()
+
+    own = texts.mapInArrow(over, "h long, words string").groupBy("h").agg(F.min("words").alias("words"))
+    word = F.explode(F.concat(F.array(F.lit("")), F.filter(F.split("words", " "), lambda w: w != "")))
+    return own.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "text", share: float = 5e-5) -> SecretModel:
@@ -224,9 +235,9 @@ def fit(docs: DataFrame, most: int = 8_000, findings: int = 6_000, text: str = "
     total = docs.count()
     present = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     sample = present.where(F.pmod(F.xxhash64("text", F.lit("secrets")), F.lit(1_000_000)) / 1e6 < min(1.0, most / max(1, total))).distinct()
-    distinct = present.distinct()
-    counted = written(word_counts(distinct).where("n >= 2"), "secret-words")
-    least = share * present.select(F.count_distinct(F.xxhash64("text"))).first()[0]
+    counted = written(word_counts(present).where("n >= 2 or word = ''"), "secret-words")
+    least = share * sum(r["n"] for r in counted.where("word = ''").collect())
+    counted = counted.where("word <> ''")
     words = frozenset(r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator())
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.col("word").substr(k, F.lit(2))))
     pairs = {r["pair"]: r["n"] for r in counted.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
@@ -259,7 +270,10 @@ def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, text: str
 
     Findings are the candidates that the forest scores at `threshold` or
     above.  With `redact`, the text follows, with that in place of each
-    finding.  Null and empty texts have no candidate (and stay as they are).
+    finding.  Null and empty texts have no candidate (and stay as they are);
+    equal rows give equal rows, ties at the threshold are findings, texts of
+    any length are scanned whole, columns that are not in `keep` are not
+    read, and an empty table gives no row.
     """
     extra = "n_candidates int, findings array<struct<start:long,end:long,score:double>>" + (", clean string" if redact is not None else "")
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL(extra).fields)
