@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pactframe.contract.model import Contract
+from pactframe.operators.shared import shared_folder  # noqa: F401
 from pactframe.operators.validate import flat_errors, from_rows, validate_table
 
 
@@ -15,16 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share, `spark.checkpoint.dir`; a temporary one on a local master only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def row_errors(df: DataFrame, contract: Contract, keys: list[str], max_errors: int = 100) -> DataFrame:
     """keys, position, path and code of every error of a typed table."""
     return flat_errors(from_rows(df, contract, max_errors, keep=keys), keys).select(*keys, "position", "path", "code")

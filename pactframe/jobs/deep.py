@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pactframe.contract import model as M
 from pactframe.contract.model import Contract, Field, constrained
 from pactframe.jobs.common import shared_folder, table
 from pactframe.operators.levels import check_levels, from_json_levels
+from pactframe.operators.validate import from_json
+from pactframe.sources import jsonl
+from pactframe.streaming.stream import continued
 
 _SAID = "errors, e -> e.path || ':' || e.code"
-#: Levels of lists in the texts of `p_levels`: up to 9, one more than is allowed.
-_DEEP = 8
+#: Levels of lists in the texts of `p_levels`: up to 6, one more than is allowed.
+_DEEP = 5
 
 
 def p_levels(spark, sf_dir):
@@ -29,8 +35,8 @@ def p_levels(spark, sf_dir):
 def p_levels_alias(spark, sf_dir):
     """A whole number or a list of the like, by levels; what fails inside fails its union, and so on up."""
     kind = M.Union((M.INT, M.Many(M.Ref("Value"))))
-    k = (F.col("event_id") % 7).cast("int")
-    text = F.concat(F.repeat(F.lit("[1,"), k), F.when(F.col("event_id") % 2 == 0, "2").otherwise('"x"'), F.repeat(F.lit("]"), k))
+    k = (F.col("event_id") % 4).cast("int")
+    text = F.concat(F.repeat(F.lit("[1,"), k), F.when(F.col("event_id") % 3 == 1, '"x"').otherwise("2"), F.repeat(F.lit("]"), k))
     rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
     done = check_levels(rows, "text", "Value", {"Value": kind}, ["event_id"], shared_folder(spark, "levels")).verdicts
     inner = F.get(F.col("errors"), F.lit(0))
@@ -51,14 +57,50 @@ def p_levels_lists(spark, sf_dir):
     return found.verdicts.select("l_orderkey", F.array_join(F.expr(f"transform({_SAID})"), ",").alias("bad"), "nodes", "depth")
 
 
-QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists)}
+def s_read_files(spark, sf_dir):
+    """Events as plain and gzip files, with and without byte order marks, read in the order of files and lines."""
+    path = shared_folder(spark, "jsonl")
+    text = F.expr("""case event_id % 6 when 0 then '' when 1 then '{"id":"x"}' else '{"id":' || event_id || '}' end""")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("g"), text.alias("text"))
+    firsts = rows.groupBy("g").agg(F.min("event_id").alias("first"))  # four rows
+    rows = rows.join(F.broadcast(firsts), "g")
+    for g in range(4):
+        value = F.when((F.col("event_id") == F.col("first")) & F.lit(g % 2 == 1), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text"))
+        own = rows.where(F.col("g") == g).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+        own.select(value.alias("value")).write.option("compression", "gzip" if g > 1 else "none").text(f"{path}/g{g}")
+    done = jsonl.read_jsonl(spark, f"{path}/*", Contract("R", (Field("id", M.INT),)))
+    return done.select("item_index", "line", F.coalesce("framing", F.lit("ok")).alias("framing"), F.col("value.id").alias("id"), F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("codes"))
+
+
+def x_stream_budgets(spark, sf_dir):
+    """Three streams, each over one of the limits: the rows before the one that goes over it, good and bad."""
+    contract = Contract("Event", (Field("id", M.INT), Field("kind", M.Literal(("click", "view", "signup", "purchase")))))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    text = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}'))
+    out = None
+    for name, limits in (("items", {"max_items": 700}), ("invalid_items", {"max_invalid": 25}), ("total_bytes", {"max_total_bytes": 30_000})):
+        source = spark.readStream.schema(schema).parquet(re.sub(r"/$", "", sf_dir) + "/event[s].parquet")
+        rows = from_json(source.select("event_id", F.octet_length("props").alias("bytes"), text.alias("text")), "text", contract, keep=["event_id", "bytes"])
+        root = shared_folder(spark, "budget")
+        try:
+            continued(rows, ["event_id"], f"{root}/good", f"{root}/bad", f"{root}/checkpoint", state_path=f"{root}/state", size="bytes", order="event_id", **limits).awaitTermination()
+            ended = "in time"
+        except StreamingQueryException as e:
+            ended = re.search(r"(\w+): limit \d+, observed \d+", str(e))[0]
+        for sound in ("good", "bad"):
+            part = spark.read.parquet(f"{root}/{sound}").select(F.lit(name).alias("budget"), F.lit(ended).alias("ended"), "event_id", F.lit(sound == "good").alias("sound"))
+            out = part if out is None else out.union(part)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets)}
 
 ORACLE_SQL = {
     "p_levels": f"""with x as (select event_id, cast(event_id % {_DEEP + 2} as int) as k from events)
         select event_id, concat_ws(',', case when k > 0 and event_id % 5 = 0 then 'v:type' end, case when k > {_DEEP} then repeat('c[1].', k - 1) || 'c[0]:depth'
             when event_id % 3 = 0 then repeat('c[1].', k) || 'v:type' when event_id % 3 = 1 then repeat('c[1].', k) || 'w:unexpected' end) as bad,
           cast(case when k > {_DEEP} then 2 * {_DEEP} + 1 else 2 * k + 1 end as bigint) as nodes, least(k, {_DEEP}) as depth from x""",
-    "p_levels_alias": """with x as (select event_id, cast(event_id % 7 as int) as k, event_id % 2 = 1 as wrong from events)
+    "p_levels_alias": """with x as (select event_id, cast(event_id % 4 as int) as k, event_id % 3 = 1 as wrong from events)
         select event_id, case when wrong then '<root>:union' else '' end as bad,
           case when wrong then 'int[{"code":"type","path":"<root>"}];list[Value]' || case when k = 0 then '[{"code":"type","path":"<root>"}]' else '[{"code":"union","path":"[1]"}]' end end as branches,
           cast(2 * k + 1 as bigint) as nodes, k as depth from x""",
@@ -66,4 +108,11 @@ ORACLE_SQL = {
         f as (select l_orderkey, min(i) as i from x where much or n = 7 group by 1)
         select x.l_orderkey, coalesce(max(case when x.i = f.i then concat_ws(',', case when much then 'orders[0].lines[' || x.i || '].quantity:less_than' end, case when n = 7 then 'orders[0].lines[' || x.i || '].parts[1].marks[1].n:type' end) end), '') as bad,
           cast(2 + 6 * count(*) as bigint) as nodes, 4 as depth from x left join f on x.l_orderkey = f.l_orderkey group by 1""",
+    "s_read_files": """with x as (select event_id, event_id = min(event_id) over (partition by event_id % 4) as first, row_number() over (order by event_id % 4, event_id) - 1 as i from events)
+        select i as item_index, i + 1 as line, case when first and event_id % 2 = 1 then 'bom' when event_id % 6 = 0 then 'blank' else 'ok' end as framing,
+          case when event_id % 6 > 1 and not (first and event_id % 2 = 1) then event_id end as id, case when event_id % 6 = 1 and not first then 'type' else '' end as codes from x""",
+    "x_stream_budgets": """with x as (select event_id, event_type <> 'error' as sound, row_number() over (order by event_id) as n, sum((event_type = 'error')::int) over (order by event_id) as bad, sum(strlen(props)) over (order by event_id) as bytes from events)
+        select 'items' as budget, case when (select max(n) from x) > 700 then 'items: limit 700, observed 701' else 'in time' end as ended, event_id, sound from x where n <= 700
+        union all select 'invalid_items', case when (select max(bad) from x) > 25 then 'invalid_items: limit 25, observed 26' else 'in time' end, event_id, sound from x where bad <= 25
+        union all select 'total_bytes', coalesce((select 'total_bytes: limit 30000, observed ' || min(bytes) from x where bytes > 30000), 'in time'), event_id, sound from x where bytes <= 30000""",
 }

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pactframe.contract import compiler as C
+from pactframe.operators.shared import checkpointed
 
 MAX_ITEMS, MAX_INVALID, MAX_DEPTH, MAX_NODES, MAX_ERRORS = 1_000_000, 100, 64, 100_000, 100
 MAX_LINE_BYTES = 8 * 1024 * 1024
@@ -42,39 +46,60 @@ class Verdict:
         return df.where(F.col(index) < self.cut) if self.exceeded else df
 
 
-#: Rows that a block of `running` should have; their number grows with the table.
-BLOCK_ROWS = 100_000
+def in_order(df: DataFrame, order: str | list[str], parts: int | None = None) -> DataFrame:
+    """`df` sorted by `order` over all its partitions, kept in the shared folder.
+
+    One exchange, by ranges of a sample, and a sort.  Ties go by a hash of the
+    row, so that a key of very many rows is spread over partitions too, and
+    reruns agree but for rows equal in all columns.
+    """
+    keys = [order] if isinstance(order, str) else order
+    kinds = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema]
+    tie = F.xxhash64(*[F.to_json(c) if "map<" in kind else c for c, kind in kinds if "variant" not in kind])  # maps have no hash
+    own = df.withColumn("_pf_tie", tie)
+    ranged = own.repartitionByRange(*([parts] if parts else []), *keys, "_pf_tie").sortWithinPartitions(*keys, "_pf_tie")
+    return checkpointed(ranged.drop("_pf_tie"))
 
 
-def running(df: DataFrame, order: str, value: Column, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds `name`: the sum of `value` over all rows up to this one in the order of the numeric key `order`.
+def running_sums(df: DataFrame, order: str | list[str], values: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Adds, for each name in `values`, the sum of its value (a null counts as 0) over all rows up to this one in the order of `order`.
 
-    A prefix sum in two passes: rows are cut into blocks at approximate
-    quantiles of the key, as many as give about `block_rows` each, so that a
-    few outlying keys don't put all rows into one block.  Sums of blocks, one
-    row each, are accumulated apart; a window then runs inside each block.
+    Two passes over sorted partitions: their sums, one row each, give what
+    lies before a partition, and within one the sums of Arrow batches run on.
+    No row looks for its place, so the time doesn't grow with the number of
+    partitions.
     """
-    total = df.count()
-    blocks = max(1, min(10_000, -(-total // block_rows)))
-    cuts = df.select(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] if blocks > 1 else []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else None
-    block = F.lit(0) if bounds is None else F.when(F.col(order) > F.element_at(bounds, -1), F.size(bounds)).otherwise(_place(bounds, F.col(order)))
-    with_block = df.withColumn("_block", block).withColumn("_n", value)
-    sums = with_block.groupBy("_block").agg(F.sum("_n").alias("_sum"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return with_block.join(F.broadcast(base), "_block").withColumn(name, F.sum("_n").over(inside) + F.col("_base")).drop("_block", "_n", "_base")
+    own = [f"_pf_n{k}" for k in range(len(values))]
+    kept = in_order(df.withColumns({n: F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint")) for n, v in zip(own, values.values(), strict=True)}), order, parts).withColumn("_part", F.spark_partition_id())
+    sums = kept.groupBy("_part").agg(*[F.sum(n).alias(n) for n in own])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("_part"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_base{n}") for n in own])
+    based = kept.join(F.broadcast(bases), "_part")  # one row a partition
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in values]])
+    at = len(df.columns)
+
+    def over(batches):
+        seen = np.zeros(len(own), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                sums = np.cumsum(np.stack([batch.column(at + k).to_numpy() for k in range(len(own))]), 1) + seen[:, None]
+                seen = sums[:, -1].copy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(sums[k] + batch.column(at + len(own) + k)[0].as_py()) for k in range(len(own))]], names=schema.names)
+
+    return based.select(*[f"`{c}`" for c in df.columns], *own, *[f"_base{n}" for n in own]).mapInArrow(over, schema)
 
 
-def _place(bounds: Column, key: Column) -> Column:
-    """How many of the sorted bounds lie below the key."""
-    return F.size(F.filter(bounds, lambda c: c < key))
+def running(df: DataFrame, order: str | list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """`running_sums` of one value."""
+    return running_sums(df, order, {name: value}, parts)
 
 
-def item_index(df: DataFrame, order: str) -> DataFrame:
-    """Adds item_index, the zero-based place in the order of a unique numeric key."""
-    return running(df, order, F.lit(1).cast("bigint"), "_place").withColumn("item_index", F.col("_place") - 1).drop("_place")
+def item_index(df: DataFrame, order: str | list[str], parts: int | None = None) -> DataFrame:
+    """Adds item_index, the zero-based place in the order of `order`: the place in a sorted partition and the rows of those before."""
+    kept = in_order(df, order, parts).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return kept.join(F.broadcast(bases), "_part").withColumn("item_index", F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")  # one row a partition
 
 
 def max_items(df: DataFrame, limit: int = MAX_ITEMS, index: str = "item_index") -> Verdict:
@@ -103,7 +128,7 @@ def fail_fast(df: DataFrame, bad: Column, index: str = "item_index") -> Verdict:
 
 def total_bytes(df: DataFrame, size: Column, limit: int, order: str) -> DataFrame:
     """Adds total_bytes, the running sum over all records, and within, whether it keeps to the limit."""
-    return running(df, order, size.cast("bigint"), "total_bytes").withColumn("within", F.col("total_bytes") <= limit)
+    return running(df, order, size, "total_bytes").withColumn("within", F.col("total_bytes") <= limit)
 
 
 def nodes(contract, df: DataFrame) -> Column:

@@ -212,6 +212,7 @@ def _ended(entries: Column, late: Column, limit: int) -> Column:
 
 def _union_error(kind: M.Union, step: Column, errors: Column, path: Column, location: Column) -> Column:
     """What a union says if its only fitting option holds a node that fails."""
+    shown = F.when(path == "", "<root>").otherwise(path)
     told = F.to_json(F.transform(errors, lambda e: F.struct(e["code"].alias("code"), e["path"].alias("path"))))
     branches = []
     for o in kind.ordered():
@@ -220,11 +221,11 @@ def _union_error(kind: M.Union, step: Column, errors: Column, path: Column, loca
         base = o.base if isinstance(o, M.Constrained) else o
         fits = {M.Many: "list", M.Mapping: "dict", M.Contract: "dict"}.get(type(base))
         code = "literal" if isinstance(base, M.Literal) and not isinstance(base, M.Enum) else "type"
-        other = F.to_json(F.array(F.struct(F.lit(code).alias("code"), path.alias("path"))))
+        other = F.to_json(F.array(F.struct(F.lit(code).alias("code"), shown.alias("path"))))
         said = F.when(step["kind"] == fits, told).otherwise(other) if fits and _refs(o) else other
         branches.append(F.struct(F.lit(o.describe()).alias("label"), said.alias("errors_json")))
     bad = error("union", Place(), expected=kind.describe(), received=step["kind"], value=step["shown"], branches=F.array(*branches))
-    return F.array(bad.withField("location", location).withField("path", F.when(path == "", "<root>").otherwise(path)))
+    return F.array(bad.withField("location", location).withField("path", shown))
 
 
 def _wrapping(kind: M.Union, path: Column, location: Column):

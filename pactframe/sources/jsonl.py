@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactframe.operators.budgets import MAX_LINE_BYTES
+from pactframe.operators.shared import checkpointed
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,19 +23,61 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def indexed(lines: DataFrame) -> DataFrame:
     """Adds item_index, the zero-based place by file, then by place in the file, and headed, whether the record begins with a file's byte order mark.
 
-    Two passes: counts per file block (one small row each) give offsets, which
-    are joined back.  Both passes read with the same splits.  The text source
-    drops a byte order mark at the head of a file; it shows in the bytes that
-    the file has beyond its records.
+    Two passes: the first counts records by file block, which gives offsets
+    of 32 bytes a block; the second reads with the same splits and looks its
+    blocks' offsets up, so that no text is moved.  The text source drops a
+    byte order mark at the head of a file.  Of a plain file it shows in the
+    bytes that the file has beyond its records; of a compressed one the first
+    three bytes are read, decompressed.
     """
     from pyspark.sql.window import Window
 
+    spark = lines.sparkSession
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("m").alias("_low"), F.sum(F.octet_length("value") + 1).alias("_bytes"), F.first("file_size").alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    of_file = Window.partitionBy("file")
-    offsets = blocks.select("file", "block", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), ((F.col("_size") - F.sum("_bytes").over(of_file) >= 2) & (F.col("block") == 0)).alias("_marked"))
-    return (lines.join(offsets, ["file", "block"]).withColumn("item_index", F.col("m") - F.col("_low") + F.col("_base"))
-            .withColumn("headed", F.col("_marked") & (F.col("m") == F.col("_low"))).drop("_low", "_base", "_marked"))
+    blocks = checkpointed(blocks)
+    packed = [r["file"] for r in blocks.select("file").distinct().where(F.col("file").rlike(_packed(spark))).collect()] if _packed(spark) else []  # as many names as the scan lists
+    told = spark.createDataFrame([(f, h == BOM) for f, h in zip(packed, heads(spark, packed), strict=True)], "_named string, _told boolean")
+    blocks = blocks.join(F.broadcast(told), F.col("file") == F.col("_named"), "left")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.col("_size") - F.sum("_bytes").over(Window.partitionBy("file")) >= 2
+    offsets = blocks.select(F.xxhash64("file").alias("_file"), F.col("block").alias("_block"), "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), (F.coalesce("_told", beyond) & (F.col("block") == 0)).alias("_marked"))
+    if not offsets.groupBy("_file", "_block").count().where("count > 1").isEmpty():
+        raise RuntimeError("two file names with one hash: rename one")
+    met = (F.xxhash64("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    return (lines.join(F.broadcast(offsets), met).withColumn("item_index", F.col("m") - F.col("_low") + F.col("_base"))
+            .withColumn("headed", F.col("_marked") & (F.col("m") == F.col("_low"))).drop("_low", "_base", "_marked", "_file", "_block"))
+
+
+#: UTF-8's byte order mark.
+BOM = b"\xef\xbb\xbf"
+
+
+def _packed(spark: SparkSession) -> str:
+    """A pattern for names of files that the cluster's codecs decompress."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    ends = {jvm.org.apache.hadoop.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in codecs}
+    return "(" + "|".join(re.escape(e) for e in sorted(ends)) + r")\z" if ends else ""
+
+
+def heads(spark: SparkSession, files: list[str], size: int = len(BOM)) -> list[bytes]:
+    """The first bytes of compressed files, decompressed; 32 files at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    factory = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(file: str) -> bytes:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = factory.getCodec(path).createInputStream(path.getFileSystem(conf).open(path))
+        try:
+            found = [stream.read() for _ in range(size)]
+        finally:
+            stream.close()
+        return bytes(b for b in found if b >= 0)
+
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(head, files))
 
 
 def unterminated(value: Column) -> Column:

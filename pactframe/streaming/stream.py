@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pactframe.contract.model import Contract
-from pactframe.operators.budgets import BudgetError
+from pactframe.operators.budgets import BudgetError, running_sums
 from pactframe.operators.patches import apply_patch, fold_patches
+from pactframe.operators.shared import deleted, listed
 from pactframe.operators.validate import from_json, split
 
 
@@ -21,31 +25,47 @@ COUNTERS = ("items", "invalid_items", "total_bytes")
 
 
 def continued(stream: DataFrame, keys: list[str], good_path: str, bad_path: str, checkpoint: str, max_items: int | None = None, max_invalid: int | None = None, state_path: str | None = None,
-              max_total_bytes: int | None = None, size: str | None = None) -> StreamingQuery:
+              max_total_bytes: int | None = None, size: str | None = None, order: str | list[str] | None = None) -> StreamingQuery:
     """Writes good rows and quarantine of each batch; a budget that is exceeded fails the query.
 
     Running totals (items, invalid items and, if `size` names a column of
     byte counts, bytes) are one row a batch in `state_path`: a batch adds its
     own to the row of the batch before it, and one that runs again replaces
-    its own row.  Totals are looked at before the batch's data are written,
-    so that nothing of a batch over a budget is delivered.
+    its own row.  Of the batch that goes over a budget, the rows before the
+    one that does are written, in the order of the columns `order`, and then
+    the query fails; without an order none of that batch can be told to come
+    before, so nothing is written.
     """
+    limits = dict(zip(COUNTERS, (max_items, max_invalid, max_total_bytes), strict=True))
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        good, bad = split(batch, keys)
+        good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
             if state_path is not None:
-                own = batch.agg(F.count("*").alias("items"), F.count(F.when(F.size("errors") > 0, 1)).alias("invalid_items"), (F.coalesce(F.sum(size), F.lit(0)) if size else F.lit(0)).cast("bigint").alias("total_bytes"))
-                if number:
-                    own = own.union(spark.read.parquet(f"{state_path}/batch={number - 1}").select(*COUNTERS)).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+                before = spark.read.parquet(f"{state_path}/batch={number - 1}").select(*COUNTERS).first().asDict() if number else dict.fromkeys(COUNTERS, 0)
+                counted = {"items": F.lit(1), "invalid_items": (F.size("errors") > 0).cast("int"), "total_bytes": F.col(size) if size else F.lit(0)}
+                own = batch.agg(*[(F.coalesce(F.sum(v), F.lit(0)) + before[c]).cast("bigint").alias(c) for c, v in counted.items()])
                 own.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
                 seen = spark.read.parquet(f"{state_path}/batch={number}").first()
-                for code, limit in zip(COUNTERS, (max_items, max_invalid, max_total_bytes), strict=True):
-                    if limit is not None and seen[code] > limit:
-                        raise BudgetError(code, limit, seen[code])
-            good, bad = split(batch, keys)
-            good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-            bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+                over = [c for c, limit in limits.items() if limit is not None and seen[c] > limit]
+                if over:
+                    if order is None:
+                        raise BudgetError(over[0], limits[over[0]], seen[over[0]])
+                    names = {c: f"_pf_{c}" for c in over}
+                    placed = running_sums(batch, order, {names[c]: counted[c] for c in over})
+                    passed = {c: F.col(n) + before[c] > limits[c] for c, n in names.items()}
+                    within = functools.reduce(lambda a, b: a & b, [~p for p in passed.values()])
+                    deliver(placed.where(within).drop(*names.values()), number)
+                    first = placed.where(~within).select(*[p.alias(c) for c, p in passed.items()], *names.values()).orderBy(*[F.col(n) for n in names.values()]).first()
+                    code = next(c for c in over if first[c])
+                    raise BudgetError(code, limits[code], first[names[code]] + before[code])
+            deliver(batch, number)
         finally:
             batch.unpersist()
 
@@ -57,7 +77,10 @@ def patch_stream(patches: DataFrame, base_path: str, out_path: str, key: str, or
 
     A batch rewrites the parts that its patches touch, under its own number;
     `patched` reads the newest of each part.  A batch that runs again
-    replaces what it wrote.
+    replaces what it wrote.  When a batch begins, those before it are done, so
+    that of each part only the newest version before it is kept: the table
+    takes at most twice its size and what a batch touches, after any number
+    of batches.
     """
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
 
@@ -66,6 +89,7 @@ def patch_stream(patches: DataFrame, base_path: str, out_path: str, key: str, or
         if number == 0:
             base = spark.read.parquet(base_path)
             base.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{out_path}/batch=-1")
+        remove_dead(spark, out_path, number)
         folded = fold_patches(batch, patch_contract, key, order).persist()
         try:
             touched = [r["part"] for r in folded.select(part).distinct().collect()]  # at most `parts` numbers
@@ -81,13 +105,35 @@ def patch_stream(patches: DataFrame, base_path: str, out_path: str, key: str, or
     return patches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def versions(spark: SparkSession, out_path: str) -> list[tuple[int, int, str]]:
+    """(part, batch, folder) of every version of a part: names of folders, no data."""
+    found = [(f, re.search(r"/batch=(-?\d+)/part=(\d+)$", f)) for f in listed(spark, f"{out_path}/batch=*/part=*")]
+    return [(int(m[2]), int(m[1]), f) for f, m in found if m]
+
+
+def newest(found: list[tuple[int, int, str]], before: int | None = None) -> dict[int, int]:
+    """The newest batch of each part, or that before one."""
+    out: dict[int, int] = {}
+    for part, batch, _ in found:
+        if before is None or batch < before:
+            out[part] = max(batch, out.get(part, batch))
+    return out
+
+
+def remove_dead(spark: SparkSession, out_path: str, number: int) -> None:
+    """Deletes the versions of parts that neither batch `number`, should it run again, nor a reader after it reads."""
+    found = versions(spark, out_path)
+    kept = newest(found, number)
+    for part, batch, folder in found:
+        if batch < number and batch != kept[part]:
+            deleted(spark, folder)
+
+
 def patched(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame:
     """The table as the batches left it, or as it was before one: of each part, what the newest batch wrote."""
-    table = spark.read.parquet(out_path)
-    table = table if before is None else table.where(F.col("batch") < before)
-    newest = table.select("part", "batch").distinct().groupBy("part").agg(F.max("batch").alias("batch"))
-    chosen = {r["part"]: r["batch"] for r in newest.collect()}  # one row a part
-    if not chosen:
-        return table.drop("batch")
-    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]), F.col("part"))
-    return table.where(F.col("batch") == wanted).drop("batch")
+    found = versions(spark, out_path)
+    chosen = newest(found, before)
+    folders = [f for part, batch, f in found if chosen.get(part) == batch]  # at most one a part
+    if not folders:
+        return spark.read.parquet(out_path).where("false").drop("batch")
+    return spark.read.option("basePath", out_path).parquet(*folders).drop("batch")

@@ -137,7 +137,7 @@ def test_defaults_and_rest_of_a_checked_function(spark):
 def test_outlying_keys_share_the_blocks(spark):
     keys = [*range(500), 10**15]
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
-    got = {r["k"]: r["item_index"] for r in budgets.running(df, "k", F.lit(1).cast("bigint"), "n", block_rows=50).withColumn("item_index", F.col("n") - 1).collect()}
+    got = {r["k"]: r["item_index"] for r in budgets.running(df, "k", F.lit(1).cast("bigint"), "n", parts=7).withColumn("item_index", F.col("n") - 1).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
