@@ -345,6 +345,13 @@ def _nullable(kind) -> bool:
     return isinstance(kind, M.Union) and M.NONE in kind.options or kind == M.NONE
 
 
+def _called(hook: M.Hook, value: Column, wanted: Column, ctx: Ctx, level: int) -> tuple[Column, int]:
+    """What a hook says of a value, on rows where it is still wanted."""
+    if ctx.stages is None:
+        raise ValueError("a hook of its own runs on rows, not inside lists or maps: see operators.levels")
+    return ctx.stage(hook.call(value, F.coalesce(wanted, F.lit(False))), level)
+
+
 def with_hooks(f: M.Field, raw: Column | Cell, convert, place: Place, ctx: Ctx, level: int) -> Compiled:
     """Representation, transforms, type and bounds, then checks: each only where all before it passed.
 
@@ -372,8 +379,14 @@ def with_hooks(f: M.Field, raw: Column | Cell, convert, place: Place, ctx: Ctx,
             fits = given.isNotNull()
         start = given
         for name, fn in f.transforms:
-            new, level = ctx.stage(fn(given), level)
-            early.append((given.isNotNull() & new.isNull(), F.array(error("transform", place, hook=name, stage="transform", value=given.cast("string")))))
+            if isinstance(fn, M.Hook):
+                sound = [~c for c, _ in early] + ([fits] if isinstance(raw, Cell) else [])
+                told, level = _called(fn, given, _all(sound), ctx, level)
+                new, failed = told["value"], F.coalesce(told["failed"], F.lit(False))
+            else:
+                new, level = ctx.stage(fn(given), level)
+                failed = given.isNotNull() & new.isNull()
+            early.append((failed, F.array(error("transform", place, hook=name, stage="transform", value=given.cast("string")))))
             given = new
         inner = rows(kind, given, kind.spark(), place, ctx, level)
         if isinstance(raw, Cell):
@@ -390,7 +403,11 @@ def with_hooks(f: M.Field, raw: Column | Cell, convert, place: Place, ctx: Ctx,
     failed = [(~ok, errors)]
     sound = [ok]
     for name, test in f.checks:
-        passed = F.coalesce(test(inner.value), F.lit(False))
+        if isinstance(test, M.Hook):
+            told, level = _called(test, inner.value, _all(sound), ctx, level)
+            passed = ~F.coalesce(told["failed"], F.lit(False))
+        else:
+            passed = F.coalesce(test(inner.value), F.lit(False))
         failed.append((~passed, F.array(error("field_check", place, hook=name, stage="field_check", value=inner.value.cast("string")))))
         sound.append(passed)
     return Compiled(inner.value, _all(sound), _chain(failed), None if inner.truncated is None else ~ok & inner.truncated, level)

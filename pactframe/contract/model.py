@@ -246,13 +246,24 @@ class Check:
     test: Callable[..., Column]
 
 
+@dataclass(frozen=True)
+class Hook:
+    """A hook that says for itself whether it failed: `call` makes of a value and of whether it is wanted a struct (value, failed).
+
+    Null is a result like any other.  See `operators.hooks.python_hook`.
+    """
+
+    call: Callable[[Column, Column], Column]
+
+
 @dataclass(frozen=True)
 class Field:
     """A field of a record: its type, names, default and metadata.
 
-    `transforms` are (name, column -> column) and give null where they reject;
-    of JSON values they take those of kind `raw`, the others go on as they
-    are.  A `factory` gives a column; null, where the type has no null, is a
+    `transforms` are (name, column -> column) and give null where they reject,
+    or (name, `Hook`); of JSON values they take those of kind `raw`, the others
+    go on as they are.  `checks` are (name, column -> boolean column) or (name,
+    `Hook`), whose value isn't looked at.  A `factory` gives a column; null, where the type has no null, is a
     failure.  `load` is a representation, (external type, column -> column),
     `dump` the way out, and `output` what its result is declared to be: it is
     checked and projected as such, and without it the result is a leaf.

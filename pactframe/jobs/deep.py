@@ -6,11 +6,14 @@ import re
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactframe.contract import model as M
-from pactframe.contract.model import Contract, Field, constrained
+from pactframe.contract.model import Contract, Field, constrained, derive
 from pactframe.jobs.common import shared_folder, table
+from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
+from pactframe.operators.patches import apply_in_order
 from pactframe.operators.validate import from_json
 from pactframe.sources import jsonl
 from pactframe.streaming.stream import continued
@@ -93,7 +96,39 @@ def x_stream_budgets(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets)}
+def _number(text):
+    """None for `none`; other texts that are no number are refused."""
+    return None if text is None or text.strip() == "none" else int(text)
+
+
+def _even(value):
+    if value is not None and value % 2:
+        raise ValueError("odd")
+
+
+def h_python(spark, sf_dir):
+    """H1, H2: a Python transform that gives None or refuses, then types and bounds, then a Python check."""
+    field = Field("v", M.optional(constrained(M.INT, ge=20)), transforms=(("number", python_hook(_number, T.LongType())),), checks=(("even", python_hook(_even)),))
+    k = F.col("event_id")
+    v = F.when(k % 5 == 0, F.concat(F.lit('" '), k.cast("string"), F.lit('"'))).when(k % 5 == 1, '"none"').when(k % 5 == 2, '"x"').when(k % 5 == 3, k.cast("string")).otherwise("true")
+    done = from_json(table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("text")), "text", Contract("N", (field,)), keep=["event_id"])
+    return done.select("event_id", F.col("value.v").alias("v"), F.col("value").isNotNull().alias("sound"), F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["code"], e["hook"])), ",").alias("codes"))
+
+
+def d_steps(spark, sf_dir):
+    """Orders as patches of their customers' limits, one by one: those that would put the lower limit above the upper one are refused."""
+    limits = Contract("Limits", (Field("key", M.INT, read_only=True), Field("low", constrained(M.INT, ge=0)), Field("high", M.INT)), checks=(M.Check("order", ("low", "high"), lambda low, high: low <= high),))
+    patch = derive(limits, mode="input", partial=True)
+    k = F.col("o_orderkey")
+    low, high = F.concat(F.lit('"low":'), (k % 53 - 3).cast("string")), F.concat(F.lit('"high":'), (k % 41).cast("string"))
+    text = F.concat(F.lit("{"), F.when(k % 3 == 0, low).when(k % 3 == 1, high).otherwise(F.concat_ws(",", low, high)), F.lit("}"))
+    patches = from_json(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), k.alias("seq"), text.alias("text")), "text", patch, keep=["key", "seq"]).where("value is not null")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit(5).cast("long").alias("low"), (F.col("c_nationkey") + 5).cast("long").alias("high"))
+    done = apply_in_order(base, patches, "key", "seq", limits, patch, chunk=7)
+    return done.select("key", "low", "high", "applied", F.array_join(F.col("refused").cast("array<string>"), ",").alias("refused"))
+
+
+QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets, h_python, d_steps)}
 
 ORACLE_SQL = {
     "p_levels": f"""with x as (select event_id, cast(event_id % {_DEEP + 2} as int) as k from events)
@@ -115,4 +150,16 @@ ORACLE_SQL = {
         select 'items' as budget, case when (select max(n) from x) > 700 then 'items: limit 700, observed 701' else 'in time' end as ended, event_id, sound from x where n <= 700
         union all select 'invalid_items', case when (select max(bad) from x) > 25 then 'invalid_items: limit 25, observed 26' else 'in time' end, event_id, sound from x where bad <= 25
         union all select 'total_bytes', coalesce((select 'total_bytes: limit 30000, observed ' || min(bytes) from x where bytes > 30000), 'in time'), event_id, sound from x where bytes <= 30000""",
+    "h_python": """select event_id, case when event_id % 5 in (0, 3) and event_id >= 20 and event_id % 2 = 0 and event_id % 5 = 0 then event_id when event_id % 5 = 3 and event_id >= 20 and event_id % 2 = 0 then event_id end as v,
+        event_id % 5 = 1 or event_id % 5 in (0, 3) and event_id >= 20 and event_id % 2 = 0 as sound,
+        case when event_id % 5 = 1 then '' when event_id % 5 = 2 then 'transform:number' when event_id % 5 = 4 then 'type' when event_id < 20 then 'greater_than_or_equal' when event_id % 2 = 1 then 'field_check:even' else '' end as codes from events""",
+    "d_steps": """with recursive p as (
+          select o_custkey as key, o_orderkey as seq, case when o_orderkey % 3 <> 1 then o_orderkey % 53 - 3 end as low, case when o_orderkey % 3 <> 0 then o_orderkey % 41 end as high, row_number() over (partition by o_custkey order by o_orderkey) as n
+          from orders where o_orderkey % 3 = 1 or o_orderkey % 53 >= 3
+        ), s as (
+          select c_custkey as key, 0::bigint as n, 5::bigint as low, (c_nationkey + 5)::bigint as high, 0::bigint as applied, []::varchar[] as refused from customer
+          union all
+          select key, n, case when ok then a else low end, case when ok then b else high end, applied + ok::bigint, case when ok then refused else list_append(refused, seq::varchar) end
+          from (select s.key, p.n, s.low, s.high, s.applied, s.refused, p.seq, coalesce(p.low, s.low) as a, coalesce(p.high, s.high) as b, coalesce(p.low, s.low) <= coalesce(p.high, s.high) as ok from s join p on p.key = s.key and p.n = s.n + 1)
+        ) select key, low, high, applied, array_to_string(refused, ',') as refused from (select *, row_number() over (partition by key order by n desc) as last from s) where last = 1""",
 }

@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pactframe.contract import compiler as C
 from pactframe.contract.errors import Place, no_errors
+from pactframe.contract.model import Hook
+
+
+def python_hook(fn: Callable, gives: T.DataType | None = None) -> Hook:
+    """A transform, or without `gives` a check, from a Python function of one value.
+
+    Values go in Arrow batches, and only those that are still wanted are
+    looked at: earlier hooks and types have passed.  `ValueError` is a failure
+    of that row; any other exception ends the job.  None is passed and
+    returned like any value.  A check returns None.
+    """
+    kind = T.BooleanType() if gives is None else gives
+    value_type = to_arrow_type(kind)
+
+    @F.arrow_udf(T.StructType([T.StructField("value", kind), T.StructField("failed", T.BooleanType())]))
+    def called(values: pa.Array, wanted: pa.Array) -> pa.Array:
+        out, failed = [], []
+        for v, w in zip(values.to_pylist(), wanted.to_pylist(), strict=True):
+            result, bad = None, False
+            if w:
+                try:
+                    result = fn(v)
+                except ValueError:
+                    bad = True
+                if gives is None and result is not None:
+                    raise TypeError("a check must return None")
+            out.append(result)
+            failed.append(bad)
+        return pa.StructArray.from_arrays([pa.array(out, value_type), pa.array(failed, pa.bool_())], names=["value", "failed"])
+
+    return Hook(lambda value, wanted: called(value, wanted))
 
 
 def validated_udf(df: DataFrame, fn, params: list[tuple], returns, arguments: list[str], rest: tuple[str, object] | None = None) -> DataFrame:
