@@ -183,16 +183,19 @@ def bound_holds(bound: M.Bound, kind: object, v: Column) -> Column:
     return size >= bound.limit if bound.rule == "min_length" else size <= bound.limit
 
 
-def bound_tests(kind: M.Constrained, v: Column, place: Place, received: str) -> list[tuple[Column, Column]]:
-    """(holds, errors) of each bound, in the fixed order."""
+def bound_tests(kind: M.Constrained, v: Column, place: Place, received: str, raw: tuple[Column, Column, Column] | None = None) -> list[tuple[Column, Column]]:
+    """(holds, errors) of each bound, in the fixed order; of a container that may hold unsound items, `raw` is (whether it is sound, it as it was given, its text)."""
     shown = F.to_json(v) if isinstance(kind.base, (M.Many, M.Mapping)) else v
-    return [(F.coalesce(bound_holds(b, kind.base, v), F.lit(False)), F.array(error(_CODES[b.rule], place, expected=f"{kind.base.describe()} satisfying {b.label()}", received=received, value=shown, context={_CONTEXT.get(b.rule, "limit"): b.limit})))
+    holds = lambda b: bound_holds(b, kind.base, v)
+    if raw is not None:
+        shown, holds = raw[2], lambda b: F.when(raw[0], bound_holds(b, kind.base, v)).otherwise(bound_holds(b, kind.base, raw[1]))
+    return [(F.coalesce(holds(b), F.lit(False)), F.array(error(_CODES[b.rule], place, expected=f"{kind.base.describe()} satisfying {b.label()}", received=received, value=shown, context={_CONTEXT.get(b.rule, "limit"): b.limit})))
             for b in kind.ordered()]
 
 
-def _bounded(kind: M.Constrained, inner: Compiled, place: Place, received: str, ctx: Ctx, shape: Column | None = None) -> Compiled:
+def _bounded(kind: M.Constrained, inner: Compiled, place: Place, received: str, ctx: Ctx, shape: Column | None = None, given: tuple[Column, Column] | None = None) -> Compiled:
     """`inner` with the bounds of `kind`; lengths come before items, so that a container's `shape` decides when they are tested."""
-    tests = bound_tests(kind, inner.value, place, received)
+    tests = bound_tests(kind, inner.value, place, received, None if given is None else (inner.ok, *given))
     held = [(h, e) for h, e in tests]
     ok = _all([inner.ok, *[h for h, _ in held]])
     failed = [(~h, e) for h, e in held]
@@ -537,7 +540,8 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
         inner = json_value(kind.base, cell, place, ctx)
         received = "list" if isinstance(kind.base, M.Many) else "dict" if isinstance(kind.base, M.Mapping) else kind.base.describe()
         shape = s.startswith("ARRAY" if isinstance(kind.base, M.Many) else "OBJECT") if isinstance(kind.base, (M.Many, M.Mapping)) else None
-        return _bound(inner, ctx, lambda c: _bounded(kind, c, place, received, ctx, shape))
+        given = None if shape is None else (F.try_variant_get(v, "$", "array<variant>" if isinstance(kind.base, M.Many) else "map<string,variant>"), shown_json(v))
+        return _bound(inner, ctx, lambda c: _bounded(kind, c, place, received, ctx, shape, given))
     if isinstance(kind, M.Union):
         real = [o for o in kind.ordered() if o != M.NONE]
         null = (s == "VOID") & F.lit(M.NONE in kind.options)

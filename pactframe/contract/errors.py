@@ -139,7 +139,8 @@ def error(code: str, place: Place, *, expected: str | None = None, received: Col
     facts = {str(k): str(v) for k, v in (context or {}).items()}
     text = message(code, expected=expected, hook=hook, discriminator=discriminator, tags=", ".join(map(repr, tags or [])), **(context or {}))
     mapped = f"map({', '.join(_quoted(x) for kv in facts.items() for x in kv)})" if facts else "cast(null as map<string,string>)"
-    where = f"array({', '.join(_list(p.static()[0]) for p in related)})" if related else "cast(null as array<array<string>>)"
+    settled = all(p.static() is not None for p in related or [])
+    where = f"array({', '.join(_list(p.static()[0]) for p in related)})" if related and settled else "cast(null as array<array<string>>)"
     fixed = place.static()
     out = F.expr(f"""named_struct('code', {_quoted(code)}, 'location', {_list(fixed[0] if fixed else [])}, 'path', {_quoted(fixed[1] if fixed else '')}, 'message', {_quoted(text)},
         'expected', {_quoted(expected)}, 'received', {_quoted(received if isinstance(received, str) else None)}, 'input', {_quoted(REDACTED if value is not None and place.redacted else None)},
@@ -147,6 +148,8 @@ def error(code: str, place: Place, *, expected: str | None = None, received: Col
         'discriminator', {_quoted(discriminator)}, 'expected_tags', {_list(tags)}, 'conflicting_names', cast(null as array<string>))""")
     if fixed is None:
         out = out.withField("location", place.location()).withField("path", place.path())
+    if not settled:
+        out = out.withField("locations", F.array(*[p.location() for p in related]))
     for field, column in (("received", received if isinstance(received, Column) else None), ("input", None if value is None or place.redacted else bounded_input(value)), ("branches", branches), ("conflicting_names", names)):
         if column is not None:
             out = out.withField(field, column)

@@ -74,8 +74,8 @@ def _refs(kind) -> bool:
     return isinstance(kind, M.Ref)
 
 
-def _kids(kind, v: Column, hidden: bool) -> Column:
-    """The nodes in a value: a list of (order, steps, shown steps, name, hidden, v), in order; steps are as in locations of errors."""
+def _kids(kind, v: Column, hidden: bool, root: bool = False) -> Column:
+    """The nodes in a value: a list of (order, steps, shown steps, name, hidden, v), in order; steps are as in locations of errors, where a root's own names are never hidden."""
     empty = F.array().cast("array<struct<order:array<int>,steps:array<string>,shown:string,name:string,hidden:boolean,v:variant>>")
     if isinstance(kind, M.Constrained):
         return _kids(kind.base, v, hidden)
@@ -108,8 +108,8 @@ def _kids(kind, v: Column, hidden: bool) -> Column:
             if _refs(f.type):
                 own = F.coalesce(*[C.member(v, n) for n in f.names])
                 covered = hidden or f.sensitive
-                place = Place((("name", "x"), ("name", f.external)), covered).static()
-                parts.append(under(_kids(f.type, own, covered), F.lit(slot), F.lit(place[0][1]), F.lit(place[1][1:])))
+                steps, text = Place(((("name", "x"),) if not root else ()) + (("name", f.external),), covered).static()
+                parts.append(under(_kids(f.type, own, covered), F.lit(slot), F.lit(steps[-1]), F.lit(text if root else text[1:])))
         return F.concat(*parts) if parts else empty
     return empty
 
@@ -144,7 +144,7 @@ def _covered(location: Column) -> tuple[Column, Column]:
     return covered, F.array_join(F.transform(covered, shown), "")
 
 
-def _below(nodes: DataFrame, named: dict[str, object], reached) -> DataFrame:
+def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> DataFrame:
     """The nodes one level below."""
     out = None
     for name, hidden in reached:
@@ -152,15 +152,12 @@ def _below(nodes: DataFrame, named: dict[str, object], reached) -> DataFrame:
         if _refs(kind):
             own = nodes.where((F.col("name") == name) & (F.col("hidden") == hidden))
             record = isinstance(kind, M.Contract)
-            found = own.select("rid", "location", "path", "chain", "v", F.explode(_kids(kind, F.col("v"), hidden)).alias("kid"))
+            found = own.select("rid", "location", "path", "chain", "v", F.explode(_kids(kind, F.col("v"), hidden, root)).alias("kid"))
             k = F.col("kid")
             turned = k["hidden"] & F.lit(not hidden)
             covered, covered_path = _covered(F.col("location"))
             location = F.concat(F.when(turned, covered).otherwise(F.col("location")), k["steps"])
-            # At the root a name stands without a dot, and shown: nothing above it could be told by it.
-            root = F.size("location") == 0
-            first = F.when(root & k["steps"][0].startswith('"'), F.regexp_replace(k["shown"], r"^\.", "")).otherwise(k["shown"])
-            path = F.concat(F.when(turned, covered_path).otherwise(F.col("path")), first)
+            path = F.concat(F.when(turned, covered_path).otherwise(F.col("path")), k["shown"])
             slot = F.get(k["order"], F.lit(0)) if record else F.lit(0)
             step = F.struct(slot.alias("slot"), (F.slice(k["order"], 2, F.greatest(F.size(k["order"]) - 1, F.lit(0))) if record else k["order"]).alias("order"), F.size(k["steps"]).alias("len"), F.col("path").alias("up"),
                             F.lit(name).alias("parent"), C.variant_kind(F.col("v")).alias("kind"), (F.lit(None).cast("string") if record or hidden else bounded_input(C.shown_json(F.col("v")))).alias("shown"))
@@ -196,8 +193,12 @@ def _checked(nodes: DataFrame, name: str, kind, hidden: bool, root: bool, max_er
     out = staged.select("rid", "location", "path", "chain", "name", F.when(good, value).alias("value"), F.when(~good, F.coalesce(entries, none)).alias("entries"), F.when(~good, late).alias("late"))
     if root:
         return out
+
+    def under(location: Column) -> Column:
+        return F.concat("location", F.slice(location, 2, F.greatest(F.size(location) - 1, F.lit(0))))
+
     def moved(errors: Column) -> Column:
-        return F.transform(errors, lambda e: e.withField("location", F.concat("location", F.slice(e["location"], 2, F.greatest(F.size(e["location"]) - 1, F.lit(0))))).withField("path", F.concat("path", F.substr(e["path"], F.lit(2)))))
+        return F.transform(errors, lambda e: e.withField("location", under(e["location"])).withField("path", F.concat("path", F.substr(e["path"], F.lit(2)))).withField("locations", F.transform(e["locations"], under)))
 
     return out.withColumn("entries", F.transform("entries", lambda x: x.withField("e", moved(x["e"])))).withColumn("late", moved(F.col("late")))
 
@@ -287,15 +288,17 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     start.select(*_NODE).write.parquet(f"{path}/nodes/level=0")
     depth, reached = 0, _reached(root, named)
     while depth <= max_depth:
-        _below(spark.read.parquet(f"{path}/nodes/level={depth}"), named, {(root, False): None} | reached).select(*_NODE).write.parquet(f"{path}/nodes/level={depth + 1}")
+        _below(spark.read.parquet(f"{path}/nodes/level={depth}"), named, {(root, False): None} if not depth else reached, not depth).select(*_NODE).write.parquet(f"{path}/nodes/level={depth + 1}")
         if read(f"nodes/level={depth + 1}").isEmpty():
             break
         depth += 1
     nodes = read("nodes").where(F.col("level") <= max_depth)
-    for name, hidden in reached:
-        _checked(nodes.drop("level"), name, named[name], hidden, False, max_errors).withColumn("level", F.size("chain")).write.partitionBy("level").mode("append").parquet(f"{path}/checked/{_folder(named, name)}")
-    _checked(nodes.where("level = 0").drop("level"), root, named[root], False, True, max_errors).withColumn("level", F.lit(0)).write.partitionBy("level").mode("append").parquet(f"{path}/checked/{_folder(named, root)}")
-    typed = {n: read(f"checked/{_folder(named, n)}") for n in named if n == root or any(m == n for m, _ in reached)}
+    typed = {}
+    for name, hidden, top in [*[(n, h, False) for n, h in reached], (root, False, True)]:
+        checked = _checked(nodes.drop("level"), name, named[name], hidden, top, max_errors).withColumn("level", F.size("chain"))
+        folder = f"{path}/checked/{_folder(named, name)}"
+        checked.write.partitionBy("level").mode("append").parquet(folder)
+        typed[name] = spark.read.schema(checked.schema).parquet(folder)
     bad = None
     for checked in typed.values():
         own = checked.where("entries is not null").select("rid", "location", "path", "chain", "name", "entries", "late", "level")
