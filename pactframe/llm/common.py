@@ -119,6 +119,19 @@ def slices(batch):
         yield batch.slice(at, step)
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand SLICE_ROWS rows at once to Python workers, unless the session says how many.
+
+    Its own 10,000 rows of long texts are buffers of over 100 MB a task outside
+    the heap, which executors don't give back.
+    """
+    if spark.conf.get(_BATCH_ROWS, None) is None:
+        spark.conf.set(_BATCH_ROWS, str(SLICE_ROWS))
+
+
 def as_map(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """`mapInArrow` with a function from a pyarrow RecordBatch to one or more; Python objects of a few rows live at once."""
 
@@ -128,6 +141,7 @@ def as_map(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
                 yield from fn(part)
         release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(over, schema)
 
 

@@ -235,6 +235,7 @@ def repaired(rows: DataFrame) -> DataFrame:
             yield made()
         release()
 
+    small_batches(rows.sparkSession)
     return sorted_rows.select("conv_id", "turn", "role", "text", "copy", "fault").mapInArrow(over, schema)
 
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pactframe.llm.common import release
+from pactframe.llm.common import release, small_batches
 
 #: White space but for spaces and line ends; texts with it, with white space beside a space, or with a longer word
 #: than LONG_WORD, are encoded whole.
@@ -241,4 +241,5 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
             yield from flush()
         release()
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, text).mapInArrow(over, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import as_map, release, slices, written
+from pactframe.llm.common import as_map, release, slices, small_batches, written
 
 #: A candidate has a digit or mixed case in a run of 12 or more, or is what a secret's name is set to, or a URL's password.
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~@:-]{12,}")
@@ -216,6 +216,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["h", "words"])
         release()
 
+    small_batches(texts.sparkSession)
     own = texts.mapInArrow(over, "h long, words string").groupBy("h").agg(F.min("words").alias("words"))
     word = F.explode(F.concat(F.array(F.lit("")), F.filter(F.split("words", " "), lambda w: w != "")))
     return own.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactframe.llm.common import bounded_sample, fold, release, slices
+from pactframe.llm.common import bounded_sample, fold, release, slices, small_batches
 
 # Starting words of the grammar's classes, in the four languages of the corpus.
 INSULTS = "idiot moron loser scum trash stupid pathetic disgusting worthless clown dumb imbecile filth vermin idioten dummkopf abschaum trottel imbécile crétin ordure débile imbécil estúpido basura escoria".split()
@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
                 yield pa.RecordBatch.from_arrays([pa.array([_sketch(t) for t in texts], pa.int64()), part.column(1), pa.array([sorted(_word_marks(t)) for t in texts], pa.list_(pa.string()))], names=["sketch", "toxic", "marks"])
         release()
 
+    small_batches(rows.sparkSession)
     single = rows.select("text", "toxic").mapInArrow(marks, "sketch long, toxic long, marks array<string>").groupBy("sketch", "toxic").agg(F.min("marks").alias("marks")).cache()
     totals = {r["toxic"]: r["count"] for r in single.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -220,4 +221,5 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(p), pa.array(list(counts), pa.list_(pa.int32()))], names=schema.names)
         release()
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, text).mapInArrow(over, schema)
