@@ -611,7 +611,7 @@ def json_record(contract: M.Contract, cell: Cell, place: Place, ctx: Ctx, keys:
     """A JSON object; `keys` are its keys in text order where these are known, `members` the cells that are read already, `bound` the results of fields."""
     level = cell.level
     members = {} if members is None else members
-    unread = [n for f in contract.fields for n in f.names if n not in members]
+    unread = [n for n in [*ignored, *(n for f in contract.fields for n in f.names)] if n not in members]
     if ctx.stages is None and (unread or keys is None):
         # Inside a lambda: members are read once, then each field's result is computed once.
         def with_members(m: Column) -> Column:

@@ -14,7 +14,8 @@ from pactframe.jobs.common import shared_folder, table
 from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
 from pactframe.operators.patches import apply_in_order
-from pactframe.operators.validate import from_json
+from pactframe.operators.routing import dispatch
+from pactframe.operators.validate import error_patterns, from_json
 from pactframe.sources import jsonl
 from pactframe.streaming.stream import continued
 
@@ -128,7 +129,29 @@ def d_steps(spark, sf_dir):
     return done.select("key", "low", "high", "applied", F.array_join(F.col("refused").cast("array<string>"), ",").alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets, h_python, d_steps)}
+def e_patterns(spark, sf_dir):
+    """Errors in lists and maps by the pattern of their location."""
+    contract = Contract("Bag", (Field("items", M.Many(Contract("Item", (Field("x", constrained(M.INT, lt=9)),)))), Field("by", M.Mapping(M.Many(M.INT)))))
+    k = F.col("event_id")
+    items = F.array_join(F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), lambda i: F.concat(F.lit('{"x":'), (i + k % 7).cast("string"), F.lit("}"))), ",")
+    text = F.concat(F.lit('{"items":['), items, F.lit('],"by":{"k'), k.cast("string"), F.lit('":[1,'), F.when(k % 3 == 0, '"a"').otherwise("2"), F.lit("]}}"))
+    return error_patterns(from_json(table(spark, sf_dir, "events").select(text.alias("text")), "text", contract, keep=[]), contract)
+
+
+def u_branches(spark, sf_dir):
+    """Twelve kinds of events, each checked by a plan of its own over its own rows."""
+    kind = M.Tagged("type", tuple((f"t{n}", Contract(f"T{n}", (Field("id", M.INT), Field(f"f{n}", constrained(M.INT, lt=n + 20))))) for n in range(12)))
+    k, n = F.col("event_id"), F.col("event_id") % 15
+    text = F.concat(F.lit('{"type":'), F.when(n == 13, "7").otherwise(F.concat(F.lit('"t'), n.cast("string"), F.lit('"'))), F.lit(',"id":'), k.cast("string"), F.lit(',"f'), n.cast("string"), F.lit('":'), (k % 50).cast("string"), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(n == 14, F.lit("{")).otherwise(text).alias("text"))
+    branches, rest = dispatch(rows, "text", kind, ["event_id"], shared_folder(spark, "branches"))
+    out = rest.select("event_id", F.lit("").alias("branch"), "errors")
+    for name, part in branches.items():
+        out = out.union(part.select("event_id", F.lit(name).alias("branch"), "errors"))
+    return out.select("event_id", "branch", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("bad"))
+
+
+QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets, h_python, d_steps, e_patterns, u_branches)}
 
 ORACLE_SQL = {
     "p_levels": f"""with x as (select event_id, cast(event_id % {_DEEP + 2} as int) as k from events)
@@ -162,4 +185,10 @@ ORACLE_SQL = {
           select key, n, case when ok then a else low end, case when ok then b else high end, applied + ok::bigint, case when ok then refused else list_append(refused, seq::varchar) end
           from (select s.key, p.n, s.low, s.high, s.applied, s.refused, p.seq, coalesce(p.low, s.low) as a, coalesce(p.high, s.high) as b, coalesce(p.low, s.low) <= coalesce(p.high, s.high) as ok from s join p on p.key = s.key and p.n = s.n + 1)
         ) select key, low, high, applied, array_to_string(refused, ',') as refused from (select *, row_number() over (partition by key order by n desc) as last from s) where last = 1""",
+    "e_patterns": """with x as (select event_id, len(list_filter(range(event_id % 5 + 1), lambda i: i + event_id % 7 >= 9)) > 0 as much, event_id % 3 = 0 as text from events)
+        select 'items[*].x' as pattern, 'less_than' as code, count(*) as errors, count(*) as records from x where much having count(*) > 0
+        union all select 'by.*[*]', 'type', count(*), count(*) from x where text having count(*) > 0""",
+    "u_branches": """with x as (select event_id, event_id % 15 as n, event_id % 50 as v from events)
+        select event_id, case when n < 12 then 'T' || n else '' end as branch, case when n = 12 then 'type:discriminator_unknown' when n = 13 then 'type:type' when n = 14 then '<root>:json_invalid'
+            when v >= n + 20 then 'f' || n || ':less_than' else '' end as bad from x""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +65,13 @@ def decode_json_strict(df: DataFrame, column: str) -> DataFrame:
     return decoded(df, column)
 
 
-def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_errors: int = 100, max_size: int | None = None, max_depth: int | None = None, keep: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
+def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_errors: int = 100, max_size: int | None = None, max_depth: int | None = None, keep: list[str] | None = None, max_nodes: int | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Strict JSON texts to records: adds value, errors, truncated and present (the fields that the text supplies).
 
     Texts that are not strict JSON have one error, json_invalid or
     json_duplicate, at the root; over `max_size` bytes, `max_depth` levels or
     `max_nodes` values that the contract visits they raise the budget's error
-    when the action runs.
+    when the action runs.  Keys in `ignored` may be there, and aren't read.
     """
     kept = df.columns if keep is None else keep
     text = F.col(column)
@@ -93,7 +94,7 @@ def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_error
     else:
         keys, level = ctx.stage(F.when(code.isNull(), F.json_object_keys(text)), level)
         cell = C.Cell(raw, schema, level)
-        record = C.json_tagged(contract, cell, Place(), ctx, keys) if isinstance(contract, Tagged) else C.json_record(contract, cell, Place(), ctx, keys, members=members)
+        record = C.json_tagged(contract, cell, Place(), ctx, keys) if isinstance(contract, Tagged) else C.json_record(contract, cell, Place(), ctx, keys, ignored, members)
     there = schema.startswith("ARRAY" if positional else "OBJECT")
     invalid = error("json_invalid", Place()).withField("context", F.create_map(F.lit("reason"), code))
     duplicate = error("json_duplicate", Place()).withField("context", F.create_map(F.lit("key"), F.col("_pf_verdict.key")))
@@ -220,6 +221,51 @@ def error_report(result: DataFrame, by_hook: bool = False) -> DataFrame:
     return counted.groupBy(*[F.col(f"e.{k}").alias(k) for k in kinds]).agg(F.sum("e.n").alias("errors"), F.count("*").alias("records"))
 
 
+def _map_steps(kind, at: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """Where a kind has maps: their places as steps of locations, outer ones first."""
+    if isinstance(kind, M.Constrained):
+        return _map_steps(kind.base, at)
+    if isinstance(kind, M.Mapping):
+        return [at, *_map_steps(kind.value, (*at, '"*"'))]
+    if isinstance(kind, M.Many):
+        return _map_steps(kind.item, (*at, "*"))
+    if isinstance(kind, M.Fixed):
+        return [x for i in kind.items for x in _map_steps(i, (*at, "*"))]
+    if isinstance(kind, M.Union):
+        return [x for o in kind.options for x in _map_steps(o, at)]
+    if isinstance(kind, Tagged):
+        return [x for _, c in kind.branches for x in _map_steps(c, at)]
+    if isinstance(kind, Contract):
+        return [x for f in kind.fields for n in f.names for x in _map_steps(f.type, (*at, json.dumps(n, ensure_ascii=False)))]
+    return []
+
+
+def location_pattern(location: Column, kind) -> Column:
+    """A location without what the data decide: indexes are [*], keys of the kind's maps *; `items[*].by.*.x`.
+
+    Sensitive names stay hidden, so keys below them do too.
+    """
+    steps = F.transform(location, lambda s: F.when(s.rlike(r"^\d+$"), "*").otherwise(s))
+    text = F.array_join(F.concat(F.array(F.lit("")), steps), "\x1f")
+    for at in sorted(dict.fromkeys(_map_steps(kind)), key=len):
+        place = "".join(f"\x1f{re.escape(x)}" for x in at)
+        text = F.regexp_replace(text, f'^({place})\x1f"[^\x1f]*"(?=\x1f|$)', '$1\x1f"*"')
+    shown = F.transform(F.split(F.substr(text, F.lit(2)), "\x1f"), lambda s, i: F.when(s == "*", "[*]").when(i == 0, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(F.concat(F.lit("."), F.substr(s, F.lit(2), F.length(s) - 2))))
+    return F.when(F.size(location) == 0, "<root>").otherwise(F.array_join(shown, ""))
+
+
+def error_patterns(result: DataFrame, kind) -> DataFrame:
+    """Failures by pattern of location and code: errors, and the records that have them.
+
+    Groups are as many as the contract has places, however long lists are and
+    whatever keys maps have, so a task sends no more than that.
+    """
+    own = F.transform("errors", lambda e: F.struct(location_pattern(e["location"], kind).alias("pattern"), e["code"].alias("code")))
+    each = F.transform(F.array_distinct("_own"), lambda d: F.struct(d["pattern"].alias("pattern"), d["code"].alias("code"), F.size(F.filter("_own", lambda e: e == d)).alias("n")))
+    counted = result.where(F.col("value").isNull()).select(own.alias("_own")).select(F.explode(each).alias("e"))
+    return counted.groupBy("e.pattern", "e.code").agg(F.sum("e.n").alias("errors"), F.count("*").alias("records"))
+
+
 def error_totals(result: DataFrame) -> DataFrame:
     """Failures by code and path with subtotals by code and in all."""
     flat = result.select(F.explode(F.transform("errors", lambda e: F.struct(e["path"].alias("path"), e["code"].alias("code")))).alias("e")).select("e.*")
