@@ -201,7 +201,8 @@ def parse_stream(media: bytes) -> dict:
     stream of the program tables: program, map_pid, pid, stream_type, data
     (the joined PES payloads), units (PES packets), continuity_errors (gaps of
     the counter; a packet that repeats the one before it is dropped and not
-    counted, another one with the same counter follows a gap), pts (ticks, -1
+    counted, another one with the same counter follows a gap; a jump that a
+    packet's discontinuity indicator tells of is none), pts (ticks, -1
     where a unit has none), offsets (of each unit in data) and random_access
     (its random-access indicator).
     """
@@ -215,7 +216,8 @@ def parse_stream(media: bytes) -> dict:
     for program, map_pid, stream_pid, kind in _programs(packets, pid):
         own = packets[(pid == stream_pid) & (packets[:, 3] & 0x10 > 0) & (packets[:, 1] & 0x80 == 0)]
         own = own[~_duplicates(own)]
-        gaps = int((np.diff((own[:, 3] & 0x0F).astype(np.int16)) % 16 != 1).sum())
+        told = (own[1:, 3] & 0x20 > 0) & (own[1:, 4] > 0) & (own[1:, 5] & 0x80 > 0)  # the discontinuity indicator
+        gaps = int(((np.diff((own[:, 3] & 0x0F).astype(np.int16)) % 16 != 1) & ~told).sum())
         start = np.where(own[:, 3] & 0x20, 5 + own[:, 4].astype(np.int32), 4).clip(4, PACKET)
         size = PACKET - start
         begins = np.flatnonzero(own[:, 1] & 0x40)
@@ -254,7 +256,8 @@ def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     """`keep`, n_bytes and media: each whole text as a transport stream.
 
     Null and empty texts give a stream of 64 zero bytes; equal texts give
-    equal streams; other columns are dropped.
+    equal streams, and repeated rows repeated ones; texts of any length are
+    stored whole; other columns are dropped.
     """
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 

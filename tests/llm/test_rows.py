@@ -275,3 +275,18 @@ def test_letters_whose_small_forms_differ():
     """Long s is an s; a capital that has two small characters keeps every offset."""
     text = "İ ring plus four nine ſix five five five one two three four"
     assert pii.find(text)[1]["phone"] == [(7, len(text))]
+
+
+def test_a_flagged_jump_of_the_counter_is_no_gap(spark):
+    text = "x" * 5000
+    media = bytearray(transport.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["media"])
+    stream = transport.parse_stream(bytes(media))["streams"][0]
+    own = [k for k in range(0, len(media), 188) if (media[k + 1] & 0x1F) << 8 | media[k + 2] == stream["pid"]]
+    jump = next(k for k in own[2:] if media[k + 3] & 0x20 == 0)
+    for k in own[own.index(jump):]:
+        media[k + 3] = media[k + 3] & 0xF0 | (media[k + 3] + 5) & 0x0F
+    assert transport.parse_stream(bytes(media))["streams"][0]["continuity_errors"] == stream["continuity_errors"] + 1
+    # An adaptation field of two bytes with the indicator takes the place of the payload's first two.
+    media[jump + 3] |= 0x20
+    media[jump + 4:jump + 6] = b"\x01\x80"
+    assert transport.parse_stream(bytes(media))["streams"][0]["continuity_errors"] == stream["continuity_errors"]
