@@ -72,7 +72,8 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
     and where a shard is over its quota its last documents go to the free
     slots.  Slots are gapless from 0.  Ranks are by hash buckets, so no task
     gets a whole shard or group.  Rows with equal ids are separate documents;
-    an empty table gives no row.
+    texts of any length count whole; other columns are not read; an empty
+    table gives no row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = written(docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"),

@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, seed: int
     Fingerprints of equal value are one node, so copies are never expanded
     into pairs.  Rows with equal ids are separate documents; a null id is
     never the smallest, and a component of null ids has a null component_id.
-    An empty table gives no row.
+    Null and wordless texts have fingerprint 0, texts of any length count
+    whole, and other columns are not read.  An empty table gives no row.
     """
     fps = written(fingerprints(docs, words, seed), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
