@@ -15,7 +15,8 @@ from pactframe.operators import budgets
 from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
 from pactframe.operators.patches import apply_in_order
-from pactframe.operators.validate import from_json
+from pactframe.operators.routing import dispatch
+from pactframe.operators.validate import error_patterns, from_json
 from pactframe.sources import jsonl
 from pactframe.streaming.stream import continued, patch_stream, patched, versions
 
@@ -195,3 +196,32 @@ def test_patches_one_by_one(spark, chunk):
     base = spark.createDataFrame([(k, 0, 10) for k in range(5)], "key long, low long, high long")
     got = {r["key"]: [r["low"], r["high"], r["applied"], list(r["refused"])] for r in apply_in_order(base, rows, "key", "seq", c, patch, chunk).collect()}
     assert got == state
+
+
+def test_dispatch_says_what_the_whole_union_says(spark, tmp_path):
+    """Known tags, unknown ones, tags of other kinds, none, no JSON, repeated keys; branches share names of fields."""
+    one = Contract("One", (Field("id", constrained(M.INT, lt=50)), Field("x", M.STR, default="d")))
+    two = Contract("Two", (Field("id", M.STR), Field("items", M.Many(M.INT))))
+    kind = M.Tagged("kind", (("one", one), ("two", two)))
+    rng = random.Random(9)
+    made = [json.dumps({k: v for k, v in (("kind", rng.choice(["one", "two", "three", 7, None])), ("id", rng.choice([1, 99, "a"])), ("items", rng.choice([[1], ["x"], 5])), ("x", rng.choice(["y", 1]))) if rng.random() < 0.8}) for _ in range(150)]
+    made += [f'{{"kind":"one","id":{k}}}' for k in range(20)] + ["[]", "nope", None, '{"kind":"one","kind":"two"}', '{"kind":"one","id":1,"id":2}']
+    df = spark.createDataFrame(list(enumerate(made)), TEXTS)
+    want = told(from_json(df, "t", kind, keep=["id"]).collect())
+    branches, rest = dispatch(df, "t", kind, ["id"], str(tmp_path / "branches"))
+    got = told(rest.withColumn("truncated", F.lit(False)).collect())
+    sound = 0
+    for name, part in branches.items():
+        rows = part.collect()
+        got |= told(rows)
+        sound += sum(r["value"] is not None for r in rows)
+    assert got == want and sound == sum(not e for e, _ in want.values()) > 10
+
+
+def test_patterns_of_locations(spark):
+    inner = Contract("Inner", (Field("n", M.INT), Field("by", M.Mapping(M.Many(M.INT)), default=None)))
+    contract = Contract("Outer", (Field("rows", M.Many(M.Many(inner)), default=None), Field("maps", M.Mapping(M.Mapping(inner)), default=None), Field("a b", M.INT, default=1)))
+    texts = ['{"rows":[[],[{"n":1},{"n":"x"}]]}', '{"rows":[[{"n":1,"by":{"7":[1,"x"]}}]]}', '{"maps":{"a":{"b":{"n":"x"}}}}', '{"maps":{"n":{"by":{"n":1,"by":{"q.r":["x"]}}}}}', '{"a b":"x"}', "[]", '{"rows":[[{"n":"x"}]]}']
+    done = from_json(spark.createDataFrame(list(enumerate(texts)), TEXTS), "t", contract)
+    got = {(r["pattern"], r["code"]): (r["errors"], r["records"]) for r in error_patterns(done, contract).collect()}
+    assert got == {("rows[*][*].n", "type"): (2, 2), ("rows[*][*].by.*[*]", "type"): (1, 1), ("maps.*.*.n", "type"): (1, 1), ("maps.*.*.by.*[*]", "type"): (1, 1), ("a b", "type"): (1, 1), ("<root>", "type"): (1, 1)}
