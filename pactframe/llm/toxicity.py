@@ -25,25 +25,29 @@ OBJECTS = "dich euch vous te os".split()
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote called calls claimed quoted reported sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 #: Lengths of word beginnings that can become stems.
 STEMS = (4, 5, 6)
 
 # The transducers: each rewrites a clause of one letter per word, and they are applied in turn.
-# I insult, T threat, Y target, O object before its verb, N negation, R report, w other; the results are
-# i negated, q reported, A insult with a target, H threat with a target, t threat alone.
+# I insult, T threat, Y target, O object before its verb, N negation, R report, w other, a comma itself; the results are
+# i negated, q reported, A insult with a target, H threat with a target; a threat alone stays T.
+# Reports reach over commas ("he said, you idiot"), negations do not ("no, you idiot"), targets only as an address ("you, idiot").
 TRANSDUCERS = (
-    ("reported", re.compile(r"R[wYON]{0,6}?([IT])"), {"I": "q", "T": "q"}),
+    ("reported", re.compile(r"R[wYON,]{0,6}?([IT])"), {"I": "q", "T": "q"}),
     ("negated", re.compile(r"N[wYO]{0,2}([IT])"), {"I": "i", "T": "i"}),
-    ("targeted before", re.compile(r"[YO][wN]{0,3}([I])"), {"I": "A"}),
-    ("targeted after", re.compile(r"([I])[wN]{0,2}[YO]"), {"I": "A"}),
+    ("targeted before", re.compile(r"[YO](?:,|[wN]{0,3})([I])"), {"I": "A"}),
+    ("targeted after", re.compile(r"([I])(?:,|[wN]{0,2})[YO]"), {"I": "A"}),
     ("threatened", re.compile(r"([T])[wN]{0,3}[YO]"), {"T": "H"}),
     ("threatened before", re.compile(r"O[w]{0,2}([T])"), {"T": "H"}),
 )
 OUTCOMES = "IAiqHT"
 #: Outcomes in which the clause means what its word says.
 DIRECT = frozenset("IAH")
+#: What the arc of an outcome weighs before anything is learnt.
+ARCS = {"I": 1.0, "A": 2.0, "i": -1.0, "q": -1.0, "H": 2.0, "T": 0.0}
 
 
 def transduced(tags: str) -> str:
@@ -60,20 +64,21 @@ def clause_outcomes(tags: str) -> str:
 
 @dataclass
 class ToxicityModel:
-    """stems: beginnings or whole words (with a space after) and their weights; bias and coefficients of the final sum."""
+    """stems: beginnings or whole words (with a space after) and their weights; bias and coefficients of the final sum; arcs: weights by outcome."""
 
     stems: dict[str, float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=list)
+    arcs: dict[str, float] = field(default_factory=lambda: dict(ARCS))
 
     def matcher(self) -> Matcher:
-        return Matcher(self.stems)
+        return Matcher(self.stems, self.arcs)
 
 
 class Matcher:
     """Finds the stems in a text, and the clauses around them."""
 
-    def __init__(self, stems: dict[str, float]):
-        self.stems = stems
+    def __init__(self, stems: dict[str, float], arcs: dict[str, float]):
+        self.stems, self.arcs = stems, arcs
         self.machine = ahocorasick.Automaton()
         for s in stems:
             self.machine.add_word(s.rstrip(" "), s)
@@ -81,21 +86,23 @@ class Matcher:
             if s not in stems and s + " " not in stems:
                 self.machine.add_word(s, s + "\0")
         self.machine.make_automaton()
-        self.small = {w: t for words, t in ((TARGETS, "Y"), (OBJECTS, "O"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "T")) for w in words}
+        self.small = {w: t for words, t in ((TARGETS, "Y"), (OBJECTS, "O"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "T"), ((",",), ",")) for w in words}
 
     def tag(self, word: str) -> tuple[str, float]:
         found = [self.stems[w] for w in (word + " ", *(word[:n] for n in STEMS if len(word) >= n)) if w in self.stems]
         return ("I", max(found)) if found else (self.small.get(word, "w"), 0.0)
 
     def features(self, text: str) -> list[float]:
-        """Logs of the counts of each outcome, of the weights and the number of distinct stems that clauses let stand, and their density.
+        """Logs of the counts of each outcome, of the weights and the number of distinct stems that clauses let stand, their density, and the heaviest clause.
 
         A negated or reported insult adds to its own outcome's count alone:
-        weights, stems and density are summed over direct outcomes.
+        weights, stems and density are summed over direct outcomes.  A clause
+        weighs the sum of its arcs times the weights of their stems, so what
+        is negated or reported in it takes away from it.
         """
         low = text.lower()
         counts = dict.fromkeys(OUTCOMES, 0)
-        weight, stems, clauses = 0.0, set(), {}
+        weight, heaviest, stems, clauses = 0.0, 0.0, set(), {}
         for end, stem in self.machine.iter(low):
             begin = end + 1 - len(stem.rstrip(" \0"))
             if begin and low[begin - 1].isalpha() or stem[-1] in " \0" and low[end + 1:end + 2].isalpha():
@@ -107,18 +114,21 @@ class Matcher:
         for clause in clauses.values():
             words = _TOKEN.findall(clause)
             tagged = [self.tag(w) for w in words]
+            here = 0.0
             for w, o, (_, x) in zip(words, transduced("".join(t for t, _ in tagged)), tagged, strict=True):
                 if o in counts:
                     counts[o] += 1
+                    here += self.arcs[o] * max(x, 1.0)
                 if o in DIRECT:
                     weight += x
                     stems.add(w)
+            heaviest = max(heaviest, here)
         density = 100 * sum(counts[o] for o in DIRECT) / (1 + low.count(" "))
-        return [1.0, *(math.log1p(counts[o]) for o in OUTCOMES), math.log1p(weight), math.log1p(len(stems)), math.log1p(density)]
+        return [1.0, *(math.log1p(counts[o]) for o in OUTCOMES), math.log1p(weight), math.log1p(len(stems)), math.log1p(density), math.log1p(heaviest)]
 
 
 def _word_marks(text: str) -> set[str]:
-    words = set(_TOKEN.findall(text.lower()))
+    words = set(_WORD.findall(text.lower()))
     return {w + " " for w in words} | {w[:n] for n in STEMS for w in words if len(w) >= n}
 
 
@@ -135,14 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
     holds at every corpus size.  A word or word beginning joins the insult
     class if it is so much more frequent in toxic documents that, among all
     that were tried, less than one would be so by chance; copies count once.
-    The starting words have a weight before anything is learnt.  The clause
-    outcomes' weights are fitted by logistic regression.  Without labels of
+    The starting words have a weight before anything is learnt.  The arc of an
+    outcome weighs how far the share of toxic documents that have it is beyond
+    that of others, as a log; clauses add up arcs, and the document's sums are
+    weighed by logistic regression.  Without labels of
     both kinds the starting words alone decide.  Ids may be of any type; other
     columns are ignored, whatever their names; null texts are left out.
     """
     prior = {f"{w} ": 2.0 for w in INSULTS}
-    # Order: bias, OUTCOMES, weight, stems, density.
-    model = ToxicityModel(prior, [-2.0, 1.5, 2.5, 0.3, 0.3, 3.0, 0.0, 0.5, 0.5, 0.5])
+    # Order: bias, OUTCOMES, weight, stems, density, heaviest.
+    model = ToxicityModel(prior, [-2.0, 1.5, 2.5, 0.3, 0.3, 3.0, 0.0, 0.5, 0.5, 0.5, 0.5])
     known = labels.where((fold(F.col("doc_id"), folds) != left_out) & F.col("toxic").isNotNull())
     known = bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), F.col("doc_id"), most)
     known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
@@ -177,6 +189,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
     learnt = {r["mark"]: math.log((r["bad"] + 0.5) / (r["good"] + 0.5) * (good / bad)) for r in found}
     model = ToxicityModel(prior | learnt)
 
+    x, y = _vectors(rows, model)
+    has = x[:, 1:1 + len(OUTCOMES)] > 0
+    of_bad, of_good = has[y == 1].sum(0), has[y == 0].sum(0)
+    model.arcs = dict(zip(OUTCOMES, np.log((of_bad + 0.5) / (y.sum() + 1) * ((1 - y).sum() + 1) / (of_good + 0.5)).tolist(), strict=True))
+    x, y = _vectors(rows, model)
+    model.coefficients = _logistic(x, y).tolist()
+    return model
+
+
+def _vectors(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled sample, in the order of its draw."""
+
     def vectors(batches):
         matcher = model.matcher()
         for batch in batches:
@@ -185,9 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, m
 
     fitted = rows.mapInArrow(vectors, "draw long, toxic long, x array<double>").toArrow()
     order = np.argsort(fitted["draw"].to_numpy(), kind="stable")
-    x, y = np.array(fitted["x"].to_pylist())[order], (fitted["toxic"].to_numpy() > 0).astype(float)[order]
-    model.coefficients = _logistic(x, y).tolist()
-    return model
+    return np.array(fitted["x"].to_pylist())[order], (fitted["toxic"].to_numpy() > 0).astype(float)[order]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:

@@ -290,3 +290,64 @@ def test_a_flagged_jump_of_the_counter_is_no_gap(spark):
     media[jump + 3] |= 0x20
     media[jump + 4:jump + 6] = b"\x01\x80"
     assert transport.parse_stream(bytes(media))["streams"][0]["continuity_errors"] == stream["continuity_errors"]
+
+
+def _by_hand(tags):
+    """The six transducers, each as a search written out: (before, gap, most, shortest first, core letters, after), a gap of None meaning a lone comma as well."""
+    def ends_before(text, k, openers, gap, most):
+        """Least begin of a context that ends before k."""
+        return [b for b in range(max(0, k - most - 1), k) if text[b] in openers and all(c in gap for c in text[b + 1:k])]
+
+    def rewrite(text, openers, gap, most, cores, to, comma=False):
+        text, at = list(text), 0
+        while at < len(text):
+            cores_here = [k for k in range(at + 1, len(text)) if text[k] in cores and (at in ends_before(text, k, openers, gap, most) or comma and k == at + 2 and text[k - 1] == ",")] if text[at] in openers else []
+            if cores_here:
+                k = cores_here[0]
+                text[k], at = to[text[k]], k + 1
+            else:
+                at += 1
+        return "".join(text)
+
+    text = rewrite(tags, "R", "wYON,", 6, "IT", {"I": "q", "T": "q"})
+    text = rewrite(text, "N", "wYO", 2, "IT", {"I": "i", "T": "i"})
+    text = rewrite(text, "YO", "wN", 3, "I", {"I": "A"}, comma=True)
+    for cores, gap, most, to, comma in (("I", "wN", 2, "A", True), ("T", "wN", 3, "H", False)):
+        letters, k = list(text), 0
+        while k < len(letters):
+            ends = [e for e in range(k + 1, min(len(letters), k + most + 2)) if letters[e] in "YO" and all(c in gap for c in letters[k + 1:e])] if letters[k] in cores else []
+            if not ends and comma and letters[k] in cores and letters[k + 1:k + 2] == [","] and letters[k + 2:k + 3] and letters[k + 2] in "YO":
+                ends = [k + 2]
+            if ends:
+                letters[k], k = to, ends[0] + 1
+            else:
+                k += 1
+        text = "".join(letters)
+    return rewrite(text, "O", "w", 2, "T", {"T": "H"})
+
+
+def test_transducers_equal_their_rules_on_every_short_clause():
+    from itertools import product
+
+    for n in range(7):
+        for tags in map("".join, product("ITYONRw,"[:8 if n < 6 else 7], repeat=n)):
+            assert toxicity.transduced(tags) == _by_hand(tags), tags
+
+
+def test_commas_end_negations_not_reports():
+    m = toxicity.ToxicityModel({"idiot ": 2.0, "trottel ": 2.0}).matcher()
+    outcome = lambda text: {o: round(np.expm1(x)) for o, x in zip(toxicity.OUTCOMES, m.features(text)[1:], strict=False) if x}
+    assert outcome("No, you idiot") == {"A": 1} and outcome("you, idiot") == {"A": 1} and outcome("Idiot, you") == {"A": 1}
+    assert outcome("he said, you idiot") == {"q": 1} and outcome("you are not an idiot") == {"i": 1}
+    assert outcome("I told you, the weather is bad, an idiot came") == {"I": 1}
+    heavy = lambda text: m.features(text)[-1]
+    assert heavy("you idiot") > heavy("an idiot") > heavy("not an idiot") == 0
+    assert heavy("you idiot, she was called an idiot") < heavy("you idiot. she was called an idiot")
+
+
+def test_arcs_are_learnt(spark):
+    bad = [(k, f"you are an idiot number {k} of the long list of them all", 1) for k in range(0, 90, 3)]
+    good = [(k, f"they say he said he was an idiot in the year {k} of our count", 0) for k in range(1, 90, 3)] + [(k, f"not an idiot in the whole town of {k} houses", 0) for k in range(2, 90, 3)]
+    rows = spark.createDataFrame(bad + good, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert model.arcs["A"] > 1 and model.arcs["q"] < 0 and model.arcs["i"] < 0
