@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pactframe.contract import model as M
 from pactframe.contract.errors import ERRORS, Place, error, no_errors, safe_text
 from pactframe.functions import scalars
+from pactframe.functions.decode import pointer_part
 
 _ACCEPTED = {
     "int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "float": (T.DoubleType, T.FloatType), "str": (T.StringType,), "bool": (T.BooleanType,), "bytes": (T.BinaryType,),
@@ -105,11 +106,19 @@ def _bound(c: Compiled, ctx: Ctx, then) -> Compiled:
 
 @dataclass
 class Cell:
-    """A VARIANT and the text of its schema."""
+    """A VARIANT and the text of its schema; `where` are (numbers as written by JSON pointer, its pointer) if these are kept."""
 
     v: Column
     s: Column
     level: int = 0
+    where: tuple[Column, Column] | None = None
+
+    def below(self, part: Column | str) -> tuple[Column, Column] | None:
+        """`where` of a member or an item."""
+        if self.where is None:
+            return None
+        part = F.lit(pointer_part(part)) if isinstance(part, str) else F.replace(F.replace(part.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        return self.where[0], F.concat(self.where[1], F.lit("/"), part)
 
 
 def python_kind(dtype: T.DataType) -> str:
@@ -135,10 +144,10 @@ def variant_kind(v: Column) -> Column:
     return schema_kind(F.schema_of_variant(v))
 
 
-def as_cell(v: Column, ctx: Ctx, level: int = 0) -> Cell:
+def as_cell(v: Column, ctx: Ctx, level: int = 0, where: tuple[Column, Column] | None = None) -> Cell:
     v, level = ctx.stage(v, level)
     s, level = ctx.stage(F.schema_of_variant(v), level)
-    return Cell(v, s, level)
+    return Cell(v, s, level, where)
 
 
 def shown_json(v: Column) -> Column:
@@ -166,6 +175,8 @@ def bound_holds(bound: M.Bound, kind: object, v: Column) -> Column:
     """Whether a typed value keeps to a bound; NaN keeps to none."""
     base = kind.kind if isinstance(kind, M.Scalar) else "container"
     if bound.rule in ("gt", "ge", "lt", "le"):
+        if base != "container" and kind.exact:
+            return {"gt": scalars.exact_over(v, bound.limit), "ge": ~scalars.exact_under(v, bound.limit), "lt": scalars.exact_under(v, bound.limit), "le": ~scalars.exact_over(v, bound.limit)}[bound.rule]
         limit = F.lit(bound.limit)
         held = {"gt": v > limit, "ge": v >= limit, "lt": v < limit, "le": v <= limit}[bound.rule]
         return held & ~F.isnan(v) if base == "float" else held
@@ -250,7 +261,8 @@ def rows(kind, raw: Column, dtype: T.DataType, place: Place, ctx: Ctx = Ctx(), l
         good = raw.isNotNull()
         if kind.kind in _CANONICAL:
             good = F.coalesce(text_scalar(kind, raw) == raw, F.lit(False))
-        return Compiled(raw.cast(kind.spark()), good, F.when(raw.isNull(), none).otherwise(_type_error(kind, place, python_kind(dtype), shown)), None, level)
+        value = text_number(kind, raw.cast("string")) if kind.exact else raw.cast(kind.spark())
+        return Compiled(value, good, F.when(raw.isNull(), none).otherwise(_type_error(kind, place, python_kind(dtype), shown)), None, level)
     deep = ctx.inner()
     if isinstance(kind, M.Many) and isinstance(dtype, T.ArrayType):
         item = lambda x, at: rows(kind.item, x, dtype.elementType, at, deep)
@@ -507,6 +519,14 @@ def _record(contract: M.Contract, parts: list[tuple[M.Field, Compiled | None]],
 def json_scalar(kind: M.Scalar, cell: Cell | Column) -> Column:
     """The typed value of a VARIANT, null where it is not of the kind or does not convert."""
     v, s = (cell.v, cell.s) if isinstance(cell, Cell) else (cell, F.schema_of_variant(cell))
+    if kind.exact:
+        # A double has lost digits, so only its token counts.
+        lost = s.startswith("DOUBLE") | s.startswith("FLOAT")
+        token = F.when(~lost, shown_json(v))
+        if isinstance(cell, Cell) and cell.where is not None:
+            token = F.coalesce(F.try_element_at(*cell.where), token)
+        number = (s == "BIGINT") | s.startswith("D") | s.startswith("FLOAT")
+        return F.when(number, _let(token, scalars.whole_text)) if kind.kind == "int" else F.when(number | (s == "STRING"), scalars.exact_text(token))
     if kind.kind == "int":
         return F.when(s == "BIGINT", F.try_variant_get(v, "$", "bigint"))
     if kind.kind == "float":
@@ -521,6 +541,11 @@ def json_scalar(kind: M.Scalar, cell: Cell | Column) -> Column:
     return F.when(s == "STRING", text_scalar(kind, shown_json(v)))
 
 
+def text_number(kind: M.Scalar, text: Column) -> Column:
+    """The value of an exact kind, null where the text isn't one."""
+    return scalars.whole_text(text) if kind.kind == "int" else scalars.exact_text(text)
+
+
 def text_scalar(kind: M.Scalar, text: Column) -> Column:
     """The value of a kind that JSON writes as text, null where the text does not convert."""
     if kind.kind in scalars.IP_KINDS:
@@ -567,11 +592,11 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
     deep = ctx.inner()
     if isinstance(kind, (M.Many, M.Mapping)):
         if isinstance(kind, M.Many):
-            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _pack(json_value(kind.item, Cell(x, F.schema_of_variant(x)), place.index(i), deep)))
+            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _pack(json_value(kind.item, Cell(x, F.schema_of_variant(x), where=cell.below(i)), place.index(i), deep)))
             collect = lambda rs: F.array_distinct(F.transform(rs, lambda r: r["value"])) if kind.kind in ("set", "frozenset") else F.transform(rs, lambda r: r["value"])
         else:
             key = lambda e: _json_key(kind.key, e["key"], place.key(e["key"]), deep)
-            entry = lambda e: _entry(key(e), json_value(kind.value, Cell(e["value"], F.schema_of_variant(e["value"])), place.key(e["key"]), deep))
+            entry = lambda e: _entry(key(e), json_value(kind.value, Cell(e["value"], F.schema_of_variant(e["value"]), where=cell.below(e["key"])), place.key(e["key"]), deep))
             items = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: _pack(replace(entry(e), value=F.struct(key(e).value.alias("key"), entry(e).value.alias("value")))))
             collect = lambda rs: F.map_from_entries(F.transform(rs, lambda r: r["value"]))
 
@@ -583,7 +608,7 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
         return _unpack(_let(items, joined), ctx, level)
     if isinstance(kind, M.Fixed):
         items, level = ctx.stage(F.try_variant_get(v, "$", "array<variant>"), level)
-        parts = [json_value(t, as_cell(F.get(items, F.lit(i)), ctx, level), place.index(F.lit(i)), ctx) for i, t in enumerate(kind.items)]
+        parts = [json_value(t, as_cell(F.get(items, F.lit(i)), ctx, level, cell.below(str(i))), place.index(F.lit(i)), ctx) for i, t in enumerate(kind.items)]
         return _fixed(kind, parts, F.coalesce(F.size(items) == len(kind.items), F.lit(False)), wrong, level)
     if isinstance(kind, M.Tagged):
         return json_tagged(kind, cell, place, ctx)
@@ -598,7 +623,7 @@ def _json_key(kind, key: Column, place: Place, ctx: Ctx) -> Compiled:
     base = kind.base if isinstance(kind, M.Constrained) else kind
     if not isinstance(base, M.Scalar) or base.kind == "str" or base.kind in _CANONICAL:
         return rows(kind, key, T.StringType(), place, ctx)
-    value = {"int": scalars.text_int, "float": scalars.text_float, "bool": scalars.text_bool, "Decimal": lambda t: scalars.json_decimal(t, base.precision, base.scale)}.get(base.kind, lambda t: text_scalar(base, t))(key)
+    value = text_number(base, key) if base.exact else {"int": scalars.text_int, "float": scalars.text_float, "bool": scalars.text_bool, "Decimal": lambda t: scalars.json_decimal(t, base.precision, base.scale)}.get(base.kind, lambda t: text_scalar(base, t))(key)
     inner = Compiled(value, value.isNotNull(), _type_error(base, place, "str", key))
     return _bounded(kind, inner, place, base.describe(), ctx) if isinstance(kind, M.Constrained) else inner
 
@@ -615,14 +640,14 @@ def json_record(contract: M.Contract, cell: Cell, place: Place, ctx: Ctx, keys:
     if ctx.stages is None and (unread or keys is None):
         # Inside a lambda: members are read once, then each field's result is computed once.
         def with_members(m: Column) -> Column:
-            own = members | {n: (Cell(m[f"v{k}"], m[f"s{k}"]), m[f"v{k}"].isNotNull()) for k, n in enumerate(unread)}
+            own = members | {n: (Cell(m[f"v{k}"], m[f"s{k}"], where=cell.below(n)), m[f"v{k}"].isNotNull()) for k, n in enumerate(unread)}
             return _pack(json_record(contract, cell, place, ctx, m["keys"], ignored, own))
 
         reads = [c for k, n in enumerate(unread) for c in (member(cell.v, n).alias(f"v{k}"), F.schema_of_variant(member(cell.v, n)).alias(f"s{k}"))]
         every = F.map_keys(F.try_variant_get(cell.v, "$", "map<string,variant>")) if keys is None else keys
         return _unpack(_let(F.struct(*reads, every.alias("keys")), with_members), ctx, level)
     for n in unread:
-        own = as_cell(member(cell.v, n), ctx, cell.level)
+        own = as_cell(member(cell.v, n), ctx, cell.level, cell.below(n))
         members[n] = (own, own.v.isNotNull())
     if keys is None:
         keys, level = ctx.stage(F.map_keys(F.try_variant_get(cell.v, "$", "map<string,variant>")), level)
@@ -639,7 +664,8 @@ def json_record(contract: M.Contract, cell: Cell, place: Place, ctx: Ctx, keys:
         if len(there) == 1:
             own, present = members[f.names[0]]
         else:
-            own = as_cell(F.coalesce(*[members[n][0].v for n in f.names]), ctx, max(members[n][0].level for n in f.names))
+            where = None if cell.where is None else (cell.where[0], F.coalesce(*[F.when(members[n][1], cell.below(n)[1]) for n in f.names]))
+            own = as_cell(F.coalesce(*[members[n][0].v for n in f.names]), ctx, max(members[n][0].level for n in f.names), where)
             present = own.v.isNotNull()
         if f.name in bound:
             c = with_hooks(f, own, lambda t, x, lv, f=f: _unpack(bound[f.name], ctx, 0, False), at, ctx, own.level)
@@ -671,7 +697,7 @@ def json_positional(contract: M.Contract, cell: Cell, place: Place, ctx: Ctx) ->
     items, level = ctx.stage(F.try_variant_get(cell.v, "$", "array<variant>"), cell.level)
     size = F.size(items)
     need, n = sum(f.required for f in contract.fields), len(contract.fields)
-    parts = [(f, json_value(f.type, as_cell(F.get(items, F.lit(i)), ctx, level), place.index(F.lit(i)), ctx)) for i, f in enumerate(contract.fields)]
+    parts = [(f, json_value(f.type, as_cell(F.get(items, F.lit(i)), ctx, level, cell.below(str(i))), place.index(F.lit(i)), ctx)) for i, f in enumerate(contract.fields)]
     wrong = _type_error(contract, place, schema_kind(cell.s), shown_json(cell.v))
     bad = [(items.isNull(), wrong), (size < need, F.array(error("missing", place.index(size)))), (size > n, F.array(error("unexpected", place.index(F.lit(n)))))]
     bad += [((size > i) & ~c.ok, c.errors) for i, (_, c) in enumerate(parts)]

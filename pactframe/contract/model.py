@@ -15,18 +15,22 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Scalar:
-    """One value of `kind`: int, float, str, bool, bytes, None, Decimal, date, datetime, time, timedelta, UUID, Path or an IP kind."""
+    """One value of `kind`: int, float, str, bool, bytes, None, Decimal, date, datetime, time, timedelta, UUID, Path or an IP kind.
+
+    An `exact` int or Decimal has any number of digits (4,300 at most) and is carried as plain text.
+    """
 
     kind: str
     precision: int = 38
     scale: int = 18
     aware: bool = True
+    exact: bool = False
 
     def describe(self) -> str:
         return self.kind
 
     def spark(self) -> T.DataType:
-        return {
+        return T.StringType() if self.exact else {
             "int": T.LongType(), "float": T.DoubleType(), "str": T.StringType(), "bool": T.BooleanType(), "bytes": T.BinaryType(), "None": T.NullType(),
             "Decimal": T.DecimalType(self.precision, self.scale), "date": T.DateType(),
             "datetime": T.TimestampType() if self.aware else T.TimestampNTZType(), "timedelta": T.DayTimeIntervalType(),
@@ -36,6 +40,7 @@ class Scalar:
 INT, FLOAT, STR, BOOL, BYTES, NONE = (Scalar(k) for k in ("int", "float", "str", "bool", "bytes", "None"))
 DATE, DATETIME, TIME, DURATION, UUID, PATH = (Scalar(k) for k in ("date", "datetime", "time", "timedelta", "UUID", "Path"))
 NAIVE_DATETIME = Scalar("datetime", aware=False)
+BIG_INT, EXACT = Scalar("int", exact=True), Scalar("Decimal", exact=True)
 
 
 def decimal(precision: int = 38, scale: int = 18) -> Scalar:
@@ -206,6 +211,8 @@ class Constrained:
         kind = self.base.kind if isinstance(self.base, Scalar) else None
         for b in self.bounds:
             numeric = b.rule in ("gt", "ge", "lt", "le", "multiple_of")
+            if b.rule == "multiple_of" and kind and self.base.exact:
+                raise ValueError("multiple_of does not apply to numbers carried as text")
             if numeric and kind not in ("int", "float", "Decimal") or b.rule == "pattern" and kind != "str":
                 raise ValueError(f"{b.label()} does not apply to {self.base.describe()}")
             if b.rule.endswith("length") and kind not in ("str", "bytes") and not isinstance(self.base, (Many, Mapping)):
@@ -372,3 +379,14 @@ def derive(contract: Contract, include: tuple[str, ...] | None = None, exclude:
     names = {f.name for f in kept}
     checks = () if partial else tuple(c for c in contract.checks if set(c.fields) <= names)
     return replace(contract, fields=tuple(kept), checks=checks, partial=partial or contract.partial, origin=contract.origin or contract.name, mode=mode or contract.mode)
+
+
+def has_exact(kind) -> bool:
+    """Whether a type holds numbers that are carried as text."""
+    if isinstance(kind, Scalar):
+        return kind.exact
+    if isinstance(kind, (Constrained, Many, Mapping)):
+        return has_exact(kind.base if isinstance(kind, Constrained) else kind.item if isinstance(kind, Many) else kind.value)
+    if isinstance(kind, Contract):
+        return any(has_exact(t) for f in kind.fields for t in (f.type, f.raw) if t is not None)
+    return any(map(has_exact, kind.items if isinstance(kind, Fixed) else kind.options if isinstance(kind, Union) else [c for _, c in kind.branches] if isinstance(kind, Tagged) else ()))

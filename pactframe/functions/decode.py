@@ -73,6 +73,46 @@ def verdict_of_rest(texts: pd.Series) -> pd.DataFrame:
     return _verdicts(texts, (None,) * 5)
 
 
+class _Token(str):
+    """A number as it is written."""
+
+
+def number_tokens(text: str) -> dict[str, str] | None:
+    """JSON pointers of a strict text's numbers that VARIANT doesn't hold digit for digit, and how they are written."""
+    try:
+        stack, found = [("", json.loads(text, parse_int=_Token, parse_float=_Token))], {}
+    except (ValueError, RecursionError):
+        return None
+    while stack:
+        at, value = stack.pop()
+        if isinstance(value, _Token):
+            if len(value) > 16 or "e" in value.lower() or "." in value and value[-1] == "0":
+                found[at] = str(value)
+        elif isinstance(value, list):
+            stack += [(f"{at}/{k}", x) for k, x in enumerate(value) if not type(x) is str]
+        elif isinstance(value, dict):
+            stack += [(f"{at}/{pointer_part(k)}", x) for k, x in value.items() if not type(x) is str]
+    return found
+
+
+def pointer_part(key: str) -> str:
+    return key.replace("~", "~0").replace("/", "~1")
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _kept_tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: number_tokens(t) if isinstance(t, str) else None)
+
+
+#: Texts that may hold a number of which VARIANT loses digits: long ones, exponents, zeros at the end of a fraction.
+_LOSSY = r"[0-9][0-9.]{16}|[0-9][eE][0-9+-]|\.[0-9]{0,16}0(?![0-9])"
+
+
+def kept_tokens(text: Column) -> Column:
+    """`number_tokens` of the texts that may have some; only these leave the JVM.  Null for others."""
+    return _kept_tokens(F.when(text.rlike(_LOSSY), text))
+
+
 @F.pandas_udf(T.IntegerType())
 def json_depth(texts: pd.Series) -> pd.Series:
     """Depth of strict JSON texts; null for others."""

@@ -75,6 +75,67 @@ def json_decimal(c: Column, precision: int = 38, scale: int = 18) -> Column:
     return F.when(c.rlike(r"^-?[0-9]{1,9}$"), c.try_cast(f"decimal({precision},{scale})")).when(exact, bare.try_cast(f"decimal({precision},{scale})"))
 
 
+#: Digits that a number carried as text may have.
+DIGITS = 4300
+
+
+def whole_text(c: Column) -> Column:
+    """An integer of any size in its canonical text; null for other texts."""
+    return F.when(c == "-0", "0").when(c.rlike(f"^-?(0|[1-9][0-9]{{0,{DIGITS - 1}}})$"), c)
+
+
+def exact_text(c: Column) -> Column:
+    """A decimal number of any size as plain digits, all those after the point kept; null for other texts and exponents beyond 400."""
+    def moved(n: Column) -> Column:
+        """The digits on both sides of the point, which goes `power` places to the right."""
+        power = n["power"]
+        wide = F.lpad(n["whole"], F.greatest(F.length(n["whole"]), 1 - power), "0")
+        kept = F.length(wide) + power
+        left = F.when(power > 0, F.concat(n["whole"], F.rpad(F.substring(n["part"], F.lit(1), power), power, "0"))).when(power < 0, F.substring(wide, F.lit(1), kept)).otherwise(n["whole"])
+        right = F.when(power > 0, F.substring(n["part"], power + 1, F.length(n["part"]))).when(power < 0, F.concat(F.substring(wide, kept + 1, -power), n["part"])).otherwise(n["part"])
+        left = F.coalesce(F.nullif(F.regexp_replace(left, "^0+(?=[0-9])", ""), F.lit("")), F.lit("0"))
+        return F.when(F.abs(power) <= 400, F.concat_ws(".", F.concat(n["sign"], left), F.nullif(right, F.lit(""))))
+
+    def read(bare: Column) -> Column:
+        parts = F.struct(F.regexp_replace(F.regexp_extract(bare, DECIMAL, 1), "[+]", "").alias("sign"), F.regexp_extract(bare, DECIMAL, 2).alias("whole"), F.regexp_extract(bare, DECIMAL, 3).alias("part"),
+                         F.coalesce(F.regexp_extract(bare, DECIMAL, 4).try_cast("int"), F.lit(0)).alias("power"))
+        good = bare.rlike(DECIMAL) & bare.rlike("[0-9]") & ~bare.rlike("^[+-]?[.]?[eE]") & (F.length(bare) <= DIGITS)
+        return F.when(bare.rlike(r"^-?(0|[1-9][0-9]{0,37})(\.[0-9]{1,38})?$"), bare).when(good, _let(parts, moved))
+
+    return _let(_bare_number(c), read)
+
+
+def _size(c: Column) -> Column:
+    """What orders the texts of `exact_text` that aren't negative: digits before the point, these, those after."""
+    whole, part = F.substring_index(c, ".", 1), F.regexp_replace(F.regexp_extract(c, r"\.([0-9]*)$", 1), "0+$", "")
+    return F.struct(F.length(whole).alias("n"), whole.alias("whole"), part.alias("part"))
+
+
+def exact_over(c: Column, limit) -> Column:
+    """Whether a number carried as text is above a number; equal ones are not."""
+    return _exact_order(c, limit, lambda a, b: a > b)
+
+
+def exact_under(c: Column, limit) -> Column:
+    """Whether a number carried as text is below a number; equal ones are not."""
+    return _exact_order(c, limit, lambda a, b: a < b)
+
+
+def _exact_order(c: Column, limit, by) -> Column:
+    from decimal import Decimal
+
+    text = format(Decimal(str(limit)), "f")
+    bound, low = _size(F.lit(text.lstrip("-"))), Decimal(text) < 0
+
+    def order(n: Column) -> Column:
+        here, below = _size(F.regexp_replace(n, "^-", "")), n.startswith("-") & n.rlike("[1-9]")
+        if low:
+            return F.when(below, by(bound, here)).otherwise(by(F.lit(1), F.lit(0)))
+        return F.when(below, by(F.lit(0), F.lit(1))).otherwise(by(here, bound))
+
+    return _let(c, order)
+
+
 def non_finite_decimal(c: Column) -> Column:
     """Whether a text means an infinity or no number at all."""
     return _bare_number(c).rlike(r"(?i)^[+-]?(inf(inity)?|s?nan[0-9]*)$")

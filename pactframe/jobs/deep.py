@@ -13,6 +13,7 @@ from pactframe.contract.model import Contract, Field, constrained, derive
 from pactframe.jobs.common import shared_folder, table
 from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
+from pactframe.operators.output import to_json
 from pactframe.operators.patches import apply_in_order
 from pactframe.operators.routing import dispatch
 from pactframe.operators.validate import error_patterns, from_json
@@ -47,6 +48,19 @@ def p_levels_alias(spark, sf_dir):
     return done.select("event_id", F.array_join(F.expr(f"transform({_SAID})"), ",").alias("bad"), F.array_join(F.transform(inner["branches"], lambda b: F.concat(b["label"], b["errors_json"])), ";").alias("branches"), "nodes", "depth")
 
 
+def c_big_numbers(spark, sf_dir):
+    """Integers and decimals of any size, digit for digit, from JSON to JSON; bounds beyond 38 digits."""
+    k, sign = (F.col("o_orderkey") + 1).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(F.lit(""))
+    long = F.concat(F.lit("7"), F.repeat(F.lpad(k, 12, "0"), 5))
+    case = F.col("o_orderkey") % 6
+    n = F.when(case == 0, k).when(case == 1, F.concat(k, F.lit(".0"))).when(case == 2, F.concat(F.lit('"'), k, F.lit('"'))).when(case == 3, F.concat(F.lit("9"), long)).otherwise(F.concat(sign, long))
+    exact = F.concat(F.lit("["), k, F.lit(".50,"), sign, k, F.lit("25e-1,"), k, F.lit(".5E+3,"), long, F.lit("."), long, F.lit(',"1_000.'), k, F.lit('"]'))
+    c = Contract("Sums", (Field("n", constrained(M.BIG_INT, lt=10**61)), Field("by", M.Mapping(M.Many(M.EXACT)), alias="By")))
+    text = F.concat(F.lit('{"n":'), n, F.lit(',"By":{"a/b~1.c":'), exact, F.lit("}}"))
+    done = from_json(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", c, keep=["o_orderkey"])
+    return done.select("o_orderkey", to_json(c, F.col("value")).alias("text"), F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(":"), e["code"])), ",").alias("bad"))
+
+
 def p_levels_lists(spark, sf_dir):
     """An ordinary contract of five lists of records in one another, as a table a kind."""
     line = Contract("Line", (Field("quantity", constrained(M.FLOAT, lt=49.5)), Field("parts", M.Many(Contract("Part", (Field("marks", M.Many(Contract("Mark", (Field("n", M.INT),)))),))))))
@@ -151,9 +165,12 @@ def u_branches(spark, sf_dir):
     return out.select("event_id", "branch", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("bad"))
 
 
-QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets, h_python, d_steps, e_patterns, u_branches)}
+QUERIES = {f.__name__: f for f in (p_levels, p_levels_alias, p_levels_lists, s_read_files, x_stream_budgets, h_python, d_steps, e_patterns, u_branches, c_big_numbers)}
 
 ORACLE_SQL = {
+    "c_big_numbers": """with x as (select o_orderkey, (o_orderkey + 1)::varchar as k, case when o_orderkey % 2 = 0 then '-' else '' end as sign, '7' || repeat(lpad((o_orderkey + 1)::varchar, 12, '0'), 5) as long, o_orderkey % 6 as c from orders)
+        select o_orderkey, case when c in (0, 4, 5) then '{"n":' || case when c = 0 then k else sign || long end || ',"By":{"a/b~1.c":["' || k || '.50","' || sign || k || '2.5","' || k || '500","' || long || '.' || long || '","1000.' || k || '"]}}' end as text,
+          case when c in (1, 2) then 'n:type' when c = 3 then 'n:less_than' else '' end as bad from x""",
     "p_levels": f"""with x as (select event_id, cast(event_id % {_DEEP + 2} as int) as k from events)
         select event_id, concat_ws(',', case when k > 0 and event_id % 5 = 0 then 'v:type' end, case when k > {_DEEP} then repeat('c[1].', k - 1) || 'c[0]:depth'
             when event_id % 3 = 0 then repeat('c[1].', k) || 'v:type' when event_id % 3 = 1 then repeat('c[1].', k) || 'w:unexpected' end) as bad,

@@ -276,6 +276,8 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     table has no verdicts.
     """
     for name, kind in named.items():
+        if M.has_exact(kind):
+            raise ValueError(f"{name}: numbers carried as text aren't kept by levels")
         if isinstance(kind, M.Contract) and any(isinstance(f.type, M.Union) and _refs(f.type) and len([o for o in f.type.options if o != M.NONE]) > 1 for f in kind.fields):
             raise ValueError(f"{name}: give a union with nodes a name of its own")
         if isinstance(kind, M.Union) and any(isinstance(o, M.Ref) for o in kind.options):

@@ -146,7 +146,7 @@ def projected(kind, value: Column, by_alias: bool = True, include=None, exclude=
 def _composite(kind) -> bool:
     """Whether the JSON of a type has another shape than its columns."""
     kind = _base(kind)
-    if isinstance(kind, (M.Fixed, M.Tagged)):
+    if isinstance(kind, (M.Fixed, M.Tagged)) or kind == M.BIG_INT:
         return True
     if isinstance(kind, M.Union):
         real = [o for o in kind.options if o != M.NONE]
@@ -171,6 +171,8 @@ def encoded(kind, value: Column, by_alias: bool = True, include=None, exclude=No
     kind = _base(kind)
     include, exclude = _tree(None if include is True else include), _tree(None if exclude is True else exclude)
     below = lambda k, v, i=include, e=exclude: encoded(k, v, by_alias, i, e, exclude_none)
+    if kind == M.BIG_INT:
+        return F.coalesce(value, F.lit("null"))
     if not _composite(kind):
         return _plain_text(projected(kind, value, by_alias, include, exclude, True), exclude_none)
     none = value.isNull()

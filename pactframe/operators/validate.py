@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pactframe.contract import compiler as C
 from pactframe.contract import model as M
 from pactframe.contract.errors import Place, error, first_of, no_errors
-from pactframe.contract.model import Contract, Tagged
+from pactframe.contract.model import Contract, Tagged, has_exact
 from pactframe.functions import scalars
-from pactframe.functions.decode import decoded, depth_over
+from pactframe.functions.decode import decoded, depth_over, kept_tokens
 
 
 def _staged(df: DataFrame, ctx: C.Ctx, compiled: C.Compiled, keep: list[str], errors: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
@@ -81,19 +81,22 @@ def from_json(df: DataFrame, column: str, contract: Contract | Tagged, max_error
     if max_depth is not None:
         df = df.withColumn("_pf_depth", depth_over(text, max_depth)).withColumn(column, F.when(F.col("_pf_depth").isNotNull(), refuse("depth", max_depth, F.col("_pf_depth"))).otherwise(text)).drop("_pf_depth")
     df = decoded(df, column, "_pf_verdict", "_pf_raw")
+    where = None
+    if has_exact(contract):
+        df, where = df.withColumn("_pf_tokens", kept_tokens(F.when(F.col("_pf_raw").isNotNull(), text))), (F.col("_pf_tokens"), F.lit(""))
     raw, code = F.col("_pf_raw"), F.col("_pf_verdict.code")
     if max_nodes is not None:
         df = df.withColumn("_pf_nodes", C.json_nodes(contract, raw)).withColumn("_pf_raw", F.when(F.col("_pf_nodes") > max_nodes, refuse("nodes", max_nodes, F.col("_pf_nodes")).cast("variant")).otherwise(raw)).drop("_pf_nodes")
     ctx = C.Ctx(max_errors, C.Stages())
     schema, level = ctx.stage(F.schema_of_variant(raw), 0)
-    cell = C.Cell(raw, schema, level)
+    cell = C.Cell(raw, schema, level, where)
     members: dict = {}
     positional = isinstance(contract, Contract) and contract.shape == "positional"
     if positional:
         record = C.json_positional(contract, cell, Place(), ctx)
     else:
         keys, level = ctx.stage(F.when(code.isNull(), F.json_object_keys(text)), level)
-        cell = C.Cell(raw, schema, level)
+        cell = C.Cell(raw, schema, level, where)
         record = C.json_tagged(contract, cell, Place(), ctx, keys) if isinstance(contract, Tagged) else C.json_record(contract, cell, Place(), ctx, keys, ignored, members)
     there = schema.startswith("ARRAY" if positional else "OBJECT")
     invalid = error("json_invalid", Place()).withField("context", F.create_map(F.lit("reason"), code))
@@ -123,7 +126,10 @@ def from_text(df: DataFrame, contract: Contract, max_errors: int = 100, keep: li
     own = [f for f in contract.fields for n in f.names if n in names]
     structured = [f for f in own if not _is_scalar(f.type)]
     for k, f in enumerate(structured):
-        df = decoded(df, next(n for n in f.names if n in names), f"_pf_v{k}", f"_pf_r{k}")
+        own_text = next(n for n in f.names if n in names)
+        df = decoded(df, own_text, f"_pf_v{k}", f"_pf_r{k}")
+        if has_exact(f.type):
+            df = df.withColumn(f"_pf_t{k}", kept_tokens(F.when(F.col(f"_pf_r{k}").isNotNull(), F.col(own_text))))
     parts = []
     for f in contract.fields:
         at = C._at(f, Place())
@@ -132,7 +138,8 @@ def from_text(df: DataFrame, contract: Contract, max_errors: int = 100, keep: li
         missing = F.array(error("missing", at))
         if f in structured:
             k = structured.index(f)
-            c = C.json_value(f.type, C.as_cell(F.col(f"_pf_r{k}"), ctx), at, ctx)
+            where = (F.col(f"_pf_t{k}"), F.lit("")) if has_exact(f.type) else None
+            c = C.json_value(f.type, C.as_cell(F.col(f"_pf_r{k}"), ctx, where=where), at, ctx)
             bad = F.col(f"_pf_v{k}.code").isNotNull()
             c = C.Compiled(c.value, ~bad & c.ok, F.when(bad, F.array(error("json_invalid", at))).otherwise(c.errors), None if c.truncated is None else ~bad & c.truncated, c.level)
         else:
@@ -165,7 +172,7 @@ def _text_value(kind, text: Column, place: Place, ctx: C.Ctx) -> C.Compiled:
         value = C._chain([(known == json.dumps(v), F.lit(v).cast(base.spark())) for v in base.values], F.lit(None).cast(base.spark()))
         return C.Compiled(value, known.isNotNull(), F.array(error("type" if isinstance(base, M.Enum) else "literal", place, expected=base.describe(), received="str", value=text)))
     own = {"int": scalars.text_int, "float": scalars.text_float, "bool": scalars.text_bool, "None": lambda t: F.lit(None).cast("void"), "Decimal": lambda t: scalars.json_decimal(t, base.precision, base.scale)}
-    value, level = ctx.stage(own[base.kind](text) if base.kind in own else C.text_scalar(base, text), 0)
+    value, level = ctx.stage(C.text_number(base, text) if base.exact else own[base.kind](text) if base.kind in own else C.text_scalar(base, text), 0)
     inner = C.Compiled(value, text == "null" if base.kind == "None" else value.isNotNull(), C._type_error(base, place, "str", text), None, level)
     return C._bounded(kind, inner, place, base.describe(), ctx) if isinstance(kind, M.Constrained) else inner
 

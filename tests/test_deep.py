@@ -225,3 +225,47 @@ def test_patterns_of_locations(spark):
     done = from_json(spark.createDataFrame(list(enumerate(texts)), TEXTS), "t", contract)
     got = {(r["pattern"], r["code"]): (r["errors"], r["records"]) for r in error_patterns(done, contract).collect()}
     assert got == {("rows[*][*].n", "type"): (2, 2), ("rows[*][*].by.*[*]", "type"): (1, 1), ("maps.*.*.n", "type"): (1, 1), ("maps.*.*.by.*[*]", "type"): (1, 1), ("a b", "type"): (1, 1), ("<root>", "type"): (1, 1)}
+
+
+def test_numbers_of_any_size(spark):
+    """Against Python's own integers and decimals, at random."""
+    from decimal import Decimal
+
+    from pactframe.functions import scalars
+    from pactframe.operators.output import to_json
+    from pactframe.operators.validate import from_text
+
+    rng = random.Random(5)
+    def digits(n):
+        return str(rng.randrange(1, 10)) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+
+    whole = ["0", "-0", "9007199254740993", "9223372036854775808", "-" + digits(60), digits(400)] + [rng.choice(["", "-"]) + digits(rng.randrange(1, 70)) for _ in range(60)]
+    exact = ["1.50", "0.0", "1e2", "1E-7", "-0.10", "12.5e+3", "0.00e-2", digits(50) + "." + digits(50)] + [rng.choice(["", "-"]) + digits(rng.randrange(1, 50)) + rng.choice(["", "." + digits(rng.randrange(1, 50))]) + rng.choice(["", "e5", "E-60", "e+40"]) for _ in range(58)]
+    limit = 10**30
+    inner = Contract("Inner", (Field("n", constrained(M.BIG_INT, ge=-limit), alias="a/b"), Field("x", constrained(M.EXACT, lt=limit)), Field("f", M.FLOAT), Field("s", M.STR)))
+    contract = Contract("Outer", (Field("rows", M.Many(inner)), Field("pair", M.Fixed((M.BIG_INT, M.EXACT))), Field("old", M.BIG_INT, alias="new", legacy=("was~",))))
+    other = contract.fields[2].names[-1]
+    texts = [(k, '{"rows":[{"a/b":1,"x":2,"f":1e2,"s":"9"},{"a/b":%s,"x":%s,"f":1.50,"s":"12345678901234567890"}],"pair":[%s,%s],"%s":%s}' % (n, x, n, x, other, n)) for k, (n, x) in enumerate(zip(whole, exact, strict=True))]
+    out = {r["id"]: r for r in from_json(spark.createDataFrame(texts, TEXTS), "t", contract).select("id", "value", "errors", to_json(contract, F.col("value")).alias("j")).collect()}
+    for k, (n, x) in enumerate(zip(whole, exact, strict=True)):
+        codes = {e["code"] for e in out[k]["errors"]}
+        assert codes == {c for c, failed in (("greater_than_or_equal", int(n) < -limit), ("less_than", Decimal(x) >= limit)) if failed}, (n, x, out[k]["errors"])
+        if not codes:
+            v = out[k]["value"]
+            assert v["pair"]["_0"] == v["rows"][1]["n"] == v["old"] == str(int(n)) and v["rows"][1]["f"] == 1.5
+            assert v["pair"]["_1"] == v["rows"][1]["x"] and Decimal(v["pair"]["_1"]) == Decimal(x) and "e" not in v["pair"]["_1"].lower()
+            assert json.loads(out[k]["j"], parse_int=str)["pair"] == [str(int(n)), v["pair"]["_1"]]
+    pairs = [(k, a) for k, a in enumerate(["0", "-0.0", "5", "50", "4.999", "5.0", "5.01", "-5", "-5.1", "-4.9", "-50", digits(40)])]
+    df = spark.createDataFrame(pairs, TEXTS)
+    for bound in ("5", "-5", "0", "4.9990", "1" + "0" * 39):
+        for r in df.select("t", scalars.exact_over(F.col("t"), Decimal(bound)).alias("over"), scalars.exact_under(F.col("t"), Decimal(bound)).alias("under")).collect():
+            assert (r["over"], r["under"]) == (Decimal(r["t"]) > Decimal(bound), Decimal(r["t"]) < Decimal(bound)), (r, bound)
+    flat = Contract("Flat", (Field("n", M.BIG_INT), Field("xs", M.Many(M.EXACT))))
+    row = from_text(spark.createDataFrame([(digits(60), "[1.50," + "1" * 50 + "]")], "n string, xs string"), flat, keep=[]).first()
+    assert len(row["value"]["n"]) == 60 and row["value"]["xs"] == ["1.50", "1" * 50]
+    small = Contract("Small", (Field("n", M.INT), Field("d", M.decimal(38, 2))))
+    assert [e["code"] for e in from_json(spark.createDataFrame([(1, '{"n":12345678901234567890,"d":1.50}')], TEXTS), "t", small).first()["errors"]] == ["type"]
+    with pytest.raises(ValueError):
+        constrained(M.BIG_INT, multiple_of=3)
+    with pytest.raises(ValueError):
+        from_json_levels(df, "t", flat, ["id"], "/nowhere")
