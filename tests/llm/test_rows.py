@@ -199,7 +199,7 @@ def test_clauses_decide_what_a_word_adds():
     n = len(toxicity.OUTCOMES)
     direct, quoted, negated = (m.features(t) for t in ("An idiot.", "He said idiot.", "Not an idiot."))
     assert direct[1 + n] > 0 and direct[2 + n] > 0 and direct[3 + n] > 0
-    assert quoted[1 + n:] == negated[1 + n:] == [0.0, 0.0, 0.0]
+    assert quoted[1 + n:] == negated[1 + n:] == [0.0, 0.0, 0.0, 0.0]
     assert m.features("ich werde dich umbringen")[1 + toxicity.OUTCOMES.index("H")] > 0
     assert m.features("voy a matarte, te quiero")[1 + toxicity.OUTCOMES.index("H")] == 0
 
