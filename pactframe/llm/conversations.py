@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pactframe.llm.common import SLICE_ROWS, release, slices
+from pactframe.llm.common import SLICE_ROWS, release, slices, small_batches
 
 #: Costs of edits, and of an undeleted truncated row.
 RENAME, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
