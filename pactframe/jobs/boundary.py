@@ -154,7 +154,8 @@ def p_kinds_strict(spark, sf_dir):
     h = F.md5(F.col("c_custkey").cast("string"))
     k = F.col("c_custkey")
     uid = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, F.upper(uid)).otherwise(uid).alias("uid"), F.concat(F.lit("2001:db8::"), F.when(k % 3 == 0, F.lit("0")).otherwise(F.lit("")), F.lower(F.hex(k))).alias("six"),
+    groups = F.regexp_replace(F.regexp_replace(F.lower(F.hex(k)), "(?<=.)(?=(.{4})+$)", ":"), ":0{1,3}(?=.)", ":")  # four digits each, without zeros in front
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, F.upper(uid)).otherwise(uid).alias("uid"), F.concat(F.lit("2001:db8::"), F.when(k % 3 == 0, F.lit("0")).otherwise(F.lit("")), groups).alias("six"),
                                                    F.concat((k % 300).cast("string"), F.lit(".0.0.0/8")).alias("net"), F.concat(F.lit("a/"), F.when(k % 5 == 0, F.lit("/b")).otherwise(F.lit("b"))).alias("file"))
     c = Contract("Kinds", (Field("c_custkey", M.INT), Field("uid", M.UUID), Field("six", M.Scalar("IPv6Address")), Field("net", M.Scalar("IPv4Network")), Field("file", M.PATH)))
     return flat_errors(from_rows(rows, c, keep=["c_custkey"]), ["c_custkey"]).select("c_custkey", "position", "path", "code")
