@@ -132,6 +132,15 @@ def depth_over(text: Column, limit: int) -> Column:
     return F.when(depth > limit, depth)
 
 
+#: A zero with a sign and a fraction outside of strings, from the end of the one before; repeats are possessive, so that texts may be of any length.
+_SIGNED_ZERO = r'(?s)\G((?:[^"-]++|"(?:[^"\\]++|\\.)*+"|(?<=[eE])-|-(?!0\.0++(?![0-9.eE])))*+)(-0\.0++)'
+
+
+def _signed_zeros(text: Column) -> Column:
+    """`-0.0` as `-0.0e0`, which VARIANT holds as a double; a decimal would lose the sign."""
+    return F.when(text.contains("-0.0"), F.regexp_replace(text, _SIGNED_ZERO, "$1$2e0")).otherwise(text)
+
+
 def decoded(df: DataFrame, column: str, verdict: str = "verdict", raw: str = "raw") -> DataFrame:
     """Adds `verdict` (code, line, col, position, key; code null for strict JSON) and the VARIANT `raw`.
 
@@ -143,7 +152,7 @@ def decoded(df: DataFrame, column: str, verdict: str = "verdict", raw: str = "ra
     place and reason.
     """
     text = F.col(column)
-    staged = df.withColumn("_pf_list", F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]"))))
+    staged = df.withColumn("_pf_list", F.try_parse_json(F.concat(F.lit("["), _signed_zeros(text), F.lit("\n]"))))
     staged = staged.withColumn("_pf_first", F.try_variant_get("_pf_list", "$[0]", "variant"))
     again = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("\n}")))
     alone = F.col("_pf_first").isNotNull() & F.try_variant_get("_pf_list", "$[1]", "variant").isNull() & (~text.contains("]") | again.isNotNull())

@@ -179,3 +179,21 @@ def test_nested_records_of_columns_count_once(spark):
     df = spark.createDataFrame([(1, (2, 3), 4)], "i long, n struct<x:long,y:long>, z long")
     c = Contract("Out", (Field("i", M.INT), Field("n", inner), Field("z", constrained(M.INT, lt=1))))
     assert [(len(r["errors"]), r["truncated"]) for r in from_rows(df, c, max_errors=3, keep=["i"]).collect()] == [(3, False)]
+
+
+def test_zeros_keep_their_sign(spark):
+    c = Contract("Z", (Field("a", M.FLOAT), Field("b", M.STR), Field("c", M.Many(M.FLOAT)), Field("d", M.decimal(6, 2))))
+    text = '{"a":-0.0,"b":"[-0.0, \\"-0.0","c":[-0.00,-0.05,1e-0,-0.0e1,-0,0.0],"d":-0.0}'
+    rows = spark.createDataFrame([(text,), ("[-0.0.0]",)], "text string")
+    good, bad = from_json(rows, "text", c).select("value", "errors").collect()
+    assert str(good.value.a) == "-0.0" and good.value.b == '[-0.0, "-0.0' and good.value.d == 0
+    assert list(map(str, good.value.c)) == ["-0.0", "-0.05", "1.0", "-0.0", "0.0", "0.0"]
+    assert [e.code for e in bad.errors] == ["json_invalid"]
+
+
+def test_durations_and_times_are_matched_once(spark):
+    rows = spark.createDataFrame([("P1DT25H",)], "t string")
+    for convert in (lambda c: scalars.format_duration(scalars.duration_micros(c)), scalars.iso_datetime, scalars.iso_time):
+        plan = rows.select(convert(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_") < 20
+    assert rows.select(scalars.format_duration(F.lit(2**63 - 1))).first()[0] == "P106751991DT4H54.775807S"
