@@ -151,32 +151,58 @@ ANY_TIME = f"^T?({_TIME})({_OFFSET})?$"
 ANY_INSTANT = f"^({_DATE})(?:[^0-9]({_TIME})({_OFFSET})?)?$"
 
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _with_groups(c: Column, pattern: str, groups: tuple[int, ...], then) -> Column:
+    """`then` of some groups of a whole text that fits a pattern, all from one match; none of them may hold a semicolon."""
+    parts = F.split(F.regexp_replace(c, pattern[:-1] + r"\R?$", ";".join(f"${k}" for k in groups)), ";")
+    return _let(parts, lambda found: then(*[F.get(found, F.lit(k)) for k in range(len(groups))]))
+
+
 def iso_date(c: Column) -> Column:
     """Calendar dates with hyphens and without, and week dates."""
+    return _let(c, _iso_date)
+
+
+def _iso_date(c: Column) -> Column:
     digits = F.regexp_replace(c, "-", "")
     year = F.substring(digits, 1, 4).try_cast("int")
     plain = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
     week, day = F.regexp_extract(c, "W([0-9]{2})", 1).try_cast("int"), F.coalesce(F.regexp_extract(c, "W[0-9]{2}-?([0-9])$", 1).try_cast("int"), F.lit(1))
     fourth = F.concat(F.substring(digits, 1, 4), F.lit("-01-04")).try_cast("date")
-    monday = F.date_sub(fourth, F.weekday(fourth))
-    found = F.date_add(monday, (week - 1) * 7 + day - 1)
-    by_week = F.when(day.between(1, 7) & week.between(1, 53) & (F.weekofyear(F.date_add(monday, (week - 1) * 7)) == week), found)
-    return F.when(c.rlike(DAY), F.when(year > 0, c.try_cast("date"))).when(c.rlike(ANY_DATE) & (year > 0), F.when(c.contains("W"), by_week).otherwise(plain))
+    monday = _let(fourth, lambda f: F.date_sub(f, F.weekday(f)))
+
+    def by_week(w: Column) -> Column:
+        monday, week, day = w["monday"], w["week"], w["day"]
+        return F.when(day.between(1, 7) & week.between(1, 53) & (F.weekofyear(F.date_add(monday, (week - 1) * 7)) == week), F.date_add(monday, (week - 1) * 7 + day - 1))
+
+    of_week = _let(F.struct(monday.alias("monday"), week.alias("week"), day.alias("day")), by_week)
+    return F.when(c.rlike(DAY), F.when(year > 0, c.try_cast("date"))).when(c.rlike(ANY_DATE) & (year > 0), F.when(c.contains("W"), of_week).otherwise(plain))
 
 
 def _clock(t: Column) -> Column:
     """Microseconds of a time of day in one of the forms of _TIME; null out of range."""
     bare = F.regexp_replace(F.regexp_replace(t, "[.,].*$", ""), ":", "")
-    part = lambda k: F.when(F.length(bare) >= k + 1, F.substring(bare, k, 2)).otherwise(F.lit("00")).try_cast("bigint")
-    hour, minute, second = part(1), part(3), part(5)
     micros = F.rpad(F.substring(F.regexp_extract(t, "[.,]([0-9]+)$", 1), 1, 6), 6, "0").try_cast("bigint")
-    return F.when((hour < 24) & (minute < 60) & (second < 60), ((hour * 60 + minute) * 60 + second) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+
+    def parts(bare: Column) -> Column:
+        part = lambda k: F.when(F.length(bare) >= k + 1, F.substring(bare, k, 2)).otherwise(F.lit("00")).try_cast("bigint")
+        return F.array(part(1), part(3), part(5))
+
+    def whole(p: Column) -> Column:
+        hour, minute, second = (F.get(p, F.lit(k)) for k in range(3))
+        return F.when((hour < 24) & (minute < 60) & (second < 60), ((hour * 60 + minute) * 60 + second) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+
+    return _let(_let(bare, parts), whole)
 
 
 def _shift(offset: Column) -> Column:
     """Microseconds east of UTC; 0 without an offset, null from a day on."""
     micros = _clock(F.substring(offset, F.lit(2), F.length(offset)))
-    return F.when(F.coalesce(offset, F.lit("")).isin("", "Z"), F.lit(0).cast("bigint")).otherwise(F.when(offset.startswith("-"), -micros).otherwise(micros))
+    return F.when(F.coalesce(offset, F.lit("")).isin("", "Z"), F.lit(0).cast("bigint")).otherwise(F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * micros)
 
 
 def iso_datetime(c: Column, aware: bool = True) -> Column:
@@ -184,37 +210,54 @@ def iso_datetime(c: Column, aware: bool = True) -> Column:
 
     All forms of `iso_date` and of times, with any one character but a digit between; a date alone is its midnight.
     """
-    date, time, offset = (F.regexp_extract(c, ANY_INSTANT, k) for k in (1, 2, 3))
-    day = F.datediff(iso_date(date), F.lit("1970-01-01").cast("date")).cast("bigint")
-    micros = day * 86_400_000_000 + F.when(time == "", F.lit(0).cast("bigint")).otherwise(_clock(time)) - _shift(offset)
+    return _let(c, lambda x: _iso_datetime(x, aware))
+
+
+def _iso_datetime(c: Column, aware: bool) -> Column:
+    def micros(date: Column, time: Column, offset: Column) -> Column:
+        day = F.datediff(iso_date(date), F.lit("1970-01-01").cast("date")).cast("bigint")
+        found = day * 86_400_000_000 + F.when(time == "", F.lit(0).cast("bigint")).otherwise(_clock(time)) - _shift(offset)
+        return found if aware else F.when(offset == "", found)
+
+    found = _with_groups(c, ANY_INSTANT, (1, 2, 3), micros)
     if aware:
-        fast = F.when(c.rlike(r"[+-]\d{2}:\d{2}$"), c.try_cast("timestamp"))
-        return F.when(c.rlike(INSTANT) & fast.isNotNull(), fast).when(c.rlike(ANY_INSTANT), F.timestamp_micros(micros))
+        fast = F.when(c.rlike(INSTANT) & c.rlike(r"[+-]\d{2}:\d{2}$"), c.try_cast("timestamp"))
+        return F.coalesce(fast, F.when(c.rlike(ANY_INSTANT), F.timestamp_micros(found)))
     fast = F.when(~c.rlike(r"(Z|[+-]\d{2}:\d{2})$"), c.try_cast("timestamp_ntz"))
-    wall = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.when(c.rlike(INSTANT), fast).when(c.rlike(ANY_INSTANT) & (offset == ""), wall)
+    wall = F.timestamp_add("MICROSECOND", found, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.when(c.rlike(INSTANT), fast).when(c.rlike(ANY_INSTANT), wall)
 
 
 def iso_time(c: Column) -> Column:
     """The canonical text of a time of day, with its offset if it has one."""
-    time, offset = F.regexp_extract(c, ANY_TIME, 1), F.regexp_extract(c, ANY_TIME, 2)
-    micros, east = _clock(time), _shift(offset)
     two = lambda n: F.lpad(n.cast("bigint").cast("string"), 2, "0")
     clock = lambda n: F.concat_ws(":", two(F.floor(n / 3_600_000_000)), two(F.floor(n / 60_000_000) % 60), two(F.floor(n / 1_000_000) % 60))
     part = lambda n: F.when(n % 1_000_000 > 0, F.concat(F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))).otherwise(F.lit(""))
-    size = F.abs(east)
-    zone = F.concat(F.when(east < 0, "-").otherwise("+"), F.substring(clock(size), 1, 5), F.when(size % 60_000_000 > 0, F.concat(F.lit(":"), two(F.floor(size / 1_000_000) % 60))).otherwise(F.lit("")), part(size))
-    return F.when(c.rlike(ANY_TIME) & micros.isNotNull() & east.isNotNull(), F.concat(clock(micros), part(micros), F.when(offset == "", F.lit("")).otherwise(zone)))
+
+    def shown(time: Column, offset: Column) -> Column:
+        return _let(F.struct(_clock(time).alias("micros"), _shift(offset).alias("east"), (offset == "").alias("bare")), text)
+
+    def text(at: Column) -> Column:
+        micros, east = at["micros"], at["east"]
+        size = F.abs(east)
+        zone = F.concat(F.when(east < 0, "-").otherwise("+"), F.substring(clock(size), 1, 5), F.when(size % 60_000_000 > 0, F.concat(F.lit(":"), two(F.floor(size / 1_000_000) % 60))).otherwise(F.lit("")), part(size))
+        return F.when(micros.isNotNull() & east.isNotNull(), F.concat(clock(micros), part(micros), F.when(at["bare"], F.lit("")).otherwise(zone)))
+
+    return _let(c, lambda x: F.when(x.rlike(ANY_TIME), _with_groups(x, ANY_TIME, (1, 2), shown)))
 
 
 def duration_micros(c: Column) -> Column:
     """Microseconds of an ISO duration of days, hours, minutes and seconds; at least one part."""
-    part = lambda k: F.coalesce(F.regexp_extract(c, DURATION, k).try_cast("bigint"), F.lit(0))
-    fraction = F.rpad(F.regexp_extract(c, DURATION, 7), 6, "0").try_cast("bigint")
-    seconds = ((part(2) * 24 + part(4)) * 60 + part(5)) * 60 + part(6)
-    sign = F.when(F.regexp_extract(c, DURATION, 1) == "-", -1).otherwise(1)
-    good = c.rlike(DURATION) & c.rlike(r"[0-9][DHMS]") & ~c.rlike(r"T$")
-    return F.when(good, sign * (seconds * 1_000_000 + F.coalesce(fraction, F.lit(0))))
+    def micros(sign: Column, *parts: Column) -> Column:
+        days, hours, minutes, seconds = (F.coalesce(p.try_cast("bigint"), F.lit(0)) for p in parts[:4])
+        fraction = F.coalesce(F.rpad(parts[4], 6, "0").try_cast("bigint"), F.lit(0))
+        return F.when(sign == "-", -1).otherwise(1) * ((((days * 24 + hours) * 60 + minutes) * 60 + seconds) * 1_000_000 + fraction)
+
+    def found(c: Column) -> Column:
+        good = c.rlike(DURATION) & c.rlike(r"[0-9][DHMS]") & ~c.rlike(r"T$")
+        return F.when(good, _with_groups(c, DURATION, (1, 2, 4, 5, 6, 7), micros))
+
+    return _let(c, found)
 
 
 def iso_duration(c: Column) -> Column:
@@ -224,15 +267,19 @@ def iso_duration(c: Column) -> Column:
 
 def format_duration(micros: Column) -> Column:
     """Canonical text: carries into days, hours and minutes, no zero parts, `PT0S` for zero."""
-    n = F.abs(micros)
-    days, rest = F.floor(n / 86_400_000_000), n % 86_400_000_000
-    hours, minutes = F.floor(rest / 3_600_000_000), F.floor(rest % 3_600_000_000 / 60_000_000)
-    seconds, fraction = F.floor(rest % 60_000_000 / 1_000_000), rest % 1_000_000
-    shown = F.concat(seconds.cast("string"), F.when(fraction > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(fraction.cast("string"), 6, "0"), "0+$", ""))).otherwise(F.lit("")))
+    over = lambda a, b: F.call_function("div", a, F.lit(b))
     part = lambda value, unit: F.when(value > 0, F.concat(value.cast("string"), F.lit(unit))).otherwise(F.lit(""))
-    clock = F.concat(part(hours, "H"), part(minutes, "M"), F.when((seconds > 0) | (fraction > 0), F.concat(shown, F.lit("S"))).otherwise(F.lit("")))
-    text = F.concat(F.when(micros < 0, F.lit("-")).otherwise(F.lit("")), F.lit("P"), part(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(F.lit("")))
-    return F.when(n == 0, F.lit("PT0S")).when(n > 0, text)
+
+    def text(micros: Column) -> Column:
+        n = F.abs(micros)
+        rest, fraction = n % 86_400_000_000, n % 1_000_000
+        seconds = over(rest % 60_000_000, 1_000_000)
+        shown = F.concat(seconds.cast("string"), F.when(fraction > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(fraction.cast("string"), 6, "0"), "0+$", ""))).otherwise(F.lit("")))
+        clock = F.concat(part(over(rest, 3_600_000_000), "H"), part(over(rest % 3_600_000_000, 60_000_000), "M"), F.when(n % 60_000_000 > 0, F.concat(shown, F.lit("S"))).otherwise(F.lit("")))
+        days = F.concat(F.when(micros < 0, F.lit("-")).otherwise(F.lit("")), F.lit("P"), part(over(n, 86_400_000_000), "D"))
+        return F.when(n == 0, F.lit("PT0S")).when(n > 0, F.concat(days, F.when(rest > 0, F.concat(F.lit("T"), clock)).otherwise(F.lit(""))))
+
+    return _let(micros, text)
 
 
 def canonical_uuid(c: Column) -> Column:
@@ -269,11 +316,6 @@ def _v4_number(c: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p.try_cast("bigint"))
 
 
-def _let(value: Column, then) -> Column:
-    """`then` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _v6_groups(c: Column) -> Column:
     """The eight groups of an IPv6 address as hexadecimal texts without leading zeros; null if it is none."""
     groups = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))

@@ -60,8 +60,7 @@ def c_time(spark, sf_dir):
 
 def c_duration(spark, sf_dir):
     t = F.expr("case o_orderkey % 6 when 0 then 'P' || o_orderkey || 'D' when 1 then '-PT' || o_orderkey || 'M1.5S' when 2 then 'P' when 3 then 'PT' when 4 then 'PT0.000001S' else 'P1DT25H' end")
-    micros = scalars.duration_micros(t)
-    return _orders(spark, sf_dir).select("o_orderkey", micros.cast("bigint").alias("micros"), scalars.format_duration(micros).alias("text"))
+    return _orders(spark, sf_dir).select("o_orderkey", scalars.duration_micros(t).alias("micros")).withColumn("text", scalars.format_duration(F.col("micros")))
 
 
 def c_uuid(spark, sf_dir):
