@@ -588,16 +588,21 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
         if kind.kind == "Decimal":
             endless = (s == "STRING") & scalars.non_finite_decimal(shown_json(v))
             errors = F.when(endless, F.array(error("json_invalid", place, context={"reason": "non_finite_number"}))).otherwise(wrong)
+        if ctx.stages is None and (kind.exact or kind.kind not in ("int", "float", "bool", "None", "str")):
+            return _unpack(_let(value, lambda x: _pack(Compiled(x, x.isNotNull(), errors))), ctx, level)
         return Compiled(value, s == "VOID" if kind.kind == "None" else value.isNotNull(), errors, None, level)
     deep = ctx.inner()
     if isinstance(kind, (M.Many, M.Mapping)):
         if isinstance(kind, M.Many):
-            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _pack(json_value(kind.item, Cell(x, F.schema_of_variant(x), where=cell.below(i)), place.index(i), deep)))
+            cells = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(x.alias("v"), F.schema_of_variant(x).alias("s")))
+            items = F.transform(cells, lambda x, i: _pack(json_value(kind.item, Cell(x["v"], x["s"], where=cell.below(i)), place.index(i), deep)))
             collect = lambda rs: F.array_distinct(F.transform(rs, lambda r: r["value"])) if kind.kind in ("set", "frozenset") else F.transform(rs, lambda r: r["value"])
         else:
             key = lambda e: _json_key(kind.key, e["key"], place.key(e["key"]), deep)
-            entry = lambda e: _entry(key(e), json_value(kind.value, Cell(e["value"], F.schema_of_variant(e["value"]), where=cell.below(e["key"])), place.key(e["key"]), deep))
-            items = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: _pack(replace(entry(e), value=F.struct(key(e).value.alias("key"), entry(e).value.alias("value")))))
+            cells = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"), F.schema_of_variant(e["value"]).alias("s")))
+            inside = lambda e: json_value(kind.value, Cell(e["v"], e["s"], where=cell.below(e["key"])), place.key(e["key"]), deep)
+            entry = lambda k, c: replace(_entry(k, c), value=F.struct(k.value.alias("key"), c.value.alias("value")))
+            items = F.transform(cells, lambda e: _pack(_bound(inside(e), deep, lambda c: entry(key(e), c))))
             collect = lambda rs: F.map_from_entries(F.transform(rs, lambda r: r["value"]))
 
         def joined(rs: Column) -> Column:
