@@ -322,7 +322,8 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     invalid = error("json_invalid", Place()).withField("context", F.create_map(F.lit("reason"), code))
     duplicate = error("json_duplicate", Place()).withField("context", F.create_map(F.lit("key"), F.col("_verdict.key")))
     errors = F.when(code == "duplicate_key", F.array(duplicate)).when(code.isNotNull(), F.array(invalid)).otherwise(F.coalesce("errors", no_errors()))
-    verdicts = (records.drop("v").join(failing, F.col("rid") == F.col("_rid"), "left").join(counts, F.col("rid") == F.col("_node"), "left")
+    # Errors are alike, so that their files are a small part of what they take in memory: never to be broadcast.
+    verdicts = (records.drop("v").join(failing.hint("merge"), F.col("rid") == F.col("_rid"), "left").join(counts.hint("merge"), F.col("rid") == F.col("_node"), "left")
                 .select(*keys, errors.alias("errors"), F.coalesce("cut", F.lit(False)).alias("truncated"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth")))
     own = records.select("rid", *keys)
     shown = {n: own.join(t.where("entries is null").select(F.col("rid").alias("_rid"), "location", "path", "level", "value"), F.col("rid") == F.col("_rid")).select(*keys, "location", "path", "level", "value") for n, t in typed.items()}

@@ -269,3 +269,21 @@ def test_numbers_of_any_size(spark):
         constrained(M.BIG_INT, multiple_of=3)
     with pytest.raises(ValueError):
         from_json_levels(df, "t", flat, ["id"], "/nowhere")
+
+
+def test_items_of_lists_and_maps_are_converted_once(spark):
+    c = Contract("S", (Field("by", M.Mapping(M.Many(M.EXACT))), Field("on", M.Mapping(M.Many(M.DATE)))))
+    rows = spark.createDataFrame([('{"by":{"a":["1_000.5",2],"b":[]},"on":{"x":["2031-08-09","20310810"]}}',), ('{"by":{"a":[1,"x"]},"on":{"x":[null]}}',)], "text string")
+    done = from_json(rows, "text", c).select("value", "errors")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 60
+    good, bad = done.collect()
+    assert good.value.by == {"a": ["1000.5", "2"], "b": []} and [str(d) for d in good.value.on["x"]] == ["2031-08-09", "2031-08-10"]
+    assert [(e.path, e.code) for e in bad.errors] == [("by.a[1]", "type"), ("on.x[0]", "type")]
+
+
+def test_verdicts_of_levels_are_never_broadcast(spark, tmp_path):
+    tree = Contract("Tree", (Field("v", M.INT), Field("c", M.Many(M.Ref("Tree")), default=None)))
+    rows = spark.range(20).selectExpr("id", """'{"v":1,"c":[{"v":"x"}]}' as text""")
+    done = check_levels(rows, "text", "Tree", {"Tree": tree}, ["id"], str(tmp_path / "levels")).verdicts
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {(r.errors[0].path, r.nodes, r.depth) for r in done.collect()} == {("c[0].v", 2, 1)}
