@@ -197,3 +197,11 @@ def test_durations_and_times_are_matched_once(spark):
         plan = rows.select(convert(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_") < 40
     assert rows.select(scalars.format_duration(F.lit(2**63 - 1))).first()[0] == "P106751991DT4H54.775807S"
+
+
+def test_strict_kinds_of_large_keys(spark, tmp_path):
+    from pactframe.jobs.boundary import p_kinds_strict
+
+    spark.createDataFrame([(k,) for k in (65_537, 65_551, 1_048_576, 2**32 + 1)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    six = [r.c_custkey for r in p_kinds_strict(spark, str(tmp_path)).where("path = 'six'").collect()]
+    assert six == [k for k in (65_537, 65_551, 1_048_576, 2**32 + 1) if k % 3 == 0]
