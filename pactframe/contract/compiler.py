@@ -592,6 +592,9 @@ def json_value(kind, cell: Cell | Column, place: Place, ctx: Ctx = Ctx()) -> Com
             return _unpack(_let(value, lambda x: _pack(Compiled(x, x.isNotNull(), errors))), ctx, level)
         return Compiled(value, s == "VOID" if kind.kind == "None" else value.isNotNull(), errors, None, level)
     deep = ctx.inner()
+    if isinstance(kind, M.Many) and isinstance(kind.item, M.Ref) and kind.kind not in ("set", "frozenset"):
+        items, level = ctx.stage(F.try_variant_get(v, "$", "array<variant>"), level)
+        return Compiled(items, items.isNotNull(), wrong, None, level)
     if isinstance(kind, (M.Many, M.Mapping)):
         if isinstance(kind, M.Many):
             cells = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(x.alias("v"), F.schema_of_variant(x).alias("s")))

@@ -8,6 +8,7 @@ whatever their depth, and only nodes that fail travel back to their parents.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,41 @@ from pactframe.functions.decode import decoded
 _ENTRY = f"struct<slot:int,e:{ERRORS},t:boolean>"
 #: Where a node is: of each node from the first level down, its field and place in the parent, how many steps that takes, and of the parent its path, name and shown value.
 _STEP = "struct<slot:int,order:array<int>,len:int,up:string,parent:string,kind:string,shown:string>"
+#: Records a partition that the first level is dealt into: nodes are often alike, so bytes don't tell how many a file holds.
+RECORDS = 20_000
 _NODE = ("rid", "location", "path", "chain", "name", "hidden", "v")
 
 
+class Nodes(dict):
+    """A table a kind, planned when it is asked for: verdicts need no values."""
+
+    def __init__(self, names, table):
+        super().__init__()
+        self.names, self.table = list(names), table
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        self[name] = self.table(name)
+        return self[name]
+
+
 @dataclass(frozen=True)
 class Levels:
     """What `check_levels` finds: a verdict a record, and the nodes by kind, whose values are their own fields."""
 
     verdicts: DataFrame
-    nodes: dict[str, DataFrame]
+    nodes: Nodes
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """`v` as a list of one: a VARIANT by itself is shredded into columns by each write and put together again by each read."""
+    return df.withColumn("v", F.array("v"))
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """What `_kept` was given."""
+    return df.withColumn("v", F.get("v", F.lit(0)))
 
 
 def cut(contract: M.Contract) -> tuple[str, dict[str, object]]:
@@ -83,12 +110,11 @@ def _kids(kind, v: Column, hidden: bool, root: bool = False) -> Column:
         one = F.struct(F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("steps"), F.lit("").alias("shown"), F.lit(kind.name).alias("name"), F.lit(hidden).alias("hidden"), v.alias("v"))
         return F.when(v.isNotNull(), F.array(one)).otherwise(empty)
     if isinstance(kind, M.Union):
-        shaped = {M.Many: lambda s: s.startswith("ARRAY"), M.Mapping: lambda s: s.startswith("OBJECT"), M.Contract: lambda s: s.startswith("OBJECT"), M.Ref: lambda s: s != "VOID"}
-        parts = []
+        parts = []  # values of other shapes have no nodes
         for o in kind.options:
             if _refs(o):
                 base = o.base if isinstance(o, M.Constrained) else o
-                parts.append(F.when(shaped[type(base)](F.schema_of_variant(v)), _kids(o, v, hidden)).otherwise(empty))
+                parts.append(F.when(F.is_variant_null(v), empty).otherwise(_kids(o, v, hidden)) if isinstance(base, M.Ref) else _kids(o, v, hidden))
         return F.coalesce(F.concat(*parts), empty)
 
     def under(kids: Column, place: Column, step: Column, text: Column) -> Column:
@@ -96,6 +122,9 @@ def _kids(kind, v: Column, hidden: bool, root: bool = False) -> Column:
 
     if isinstance(kind, M.Many):
         items = F.try_variant_get(v, "$", "array<variant>")
+        if isinstance(kind.item, M.Ref):
+            one = lambda x, i: F.struct(F.array(i).alias("order"), F.array(i.cast("string")).alias("steps"), F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("shown"), F.lit(kind.item.name).alias("name"), F.lit(hidden).alias("hidden"), x.alias("v"))
+            return F.coalesce(F.transform(items, one), empty)
         return F.coalesce(F.flatten(F.transform(items, lambda x, i: under(_kids(kind.item, x, hidden), i, i.cast("string"), F.concat(F.lit("["), i.cast("string"), F.lit("]"))))), empty)
     if isinstance(kind, M.Mapping):
         entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
@@ -152,7 +181,11 @@ def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> D
         if _refs(kind):
             own = nodes.where((F.col("name") == name) & (F.col("hidden") == hidden))
             record = isinstance(kind, M.Contract)
-            found = own.select("rid", "location", "path", "chain", "v", F.explode(_kids(kind, F.col("v"), hidden, root)).alias("kid"))
+            # Once a node, not once for each below it: a value's text or shape takes a look at all that is in it.
+            shape = F.when(F.try_variant_get("v", "$", "array<variant>").isNotNull(), "list").otherwise("dict") if isinstance(kind, M.Union) else F.lit(None).cast("string")
+            text = bounded_input(C.shown_json(F.col("v"))) if isinstance(kind, M.Union) and not hidden else F.lit(None).cast("string")
+            own = own.select("rid", "location", "path", "chain", shape.alias("kind"), text.alias("text"), _kids(kind, F.col("v"), hidden, root).alias("kids"))
+            found = own.select("rid", "location", "path", "chain", "kind", "text", F.explode("kids").alias("kid"))
             k = F.col("kid")
             turned = k["hidden"] & F.lit(not hidden)
             covered, covered_path = _covered(F.col("location"))
@@ -160,22 +193,26 @@ def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> D
             path = F.concat(F.when(turned, covered_path).otherwise(F.col("path")), k["shown"])
             slot = F.get(k["order"], F.lit(0)) if record else F.lit(0)
             step = F.struct(slot.alias("slot"), (F.slice(k["order"], 2, F.greatest(F.size(k["order"]) - 1, F.lit(0))) if record else k["order"]).alias("order"), F.size(k["steps"]).alias("len"), F.col("path").alias("up"),
-                            F.lit(name).alias("parent"), C.variant_kind(F.col("v")).alias("kind"), (F.lit(None).cast("string") if record or hidden else bounded_input(C.shown_json(F.col("v")))).alias("shown"))
+                            F.lit(name).alias("parent"), F.col("kind"), F.col("text").alias("shown"))
             rows = found.select("rid", location.alias("location"), path.alias("path"), F.concat("chain", F.array(step.cast(_STEP))).alias("chain"), k["name"].alias("name"), k["hidden"].alias("hidden"), k["v"].alias("v"))
             out = rows if out is None else out.union(rows)
     return nodes.where("false") if out is None else out
 
 
-def _checked(nodes: DataFrame, name: str, kind, hidden: bool, root: bool, max_errors: int) -> DataFrame:
-    """rid, location, path, chain, value (own fields; null if these fail), entries (failing fields) and late (what counts only if nothing else fails) of the nodes of one kind."""
+def _checked(nodes: DataFrame, name: str, kind, hidden: bool, root: bool, max_errors: int, unsound: bool = False) -> DataFrame:
+    """rid, location, path, chain, value (own fields; null if these fail), entries (failing fields) and late (what counts only if nothing else fails) of the nodes of one kind.
+
+    With `unsound` those nodes that fail, as they are: what errors say is left to a second look at these.
+    """
     place = Place() if root else Place((("name", "x"),), hidden)
     ctx = C.Ctx(max_errors, C.Stages())
     cell = C.as_cell(F.col("v"), ctx)
     none = F.array().cast(f"array<{_ENTRY}>")
     entry = lambda slot, e, t=None: F.struct(F.lit(slot).alias("slot"), e.alias("e"), (F.lit(False) if t is None else t).alias("t"))
     if isinstance(kind, M.Contract) and kind.shape == "record":
-        c = C.json_record(kind, cell, place, ctx)
-        there = F.coalesce(cell.s.startswith("OBJECT"), F.lit(False))
+        keys, level = ctx.stage(F.map_keys(F.try_variant_get(cell.v, "$", "map<string,variant>")), cell.level)
+        c = C.json_record(kind, replace(cell, level=level), place, ctx, keys)
+        there = keys.isNotNull()
         base = len(place.parts)
         extra = F.filter(c.errors, lambda e: (e["code"] == "unexpected") & (F.size(e["location"]) == base + 1))
         fields = F.concat(F.array_compact(F.array(*[F.when(~ok, entry(k, e)) for k, (ok, e) in enumerate(c.values)])) if c.values else none, F.transform(extra, lambda e: entry(len(c.values), F.array(e))))
@@ -190,6 +227,8 @@ def _checked(nodes: DataFrame, name: str, kind, hidden: bool, root: bool, max_er
     good, level = ctx.stage(F.coalesce(good, F.lit(False)), level)
     good = good & (F.spark_partition_id() >= 0)  # see validate._staged
     staged = ctx.stages.applied(nodes.where((F.col("name") == name) & (F.col("hidden") == hidden) & ((F.size("location") == 0) == root)))
+    if unsound:
+        return staged.where(~good).select(*_NODE)
     out = staged.select("rid", "location", "path", "chain", "name", F.when(good, value).alias("value"), F.when(~good, F.coalesce(entries, none)).alias("entries"), F.when(~good, late).alias("late"))
     if root:
         return out
@@ -284,26 +323,25 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
             raise ValueError(f"{name}: an option that is a node itself needs a list, a map or a record around it")
     spark = df.sparkSession
     read = lambda part: spark.read.parquet(f"{path}/{part}")
-    decoded(df.select(*keys, F.col(column).alias("_pf_text")), "_pf_text", "_verdict", "v").select(*keys, F.monotonically_increasing_id().alias("rid"), F.struct("_verdict.code", "_verdict.key").alias("_verdict"), "v").write.parquet(f"{path}/records")
-    records = read("records")
-    start = records.where("_verdict.code is null").select("rid", F.array().cast("array<string>").alias("location"), F.lit("").alias("path"), F.array().cast(f"array<{_STEP}>").alias("chain"), F.lit(root).alias("name"), F.lit(False).alias("hidden"), "v")
-    start.select(*_NODE).write.parquet(f"{path}/nodes/level=0")
+    _kept(decoded(df.select(*keys, F.col(column).alias("_pf_text")), "_pf_text", "_verdict", "v").select(*keys, F.monotonically_increasing_id().alias("rid"), F.struct("_verdict.code", "_verdict.key").alias("_verdict"), "v")).write.parquet(f"{path}/records")
+    records = _held(read("records"))
+    rows = records.count()
+    spread = records if records.rdd.getNumPartitions() * RECORDS >= rows else records.repartition(-(-rows // RECORDS))  # alike, they are few bytes
+    start = spread.where("_verdict.code is null").select("rid", F.array().cast("array<string>").alias("location"), F.lit("").alias("path"), F.array().cast(f"array<{_STEP}>").alias("chain"), F.lit(root).alias("name"), F.lit(False).alias("hidden"), "v")
+    _kept(start.select(*_NODE)).write.parquet(f"{path}/nodes/level=0")
     depth, reached = 0, _reached(root, named)
     while depth <= max_depth:
-        _below(spark.read.parquet(f"{path}/nodes/level={depth}"), named, {(root, False): None} if not depth else reached, not depth).select(*_NODE).write.parquet(f"{path}/nodes/level={depth + 1}")
+        _kept(_below(_held(spark.read.parquet(f"{path}/nodes/level={depth}")), named, {(root, False): None} if not depth else reached, not depth).select(*_NODE)).write.parquet(f"{path}/nodes/level={depth + 1}")
         if read(f"nodes/level={depth + 1}").isEmpty():
             break
         depth += 1
-    nodes = read("nodes").where(F.col("level") <= max_depth)
-    typed = {}
-    for name, hidden, top in [*[(n, h, False) for n, h in reached], (root, False, True)]:
-        checked = _checked(nodes.drop("level"), name, named[name], hidden, top, max_errors).withColumn("level", F.size("chain"))
-        folder = f"{path}/checked/{_folder(named, name)}"
-        checked.write.partitionBy("level").mode("append").parquet(folder)
-        typed[name] = spark.read.schema(checked.schema).parquet(folder)
-    bad = None
-    for checked in typed.values():
-        own = checked.where("entries is not null").select("rid", "location", "path", "chain", "name", "entries", "late", "level")
+    nodes = _held(read("nodes")).where(F.col("level") <= max_depth)
+    kinds = [*[(n, h, False) for n, h in reached], (root, False, True)]
+    for name, hidden, top in kinds:
+        _kept(_checked(nodes.drop("level"), name, named[name], hidden, top, max_errors, unsound=True)).write.mode("append").parquet(f"{path}/unsound")
+    unsound, bad = _held(read("unsound")), None
+    for name, hidden, top in kinds:
+        own = _checked(unsound, name, named[name], hidden, top, max_errors).where("entries is not null").select("rid", "location", "path", "chain", "name", "entries", "late", F.size("chain").alias("level"))
         bad = own if bad is None else bad.unionByName(own)
     bad.write.parquet(f"{path}/bad")
     bad = read("bad")
@@ -326,12 +364,12 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     verdicts = (records.drop("v").join(failing.hint("merge"), F.col("rid") == F.col("_rid"), "left").join(counts.hint("merge"), F.col("rid") == F.col("_node"), "left")
                 .select(*keys, errors.alias("errors"), F.coalesce("cut", F.lit(False)).alias("truncated"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth")))
     own = records.select("rid", *keys)
-    shown = {n: own.join(t.where("entries is null").select(F.col("rid").alias("_rid"), "location", "path", "level", "value"), F.col("rid") == F.col("_rid")).select(*keys, "location", "path", "level", "value") for n, t in typed.items()}
-    return Levels(verdicts, shown)
 
+    def shown(name: str) -> DataFrame:
+        parts = [_checked(nodes.drop("level"), n, named[n], h, top, max_errors).where("entries is null").select(F.col("rid").alias("_rid"), "location", "path", F.size("chain").alias("level"), "value") for n, h, top in kinds if n == name]
+        return own.join(functools.reduce(DataFrame.union, parts), F.col("rid") == F.col("_rid")).select(*keys, "location", "path", "level", "value")
 
-def _folder(named: dict[str, object], name: str) -> str:
-    return f"kind-{list(named).index(name)}"
+    return Levels(verdicts, Nodes([n for n, _, _ in kinds], shown))
 
 
 def from_json_levels(df: DataFrame, column: str, contract: M.Contract, keys: list[str], path: str, max_errors: int = 100, max_depth: int = 64) -> Levels:
