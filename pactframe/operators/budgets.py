@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,6 +95,48 @@ def running(df: DataFrame, order: str | list[str], value: Column, name: str, par
     return running_sums(df, order, {name: value}, parts)
 
 
+def _before(keys: list[str]) -> Column:
+    """Whether a row's keys come before those of the cut, nulls first."""
+    out = F.lit(False)
+    for i, k in reversed(list(enumerate(keys))):
+        own, cut = F.col(f"`{k}`"), F.col(f"_cut{i}")
+        out = F.when(cut.isNull(), F.lit(False)).otherwise(F.coalesce(own < cut, F.lit(True))) | own.eqNullSafe(cut) & out
+    return out
+
+
+def within_limits(df: DataFrame, order: str | list[str], values: dict[str, Column], room: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows before the first, in the order of `order`, with which a running sum is over its room, and the sums at that row; one must go over, and no value may be negative.
+
+    Only keys and values of all rows are dealt by ranges, and only those of the
+    range in which the sum goes over are sorted.  Whole rows are sorted where
+    their keys are those of the first row beyond, as ties are told apart by
+    all that is in them.
+    """
+    keys, names = [order] if isinstance(order, str) else order, list(values)
+    own = {n: F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint")) for n, v in values.items()}
+    sums = lambda rows, given: rows.agg(*[F.coalesce(F.sum(given[n]), F.lit(0)).alias(n) for n in names]).first().asDict()
+    narrow = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *[v.alias(f"_v_{n}") for n, v in own.items()])
+    ranged = checkpointed(narrow.repartitionByRange(*[f"_k{i}" for i in range(len(keys))])).withColumn("_part", F.spark_partition_id())
+    parts = ranged.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in names]).orderBy("_part").collect()  # one row a partition
+    base = dict.fromkeys(names, 0)
+    for part in parts:
+        if any(base[n] + part[n] > room[n] for n in names):
+            break
+        base = {n: base[n] + part[n] for n in names}
+    placed = running_sums(ranged.where(F.col("_part") == part["_part"]).drop("_part"), [f"_k{i}" for i in range(len(keys))], {n: F.col(f"_v_{n}") for n in names})
+    passed = lambda b: functools.reduce(lambda x, y: x | y, [F.col(n) + b[n] > room[n] for n in names])
+    cut = checkpointed(placed.where(passed(base)).orderBy(*names).limit(1).select(*[F.col(f"_k{i}").alias(f"_cut{i}") for i in range(len(keys))]))
+    near = df.crossJoin(F.broadcast(cut))  # one row
+    earlier = near.where(_before(keys)).select(*[f"`{c}`" for c in df.columns])
+    base = sums(earlier, own)
+    tie = functools.reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(f"_cut{i}")) for i, k in enumerate(keys)])
+    ties = running_sums(near.where(tie).select(*[f"`{c}`" for c in df.columns]), keys, {f"_pf_{n}": v for n, v in own.items()})
+    tied = lambda n: F.col(f"_pf_{n}") + base[n]
+    over = functools.reduce(lambda x, y: x | y, [tied(n) > room[n] for n in names])
+    seen = ties.where(over).select(*[tied(n).alias(n) for n in names]).orderBy(*names).first().asDict()
+    return earlier.unionByName(ties.where(~over).drop(*[f"_pf_{n}" for n in names])), seen
+
+
 def item_index(df: DataFrame, order: str | list[str], parts: int | None = None) -> DataFrame:
     """Adds item_index, the zero-based place in the order of `order`: the place in a sorted partition and the rows of those before."""
     kept = in_order(df, order, parts).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

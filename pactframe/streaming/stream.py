@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pactframe.contract.model import Contract
-from pactframe.operators.budgets import BudgetError, running_sums
+from pactframe.operators.budgets import BudgetError, within_limits
 from pactframe.operators.patches import apply_patch, fold_patches
 from pactframe.operators.shared import deleted, listed
 from pactframe.operators.validate import from_json, split
@@ -57,14 +56,10 @@ def continued(stream: DataFrame, keys: list[str], good_path: str, bad_path: str,
                 if over:
                     if order is None:
                         raise BudgetError(over[0], limits[over[0]], seen[over[0]])
-                    names = {c: f"_pf_{c}" for c in over}
-                    placed = running_sums(batch, order, {names[c]: counted[c] for c in over})
-                    passed = {c: F.col(n) + before[c] > limits[c] for c, n in names.items()}
-                    within = functools.reduce(lambda a, b: a & b, [~p for p in passed.values()])
-                    deliver(placed.where(within).drop(*names.values()), number)
-                    first = placed.where(~within).select(*[p.alias(c) for c, p in passed.items()], *names.values()).orderBy(*[F.col(n) for n in names.values()]).first()
-                    code = next(c for c in over if first[c])
-                    raise BudgetError(code, limits[code], first[names[code]] + before[code])
+                    within, at = within_limits(batch, order, {c: counted[c] for c in over}, {c: limits[c] - before[c] for c in over})
+                    deliver(within, number)
+                    code = next(c for c in over if at[c] + before[c] > limits[c])
+                    raise BudgetError(code, limits[code], at[code] + before[code])
             deliver(batch, number)
         finally:
             batch.unpersist()

@@ -299,3 +299,19 @@ def test_nodes_below_a_record_or_union_are_not_looked_into_once_each(spark, tmp_
     assert level.where("chain[0].kind is not null").isEmpty()
     assert not (tmp_path / "levels/checked").exists() and list(done.nodes) == []
     assert done.nodes["Tree"].count() == 150_000 and done.verdicts.agg(F.sum("nodes"), F.sum(F.size("errors"))).first() == (150_000, 0)
+
+
+@pytest.mark.parametrize("items, invalid", [(700, 90), (1500, 3), (0, 0), (1999, 10**6)])
+def test_limits_sort_keys_only_and_ties_like_all_rows(spark, monkeypatch, items, invalid):
+    """Two keys with nulls and many ties; what is delivered is what running sums over all whole rows allow, but no whole row is sorted save for ties."""
+    rows = [(None if k % 7 == 0 else k % 3, f"s{k % 2}", k, k % 5 == 0) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k int, s string, id int, bad boolean").repartition(5)
+    values, room = {"items": F.lit(1), "invalid": F.col("bad").cast("int")}, {"items": items, "invalid": invalid}
+    placed = budgets.running_sums(df, ["k", "s"], values)
+    want = {r["id"] for r in placed.where((F.col("items") <= items) & (F.col("invalid") <= invalid)).collect()}
+    sorted_rows, real = [], budgets.in_order
+    monkeypatch.setattr(budgets, "in_order", lambda d, *a, **k: sorted_rows.append(("id" in d.columns, d.count())) or real(d, *a, **k))
+    within, seen = budgets.within_limits(df, ["k", "s"], values, room)
+    assert {r["id"] for r in within.collect()} == want and within.columns == df.columns
+    assert seen["items"] == len(want) + 1 and (seen["items"] > items or seen["invalid"] > invalid)
+    assert all(n < 500 for whole, n in sorted_rows if whole)
