@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pactframe.llm.common import as_map, registered, scratch, stored, written
 from pactframe.llm.simhash import components, shingle_hashes, simhash, trie_links
@@ -17,6 +18,10 @@ from pactframe.llm.simhash import components, shingle_hashes, simhash, trie_link
 #: Longs of 64 parities by which a set of shingles is told from others before the sets themselves are compared.
 PARITIES = 8
 SKETCH = [f"p{k}" for k in range(PARITIES)]
+#: In place of a number of shared shingles that isn't known.
+ANY = 2**30
+#: Keys of a set before one of its keys by which a pair is known to have met already.
+BEFORE = 4
 #: Texts whose sets a task holds at once.
 SLICE = 64
 #: Hash buckets by which texts are picked out, and how many of them are listed at most.
@@ -40,17 +45,24 @@ def frequent_shingles(docs: DataFrame, words: int, seed: int = 42, text: str = "
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
+def parities(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Longs of `count` bits, a power of two from 64 on: each says whether an odd number of hashes ends in its place."""
+    odd = (np.bincount((hashes & np.uint64(count - 1)).astype(np.int64), minlength=count) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame, words: int, similarity: float, keep: tuple[str, ...], seed: int = 42, text: str = "text") -> DataFrame:
-    """`keep` and, of each whole text's set of shingles: node (its hash), n (its size), fp (SimHash), sketch and prefix.
+    """`keep` and, of each whole text's set of shingles: node (its hash), n (its size), fp (SimHash), sketch, wide and prefix.
 
     `prefix` holds the set's n - ceil(similarity * n) + 1 first shingles, frequent ones last: two sets
-    of at least that similarity share one of them.  Null and wordless texts have the empty set.
+    of at least that similarity share one of them.  `wide` holds, of sets of more shingles than the
+    sketch has parities, at least as many parities as shingles.  Null and wordless texts have the empty set.
     """
     frequent = frequent_shingles(docs, words, seed, text)
     by_hash = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash + 1))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()),
-                           *[T.StructField(p, T.LongType()) for p in SKETCH], T.StructField("prefix", T.ArrayType(T.LongType()))])
+                           *[T.StructField(p, T.LongType()) for p in SKETCH], T.StructField("wide", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def over(batch):
         for at in range(0, batch.num_rows, 16 * SLICE):
@@ -58,7 +70,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, keep: tuple[str
 
     def part(batch):
         known, places = shared.value
-        rows, prefixes = [], []
+        rows, wide, prefixes = [], [], []
         for t in batch.column(len(keep)).to_pylist():
             hashes = np.unique(shingle_hashes(t or "", words, seed))
             n = len(hashes)
@@ -68,13 +80,13 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, keep: tuple[str
                 rank = np.where(known[at] == hashes, places[at], 0)
             first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
             prefixes.append(hashes[np.argsort(rank, kind="stable")[:first]].view(np.int64))
-            odd = (np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+            wide.append(parities(hashes, 1 << (n - 1).bit_length()) if n > 64 * PARITIES else np.zeros(0, np.int64))
             node = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), seed)
-            rows.append(np.array([node, n, simhash(hashes), *np.packbits(odd, bitorder="little").view("<u8")], np.uint64))
+            rows.append(np.array([node, n, simhash(hashes), *parities(hashes, 64 * PARITIES).view(np.uint64)], np.uint64))
         table = np.stack(rows).view(np.int64) if rows else np.zeros((0, 3 + PARITIES), np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes or [np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(table.shape[1])], lists], names=schema.names)
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in part])]).astype(np.int32)), pa.array(np.concatenate(part or [np.zeros(0, np.int64)])))
+                 for part in (wide, prefixes)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(table.shape[1])], *lists], names=schema.names)
 
     return as_map(docs.select(*keep, text), over, schema)
 
@@ -83,7 +95,26 @@ def _may_be(similarity: float, a: str, b: str) -> Column:
     """False only where the sizes or the parities of sets `a` and `b` show a smaller similarity."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in SKETCH), F.lit(0))
-    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= _apart(n, m, similarity))
+
+
+def _apart(n: Column, m: Column, similarity: float) -> Column:
+    """How many shingles only one of two sets of that similarity has, at most."""
+    return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _may_be_wide(similarity: float, a: str, b: str) -> Column:
+    """False only where the parities in `wide` of sets `a` and `b` show a smaller similarity; the longer of two lists is folded to the other's length."""
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+
+    def half(v: Column) -> Column:
+        size = (F.size(v) / 2).cast("int")
+        return F.zip_with(F.slice(v, F.lit(1), size), F.slice(v, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+
+    ones = lambda v, w: F.aggregate(F.zip_with(v, w, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    apart = (F.when(F.size(x) == F.size(y), ones(x, y)).when(F.size(x) == 2 * F.size(y), ones(half(x), y))
+             .when(2 * F.size(x) == F.size(y), ones(x, half(y))).otherwise(0))
+    return apart <= _apart(F.col(f"{a}.n"), F.col(f"{b}.n"), similarity)
 
 
 def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[str], words: int, similarity: float, seed: int = 42, text: str = "text",
@@ -94,12 +125,12 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, on: list[
     no more than the rest of one of them, so sizes, parities and `common` rule out most pairs.  `classes` names by its
     columns `on` a row of `docs` for each node; only texts of the pairs left are read again, but for sets in `known`.
     """
-    narrow = classes.select("node", "n", F.size("prefix").alias("first"), *SKETCH)
+    narrow = classes.select("node", "n", F.size("prefix").alias("first"), *SKETCH, "wide")
     left, right = narrow.alias("x"), narrow.alias("y")
     pairs = pairs.alias("q").join(left, F.col("q.a") == F.col("x.node")).join(right, F.col("q.b") == F.col("y.node"))
     n, m = F.col("x.n"), F.col("y.n")
     shared = F.col("q.common") + F.greatest(n - F.col("x.first"), m - F.col("y.first")) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
-    pairs = written(pairs.where(_may_be(similarity, "x", "y") & shared).select("a", "b", n.alias("na"), m.alias("nb")), "similar-pairs")
+    pairs = written(pairs.where(_may_be(similarity, "x", "y") & shared).where(_may_be_wide(similarity, "x", "y")).select("a", "b", n.alias("na"), m.alias("nb")), "similar-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("node"), "node", "left_anti")
@@ -175,7 +206,7 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
     rows = rows.join(weights, "node").select("key", "node", F.col("node").alias("root"), "w")
     near = components(trie_links(classes.select("fp")))
     tried = classes.select("node", "fp").join(near.toDF("_fp", "_root"), F.col("fp") == F.col("_fp")).select("node", "_root")
-    tried = tried.join(tried.groupBy("_root").agg(F.min("node").alias("center")), "_root").where("node <> center").select(*_pair("node", "center"), F.lit(2**30).alias("common"))
+    tried = tried.join(tried.groupBy("_root").agg(F.min("node").alias("center")), "_root").where("node <> center").select(*_pair("node", "center"), F.lit(ANY).alias("common"))
     links = compared = sets = roots = None
     before = None
     for k in range(rounds + 1):
@@ -196,18 +227,29 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, on: list[str], words: int
         links = found if links is None else links.union(found)
         compared = met if compared is None else compared.union(met)
         roots = written(components(links).toDF("_node", "_root"), "similar-roots")
-    rows = rows.drop("w").join(classes.select("node", "n", *SKETCH), "node")
+    pairs = meetings(rows.drop("w"), classes, similarity, block)
+    pairs = pairs.distinct().join(compared, ["a", "b"], "left_anti").withColumn("common", F.lit(ANY))
+    last, _, _ = exact_links(pairs, classes, docs, on, words, similarity, known=sets)
+    return roots.toDF("a", "b").union(last)
+
+
+def meetings(rows: DataFrame, classes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b (a > b) of all sets apart that share a key of `rows` (key, node, root) and may be similar, a few rows a pair.
+
+    Each row knows the BEFORE keys of its set before its own: a pair that shares one of them has met there, so
+    near copies, which share most of their keys, don't meet once a key.
+    """
+    rows = rows.join(classes.select("node", "n", *SKETCH), "node")
     by_root = rows.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("m"), F.max_by("root", F.struct("count", "root")).alias("most"), F.max("count").alias("c"))
     by_root = by_root.select("key", "most", F.ceil(F.col("m") / block).cast("long").alias("js"), F.ceil((F.col("m") - F.col("c")) / (64 * block)).cast("long").alias("is"))
-    rows = written(rows.join(by_root, "key"), "similar-rest")
+    earlier = Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1)
+    rows = written(rows.withColumn("before", F.collect_list("key").over(earlier)).join(by_root, "key"), "similar-rest")
     x = rows.where("root <> most").withColumn("i", F.pmod(F.xxhash64("node"), F.col("is"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1))).alias("x")
     y = rows.withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("js"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1))).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     met = met & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common")).join(compared, ["a", "b"], "left_anti")
-    last, _, _ = exact_links(pairs, classes, docs, on, words, similarity, known=sets)
-    return roots.toDF("a", "b").union(last)
+    met = met & ~F.arrays_overlap("x.before", "y.before")  # the first key that two sets share is never left out
+    return x.join(y, met & _may_be(similarity, "x", "y")).select(*_pair("x.node", "y.node"))
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -375,6 +375,44 @@ def test_similar_documents_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_sets_that_share_many_keys_meet_about_once(spark, block):
+    """Copies share up to two hundred keys of their prefixes: the last join makes a few rows a pair, not one a key, and leaves no pair out."""
+    rng = random.Random(33)
+    texts = []
+    for k in range(6):
+        words = [f"w{rng.randrange(100_000)}" for _ in range((1000, 1060, 300)[k % 3])]
+        for j in range(6):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), len(words) // 60):
+                copy[at] = f"new{k}{j}"
+            texts.append((10 * k + j, " ".join(copy)))
+    sets = similar.shingle_sets(spark.createDataFrame(texts, "doc_id long, text string"), 5, 0.8, ("doc_id",)).localCheckpoint()
+    rows = similar.shared_keys(sets.select(F.explode("prefix").alias("key"), "node", F.size("prefix").alias("first"))).select("key", "node", F.col("node").alias("root")).localCheckpoint()
+    x, y = rows.join(sets.drop("prefix"), "node").alias("x"), rows.join(sets.drop("prefix"), "node").alias("y")
+    shared = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & similar._may_be(0.8, "x", "y")).select("x.node", "y.node").collect()
+    met = similar.meetings(rows, sets, 0.8, block).collect()
+    assert {tuple(r) for r in met} == {tuple(r) for r in shared}
+    pairs = len({tuple(r) for r in met})
+    assert len(shared) > 50 * pairs and len(met) < 5 * pairs, (len(shared), len(met), pairs)
+
+
+@pytest.mark.parametrize("size", [1100, 1900])
+def test_wide_parities_rule_out_without_loss(spark, size):
+    """Sets of unlike numbers of parities are compared by the fewer of them; only pairs below the similarity are ruled out, and those far below are."""
+    rng = np.random.default_rng(34)
+    base = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+    rows = []
+    for k, (own, of) in enumerate([(size, size), (size, 0.95), (size, 0.9), (size, 0.8), (size, 0.6), (size, 0.2), (size, 0.0)]):
+        part = base[:own] if k == 0 else np.concatenate([base[:round(own * of)], rng.integers(0, 2**63, round(own * 1.1) - round(own * of), dtype=np.uint64)]) if of < 0.9 else base[:round(own * of)]
+        wide = similar.parities(part, 1 << (len(part) - 1).bit_length())
+        rows.append((k, len(part), wide.tolist(), len(np.intersect1d(part, base[:size])) / len(np.union1d(part, base[:size]))))
+    df = spark.createDataFrame(rows, "k long, n long, wide array<long>, alike double")
+    seen = df.where("k = 0").alias("x").crossJoin(df.alias("y")).select("y.k", "y.alike", similar._may_be_wide(0.8, "x", "y").alias("may")).collect()
+    assert all(r["may"] for r in seen if r["alike"] >= 0.8)
+    assert not any(r["may"] for r in seen if r["alike"] < 0.5) and len({len(r[2]) for r in rows}) == 2
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_crowded_shingles_lose_no_link(spark, block):
     """All sets share a key; chains in which x is near y, and neither near the least, stay whole."""
