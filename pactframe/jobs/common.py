@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A table's rows in tasks of about `rows`, for work that is a row's: files are cut by bytes and row groups, which may hold millions of short rows."""
+    parts = -(-df.count() // rows)  # from the files' footers
+    return df.repartition(parts) if parts > 1 else df
+
+
 def row_errors(df: DataFrame, contract: Contract, keys: list[str], max_errors: int = 100) -> DataFrame:
     """keys, position, path and code of every error of a typed table."""
     return flat_errors(from_rows(df, contract, max_errors, keep=keys), keys).select(*keys, "position", "path", "code")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pactframe.contract import model as M
 from pactframe.contract.model import Contract, Field, constrained, derive
-from pactframe.jobs.common import shared_folder, table
+from pactframe.jobs.common import dealt, shared_folder, table
 from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
 from pactframe.operators.output import to_json
@@ -32,7 +32,7 @@ def p_levels(spark, sf_dir):
     leaf = F.when(F.col("event_id") % 3 == 0, '{"v":"x"}').when(F.col("event_id") % 3 == 1, '{"v":1,"w":2}').otherwise('{"v":1,"c":[]}')
     top = F.when(F.col("event_id") % 5 == 0, '"y"').otherwise("1")
     text = F.when(k == 0, leaf).otherwise(F.concat(F.lit('{"v":'), top, F.lit(',"c":[{"v":1},'), F.repeat(F.lit('{"v":1,"c":[{"v":1},'), k - 1), leaf, F.repeat(F.lit(']}'), k)))
-    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    rows = dealt(table(spark, sf_dir, "events").select("event_id")).select("event_id", text.alias("text"))
     done = check_levels(rows, "text", "Tree", {"Tree": tree}, ["event_id"], shared_folder(spark, "levels"), max_depth=_DEEP).verdicts
     return done.select("event_id", F.array_join(F.expr(f"transform({_SAID})"), ",").alias("bad"), "nodes", "depth")
 
@@ -42,7 +42,7 @@ def p_levels_alias(spark, sf_dir):
     kind = M.Union((M.INT, M.Many(M.Ref("Value"))))
     k = (F.col("event_id") % 4).cast("int")
     text = F.concat(F.repeat(F.lit("[1,"), k), F.when(F.col("event_id") % 3 == 1, '"x"').otherwise("2"), F.repeat(F.lit("]"), k))
-    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    rows = dealt(table(spark, sf_dir, "events").select("event_id")).select("event_id", text.alias("text"))
     done = check_levels(rows, "text", "Value", {"Value": kind}, ["event_id"], shared_folder(spark, "levels")).verdicts
     inner = F.get(F.col("errors"), F.lit(0))
     return done.select("event_id", F.array_join(F.expr(f"transform({_SAID})"), ",").alias("bad"), F.array_join(F.transform(inner["branches"], lambda b: F.concat(b["label"], b["errors_json"])), ";").alias("branches"), "nodes", "depth")

@@ -59,6 +59,11 @@ def _held(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.get("v", F.lit(0)))
 
 
+def _once(value: Column) -> Column:
+    """`value`, which filters on it (`explode` makes one itself) don't compute again below: a partition id keeps them above."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def cut(contract: M.Contract) -> tuple[str, dict[str, object]]:
     """(name of the root, kinds by name) of a contract whose records inside lists and maps become nodes.
 
@@ -101,44 +106,51 @@ def _refs(kind) -> bool:
     return isinstance(kind, M.Ref)
 
 
-def _kids(kind, v: Column, hidden: bool, root: bool = False) -> Column:
-    """The nodes in a value: a list of (order, steps, shown steps, name, hidden, v), in order; steps are as in locations of errors, where a root's own names are never hidden."""
+def _kids(kind, v: Column, hidden: bool, root: bool = False, order: tuple = (), steps: tuple = (), shown: tuple = ()) -> Column:
+    """The nodes in a value: a list of (order, steps, shown steps, name, hidden, v), in order; steps are as in locations of errors, where a root's own names are never hidden.
+
+    `order`, `steps` and `shown` lead to the value: a node is made once, with all of them.
+    """
     empty = F.array().cast("array<struct<order:array<int>,steps:array<string>,shown:string,name:string,hidden:boolean,v:variant>>")
+
+    def node(name: str, v: Column, order: tuple, steps: tuple, shown: tuple) -> Column:
+        return F.struct(F.array(*order).cast("array<int>").alias("order"), F.array(*steps).cast("array<string>").alias("steps"), (F.concat(*shown) if shown else F.lit("")).alias("shown"), F.lit(name).alias("name"), F.lit(hidden).alias("hidden"), v.alias("v"))
+
     if isinstance(kind, M.Constrained):
-        return _kids(kind.base, v, hidden)
+        return _kids(kind.base, v, hidden, False, order, steps, shown)
     if isinstance(kind, M.Ref):
-        one = F.struct(F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("steps"), F.lit("").alias("shown"), F.lit(kind.name).alias("name"), F.lit(hidden).alias("hidden"), v.alias("v"))
-        return F.when(v.isNotNull(), F.array(one)).otherwise(empty)
+        return F.when(v.isNotNull(), F.array(node(kind.name, v, order, steps, shown))).otherwise(empty)
     if isinstance(kind, M.Union):
         parts = []  # values of other shapes have no nodes
         for o in kind.options:
             if _refs(o):
                 base = o.base if isinstance(o, M.Constrained) else o
-                parts.append(F.when(F.is_variant_null(v), empty).otherwise(_kids(o, v, hidden)) if isinstance(base, M.Ref) else _kids(o, v, hidden))
+                own = _kids(o, v, hidden, False, order, steps, shown)
+                parts.append(F.when(F.is_variant_null(v), empty).otherwise(own) if isinstance(base, M.Ref) else own)
         return F.coalesce(F.concat(*parts), empty)
-
-    def under(kids: Column, place: Column, step: Column, text: Column) -> Column:
-        return F.transform(kids, lambda k: k.withField("order", F.concat(F.array(place), k["order"])).withField("steps", F.concat(F.array(step), k["steps"])).withField("shown", F.concat(text, k["shown"])))
-
     if isinstance(kind, M.Many):
         items = F.try_variant_get(v, "$", "array<variant>")
-        if isinstance(kind.item, M.Ref):
-            one = lambda x, i: F.struct(F.array(i).alias("order"), F.array(i.cast("string")).alias("steps"), F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("shown"), F.lit(kind.item.name).alias("name"), F.lit(hidden).alias("hidden"), x.alias("v"))
-            return F.coalesce(F.transform(items, one), empty)
-        return F.coalesce(F.flatten(F.transform(items, lambda x, i: under(_kids(kind.item, x, hidden), i, i.cast("string"), F.concat(F.lit("["), i.cast("string"), F.lit("]"))))), empty)
+
+        def item(x: Column, i: Column) -> Column:
+            n = i.cast("string")
+            at = ((*order, i), (*steps, n), (*shown, F.lit("["), n, F.lit("]")))
+            return node(kind.item.name, x, *at) if isinstance(kind.item, M.Ref) else _kids(kind.item, x, hidden, False, *at)
+
+        found = F.transform(items, item)
+        return F.coalesce(found if isinstance(kind.item, M.Ref) else F.flatten(found), empty)
     if isinstance(kind, M.Mapping):
         entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         key = lambda e: F.lit(f'"{REDACTED}"') if hidden else F.concat(F.lit('"'), e["key"], F.lit('"'))
         text = lambda e: F.lit(f"[{REDACTED!r}]") if hidden else F.concat(F.lit("."), e["key"])
-        return F.coalesce(F.flatten(F.transform(entries, lambda e, i: under(_kids(kind.value, e["value"], hidden), i, key(e), text(e)))), empty)
+        return F.coalesce(F.flatten(F.transform(entries, lambda e, i: _kids(kind.value, e["value"], hidden, False, (*order, i), (*steps, key(e)), (*shown, text(e))))), empty)
     if isinstance(kind, M.Contract):
         parts = []
         for slot, f in enumerate(kind.fields):
             if _refs(f.type):
                 own = F.coalesce(*[C.member(v, n) for n in f.names])
                 covered = hidden or f.sensitive
-                steps, text = Place(((("name", "x"),) if not root else ()) + (("name", f.external),), covered).static()
-                parts.append(under(_kids(f.type, own, covered), F.lit(slot), F.lit(steps[-1]), F.lit(text if root else text[1:])))
+                names, text = Place(((("name", "x"),) if not root else ()) + (("name", f.external),), covered).static()
+                parts.append(_kids(f.type, own, covered, False, (*order, F.lit(slot)), (*steps, F.lit(names[-1])), (*shown, F.lit(text if root else text[1:]))))
         return F.concat(*parts) if parts else empty
     return empty
 
@@ -184,7 +196,7 @@ def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> D
             # Once a node, not once for each below it: a value's text or shape takes a look at all that is in it.
             shape = F.when(F.try_variant_get("v", "$", "array<variant>").isNotNull(), "list").otherwise("dict") if isinstance(kind, M.Union) else F.lit(None).cast("string")
             text = bounded_input(C.shown_json(F.col("v"))) if isinstance(kind, M.Union) and not hidden else F.lit(None).cast("string")
-            own = own.select("rid", "location", "path", "chain", shape.alias("kind"), text.alias("text"), _kids(kind, F.col("v"), hidden, root).alias("kids"))
+            own = own.select("rid", "location", "path", "chain", shape.alias("kind"), text.alias("text"), _once(_kids(kind, F.col("v"), hidden, root)).alias("kids"))
             found = own.select("rid", "location", "path", "chain", "kind", "text", F.explode("kids").alias("kid"))
             k = F.col("kid")
             turned = k["hidden"] & F.lit(not hidden)
@@ -228,7 +240,7 @@ def _checked(nodes: DataFrame, name: str, kind, hidden: bool, root: bool, max_er
     good = good & (F.spark_partition_id() >= 0)  # see validate._staged
     staged = ctx.stages.applied(nodes.where((F.col("name") == name) & (F.col("hidden") == hidden) & ((F.size("location") == 0) == root)))
     if unsound:
-        return staged.where(~good).select(*_NODE)
+        return staged.select(*_NODE, good.alias("_good")).where("not _good").select(*_NODE)
     out = staged.select("rid", "location", "path", "chain", "name", F.when(good, value).alias("value"), F.when(~good, F.coalesce(entries, none)).alias("entries"), F.when(~good, late).alias("late"))
     if root:
         return out
@@ -338,7 +350,8 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     nodes = _held(read("nodes")).where(F.col("level") <= max_depth)
     kinds = [*[(n, h, False) for n, h in reached], (root, False, True)]
     for name, hidden, top in kinds:
-        _kept(_checked(nodes.drop("level"), name, named[name], hidden, top, max_errors, unsound=True)).write.mode("append").parquet(f"{path}/unsound")
+        own = nodes.where(F.col("level") == 0 if top else F.col("level") > 0).drop("level")
+        _kept(_checked(own, name, named[name], hidden, top, max_errors, unsound=True)).write.mode("append").parquet(f"{path}/unsound")
     unsound, bad = _held(read("unsound")), None
     for name, hidden, top in kinds:
         own = _checked(unsound, name, named[name], hidden, top, max_errors).where("entries is not null").select("rid", "location", "path", "chain", "name", "entries", "late", F.size("chain").alias("level"))

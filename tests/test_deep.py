@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pactframe.contract import model as M
 from pactframe.contract.model import Check, Contract, Field, constrained, derive, optional
-from pactframe.operators import budgets
+from pactframe.operators import budgets, levels
 from pactframe.operators.hooks import python_hook
 from pactframe.operators.levels import check_levels, from_json_levels
 from pactframe.operators.patches import apply_in_order
@@ -315,3 +315,17 @@ def test_limits_sort_keys_only_and_ties_like_all_rows(spark, monkeypatch, items,
     assert {r["id"] for r in within.collect()} == want and within.columns == df.columns
     assert seen["items"] == len(want) + 1 and (seen["items"] > items or seen["invalid"] > invalid)
     assert all(n < 500 for whole, n in sorted_rows if whole)
+
+
+def test_nodes_are_found_and_checked_once(spark, tmp_path):
+    tree = Contract("Tree", (Field("v", M.INT), Field("c", M.Many(M.Ref("Tree")), default=None)))
+    named = {"Tree": tree}
+    rows = spark.createDataFrame([(1, '{"v":1,"c":[{"v":"x"},{"v":1,"c":[]}]}')], "id long, text string")
+    check_levels(rows, "text", "Tree", named, ["id"], f"{tmp_path}/l")
+    nodes = levels._held(spark.read.parquet(f"{tmp_path}/l/nodes"))
+    below = levels._below(nodes, named, levels._reached("Tree", named), False)
+    unsound = levels._checked(nodes.drop("level"), "Tree", tree, False, False, 100, unsound=True)
+    for found, read in ((below, "ArrayType"), (unsound, "MapType")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f"$, {read}") == 1  # not once more in a filter below
+    assert below.count() == 2 and [list(r.location) for r in unsound.collect()] == [['"c"', "0"]]
