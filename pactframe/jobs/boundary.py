@@ -9,7 +9,7 @@ from pactframe.contract import model as M
 from pactframe.contract.errors import Place, safe_text
 from pactframe.contract.model import Contract, Field, Tagged, constrained, optional
 from pactframe.functions.decode import depth_over
-from pactframe.jobs.common import errors_sql, table
+from pactframe.jobs.common import dealt, errors_sql, table
 from pactframe.operators.output import output_errors, to_json
 from pactframe.operators.patches import replace_fields
 from pactframe.operators.validate import error_report, flat_errors, from_json, from_rows, from_text, validate_table
@@ -118,7 +118,8 @@ def c_iso_json(spark, sf_dir):
     at = F.concat(F.date_format(d, "yyyyMMdd"), F.lit("T"), clock, F.when(k % 5 == 0, "Z").when(k % 5 == 1, "+02:00").when(k % 5 == 2, "-0130").otherwise(""))
     c = Contract("Iso", (Field("day", M.DATE), Field("at", M.DATETIME), Field("clock", M.TIME)))
     text = F.to_json(F.struct(date.alias("day"), at.alias("at"), clock.alias("clock")))
-    done = from_json(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", c, keep=["o_orderkey"])
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    done = from_json(rows.select("o_orderkey", text.alias("text")), "text", c, keep=["o_orderkey"])
     return done.select("o_orderkey", F.col("value.day").cast("string").alias("day"), F.date_format("value.at", "yyyy-MM-dd HH:mm:ss.S").alias("at"), F.col("value.clock").alias("clock"), F.array_join(F.transform("errors", lambda e: e["path"]), ",").alias("bad"))
 
 

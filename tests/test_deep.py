@@ -329,3 +329,14 @@ def test_nodes_are_found_and_checked_once(spark, tmp_path):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(f"$, {read}") == 1  # not once more in a filter below
     assert below.count() == 2 and [list(r.location) for r in unsound.collect()] == [['"c"', "0"]]
+
+
+def test_short_rows_of_one_file_are_dealt(spark, tmp_path):
+    from pactframe.jobs.boundary import c_iso_json
+    from pactframe.jobs.common import dealt
+
+    own = spark.range(100_001).select(F.col("id").alias("o_orderkey"), F.lit("1995-11-12").cast("date").alias("o_orderdate"))
+    own.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = dealt(spark.read.parquet(f"{tmp_path}/orders.parquet"))
+    assert rows.rdd.getNumPartitions() == 3 and rows.distinct().count() == 100_001
+    assert "RoundRobin" in c_iso_json(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
