@@ -18,10 +18,11 @@ from pactframe.contract import compiler as C
 from pactframe.contract import model as M
 from pactframe.contract.errors import ERRORS, REDACTED, Place, bounded_input, error, no_errors
 from pactframe.functions.decode import decoded
+from pactframe.operators import plain as P
 
 _ENTRY = f"struct<slot:int,e:{ERRORS},t:boolean>"
-#: Where a node is: of each node from the first level down, its field and place in the parent, how many steps that takes, and of the parent its path, name and shown value.
-_STEP = "struct<slot:int,order:array<int>,len:int,up:string,parent:string,kind:string,shown:string>"
+#: Where a node is: of each node from the first level down, its field and place in the parent, how many steps that takes, and of the parent its path, name and shown value, and its location if the node's own hides it.
+_STEP = "struct<slot:int,order:array<int>,len:int,up:string,parent:string,kind:string,shown:string,at:array<string>>"
 #: Records a partition that the first level is dealt into: nodes are often alike, so bytes don't tell how many a file holds.
 RECORDS = 20_000
 _NODE = ("rid", "location", "path", "chain", "name", "hidden", "v")
@@ -185,8 +186,26 @@ def _covered(location: Column) -> tuple[Column, Column]:
     return covered, F.array_join(F.transform(covered, shown), "")
 
 
-def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> DataFrame:
-    """The nodes one level below."""
+def _in_doubt(kids: Column, named: dict[str, object], names: list[str]) -> Column:
+    """Of the nodes that `_kids` finds those that aren't surely sound."""
+    def sure(k: Column) -> Column:
+        tests = [F.when(k["name"] == n, P.surely(named[n], named, k["v"])) for n in names]
+        return F.coalesce(*tests, F.lit(False))
+
+    return F.filter(kids, lambda k: ~sure(k))
+
+
+def _held_by(kind) -> list[str]:
+    """Names of the nodes that a plain record holds itself."""
+    if isinstance(kind, M.Ref):
+        return [kind.name]
+    if isinstance(kind, M.Contract):
+        return [n for f in kind.fields for n in _held_by(f.type)]
+    return _held_by(kind.base if isinstance(kind, M.Constrained) else kind.item) if isinstance(kind, (M.Constrained, M.Many)) else []
+
+
+def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool, in_doubt: bool = False) -> DataFrame:
+    """The nodes one level below; with `in_doubt` without those that are surely sound, which have nothing to tell their parents."""
     out = None
     for name, hidden in reached:
         kind = named[name]
@@ -195,8 +214,9 @@ def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> D
             record = isinstance(kind, M.Contract)
             # Once a node, not once for each below it: a value's text or shape takes a look at all that is in it.
             shape = F.when(F.try_variant_get("v", "$", "array<variant>").isNotNull(), "list").otherwise("dict") if isinstance(kind, M.Union) else F.lit(None).cast("string")
+            kids = _kids(kind, F.col("v"), hidden, root)
             text = bounded_input(C.shown_json(F.col("v"))) if isinstance(kind, M.Union) and not hidden else F.lit(None).cast("string")
-            own = own.select("rid", "location", "path", "chain", shape.alias("kind"), text.alias("text"), _once(_kids(kind, F.col("v"), hidden, root)).alias("kids"))
+            own = own.select("rid", "location", "path", "chain", shape.alias("kind"), text.alias("text"), _once(_in_doubt(kids, named, _held_by(kind)) if in_doubt else kids).alias("kids"))
             found = own.select("rid", "location", "path", "chain", "kind", "text", F.explode("kids").alias("kid"))
             k = F.col("kid")
             turned = k["hidden"] & F.lit(not hidden)
@@ -205,7 +225,7 @@ def _below(nodes: DataFrame, named: dict[str, object], reached, root: bool) -> D
             path = F.concat(F.when(turned, covered_path).otherwise(F.col("path")), k["shown"])
             slot = F.get(k["order"], F.lit(0)) if record else F.lit(0)
             step = F.struct(slot.alias("slot"), (F.slice(k["order"], 2, F.greatest(F.size(k["order"]) - 1, F.lit(0))) if record else k["order"]).alias("order"), F.size(k["steps"]).alias("len"), F.col("path").alias("up"),
-                            F.lit(name).alias("parent"), F.col("kind"), F.col("text").alias("shown"))
+                            F.lit(name).alias("parent"), F.col("kind"), F.col("text").alias("shown"), F.when(turned, F.col("location")).alias("at"))
             rows = found.select("rid", location.alias("location"), path.alias("path"), F.concat("chain", F.array(step.cast(_STEP))).alias("chain"), k["name"].alias("name"), k["hidden"].alias("hidden"), k["v"].alias("v"))
             out = rows if out is None else out.union(rows)
     return nodes.where("false") if out is None else out
@@ -291,7 +311,7 @@ def _up(failing: DataFrame, own: DataFrame, named: dict[str, object], limit: int
     field are reduced where they are before they move.
     """
     last = F.element_at("chain", -1)
-    parent = F.slice("location", F.lit(1), F.size("location") - last["len"])
+    parent = F.coalesce(last["at"], F.slice("location", F.lit(1), F.size("location") - last["len"]))
     below = failing.select("rid", parent.alias("_parent"), last["slot"].alias("slot"), last["order"].alias("order"),
                            F.struct("errors", "cut", F.slice("chain", F.lit(1), F.size("chain") - 1).alias("chain"), last.alias("step")).alias("f"))
     first = below.groupBy("rid", "_parent", "slot").agg(F.min_by("f", "order").alias("f"))
@@ -312,6 +332,26 @@ def _up(failing: DataFrame, own: DataFrame, named: dict[str, object], limit: int
     return staged.withColumn("f", _ended(F.col("entries"), F.col("late"), limit)).select("rid", "location", "path", "chain", "name", "f.errors", "f.cut")
 
 
+def _spread(records: DataFrame) -> DataFrame:
+    """Records dealt by their number: alike, they are few bytes."""
+    rows = records.count()
+    return records if records.rdd.getNumPartitions() * RECORDS >= rows else records.repartition(-(-rows // RECORDS))
+
+
+def _levels(records: DataFrame, named: dict[str, object], root: str, reached, max_depth: int, path: str, in_doubt: bool) -> int:
+    """Writes the nodes of records a level at a time; the last level that there is, `max_depth` + 1 if there is one that deep."""
+    spark = records.sparkSession
+    start = records.select("rid", F.array().cast("array<string>").alias("location"), F.lit("").alias("path"), F.array().cast(f"array<{_STEP}>").alias("chain"), F.lit(root).alias("name"), F.lit(False).alias("hidden"), "v")
+    _kept(start.select(*_NODE)).write.parquet(f"{path}/level=0")
+    depth = 0
+    while depth <= max_depth:
+        _kept(_below(_held(spark.read.parquet(f"{path}/level={depth}")), named, {(root, False): None} if not depth else reached, not depth, in_doubt).select(*_NODE)).write.parquet(f"{path}/level={depth + 1}")
+        if spark.read.parquet(f"{path}/level={depth + 1}").isEmpty():
+            break
+        depth += 1
+    return depth
+
+
 def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object], keys: list[str], path: str, max_errors: int = 100, max_depth: int = 64) -> Levels:
     """Strict JSON texts against kinds that name one another by `M.Ref`, to `max_depth` levels of nodes below the root.
 
@@ -323,7 +363,8 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     nothing inside it fails.  Deeper nodes fail with code `depth`.  Levels are
     written below `path`, in a folder that driver and executors share, so
     that lost executors cost a level; a list of millions of records is that
-    many rows.  Null texts are no JSON; `keys` needn't be unique; an empty
+    many rows.  Of plain contracts (see `plain`) only what isn't surely sound
+    goes by levels, until nodes are asked for.  Null texts are no JSON; `keys` needn't be unique; an empty
     table has no verdicts.
     """
     for name, kind in named.items():
@@ -335,18 +376,16 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
             raise ValueError(f"{name}: an option that is a node itself needs a list, a map or a record around it")
     spark = df.sparkSession
     read = lambda part: spark.read.parquet(f"{path}/{part}")
-    _kept(decoded(df.select(*keys, F.col(column).alias("_pf_text")), "_pf_text", "_verdict", "v").select(*keys, F.monotonically_increasing_id().alias("rid"), F.struct("_verdict.code", "_verdict.key").alias("_verdict"), "v")).write.parquet(f"{path}/records")
-    records = _held(read("records"))
-    rows = records.count()
-    spread = records if records.rdd.getNumPartitions() * RECORDS >= rows else records.repartition(-(-rows // RECORDS))  # alike, they are few bytes
-    start = spread.where("_verdict.code is null").select("rid", F.array().cast("array<string>").alias("location"), F.lit("").alias("path"), F.array().cast(f"array<{_STEP}>").alias("chain"), F.lit(root).alias("name"), F.lit(False).alias("hidden"), "v")
-    _kept(start.select(*_NODE)).write.parquet(f"{path}/nodes/level=0")
-    depth, reached = 0, _reached(root, named)
-    while depth <= max_depth:
-        _kept(_below(_held(spark.read.parquet(f"{path}/nodes/level={depth}")), named, {(root, False): None} if not depth else reached, not depth).select(*_NODE)).write.parquet(f"{path}/nodes/level={depth + 1}")
-        if read(f"nodes/level={depth + 1}").isEmpty():
-            break
-        depth += 1
+    found = decoded(df.select(*keys, F.col(column).alias("_pf_text")), "_pf_text", "_verdict", "v").select(*keys, F.monotonically_increasing_id().alias("rid"), F.struct("_verdict.code", "_verdict.key").alias("_verdict"), "v")
+    plain = P.plain(M.Ref(root), named, min(P.DEPTH, max_depth))
+    if plain:
+        inside = P.nodes(named[root], named, F.col("_typed")) or (F.lit(0).cast("bigint"), F.lit(0))
+        found = found.withColumn("_typed", F.try_variant_get("v", "$", P.typed(named[root], named)))
+        found = found.select(*keys, "rid", "_verdict", "v", P.surely(named[root], named, F.col("v"), F.col("_typed")).alias("_sure"), *[F.when(F.col("v").isNotNull(), n).alias(c) for n, c in ((inside[0] + 1, "nodes"), (inside[1], "depth"))])
+    _kept(found).write.parquet(f"{path}/records")
+    records, reached = _held(read("records")), _reached(root, named)
+    parsed = records.where("_verdict.code is null")
+    depth = _levels(_spread(parsed.where("not _sure")) if plain else _spread(records).where("_verdict.code is null"), named, root, reached, max_depth, f"{path}/nodes", plain)
     nodes = _held(read("nodes")).where(F.col("level") <= max_depth)
     kinds = [*[(n, h, False) for n, h in reached], (root, False, True)]
     for name, hidden, top in kinds:
@@ -368,18 +407,30 @@ def check_levels(df: DataFrame, column: str, root: str, named: dict[str, object]
     for level in range(depth - 1, -1, -1):
         _up(spark.read.parquet(f"{path}/failing/level={level + 1}"), bad.where(F.col("level") == level).drop("level"), named, max_errors).write.parquet(f"{path}/failing/level={level}")
     failing = spark.read.parquet(f"{path}/failing/level=0").select(F.col("rid").alias("_rid"), "errors", "cut")
-    counts = nodes.groupBy(F.col("rid").alias("_node")).agg(F.count("*").alias("nodes"), F.max("level").alias("depth"))
     code = F.col("_verdict.code")
     invalid = error("json_invalid", Place()).withField("context", F.create_map(F.lit("reason"), code))
     duplicate = error("json_duplicate", Place()).withField("context", F.create_map(F.lit("key"), F.col("_verdict.key")))
     errors = F.when(code == "duplicate_key", F.array(duplicate)).when(code.isNotNull(), F.array(invalid)).otherwise(F.coalesce("errors", no_errors()))
     # Errors are alike, so that their files are a small part of what they take in memory: never to be broadcast.
-    verdicts = (records.drop("v").join(failing.hint("merge"), F.col("rid") == F.col("_rid"), "left").join(counts.hint("merge"), F.col("rid") == F.col("_node"), "left")
-                .select(*keys, errors.alias("errors"), F.coalesce("cut", F.lit(False)).alias("truncated"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth")))
+    known = records.drop("v")
+    if plain:
+        doubt = F.col("_verdict.code").isNull() & ~F.col("_sure")
+        known = known.where(doubt).join(failing.hint("merge"), F.col("rid") == F.col("_rid"), "left").unionByName(known.where(~doubt), allowMissingColumns=True)
+    else:
+        counts = nodes.groupBy(F.col("rid").alias("_node")).agg(F.count("*").alias("nodes"), F.max("level").alias("depth"))
+        known = known.join(failing.hint("merge"), F.col("rid") == F.col("_rid"), "left").join(counts.hint("merge"), F.col("rid") == F.col("_node"), "left")
+    verdicts = known.select(*keys, errors.alias("errors"), F.coalesce("cut", F.lit(False)).alias("truncated"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
     own = records.select("rid", *keys)
 
+    @functools.cache
+    def every() -> DataFrame:
+        if not plain:
+            return nodes.drop("level")
+        _levels(_spread(parsed), named, root, reached, max_depth, f"{path}/every", False)
+        return _held(read("every")).drop("level")
+
     def shown(name: str) -> DataFrame:
-        parts = [_checked(nodes.drop("level"), n, named[n], h, top, max_errors).where("entries is null").select(F.col("rid").alias("_rid"), "location", "path", F.size("chain").alias("level"), "value") for n, h, top in kinds if n == name]
+        parts = [_checked(every(), n, named[n], h, top, max_errors).where("entries is null").select(F.col("rid").alias("_rid"), "location", "path", F.size("chain").alias("level"), "value") for n, h, top in kinds if n == name]
         return own.join(functools.reduce(DataFrame.union, parts), F.col("rid") == F.col("_rid")).select(*keys, "location", "path", "level", "value")
 
     return Levels(verdicts, Nodes([n for n, _, _ in kinds], shown))

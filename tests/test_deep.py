@@ -340,3 +340,54 @@ def test_short_rows_of_one_file_are_dealt(spark, tmp_path):
     rows = dealt(spark.read.parquet(f"{tmp_path}/orders.parquet"))
     assert rows.rdd.getNumPartitions() == 3 and rows.distinct().count() == 100_001
     assert "RoundRobin" in c_iso_json(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+MARK = Contract("Mark", (Field("q", optional(M.INT)), Field("on", M.BOOL, default=True)))
+PART = Contract("Part", (Field("n", M.INT), Field("sub", Contract("Sub", (Field("marks", M.Many(MARK)),))), Field("secret", M.Many(MARK), sensitive=True, default=None)))
+ROW = Contract("Row", (Field("x", constrained(M.FLOAT, lt=9.5)), Field("tags", M.Many(optional(M.STR))), Field("parts", M.Many(M.Many(PART)))))
+PLAIN = Contract("Plain", (Field("name", constrained(M.STR, min_length=1)), Field("kind", optional(M.Literal(("a", "b"))), default=None), Field("rows", constrained(M.Many(ROW), max_length=3))))
+
+
+def random_plain(rng, kind, odd):
+    """A value of a plain contract; with `odd` the chance that any part of it is something else."""
+    if rng.random() < odd:
+        return rng.choice([None, 1, -0.0, 1.0, 2.5, 1e300, 12345678901234567890, "x", "", "7", True, [], {}, [1], [None], {"q": 1}, {"q: BIGINT": None}])
+    if isinstance(kind, Contract):
+        out = {f.external: random_plain(rng, f.type, odd) for f in kind.fields if rng.random() > (0.5 if not f.required else odd / 2)}
+        if rng.random() < odd / 2:
+            out[rng.choice(["zz", "a b", "on: BOOLEAN, q", "`"])] = rng.choice([None, 1])
+        return dict(rng.sample(list(out.items()), len(out)))
+    if isinstance(kind, M.Constrained):
+        return random_plain(rng, kind.base, odd)
+    if isinstance(kind, M.Union):
+        return None if rng.random() < 0.3 else random_plain(rng, next(o for o in kind.options if o != M.NONE), odd)
+    if isinstance(kind, M.Literal):
+        return rng.choice(kind.values)
+    if isinstance(kind, M.Many):
+        return [random_plain(rng, kind.item, odd) for _ in range(rng.randrange(3))]
+    return {"int": rng.choice([0, -5, 2**63 - 1]), "float": rng.choice([1, -2.5, 1e-7, 9.0]), "str": "s", "bool": True}[kind.kind]
+
+
+@pytest.mark.parametrize("max_errors", [100, 2])
+def test_plain_records_are_judged_whole(spark, tmp_path, monkeypatch, max_errors):
+    """The verdicts of one expression and the counts of all levels, though only what is in doubt goes by levels; nodes are all there when asked for."""
+    rng = random.Random(11)
+    texts = [json.dumps(random_plain(rng, PLAIN, odd)) for odd in (0, 0.01, 0.05) for _ in range(130)] + ["nope", None, "[]", "{}", "7", '{"name":"a","kind":null,"rows":[{"x":1e400,"tags":[],"parts":[]}]}', '{"name":"a","name":"b","rows":[]}']
+    df = spark.createDataFrame(list(enumerate(texts)), TEXTS)
+    want = told(from_json(df, "t", PLAIN, max_errors, keep=["id"]).collect())
+    done = from_json_levels(df, "t", PLAIN, ["id"], str(tmp_path / "levels"), max_errors)
+    verdicts = done.verdicts.collect()
+    got = told(verdicts)
+    wrong = [(texts[k], got[k], want[k]) for k in want if got[k] != want[k]]
+    assert not wrong, wrong[:2]  # also of hidden fields deep inside, whose nodes find parents that aren't hidden
+    assert 50 < sum(bool(e) for e, _ in want.values()) < 300
+    monkeypatch.setattr(levels.P, "plain", lambda *a, **k: False)
+    whole = from_json_levels(df, "t", PLAIN, ["id"], str(tmp_path / "whole"), max_errors)
+    assert {(r["id"], r["nodes"], r["depth"]) for r in verdicts} == {(r["id"], r["nodes"], r["depth"]) for r in whole.verdicts.collect()}
+    few, all_ = (spark.read.parquet(str(tmp_path / f / "nodes")) for f in ("levels", "whole"))
+    assert few.count() * 2 < all_.count()
+    bad = sum(bool(e) for e, _ in want.values())
+    assert spark.read.parquet(str(tmp_path / "levels/records")).where("_verdict.code is null and not _sure").count() <= bad + 40
+    shown = lambda n: sorted(map(str, n.select("id", "location", "path", "level", F.to_json("value")).collect()))
+    name = "Plain.rows.parts"
+    assert name in done.nodes.names and shown(done.nodes[name]) == shown(whole.nodes[name])
