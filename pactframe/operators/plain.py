@@ -47,6 +47,17 @@ def plain(kind, named: dict[str, object], depth: int = DEPTH) -> bool:
     return _scalar(kind)
 
 
+def _unclear(f: M.Field) -> bool:
+    """Whether of an absent member and a JSON null, which are both null as typed values, one is sound only."""
+    return f.required == isinstance(f.type, M.Union)
+
+
+def _member(f: M.Field, named: dict[str, object], x: Column, then) -> Column:
+    """`then` of a member of a typed value."""
+    own = x[f.external]
+    return C._let(F.try_variant_get(own, "$", typed(f.type, named)), then) if _unclear(f) else then(own)
+
+
 def typed(kind, named: dict[str, object]) -> str:
     """The type as which values are read; what doesn't fit is null where it is, and lists keep their lengths."""
     if isinstance(kind, M.Ref):
@@ -58,7 +69,7 @@ def typed(kind, named: dict[str, object]) -> str:
     if isinstance(kind, M.Many):
         return f"array<{typed(kind.item, named)}>"
     if isinstance(kind, M.Contract):
-        return f"struct<{','.join(f'`{f.external}`:{typed(f.type, named)}' for f in kind.fields)}>"
+        return f"struct<{','.join(f'`{f.external}`:{"variant" if _unclear(f) else typed(f.type, named)}' for f in kind.fields)}>"
     return _TYPES[(kind.base() if isinstance(kind, M.Literal) else kind).kind]
 
 
@@ -78,7 +89,7 @@ def _schema(kind, named: dict[str, object]) -> str:
 
 
 def _complete(kind, named: dict[str, object], x: Column) -> Column:
-    """Whether a typed value has all that its kind asks for; a null counts as absent, so that it is let pass only where both are sound."""
+    """Whether a typed value has all that its kind asks for."""
     if isinstance(kind, M.Ref):
         return _complete(named[kind.name], named, x)
     if isinstance(kind, M.Union):
@@ -88,8 +99,11 @@ def _complete(kind, named: dict[str, object], x: Column) -> Column:
     if isinstance(kind, M.Many):
         return F.coalesce(F.forall(x, lambda e: _complete(kind.item, named, e)), F.lit(False))
     if isinstance(kind, M.Contract):
-        fields = [_complete(f.type, named, x[f.external]) if not f.required else x[f.external].isNotNull() & _complete(f.type, named, x[f.external]) for f in kind.fields]
-        return functools.reduce(lambda a, b: a & b, fields, x.isNotNull())
+        def member(f: M.Field) -> Column:
+            held = _member(f, named, x, lambda y: _complete(f.type, named, y))
+            return held if not _unclear(f) else x[f.external].isNotNull() & held if f.required else x[f.external].isNull() | held
+
+        return functools.reduce(lambda a, b: a & b, map(member, kind.fields), x.isNotNull())
     if isinstance(kind, M.Literal):
         return F.coalesce(x.isin(*kind.values), F.lit(False))
     return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)) if kind.kind == "float" else x.isNotNull()
@@ -102,23 +116,65 @@ def surely(kind, named: dict[str, object], v: Column, x: Column | None = None) -
     return fits & (C._let(F.try_variant_get(v, "$", typed(kind, named)), whole) if x is None else whole(x))
 
 
-def nodes(kind, named: dict[str, object], x: Column) -> tuple[Column, Column] | None:
-    """(how many nodes are below a typed value, sound or not, and in how many levels); None if there can't be any."""
+def _holds(kind) -> bool:
+    """Whether a plain kind holds nodes."""
+    if isinstance(kind, M.Contract):
+        return any(_holds(f.type) for f in kind.fields)
+    return isinstance(kind, M.Ref) or isinstance(kind, (M.Many, M.Constrained)) and _holds(kind.item if isinstance(kind, M.Many) else kind.base)
+
+
+def nodes(kind, named: dict[str, object], x: Column, levels: bool = False) -> Column:
+    """How many nodes, or in how many levels, are below a typed value, sound or not."""
+    zero = F.lit(0) if levels else F.lit(0).cast("bigint")
     if isinstance(kind, M.Constrained):
-        return nodes(kind.base, named, x)
+        return nodes(kind.base, named, x, levels)
     if isinstance(kind, M.Contract):
-        parts = [p for p in (nodes(f.type, named, x[f.external]) for f in kind.fields) if p is not None]
-        return (functools.reduce(lambda a, b: a + b, [n for n, _ in parts]), parts[0][1] if len(parts) == 1 else F.greatest(*[d for _, d in parts])) if parts else None
-    if not isinstance(kind, M.Many):
-        return None
+        held = lambda f: _member(f, named, x, lambda y: nodes(f.type, named, y, levels))
+        parts = [held(f) for f in kind.fields if _holds(f.type)]
+        return zero if not parts else functools.reduce(F.greatest if levels else lambda a, b: a + b, parts)
+    if not _holds(kind):
+        return zero
     own = isinstance(kind.item, M.Ref)
     item = named[kind.item.name] if own else kind.item
-    inside = nodes(item, named, x) is not None
-    if not own and not inside:
-        return None
-    zero, here = F.lit(0).cast("bigint"), F.lit(int(own))
-    count = F.when(x.isNull(), zero).otherwise(F.size(x) * here)
-    deepest = F.coalesce(F.aggregate(x, F.lit(0), lambda acc, e: F.greatest(acc, nodes(item, named, e)[1])), F.lit(0)) if inside else F.lit(0)
-    if inside:
-        count = count + F.coalesce(F.aggregate(x, zero, lambda acc, e: acc + nodes(item, named, e)[0]), zero)
-    return count.cast("bigint"), F.when(x.isNull() | (F.size(x) == 0), F.lit(0)).otherwise(deepest + here)
+    size = F.coalesce(F.greatest(F.size(x), F.lit(0)), F.lit(0))
+    here = F.lit(0) if not own else F.when(size > 0, F.lit(1)).otherwise(F.lit(0)) if levels else size
+    if not _holds(item):
+        return here.cast("int" if levels else "bigint")
+    join = F.greatest if levels else lambda a, b: a + b
+    inside = F.coalesce(F.aggregate(x, zero, lambda acc, e: join(acc, nodes(item, named, e, levels))), zero)
+    return (here + inside).cast("int" if levels else "bigint")
+
+
+def straight(kind, named: dict[str, object]) -> bool:
+    """Whether the nodes of a plain contract are all in lists that are fields of nodes themselves."""
+    def held(t) -> bool:
+        t = t.base if isinstance(t, M.Constrained) else t
+        return held(t.item) if isinstance(t, M.Many) else straight(named[t.name], named) if isinstance(t, M.Ref) else not _holds(t)
+
+    return all(held(f.type) for f in kind.fields)
+
+
+def surely_alone(kind: M.Contract, v: Column) -> Column:
+    """Whether the own fields of a node of a straight contract are surely sound, whatever is in the lists of nodes, which isn't looked into."""
+    alone = [f for f in kind.fields if not _holds(f.type)]
+
+    def shape(t) -> str:
+        return "variant" if isinstance(t, M.Ref) else shape(t.base) if isinstance(t, M.Constrained) else f"array<{shape(t.item)}>"
+
+    def shaped(t, x: Column) -> Column:
+        if isinstance(t, M.Constrained):
+            return functools.reduce(lambda a, b: a & b, [F.coalesce(C.bound_holds(b, t.base, x), F.lit(False)) for b in t.ordered()], shaped(t.base, x))
+        return x.isNotNull() if isinstance(t.item, M.Ref) else F.coalesce(F.forall(x, lambda e: shaped(t.item, e)), F.lit(False))
+
+    members = f"struct<{','.join(f'`{f.external}`:' + ('variant' if f in alone else shape(f.type)) for f in kind.fields)}>"
+
+    def fits(x: Column) -> Column:
+        present = functools.reduce(lambda a, b: a + b, [x[f.external].isNotNull().cast("int") for f in kind.fields])
+        tests = [x.isNotNull(), F.size(F.try_variant_get(v, "$", "map<string,variant>")) == present]
+        for f in kind.fields:
+            own = x[f.external]
+            sound = surely(f.type, {}, own) if f in alone else shaped(f.type, own)
+            tests.append(own.isNotNull() & sound if f.required else own.isNull() | sound)
+        return functools.reduce(lambda a, b: a & b, tests)
+
+    return F.coalesce(C._let(F.try_variant_get(v, "$", members), fits), F.lit(False))
