@@ -394,3 +394,7 @@ def test_plain_records_are_judged_whole(spark, tmp_path, monkeypatch, contract,
     shown = lambda n: sorted(map(str, n.select("id", "location", "path", "level", F.to_json("value")).collect()))
     name = "Plain.rows.parts"
     assert name in done.nodes.names and shown(done.nodes[name]) == shown(whole.nodes[name])
+
+
+def test_straight_records_of_an_empty_table(spark, tmp_path):
+    assert from_json_levels(spark.createDataFrame([], TEXTS), "t", STRAIGHT, ["id"], str(tmp_path / "levels")).verdicts.count() == 0
